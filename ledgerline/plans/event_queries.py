@@ -1,13 +1,63 @@
-"""Queries over the decision log; `events` stands in for it."""
+"""Queries over the decision log; the `events` table stands in for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators import decisions as D
+from ledgerline.plans.collect import collection
 
-def gate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per event type: decisions, sessions, latency percentiles and the sum of an attribute."""
+TODAY, START, END = "2024-01-30", "2024-01-05", "2024-01-20"
+
+#: the log in SQL, for the oracles
+LOG = """log AS (
+    SELECT event_id AS decision_id, user_id AS session_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS checksum,
+           'src/m' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 || CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 = 0 THEN '.py' ELSE '.ts' END AS file_path,
+           CASE event_type WHEN 'error' THEN 'block' WHEN 'signup' THEN 'warn' WHEN 'purchase' THEN 'check' ELSE 'allow' END AS decision,
+           CASE CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 WHEN 0 THEN 'contract' WHEN 1 THEN 'drift' ELSE 'rule' END AS signal_source,
+           CAST(floor(value * 10) AS BIGINT) AS latency_ms,
+           event_id - 1 - CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS parent_id,
+           CASE WHEN event_id % 3 > 0 THEN event_id // 10 END AS batch_id
+    FROM events)"""
+
+RETRY = """retried AS (
+    SELECT *, coalesce(epoch_us(ts) - epoch_us(last_value(CASE WHEN decision = 'block' THEN ts END IGNORE NULLS) OVER (
+        PARTITION BY session_id, file_path ORDER BY ts, decision_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) <= 7200000000, FALSE) AS retry_after_block
+    FROM log)"""
+#: the test log is sparse: two hours in place of two minutes
+RETRY_SECONDS = 7200
+
+
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, kind = F.get_json_object("props", "$.k").cast("long"), F.col("event_type")
+    return events.select(
+        F.col("event_id").alias("decision_id"),
+        F.col("user_id").alias("session_id"),
+        "ts",
+        k.alias("checksum"),
+        F.concat(F.lit("src/m"), (k % 7).cast("string"), F.when(k % 3 == 0, ".py").otherwise(".ts")).alias("file_path"),
+        F.when(kind == "error", "block").when(kind == "signup", "warn").when(kind == "purchase", "check").otherwise("allow").alias("decision"),
+        F.when(k % 4 == 0, "contract").when(k % 4 == 1, "drift").otherwise("rule").alias("signal_source"),
+        F.floor(F.col("value") * 10).cast("long").alias("latency_ms"),
+        (F.col("event_id") - 1 - k % 5).alias("parent_id"),
+        F.when(F.col("event_id") % 3 > 0, F.floor(F.col("event_id") / 10)).alias("batch_id"),
+    )
+
+
+def retried_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.with_retry(decision_log(spark, sf_dir), RETRY_SECONDS)
+
+
+QUERIES, ORACLES, query = collection(LOG)
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_sessions,
+                 round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
+                 CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum
+          FROM events GROUP BY event_type""", "")
+def gate_benchmark(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),
@@ -18,11 +68,202 @@ def gate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"gate_benchmark": gate_benchmark}
-ORACLES = {
-    "gate_benchmark": """
-        SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_sessions,
-               round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
-               CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum
-        FROM events GROUP BY event_type"""
-}
+@query("""SELECT signal_source, count(*) AS n, count_if(decision = 'block') AS blocked, count_if(decision = 'warn') AS warned,
+                 count_if(retry_after_block) AS retried, CAST(floor(quantile_cont(latency_ms, 0.5)) AS BIGINT) AS p50_ms,
+                 CAST(floor(quantile_cont(latency_ms, 0.95)) AS BIGINT) AS p95_ms, max(latency_ms) AS max_ms,
+                 least(1.0, round(CAST(count_if(retry_after_block) AS DOUBLE) / nullif(count_if(decision = 'block'), 0), 3)) AS false_positive_proxy,
+                 CAST(round(count(*) + 1.5 * (count_if(decision = 'block') + count_if(decision = 'warn')), 1) AS DOUBLE) AS token_cost
+          FROM retried GROUP BY signal_source""", f"{LOG}, {RETRY}")
+def benchmark_by_source(spark, sf_dir):
+    return D.benchmark(retried_log(spark, sf_dir), ["signal_source"])
+
+
+@query("""SELECT count_if(decision = 'block') AS caught, count_if(retry_after_block) AS false_blocks,
+                 round(greatest(0, count_if(decision = 'block') - count_if(retry_after_block)) / (sum(latency_ms) / 1000.0 + 1) * CAST(0.43 AS DOUBLE)
+                       * greatest(0.0, 1 - count_if(latency_ms IS NULL) / CAST(count(*) AS DOUBLE)), 8) AS score FROM retried""", f"{LOG}, {RETRY}")
+def gate_efficiency(spark, sf_dir):
+    return D.efficiency(retried_log(spark, sf_dir))
+
+
+@query("""SELECT decision_id, CASE WHEN decision = 'block' AND signal_source = 'contract' THEN 'critical' WHEN decision = 'block' THEN 'high'
+                 WHEN decision = 'warn' THEN 'medium' WHEN latency_ms > 1500 THEN 'slow' WHEN decision = 'allow' THEN 'low' ELSE 'other' END AS severity
+          FROM log WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-05' AND strftime(ts, '%Y-%m-%d') < '2024-01-20'""")
+def severity_in_window(spark, sf_dir):
+    log = D.in_window(decision_log(spark, sf_dir), START, END)
+    return log.select("decision_id", D.severity(F.col("decision"), F.col("signal_source"), F.col("latency_ms")).alias("severity"))
+
+
+@query("SELECT decision_id, retry_after_block FROM retried", f"{LOG}, {RETRY}")
+def retry_after_block(spark, sf_dir):
+    return retried_log(spark, sf_dir).select("decision_id", "retry_after_block")
+
+
+@query("""SELECT CASE WHEN n_file = 1 THEN 'unknown' WHEN checksum = last_sum THEN 'survived' ELSE 'reverted' END AS state, count(*) AS n
+          FROM (SELECT decision, checksum, arg_max(checksum, (ts, decision_id)) OVER (PARTITION BY session_id, file_path) AS last_sum,
+                       count(*) OVER (PARTITION BY session_id, file_path) AS n_file FROM log) WHERE decision = 'warn' GROUP BY 1""")
+def override_survival(spark, sf_dir):
+    return D.override_survival(decision_log(spark, sf_dir))
+
+
+@query("""SELECT session_id, count(*) AS n, count_if(decision = 'block') AS blocked, count_if(decision = 'warn') AS warned,
+                 count(DISTINCT file_path) AS n_files, min(ts) AS first_ts, max(ts) AS last_ts FROM log GROUP BY session_id""")
+def session_rollup(spark, sf_dir):
+    return D.session_rollup(decision_log(spark, sf_dir))
+
+
+LEDGER = """linked AS (
+    SELECT e.decision_id, e.session_id, coalesce(n_labels, 0) AS n_labels, coalesce(n_checks, 0) AS n_checks, outcome,
+           CASE WHEN (n_labels IS NOT NULL)::INT + (n_checks IS NOT NULL)::INT + (outcome IS NOT NULL)::INT >= 2 THEN 'strong'
+                WHEN n_labels IS NOT NULL OR n_checks IS NOT NULL OR outcome IS NOT NULL THEN 'partial' ELSE 'unlinked' END AS grade
+    FROM (SELECT * FROM ended WHERE decision NOT IN ('check', 'end')) e
+    LEFT JOIN (SELECT doc_id AS decision_id, count(*) AS n_labels FROM labels GROUP BY 1) l ON l.decision_id = e.decision_id
+    LEFT JOIN (SELECT session_id, parent_id, count(*) AS n_checks FROM ended WHERE decision = 'check' GROUP BY 1, 2) c
+           ON c.session_id = e.session_id AND c.parent_id = e.decision_id
+    LEFT JOIN (SELECT session_id, arg_max(checksum, (ts, decision_id)) AS outcome FROM ended WHERE decision = 'end' GROUP BY 1) o ON o.session_id = e.session_id),
+"""
+ENDED = "ended AS (SELECT * REPLACE (CASE WHEN decision = 'block' AND checksum > 90 THEN 'end' WHEN decision = 'check' THEN 'check' ELSE decision END AS decision, CASE WHEN decision = 'check' THEN decision_id - 150 ELSE parent_id END AS parent_id) FROM log)"
+
+
+def _ledger(spark, sf_dir):
+    log = decision_log(spark, sf_dir)
+    d = F.when((F.col("decision") == "block") & (F.col("checksum") > 90), "end").otherwise(F.col("decision"))
+    log = log.withColumn("parent_id", F.when(F.col("decision") == "check", F.col("decision_id") - 150).otherwise(F.col("parent_id"))).withColumn("decision", d)
+    return D.ledger(log, spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("decision_id")))
+
+
+@query("SELECT * FROM linked", f"{LOG}, {ENDED}, {LEDGER.rstrip().rstrip(',')}")
+def decision_ledger(spark, sf_dir):
+    return _ledger(spark, sf_dir)
+
+
+@query("SELECT grade, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS rate FROM linked GROUP BY grade", f"{LOG}, {ENDED}, {LEDGER.rstrip().rstrip(',')}")
+def ledger_coverage(spark, sf_dir):
+    return D.coverage(_ledger(spark, sf_dir))
+
+
+@query("SELECT decision_id, decision FROM log WHERE decision_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_decisions(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("decision_id"))
+    return D.unlabelled(decision_log(spark, sf_dir), labels).select("decision_id", "decision")
+
+
+@query("""SELECT session_id, decision_id, ts, decision FROM log
+          QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, decision_id DESC) = 1""")
+def latest_outcome(spark, sf_dir):
+    return D.latest_per_key(decision_log(spark, sf_dir), "session_id", [F.desc("ts"), F.desc("decision_id")]).select("session_id", "decision_id", "ts", "decision")
+
+
+@query("""SELECT session_id, arg_max(CASE WHEN decision = 'block' THEN 'failed' ELSE 'passed' END, (ts, (decision = 'block')::INT, decision_id)) AS status
+          FROM log WHERE decision IN ('check', 'block') GROUP BY session_id""")
+def final_check(spark, sf_dir):
+    return D.final_check(decision_log(spark, sf_dir))
+
+
+@query("""SELECT c.decision_id AS check_id, (SELECT arg_max(group_id, (g.ts, g.group_id)) FROM (
+                 SELECT session_id, file_path, decision_id // 2000 AS group_id, max(ts) AS ts FROM log WHERE decision IN ('allow', 'warn') GROUP BY 1, 2, 3) g
+                 WHERE g.session_id = c.session_id AND g.file_path = c.file_path AND g.ts <= c.ts) AS group_id
+          FROM log c WHERE decision = 'check'""")
+def check_to_edit_group(spark, sf_dir):
+    log = decision_log(spark, sf_dir)
+    edits = log.where("decision in ('allow', 'warn')").withColumn("group_id", F.floor(F.col("decision_id") / 2000))
+    return D.check_to_group(edits, log.where("decision = 'check'").withColumnRenamed("decision_id", "check_id"))
+
+
+@query("""SELECT decision_id, failed_check FROM (SELECT decision_id, decision, last_value(CASE WHEN decision = 'block' THEN decision_id END IGNORE NULLS) OVER (
+                 PARTITION BY session_id ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed_check FROM log)
+          WHERE decision IN ('allow', 'warn')""")
+def last_failed_check(spark, sf_dir):
+    return D.last_failed_check(decision_log(spark, sf_dir))
+
+
+DAILY = "daily AS (SELECT CAST(ts AS DATE) AS day, avg(CASE WHEN decision = 'block' THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM log GROUP BY 1)"
+HINKLEY = """cum AS (SELECT day, sum(rate - 0.15 - 0.02) OVER (ORDER BY day) AS cum FROM daily),
+    ph AS (SELECT day, cum - least(0.0, min(cum) OVER (ORDER BY day)) AS excess FROM cum)"""
+
+
+@query("SELECT CAST(day AS VARCHAR) AS day, round(rate, 6) AS rate, n FROM daily", f"{LOG}, {DAILY}")
+def daily_block_rate(spark, sf_dir):
+    return D.daily_rate(decision_log(spark, sf_dir)).select(F.col("day").cast("string").alias("day"), F.round("rate", 6).alias("rate"), "n")
+
+
+@query("SELECT CAST(day AS VARCHAR) AS day, round(excess, 6) AS excess, excess > 0.06 AS alarm FROM ph", f"{LOG}, {DAILY}, {HINKLEY}")
+def page_hinkley(spark, sf_dir):
+    return D.page_hinkley(D.daily_rate(decision_log(spark, sf_dir)), 0.15).select(F.col("day").cast("string").alias("day"), F.round("excess", 6).alias("excess"), "alarm")
+
+
+@query("SELECT CAST(max(CASE WHEN excess > 0.06 THEN day END) AS VARCHAR) AS day, date_diff('day', max(CASE WHEN excess > 0.06 THEN day END), DATE '2024-01-30') > 14 AS stale FROM ph", f"{LOG}, {DAILY}, {HINKLEY}")
+def last_drift_alarm(spark, sf_dir):
+    return D.last_alarm(D.page_hinkley(D.daily_rate(decision_log(spark, sf_dir)), 0.15), TODAY).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""SELECT session_id, CAST(round(max(s - m), 4) AS DOUBLE) AS max_cusum FROM (SELECT session_id, s, min(s) OVER (PARTITION BY session_id ORDER BY decision_id) AS m
+          FROM (SELECT session_id, decision_id, sum(latency_ms - 200.0) OVER (PARTITION BY session_id ORDER BY decision_id) AS s FROM log)) GROUP BY 1""")
+def session_cusum(spark, sf_dir):
+    return D.cusum(decision_log(spark, sf_dir), "session_id", "decision_id", "latency_ms", 200.0).withColumn("max_cusum", F.round("max_cusum", 4))
+
+
+@query("""SELECT decision, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95,
+                 round(quantile_cont(latency_ms, 0.99), 4) AS p99
+          FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY decision ORDER BY ts DESC, decision_id DESC) <= 1000) GROUP BY decision""")
+def latency_snapshot(spark, sf_dir):
+    """Percentiles of each decision's newest 1,000."""
+    log = D.newest(decision_log(spark, sf_dir), ["decision"], 1000)
+    p = lambda q: F.round(F.percentile("latency_ms", q), 4)
+    return log.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+
+
+@query("""SELECT count(DISTINCT session_id) AS n_sessions, count(*) AS n_events, date_diff('day', min(CAST(ts AS DATE)), DATE '2024-01-30') AS age_days,
+                 concat_ws('; ', CASE WHEN count(DISTINCT session_id) < 100 THEN 'sessions' END, CASE WHEN count(*) < 50000 THEN 'events' END,
+                           CASE WHEN date_diff('day', min(CAST(ts AS DATE)), DATE '2024-01-30') < 14 THEN 'days' END) AS missing FROM log""")
+def promotion_readiness(spark, sf_dir):
+    return D.promotion(decision_log(spark, sf_dir), TODAY, 100, 50_000, 14)
+
+
+@query("""SELECT session_id, file_path, count(DISTINCT coalesce(CAST(batch_id AS VARCHAR), CAST(decision_id AS VARCHAR))) AS failed_attempts
+          FROM log WHERE decision = 'block' GROUP BY 1, 2""")
+def failed_attempts(spark, sf_dir):
+    return D.failed_attempts(decision_log(spark, sf_dir), ["session_id", "file_path"])
+
+
+@query("""SELECT DISTINCT session_id, file_path FROM log WHERE decision = 'allow'
+          EXCEPT SELECT session_id, file_path FROM log WHERE decision = 'check' EXCEPT SELECT session_id, file_path FROM log WHERE decision = 'warn'""")
+def unreviewed_changes(spark, sf_dir):
+    files = lambda d: decision_log(spark, sf_dir).where(F.col("decision") == d).select("session_id", "file_path")
+    return D.unreviewed(files("allow").distinct(), files("check"), files("warn"), ["session_id", "file_path"])
+
+
+@query("""SELECT c.category, coalesce(total, 0) AS total, coalesce(today, 0) AS today,
+                 CASE WHEN coalesce(total, 0) = 0 THEN 'silent' WHEN total < 3 THEN 'weak' WHEN today = 0 THEN 'warm' ELSE 'active' END AS verdict
+          FROM (SELECT unnest(['contract', 'blocked', 'warned', 'slow', 'verified', 'injected']) AS category) c
+          LEFT JOIN (SELECT category, count(*) AS total, count_if(day = DATE '2024-01-30') AS today FROM (
+              SELECT CAST(ts AS DATE) AS day, unnest(CASE WHEN signal_source = 'contract' THEN ['contract'] ELSE list_filter([
+                  CASE WHEN decision = 'block' THEN 'blocked' END, CASE WHEN decision = 'warn' THEN 'warned' END,
+                  CASE WHEN latency_ms > 1500 THEN 'slow' END, CASE WHEN decision = 'check' THEN 'verified' END], lambda x: x IS NOT NULL) END) AS category FROM log)
+              GROUP BY 1) h ON h.category = c.category""")
+def pain_report(spark, sf_dir):
+    names = spark.createDataFrame([(x,) for x in ("contract", "blocked", "warned", "slow", "verified", "injected")], "category string")
+    return D.pain_report(decision_log(spark, sf_dir), names, TODAY)
+
+
+@query("SELECT file_path, count(*) AS n FROM log GROUP BY file_path ORDER BY n DESC, file_path LIMIT 10")
+def busiest_files(spark, sf_dir):
+    """A top-10 report."""
+    return decision_log(spark, sf_dir).groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file_path").limit(10)
+
+
+@query("""SELECT session_id, count(*) AS n_files, count_if(other) AS n_other, count(*) >= 5 AND count_if(other) / CAST(count(*) AS DOUBLE) > 0.33 AS warn
+          FROM (SELECT DISTINCT session_id, file_path, NOT ends_with(file_path, '.py') AS other FROM log) GROUP BY session_id""")
+def language_switches(spark, sf_dir):
+    return D.language_switches(decision_log(spark, sf_dir), "py")
+
+
+@query("""SELECT a.decision_id, count(DISTINCT b.decision_id) AS n_later FROM log a JOIN log b ON a.file_path = b.file_path AND a.session_id = b.session_id
+                 AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 48 HOUR WHERE a.decision = 'warn' AND b.decision = 'block' GROUP BY a.decision_id""")
+def later_failures(spark, sf_dir):
+    """Warned edits and how many blocks of the same file follow within 48 hours: a range count, no pairs."""
+    log = decision_log(spark, sf_dir).withColumn("at", D.micros("ts"))
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("session_id", "file_path").orderBy("at").rangeBetween(1, 48 * 3_600_000_000)
+    counted = log.withColumn("n_later", F.coalesce(F.sum((F.col("decision") == "block").cast("long")).over(w), F.lit(0)))
+    return counted.where("decision = 'warn' and n_later > 0").select("decision_id", "n_later")
