@@ -20,16 +20,18 @@ from .common import materialize
 BUCKET_ROWS = 5_000
 
 
-def _uniform(key: Column, shard: int) -> Column:
-    """The first 52 bits of md5(key:shard), in (0, 1)."""
-    digest = F.md5(F.concat_ws(":", key, F.lit(str(shard))).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+def _cost(key: Column, shard: Column, weight: Column) -> Column:
+    """-ln(u) / weight, u the first 52 bits of md5(key:shard) in (0, 1); the least cost wins."""
+    digest = F.md5(F.concat_ws(":", key, shard.cast("string")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    return -F.log(u) / weight
 
 
 def winner(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (0 ...) of a string key; ties go to the smallest shard."""
-    scored = [F.struct((-F.log(_uniform(key, k)) / float(w)).alias("cost"), F.lit(k).alias("shard")) for k, w in enumerate(weights) if w > 0]
-    return F.array_min(F.array(*scored))["shard"]
+    """(cost, shard) of the shard (0 ...) that a string key goes to; ties go to
+    the smallest. Shards of weight 0 take nothing."""
+    live = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(weights) if w > 0])
+    return F.array_min(F.transform(live, lambda x: F.struct(_cost(key, x["k"], x["w"]).alias("cost"), x["k"].alias("shard"))))
 
 
 def assign_shards(docs: DataFrame, weights: Sequence[float], grown: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,13 +52,15 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: float = 1.0,
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     n = len(weights)
-    rows = few.withColumn("shard", winner(key, weights))
-    extra = F.struct((-F.log(_uniform(key, n)) / grown).alias("cost"), F.lit(n).alias("shard"))
-    own = F.element_at(F.array(*[_cost(key, k, w) for k, w in enumerate(weights)]), F.col("shard") + 1)
-    rows = rows.withColumn("grown_shard", F.when(extra["cost"] < own, F.lit(n)).otherwise(F.col("shard")))
+    rows = few.withColumn("best", winner(key, weights)).withColumn("extra", _cost(key, F.lit(n), F.lit(float(grown))))
+    rows = rows.select(
+        "doc_id", "size", "text_crc32", F.col("best.shard").alias("shard"),
+        F.when(F.col("extra") < F.col("best.cost"), F.lit(n)).otherwise(F.col("best.shard")).alias("grown_shard"),
+    )
     rows = materialize(rows, "sharded")
     buckets = max(1, -(-rows.count() // (BUCKET_ROWS * max(1, n))))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
+    spread = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -66,6 +70,3 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: float = 1.0,
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard"
     )
 
-
-def _cost(key: Column, shard: int, weight: float) -> Column:
-    return -F.log(_uniform(key, shard)) / float(weight) if weight > 0 else F.lit(float("inf"))
