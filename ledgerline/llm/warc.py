@@ -107,9 +107,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     head = {}
     for line in data[at:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        name = name.strip().lower()
+        if not colon or b"\r" in line or b"\n" in line or name in head and name != b"warc-concurrent-to":
             raise Bad("head line")
-        head[name.strip().lower()] = value.strip()
+        head[name] = value.strip()
     length = head.get(b"content-length", b"")
     if not length.isdigit() or head.get(b"warc-type") not in _TYPES:
         raise Bad("length or type")

@@ -38,7 +38,8 @@ def brute_links(vectors):
     unit = []
     for _, v in vectors:
         bad = v is None or not len(v) or any(x is None or not np.isfinite(x) for x in v) or not any(v)
-        unit.append(None if bad else np.array(v, float) / np.linalg.norm(np.array(v, float)))
+        scaled = None if bad else np.array(v, float) / np.abs(np.array(v, float)).max()
+        unit.append(None if bad else scaled / np.linalg.norm(scaled))
     up = list(range(len(ids)))
 
     def find(i):
