@@ -134,12 +134,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def suspect(text: Column) -> Column:
+    """Whether a text can have a span at all."""
+    return F.coalesce(text.rlike(ASSIGN) | text.contains("AKIA") | text.rlike(HEX) | text.rlike(WEAK_ID), F.lit(False))
+
+
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """docs (doc_id, text, ...) with every span found replaced by mark, spans
     that touch or overlap by one; null texts stay null; n_chars, if there, is
-    counted anew. No row goes."""
-    _, spans = find_spans(docs)
-    keyed = docs.withColumn("__key", key_of(docs["doc_id"].cast("long"), docs["text"]))
+    counted anew. No row goes. Only texts that can have a span are joined with
+    their spans; the others pass as they are, whatever the size of the table."""
+    suspects = docs.where(suspect(docs["text"]))
+    _, spans = find_spans(suspects)
+    keyed = suspects.withColumn("__key", key_of(F.col("doc_id").cast("long"), F.col("text")))
     joined = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -150,8 +157,12 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
 
     rest = lambda s: F.concat(s["out"], F.substring("text", (s["at"] + 1).cast("int"), F.length("text")))
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, rest))
-    out = joined.withColumn("__clean", text)
-    changed = {"text": F.col("__clean")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.coalesce(F.length("__clean"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
-    return out.select([changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    cleaned = joined.withColumn("__clean", text)
+
+    def shaped(df: DataFrame, text: str) -> DataFrame:
+        changed = {"text": F.col(text)}
+        if "n_chars" in docs.columns:
+            changed["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
+        return df.select([changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+    return shaped(docs.where(~suspect(docs["text"])), "text").unionByName(shaped(cleaned, "__clean"))
