@@ -14,11 +14,13 @@ at most one padded sequence a task.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,13 +34,24 @@ GATHER = 32
 STEP = 16 * 2048
 #: step groups that are filled at the same time
 OPEN_GROUPS = 4
-CACHED = 500_000
+CACHED = 1_000_000
+
+
+def stays_letters(word: str) -> bool:
+    """Letters only, also once composed and lower-cased (some come apart into a letter and a mark)."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
 class WordTokenizer:
     """Ids of the tokenizers library, a blank-separated word at a time: no token
     of a vocabulary that drops white space reaches over it, so a word's ids
-    depend on nothing else and are kept in a cache of bounded size."""
+    depend on nothing else and are kept in a cache of bounded size.
+
+    A new word that is letters and at most one closing comma or full stop is
+    looked up as its lower-cased letters, then the sign: the vocabulary splits
+    letters from signs and drops case. New words of letters are encoded
+    together, each ending at its token with the word-end mark.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -46,20 +59,46 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.signs = {c: self._each([c])[0] for c in ".,"}
         self.cache: dict[str, bytes] = {}
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words):  # some letter that the normalizer takes apart
+            return self._each(words)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
+    def _learn(self, seen: set[str]) -> None:
+        cache = self.cache
+        new = [w for w in seen if w not in cache]
+        if len(cache) + 2 * len(new) > CACHED:
+            cache.clear()
+            new = list(seen)
+        parts = []
+        for w in new:
+            low = w.lower() if w.isascii() else w
+            sign = low[-1:]
+            parts.append((low[:-1], self.signs[sign]) if sign in self.signs and stays_letters(low[:-1]) else (low, b""))
+        stems = {x for x, _ in parts if x not in cache}
+        letters = {x for x in stems if stays_letters(x)}
+        for encode, words in ((self._letters, list(letters)), (self._each, list(stems - letters))):
+            for k in range(0, len(words), 5_000):
+                part = words[k : k + 5_000]
+                cache.update(zip(part, encode(part), strict=True))
+        cache.update((w, cache[x] + sign) for w, (x, sign) in zip(new, parts, strict=True))
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids and END, as little-endian 32-bit integers."""
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*words)
-        new = [w for w in seen if w not in self.cache]
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = list(seen)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        self._learn(set().union(*words))
         look, end = self.cache.__getitem__, END.to_bytes(4, "little")
         return [b"".join([*map(look, x), end]) for x in words]
 
