@@ -106,7 +106,8 @@ def apply_rules(edits: DataFrame, rules: list[dict]) -> DataFrame:
         if r.get("scope"):
             ok = ok & F.col("path").rlike(scope_glob(r["scope"]))
         if r["type"] == "forbid_import":
-            ok = ok & F.exists("imports", lambda x, t=r["target"]: imports_match(x, F.lit(t)))
+            target = F.lit(r["target"])
+            ok = ok & F.exists("imports", lambda x: imports_match(x, target))  # noqa: B023  used at once
         elif len(r["pattern"]) > LONGEST_PATTERN:
             raise ValueError(f"pattern of {r['id']} is too long")
         else:
