@@ -37,10 +37,10 @@ def read_log(spark: SparkSession, root: str, today: date | None = None, days: in
     """<root>/<YYYY-MM-DD>/<session>.jsonl or .jsonl.gz, of all days or the last
     `days`; `day` is the folder. Lines that aren't JSON are in `_corrupt`;
     nothing else is dropped. The wanted folders alone are listed."""
-    reader = spark.read.schema(DECISIONS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     pattern = "*" if days is None else "{" + ",".join(day_folders(today or date.today(), days)) + "}"
-    path = F.col("_metadata.file_path")
-    return reader.json(f"{root}/{pattern}/*.jsonl*").withColumn("day", F.regexp_extract(path, r"/(\d{4}-\d{2}-\d{2})/[^/]*$", 1).cast("date"))
+    lines = spark.read.text(f"{root}/{pattern}/*.jsonl*").select("value", F.regexp_extract("_metadata.file_path", r"/(\d{4}-\d{2}-\d{2})/[^/]*$", 1).cast("date").alias("day"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return lines.select(F.from_json("value", DECISIONS, options).alias("row"), "day").select("row.*", "day")
 
 
 def find_decision(log: DataFrame, decision_id: str) -> DataFrame:
@@ -79,7 +79,7 @@ def read_tree(spark: SparkSession, root: str, endings: list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = os.path.basename(root.rstrip("/"))
     relative = F.regexp_extract("path", rf".*?/{base}/(.*)$", 1)
-    return files.where(~F.concat(F.lit("/"), relative).rlike(SKIPPED)).select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(~F.concat(F.lit("/"), relative).rlike(SKIPPED)).select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def scan_tests(tree: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,12 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RETRY_MS, SUPPRESS_MS, HISTORY = 120_000, 15_000, 1_000
+#: rows that come later than this behind the newest are left out
+LATE = "10 minutes"
 
 
 def _milliseconds(ts: pd.Series) -> pd.Series:
     return pd.to_datetime(ts).astype("datetime64[ms]").astype("int64")
 
 
+def _expire(state: GroupState, last_ms: int, ttl_ms: int) -> None:
+    """Drop the state once the watermark is ttl_ms past its last time."""
+    state.setTimeoutTimestamp(max(int(last_ms), state.getCurrentWatermarkMs()) + ttl_ms)
+
+
 def retries(stream: DataFrame, within_ms: int = RETRY_MS, ttl_ms: int = 86_400_000) -> DataFrame:
     """decision_id, retry_after_block: the file's last block in that session is at
     most `within_ms` old. State: the last block's time, dropped after ttl_ms.
@@ -34,11 +42,11 @@ def retries(stream: DataFrame, within_ms: int = RETRY_MS, ttl_ms: int = 86_400_0
                 last = when
         if last is not None:
             state.update((int(last),))
-            state.setTimeoutDuration(ttl_ms)
+            _expire(state, last, ttl_ms)
         yield pd.DataFrame(out, columns=["decision_id", "retry_after_block"])
 
-    return stream.groupBy("session_id", "file_path").applyInPandasWithState(
-        run, "decision_id long, retry_after_block boolean", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return stream.withWatermark("ts", LATE).groupBy("session_id", "file_path").applyInPandasWithState(
+        run, "decision_id long, retry_after_block boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -59,11 +67,11 @@ def suppressed(stream: DataFrame, within_ms: int = SUPPRESS_MS, ttl_ms: int = 3_
             if not again:
                 mark = when
         state.update((int(mark),))
-        state.setTimeoutDuration(ttl_ms)
+        _expire(state, mark, ttl_ms)
         yield pd.DataFrame(out, columns=["decision_id", "repeated"])
 
-    return stream.groupBy("file_path", "checksum").applyInPandasWithState(
-        run, "decision_id long, repeated boolean", "mark long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return stream.withWatermark("ts", LATE).groupBy("file_path", "checksum").applyInPandasWithState(
+        run, "decision_id long, repeated boolean", "mark long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -74,20 +82,20 @@ def history(stream: DataFrame, keep: int = HISTORY, ttl_ms: int = 86_400_000) ->
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
+        held = json.loads(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["ts", "decision_id"])
         held = (held + [int(x) for x in rows["latency_ms"].dropna()])[-keep:]
-        state.update((held,))
+        state.update((json.dumps(held),))
         state.setTimeoutDuration(ttl_ms)
         s = pd.Series(held, dtype="float64")
         yield pd.DataFrame({"session_id": [key[0]], "n": [len(held)], "p50": [s.quantile(0.5)], "p95": [s.quantile(0.95)]})
 
-    return stream.groupBy("session_id").applyInPandasWithState(
-        run, "session_id long, n long, p50 double, p95 double", "held array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return stream.withWatermark("ts", LATE).groupBy("session_id").applyInPandasWithState(
+        run, "session_id long, n long, p50 double, p95 double", "held string", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def windowed_rate(stream: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def windowed_rate(stream: DataFrame, size: str = "1 hour", late: str = LATE) -> DataFrame:
     """Share of blocked rows per window; rows later than the watermark are left out."""
     blocked = F.avg(F.col("decision").isin("block", "deny").cast("double"))
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size)).agg(F.count(F.lit(1)).alias("n"), blocked.alias("rate"))

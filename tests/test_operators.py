@@ -205,7 +205,7 @@ def test_log_source_and_sink(spark, tmp_path):
     with open(path, "a") as f:
         f.write("not json\n")
     every = logs.read_log(spark, root)
-    assert every.count() == 4 and every.where("_corrupt is not null").count() == 1
+    assert sorted(r._corrupt is None for r in every.select("decision_id", "_corrupt").collect()) == [False, True, True, True]
     last = logs.read_log(spark, root, today, 2).where("_corrupt is null")
     assert sorted(r.decision_id for r in last.collect()) == ["d4", "d5"] and str(last.select(F.max("day")).first()[0]) == "2024-03-05"
     assert logs.find_decision(every, "d4").first().latency_ms == 4
@@ -250,9 +250,8 @@ def test_streams_agree_with_batches(spark, tmp_path):
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
 
     def run(df, name, mode):
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
         return spark.table(name).collect()
 
     streamed = {r.decision_id: r.retry_after_block for r in run(state.retries(src), "retries", "append")}
