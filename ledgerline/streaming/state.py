@@ -86,7 +86,7 @@ def history(stream: DataFrame, keep: int = HISTORY, ttl_ms: int = 86_400_000) ->
         rows = pd.concat(list(frames)).sort_values(["ts", "decision_id"])
         held = (held + [int(x) for x in rows["latency_ms"].dropna()])[-keep:]
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(ttl_ms)
+        _expire(state, int(_milliseconds(rows["ts"]).iloc[-1]), ttl_ms)
         s = pd.Series(held, dtype="float64")
         yield pd.DataFrame({"session_id": [key[0]], "n": [len(held)], "p50": [s.quantile(0.5)], "p95": [s.quantile(0.95)]})
 
