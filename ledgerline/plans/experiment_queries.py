@@ -73,8 +73,8 @@ def confusion_matrix(spark, sf_dir):
     return got.select("lang", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fpr", "f1")])
 
 
-@query("""SELECT lang, round((s - c) / (1 - c), 6) AS kappa FROM (SELECT lang, avg(CAST(t = g AS INTEGER)) AS s,
-            avg(CAST(t AS INTEGER)) * avg(CAST(g AS INTEGER)) + (1 - avg(CAST(t AS INTEGER))) * (1 - avg(CAST(g AS INTEGER))) AS c FROM truth GROUP BY lang) WHERE c < 1""", TRUTH)
+@query("""SELECT lang, round(CASE WHEN c >= 1 THEN CASE WHEN s >= 1 THEN 1.0 ELSE 0.0 END ELSE (s - c) / (1 - c) END, 6) AS kappa FROM (SELECT lang, avg(CAST(t = g AS INTEGER)) AS s,
+            avg(CAST(t AS INTEGER)) * avg(CAST(g AS INTEGER)) + (1 - avg(CAST(t AS INTEGER))) * (1 - avg(CAST(g AS INTEGER))) AS c FROM truth GROUP BY lang)""", TRUTH)
 def kappa_by_language(spark, sf_dir):
     got = truth(spark, sf_dir).groupBy("lang").agg(E.kappa(F.col("truth").cast("int"), F.col("guess").cast("int")).alias("kappa"))
     return got.select("lang", F.round("kappa", 6).alias("kappa"))
