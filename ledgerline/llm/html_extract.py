@@ -192,18 +192,17 @@ def main_text(html: str | None) -> str:
     spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
     menu = [2 * line.linked > len(text) for line, text in found]
     content = [r >= max(0.0, mean - spread) and not m for r, m in zip(ratios, menu, strict=True)]
-    # text of the content regions by container; a container's text is also that of those around it
-    weight: dict[int, int] = {}
+    # text of the content regions by container (other text breaks ties); a container's text is also that of those around it
+    weight: dict[int, float] = {}
     for (line, text), good in zip(found, content, strict=True):
-        if good:
-            c = line.container
-            while c > 0:
-                weight[c] = weight.get(c, 0) + len(text)
-                c = page.containers[c][1]
+        c = line.container
+        while c > 0:
+            weight[c] = weight.get(c, 0.0) + len(text) * (1.0 if good else 0.01)
+            c = page.containers[c][1]
     total = sum(len(text) for (_, text), good in zip(found, content, strict=True) if good)
     articles = [c for c in weight if page.containers[c][0] == "article"]
     chosen = max(articles or weight, key=lambda c: (weight[c], -c), default=0)
-    if chosen and 4 * weight[chosen] >= total:
+    if chosen and 10 * weight[chosen] >= total:
 
         def within(c: int) -> bool:
             while c > 0 and c != chosen:
