@@ -1,10 +1,11 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Equal vectors are reduced to one first. In each pass vectors are sorted by a
-concatenation of random hyperplane bits and each is compared with the next
-WINDOW ones in the whole order; verified pairs are united across passes. What
-the bounded windows leave out within a component is then compared in full, in
-blocks, so that links are counted exactly however many vectors are alike.
+"""Embedding near-duplicates by projection passes.
+
+Equal vectors are reduced to one first. In each pass vectors are dealt to
+buckets by random hyperplane bits, as many as would leave WINDOW in a bucket if
+the planes split the table evenly, and all vectors of a bucket are compared, in
+blocks where a dense group leaves many in one; verified pairs are united across
+passes. The vectors of a component are then compared in full, in blocks, so
+that links are counted exactly however many vectors are alike.
 """
 
 from __future__ import annotations
@@ -22,19 +23,26 @@ from .common import UnionFind, connected_components, materialize, shuffle_partit
 COSINE, WINDOW, BITS, SEED = 0.95, 48, 48, 20_240
 #: a pair at the threshold is missed by all passes with at most this probability
 MISS = 0.002
-#: vectors of a component compared at once with as many others
+#: vectors of a bucket or a component compared at once with as many others
 BLOCK = 512
+CELL = ["pass", "dim", "bucket", "lo", "hi"]
 
 
 def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes until a pair at the threshold has shared, with probability 1 - miss,
-    a bucket no larger than the window in one of them: it agrees in all of
-    log2(rows / window) bits with probability (1 - angle / pi) ** bits."""
+    a bucket in one of them: it agrees in all of log2(rows / window) bits with
+    probability (1 - angle / pi) ** bits. However many others are in the bucket,
+    they are compared, so this holds for any table."""
     depth = max(1.0, math.log2(max(2, rows) / window))
     meet = (1 - math.acos(cosine) / math.pi) ** depth
     return max(4, math.ceil(math.log(miss) / math.log(1 - meet)))
 
 
+def bits_for(rows: int, window: int = WINDOW) -> int:
+    """Bits of a bucket, no more than passes_for counts with."""
+    return min(BITS, int(max(1.0, math.log2(max(2, rows) / window))))
+
+
 def _planes(dim: int, passes: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((passes, BITS, dim))
 
@@ -45,11 +53,11 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _project(passes: int):
-    """(pass, hash, dim, rep, vec) for each pass; hash has BITS bits."""
+def _project(passes: int, bits: int, with_vectors: bool = True):
+    """(pass, dim, bucket, rep, vec) for each pass; without vectors the first three."""
 
     def run(batches):
-        powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             reps, vecs = batch.column(0), batch.column(1)
             dims = np.array([len(v) for v in vecs.to_pylist()])
@@ -57,34 +65,57 @@ def _project(passes: int):
                 rows = pa.array(np.flatnonzero(dims == dim))
                 x = _unit(vecs.take(rows).to_pylist())
                 for p, planes in enumerate(_planes(int(dim), passes)):
-                    codes = (x @ planes.T > 0) @ powers
+                    codes = (x @ planes[:bits].T > 0) @ powers
                     n = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(codes), reps.take(rows), vecs.take(rows)],
-                        ["pass", "dim", "hash", "rep", "vec"],
-                    )
+                    key = [pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(codes)]
+                    more = [reps.take(rows), vecs.take(rows)] if with_vectors else []
+                    yield pa.RecordBatch.from_arrays(key + more, ["pass", "dim", "bucket", "rep", "vec"][: 3 + len(more)])
 
     return run
 
 
-def _windows(cosine: float, window: int):
-    """Rows in order; a forest of the verified links of each partition."""
+def _unite(near: np.ndarray, left: np.ndarray, right: np.ndarray, links: UnionFind) -> None:
+    """Link what is near, by a spanning forest: near-copies have far more pairs than that."""
+    label = np.arange(near.shape[1])
+    for i in np.flatnonzero(near.any(axis=1)):
+        met = np.unique(label[near[i]])
+        for k in met:
+            links.link(int(left[i]), int(right[k]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+
+
+def _compare(cosine: float):
+    """Cells of rows of two blocks (side 0 and 1) of a bucket, or of one (lo = hi), in order;
+    a forest of the verified links of each partition."""
 
     def run(frames):
         links = UnionFind()
-        key, ids, x = None, np.empty(0, np.int64), None
+
+        def cell(rows: pd.DataFrame) -> None:
+            if len(rows) < 2:
+                return
+            x, rep, side = _unit(list(rows["vec"])), rows["rep"].to_numpy(), rows["side"].to_numpy()
+            if rows["lo"].iat[0] == rows["hi"].iat[0]:
+                near = x @ x.T >= cosine
+                np.fill_diagonal(near, False)
+                _unite(near, rep, rep, links)
+            elif 0 < (right := side == 1).sum() < len(rows):
+                _unite(x[~right] @ x[right].T >= cosine, rep[~right], rep[right], links)
+
+        held = None
         for frame in frames:
-            for k, part in frame.groupby(["pass", "dim"], sort=False):
-                new = _unit(list(part["vec"]))
-                carry = len(ids) if k == key else 0
-                all_ids = np.concatenate([ids, part["rep"].to_numpy()]) if carry else part["rep"].to_numpy()
-                every = np.concatenate([x, new]) if carry else new
-                for d in range(1, min(window, len(every) - 1) + 1):
-                    lo = max(0, carry - d)  # pairs within the carried rows were seen
-                    dots = np.einsum("ij,ij->i", every[lo:-d], every[lo + d :])
-                    for i in np.flatnonzero(dots >= cosine).tolist():
-                        links.link(int(all_ids[lo + i]), int(all_ids[lo + i + d]))
-                key, ids, x = k, all_ids[-window:], every[-window:]
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            keys = frame[CELL].to_numpy()
+            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            for lo, hi in zip(ends, ends[1:]):  # noqa: B905
+                cell(frame.iloc[lo:hi])
+            held = frame.iloc[ends[-1] :]  # the next frame may go on with it
+        if held is not None:
+            cell(held)
         forest = links.forest()
         yield pd.DataFrame({"a": [a for a, _ in forest], "b": [b for _, b in forest]}, dtype="int64")
 
@@ -126,15 +157,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = materialize(vectors.select(vectors[id_col].cast("long").alias("vec_id"), digest.alias("digest"), F.when(valid, vec).alias("vec")), "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("vec").alias("vec"))
     classes = materialize(classes.withColumn("rep", F.xxhash64("digest")), "classes")
-    passes = passes_for(classes.count(), cosine, window)
-    n = shuffle_partitions(spark)
+    count = classes.count()
+    passes, bits = passes_for(count, cosine, window), bits_for(count, window)
+    bucket = ["pass", "dim", "bucket"]
+    buckets = classes.select("rep", "vec").mapInArrow(_project(passes, bits, False), "pass int, dim int, bucket long").groupBy(*bucket).agg(F.count(F.lit(1)).alias("__rows"))
+    large = materialize(buckets.where(F.col("__rows") > BLOCK).select(*bucket, F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")), "large")
+    dealt = classes.select("rep", "vec").mapInArrow(_project(passes, bits), "pass int, dim int, bucket long, rep long, vec array<double>")
+    dealt = dealt.withColumn("blocks", F.lit(1)) if large.isEmpty() else dealt.join(large, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     ordered = (
-        classes.select("rep", "vec")
-        .mapInArrow(_project(passes), "pass int, dim int, hash long, rep long, vec array<double>")
-        .repartitionByRange(n, "pass", "dim", "hash", "rep")
-        .sortWithinPartitions("pass", "dim", "hash", "rep")
+        dealt.select(*bucket, "rep", "vec", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(*bucket, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "vec")
+        .repartition(shuffle_partitions(spark), *CELL)
+        .sortWithinPartitions(*CELL)
     )
-    links = ordered.mapInPandas(_windows(cosine, window), "a long, b long")
+    links = ordered.mapInPandas(_compare(cosine), "a long, b long")
     roots = connected_components(links)
     named = materialize(classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left"), "named")
     linked = named.where("root is not null")

@@ -78,6 +78,28 @@ def test_embedding_links_by_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_in_a_dense_cone_are_found(spark):
+    """A cone of pairwise cosine about 0.90 leaves large buckets; planted pairs at 0.955 in it are found at the promised rate."""
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(rng.normal(size=64))
+    away = rng.normal(size=(9000, 64))
+    away = unit(away - np.outer(away @ axis, axis))
+    cone = np.sqrt(0.90) * axis + np.sqrt(0.10) * away
+    pairs = range(0, 800, 2)
+    for i in pairs:
+        side = rng.normal(size=64)
+        side = unit(side - side @ cone[i] * cone[i])
+        cone[i + 1] = 0.955 * cone[i] + np.sqrt(1 - 0.955**2) * side
+    dots = cone[:800] @ cone[:800].T
+    assert all(dots[i, i + 1] >= 0.95 for i in pairs)
+    vectors = [(i, v.tolist()) for i, v in enumerate(cone)] + [(9000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 12000
+    missed = sum(got[i] != got[i + 1] for i in pairs)
+    assert missed <= 4
+
+
 def test_blocks_of_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(6)
