@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Hours in which a follow-up counts, share of files of a family that is a home language, its least count
@@ -68,15 +70,90 @@ def file_claims(claims: DataFrame, hunks: DataFrame) -> DataFrame:
     return joined.select("sha", "claim_no", F.coalesce("__named", F.col("claim_no") % F.col("__n")).alias("hunk_no"))
 
 
+def _needed(kept: list, row: tuple) -> bool:
+    """Whether some (sha, file) clashes with all of `kept` but not with `row`; rows are (id, sha, file)."""
+    if not kept:
+        return True
+    _, sha, file = kept[0]
+    files = {f for _, s, f in kept if s != sha}
+    shas = {s for _, s, f in kept if f != file}
+    return (sha != row[1] and (not files or len(files) == 1 and row[2] not in files)) or (file != row[2] and (not shas or len(shas) == 1 and row[1] not in shas))
+
+
+def _ahead(row: tuple, kept: list) -> list:
+    """The rows that matter of `row` and those after it: for any (sha, file) the first one of
+    another commit and another file is among them, and they are never more than four."""
+    out = [row]
+    for k in kept:
+        if _needed(out, k):
+            out.append(k)
+    return out
+
+
+def _buckets(batches):
+    """(bucket, ids, rows) of ordered batches of bucket, id, sha, file."""
+    at, rows, kind = None, [], None
+    for batch in batches:
+        kind = batch.column(1).type
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != at and rows:
+                yield at, rows, kind
+                rows = []
+            at = bucket
+            rows.append(tuple(row))
+    if rows:
+        yield at, rows, kind
+
+
+def _heads(batches):
+    for bucket, rows, kind in _buckets(batches):
+        kept: list = []
+        for row in reversed(rows):
+            kept = _ahead(row, kept)
+        ids, shas, files = zip(*kept, strict=True)
+        yield pa.RecordBatch.from_pydict({"bucket": [bucket] * len(kept), "no": pa.array(range(len(kept)), pa.int32()), "id": pa.array(ids, kind), "sha": list(shas), "file": list(files)})
+
+
+def _partners(after: dict):
+    def run(batches):
+        for bucket, rows, kind in _buckets(batches):
+            kept, ids, others = after[bucket], [], []
+            for row in reversed(rows):
+                found = next((k for k in kept if k[1] != row[1] and k[2] != row[2]), None)
+                if found is not None:
+                    ids.append(row[0])
+                    others.append(found[0])
+                kept = _ahead(row, kept)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, kind), "other_id": pa.array(others, kind)})
+
+    return run
+
+
 def shuffled_negatives(pairs: DataFrame, seed: str) -> DataFrame:
-    """Each pair's claim with the hunk of a later pair in the order of a seeded
-    hash, of another commit and another file; pairs without one in the next
-    few of their bucket are left out. pairs: id, sha, file."""
+    """Each pair's claim with the hunk of the next pair of another commit and
+    another file, in the order of a seeded hash, that starts anew at its end. Only
+    pairs that have none in the whole table, or no commit or file, are left out.
+    pairs: id, sha, file.
+
+    Buckets of the hash are scanned from their end; of what lies after a row at
+    most four rows matter (_ahead). 4,096 buckets with four rows each go to the
+    driver, whatever the table's size, and tell each bucket what follows it."""
     h = F.md5(F.concat(F.col("id").cast("string"), F.lit(seed)).cast("binary"))
-    w = W.partitionBy(F.substring("__h", 1, 2)).orderBy("__h", "id").rowsBetween(1, 8)
-    ahead = F.collect_list(F.struct("id", "sha", "file")).over(w)
-    other = F.filter("__next", lambda x: (x["sha"] != F.col("sha")) & (x["file"] != F.col("file")))
-    return pairs.withColumn("__h", h).withColumn("__next", ahead).withColumn("__o", F.try_element_at(other, F.lit(1))).where("__o is not null").select("id", F.col("__o.id").alias("other_id"))
+    sha, file = F.col("sha").cast("string").alias("sha"), F.col("file").cast("string").alias("file")
+    named = pairs.where("sha is not null and file is not null").select(F.coalesce(F.substring(h, 1, 3), F.lit("")).alias("bucket"), "id", sha, file, h.alias("__h"))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = named.repartition(n, "bucket").sortWithinPartitions("bucket", "__h", "id").drop("__h")
+    kind = pairs.schema["id"].dataType
+    schema = T.StructType([T.StructField("bucket", T.StringType()), T.StructField("no", T.IntegerType()), T.StructField("id", kind), T.StructField("sha", T.StringType()), T.StructField("file", T.StringType())])
+    heads: dict[str, list] = {}
+    for r in sorted(ordered.mapInArrow(_heads, schema).collect(), key=lambda r: (r.bucket, r.no)):
+        heads.setdefault(r.bucket, []).append((r.id, r.sha, r.file))
+    after, kept = {}, []
+    for bucket in sorted(heads, reverse=True) * 2:  # the second time round, kept holds what comes after the end too
+        after[bucket] = kept
+        for row in reversed(heads[bucket]):
+            kept = _ahead(row, kept)
+    return ordered.mapInArrow(_partners(after), T.StructType([T.StructField("id", kind), T.StructField("other_id", kind)]))
 
 
 def session_outcome(code: Column, missing: Column, infrastructure: Column) -> Column:

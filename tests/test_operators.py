@@ -1,6 +1,7 @@
 """Operators without SQL, on small fixtures."""
 
 import datetime as dt
+import hashlib
 import json
 import math
 import random
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import code
-from ledgerline.operators import calibration, decisions, experiments, graph, rules, texts, vectors
+from ledgerline.operators import calibration, decisions, experiments, graph, history, rules, texts, vectors
 from ledgerline.sources import logs
 from ledgerline.streaming import state
 
@@ -266,3 +267,18 @@ def test_findings_escalate_and_stick(spark):
     assert state.review_state(["defer", "block", "block"]) == ("deferred", 0) and state.review_state(["defer", "resolve", "block"]) == ("open", 1)
     df = spark.createDataFrame([(1, 2, "resolve"), (1, 1, "block"), (2, 1, "defer")], "finding_id long, seq long, event string")
     assert {r.finding_id: r.status for r in state.reviews(df).collect()} == {1: "resolved", 2: "deferred"}
+
+
+def test_each_pair_with_a_partner_gets_the_next_one(spark):
+    """All that have a pair of another commit and file in the table get the next of them, round the end; 80 % clash."""
+    rng = random.Random(4)
+    rows = [(i, "big" if rng.random() < 0.6 else f"s{rng.randrange(9)}", "py" if rng.random() < 0.6 else f"f{rng.randrange(9)}") for i in range(700)] + [(700, None, "py"), (701, "s1", None)]
+    for table in (rows, rows[:3], [(i, "big", "py") for i in range(40)] + [(40, "s", "f"), (41, "big", "f")]):
+        got = {r.id: r.other_id for r in history.shuffled_negatives(spark.createDataFrame(table, "id long, sha string, file string"), "n1").collect()}
+        order = sorted((r for r in table if r[1] and r[2]), key=lambda r: (hashlib.md5(f"{r[0]}n1".encode()).hexdigest(), r[0]))
+        want = {}
+        for i, (id_, sha, file) in enumerate(order):
+            found = [o for o, s, f in order[i + 1 :] + order[:i] if s != sha and f != file]
+            if found:
+                want[id_] = found[0]
+        assert got == want
