@@ -269,6 +269,18 @@ def test_findings_escalate_and_stick(spark):
     assert {r.finding_id: r.status for r in state.reviews(df).collect()} == {1: "resolved", 2: "deferred"}
 
 
+def test_long_tails_are_peeled_out(spark):
+    """Chains of any length hold no cycle, nor do tails of one; the rounds and the last task agree."""
+    edges = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    chain = [(i, i + 1) for i in range(140)]
+    assert graph.on_cycles(edges(chain)).count() == 0
+    assert sorted(map(tuple, graph.on_cycles(edges([*chain, (140, 139), (7, 7)])).collect())) == sorted([(7, 7), (140, 139), *chain[7:]])
+    rng = random.Random(2)
+    some = edges([(rng.randrange(60), rng.randrange(60)) for _ in range(70)])
+    found = sorted(map(tuple, graph.on_cycles(some).collect()))
+    assert found and found == sorted(map(tuple, graph.on_cycles(some, at_once=0).collect()))
+
+
 def test_each_pair_with_a_partner_gets_the_next_one(spark):
     """All that have a pair of another commit and file in the table get the next of them, round the end; 80 % clash."""
     rng = random.Random(4)
