@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import code
 from ledgerline.operators import calibration, decisions, experiments, graph, history, rules, texts, vectors
+from ledgerline.plans import rule_queries
 from ledgerline.sources import logs
 from ledgerline.streaming import state
 
@@ -281,6 +282,20 @@ def test_long_tails_are_peeled_out(spark):
     assert found and found == sorted(map(tuple, graph.on_cycles(some, at_once=0).collect()))
 
 
+def test_graph_queries_take_whole_tables(spark, tmp_path):
+    """Lines of any quantity and parts of any key are edges."""
+    table = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    # supplier 2 has part 2001, supplier 2001 has part 2: a cycle, of small quantities; 1001 isn't 1
+    lines = [(1, 2, 2001, 1.0), (2, 2, 2001, 30.0), (3, 2001, 2, 2.0), (4, 3, 1001, 3.0), (5, 3, 1, 50.0)]
+    table("lineitem", lines, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double")
+    table("supplier", [(2,), (3,), (4,), (2001,)], "s_suppkey long")
+    table("part", [(1,), (2,), (1001,), (2001,), (9,)], "p_partkey long")
+    shape = rule_queries.call_graph_shape(spark, str(tmp_path)).first()
+    assert (shape.n_edges, shape.max_in, shape.max_out, shape.n_nodes, shape.isolated_share) == (4, 1, 2, 7, round(2 / 7, 6))
+    assert {r.module: r.n_files for r in rule_queries.import_fan_in(spark, str(tmp_path)).collect()} == {2: 2, 3: 2, 4: 0, 2001: 1}
+    assert sorted(map(tuple, rule_queries.import_cycles(spark, str(tmp_path)).collect())) == [(2, 2001), (2001, 2)]
+
+
 def test_each_pair_with_a_partner_gets_the_next_one(spark):
     """All that have a pair of another commit and file in the table get the next of them, round the end; 80 % clash."""
     rng = random.Random(4)
