@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.plans.scratch import cut
+
 #: Rows of a kind that is fitted, weight of the global threshold, resamples and seed of its interval
 LEAST_ROWS, GLOBAL_WEIGHT, RESAMPLES, SEED = 50, 5, 1_000, 11
 
@@ -18,12 +20,17 @@ MODEL = "kind string, n long, mean array<double>, inverse array<array<double>>,
 def shrunk_covariance(x: np.ndarray) -> np.ndarray:
     """Ledoit-Wolf: the sample covariance drawn to a multiple of the identity.
     The variance of its entries needs only sum |x|^4, no outer product a row."""
-    n, d = x.shape
+    n = len(x)
     c = x - x.mean(axis=0)
-    s = c.T @ c / n
+    return _shrink(n, c.T @ c / n, ((c**2).sum(axis=1) ** 2).sum())
+
+
+def _shrink(n: int, s: np.ndarray, fourth: float) -> np.ndarray:
+    """From the number of rows, their covariance and their sum |x|^4 about the mean."""
+    d = len(s)
     mu = np.trace(s) / d
     spread = ((s - mu * np.eye(d)) ** 2).sum()
-    noise = ((c**2).sum(axis=1) ** 2).sum() / n**2 - (s**2).sum() / n
+    noise = fourth / n**2 - (s**2).sum() / n
     share = 0.0 if spread <= 0 else min(1.0, max(0.0, noise / spread))
     return (1 - share) * s + share * mu * np.eye(d)
 
@@ -61,41 +68,111 @@ def leave_one_out(x: np.ndarray, fpr: float = 0.05) -> float:
     return float(np.quantile(d, 1 - fpr))
 
 
-def fit_kinds(rows: DataFrame, kind: str, vec: str, fpr: float = 0.05, sample: int = 20_000) -> DataFrame:
-    """A model per kind. `sample` bounds the rows of a kind that a fit takes (by
-    the hash of the vector); n counts them. Kinds below LEAST_ROWS have the
-    global model with n = 0; the others' thresholds are drawn to the global one."""
-    from pyspark.sql import Window as W
+#: accuracy of the sketch that bounds what is looked at for exact quantiles; steps around the quantile that are asked of it
+ACCURACY = 100_000
+STEPS = [4 / ACCURACY * 2**i for i in range(15)]
 
-    bounded = rows.select(F.col(kind).cast("string").alias("kind"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
-    order = F.xxhash64("v")
-    of_kind = bounded.withColumn("__rn", F.row_number().over(W.partitionBy("kind").orderBy(order))).where(F.col("__rn") <= sample)
-    overall = bounded.withColumn("__o", order).orderBy("__o").limit(sample).select("v").toPandas()  # bounded by `sample`
-    if not len(overall):
-        return rows.sparkSession.createDataFrame([], MODEL)
-    whole = fit(np.array(overall["v"].tolist()), fpr)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        n = len(frame)
-        model = fit(np.array(frame["v"].tolist()), fpr) if n >= LEAST_ROWS else whole | {"n": 0}
-        if model["n"]:
-            model["threshold"] = (n * model["threshold"] + GLOBAL_WEIGHT * whole["threshold"]) / (n + GLOBAL_WEIGHT)
-        return pd.DataFrame([{"kind": frame["kind"].iloc[0], **model, "mean": model["mean"].tolist(), "inverse": model["inverse"].tolist()}])
+def _ranks(n: int, fpr: float, resamples: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ranks (from 1) of the two values that the (1 - fpr) quantile of n values lies between, first their own and
+    then of resamples of n, and the place between. A resample's order statistics are drawn as such: ranks
+    n U of order statistics U of n uniform numbers, so no resample is made."""
+    at = (n - 1) * (1 - fpr)
+    k = int(at)
+    rng = np.random.default_rng(seed)
+    u = rng.beta(k + 1, n - k, resamples)
+    w = u + (1 - u) * rng.beta(1, n - k - 1, resamples) if k + 2 <= n else u
+    rank = lambda x: np.clip(np.ceil(n * x), 1, n).astype(np.int64)
+    return np.append(k + 1, rank(u)), np.append(min(k + 2, n), rank(w)), at - k
+
 
-    return of_kind.select("kind", "v").groupBy("kind").applyInPandas(run, MODEL)
+def _with_distance(joined: DataFrame, vec: str, name: str) -> DataFrame:
+    """Squared Mahalanobis distance of rows that have a model's mean and inverse."""
+    with_delta = joined.withColumn("__d", F.zip_with(F.col(vec).cast("array<double>"), "mean", lambda a, b: a - b))
+    sum_ = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    rows_ = F.transform("inverse", lambda r: sum_(F.zip_with(r, "__d", lambda a, b: a * b)))
+    empty = ~F.exists("inverse", lambda r: F.exists(r, lambda x: x != 0))
+    d2 = F.when(empty, F.lit(float("inf"))).otherwise(sum_(F.zip_with(rows_, "__d", lambda a, b: a * b)))
+    return with_delta.withColumn(name, d2).drop("__d")
+
+
+def _fit_all(rows: DataFrame, fpr: float, least: int) -> DataFrame:
+    """fit() for each kind of `least` rows or more, over all of its rows (kind, v): moments and quantiles are aggregates."""
+    dim = rows.select(F.size("v").alias("d")).first()
+    if dim is None:
+        return rows.sparkSession.createDataFrame([], MODEL)
+    d, v = dim.d, F.col("v")
+    on = lambda df: df.withColumnRenamed("kind", "__kind")
+    same = F.col("kind").eqNullSafe(F.col("__kind"))
+    means = cut(rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(v[i]) for i in range(d))).alias("mean")).where(F.col("n") >= least))
+    c = F.col("c")
+    centred = rows.join(on(means), same).withColumn("c", F.zip_with("v", "mean", lambda a, b: a - b))
+    square = F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x)
+    products = F.array(*(F.sum(c[i] * c[j]) for i in range(d) for j in range(i, d)))
+    moments = centred.groupBy("kind").agg(F.max("n").alias("n"), F.any_value("mean").alias("mean"), products.alias("products"), F.sum(square * square).alias("fourth"))
+
+    def invert(frames):
+        for frame in frames:
+            got = []
+            for n, products, fourth in zip(frame["n"], frame["products"], frame["fourth"], strict=True):
+                s = np.zeros((d, d))
+                s[np.triu_indices(d)] = np.asarray(products, float) / n
+                got.append(inverse(_shrink(n, s + np.triu(s, 1).T, fourth)).tolist())
+            yield frame[["kind", "n", "mean"]].assign(inverse=pd.Series(got, index=frame.index, dtype=object))
+
+    models = cut(moments.mapInPandas(invert, "kind string, n long, mean array<double>, inverse array<array<double>>"))
+    far = cut(_with_distance(rows.join(on(models), same), "v", "d").select("kind", "n", "d"))
+    grid = sorted({min(1.0, max(0.0, 1 - fpr + side * step)) for side in (-1, 1) for step in STEPS})
+
+    def bound(frames):
+        """Values that the ranks looked for are certainly within."""
+        for frame in frames:
+            out = []
+            for n, values in zip(frame["n"], frame["values"], strict=True):
+                low, high, _ = _ranks(n, fpr, RESAMPLES, SEED)
+                under = [x for p, x in zip(grid, values, strict=True) if p <= low.min() / n - 2 / ACCURACY]
+                over = [x for p, x in zip(grid, values, strict=True) if p >= high.max() / n + 2 / ACCURACY]
+                out.append((under[-1] if under else -math.inf, over[0] if over else math.inf))
+            yield frame[["kind"]].assign(least=[x for x, _ in out], most=[x for _, x in out])
+
+    sketch = far.groupBy("kind").agg(F.max("n").alias("n"), F.percentile_approx("d", grid, ACCURACY).alias("values"))
+    bounds = cut(sketch.mapInPandas(bound, "kind string, least double, most double"))
+    within = far.join(on(bounds), same).where(F.col("d") <= F.col("most")).groupBy("kind", F.when(F.col("d") >= F.col("least"), F.col("d")).alias("d"))
+    counts = within.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("times"))
+
+    def select(frame: pd.DataFrame) -> pd.DataFrame:
+        n, frame = int(frame["n"].iloc[0]), frame.sort_values("d", na_position="first")
+        upto, values = frame["times"].cumsum().to_numpy(), frame["d"].to_numpy()
+        low, high, part = _ranks(n, fpr, RESAMPLES, SEED)
+        if high.max() > upto[-1] or np.isnan(values[np.searchsorted(upto, low.min())]):
+            raise RuntimeError("a quantile lies outside of its bounds")
+        a, b = values[np.searchsorted(upto, low)], values[np.searchsorted(upto, high)]
+        q = np.where(a == b, a, a + part * np.where(np.isinf(b), 0, b - a))
+        return pd.DataFrame({"kind": [frame["kind"].iloc[0]], "threshold": q[:1], "low": [np.quantile(q[1:], 0.025) if np.isfinite(q).all() else math.inf], "high": [np.quantile(q[1:], 0.975) if np.isfinite(q).all() else math.inf]})
+
+    found = counts.groupBy("kind").applyInPandas(select, "kind string, threshold double, low double, high double")
+    return cut(models.join(on(found), same).select("kind", "n", "mean", "inverse", "threshold", "low", "high"))
+
+
+def fit_kinds(rows: DataFrame, kind: str, vec: str, fpr: float = 0.05) -> DataFrame:
+    """A model per kind, of all of its rows; n counts them. Kinds below LEAST_ROWS have the
+    global model with n = 0; the others' thresholds are drawn to the global one."""
+    every = rows.select(F.col(kind).cast("string").alias("kind"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    whole = _fit_all(every.withColumn("kind", F.lit("")), fpr, 1).first()
+    if whole is None:
+        return rows.sparkSession.createDataFrame([], MODEL)
+    own = _fit_all(every, fpr, LEAST_ROWS)
+    drawn = (F.col("n") * F.col("threshold") + F.lit(GLOBAL_WEIGHT * whole.threshold)) / (F.col("n") + GLOBAL_WEIGHT)
+    few = every.groupBy("kind").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < LEAST_ROWS).select("kind")
+    one = rows.sparkSession.createDataFrame([(0, whole.mean, whole.inverse, whole.threshold, whole.low, whole.high)], MODEL.partition(", ")[2])
+    return own.withColumn("threshold", drawn).unionByName(few.crossJoin(one))  # a row
 
 
 def score(rows: DataFrame, models: DataFrame, kind: str, vec: str) -> DataFrame:
     """distance and fired (above the kind's threshold); built-in functions only, models joined by kind."""
     m = models.select(F.col("kind").alias("__kind"), "mean", "inverse", "threshold")
     joined = rows.join(m, F.col(kind).cast("string") == F.col("__kind"), "left")
-    delta = F.zip_with(F.col(vec).cast("array<double>"), "mean", lambda a, b: a - b)
-    with_delta = joined.withColumn("__d", delta)
-    sum_ = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    rows_ = F.transform("inverse", lambda r: sum_(F.zip_with(r, "__d", lambda a, b: a * b)))
-    empty = ~F.exists("inverse", lambda r: F.exists(r, lambda x: x != 0))
-    d2 = F.when(empty, F.lit(float("inf"))).otherwise(sum_(F.zip_with(rows_, "__d", lambda a, b: a * b)))
-    return with_delta.withColumn("distance", d2).withColumn("fired", F.col("distance") > F.col("threshold")).drop("__d", "__kind", "mean", "inverse")
+    return _with_distance(joined, vec, "distance").withColumn("fired", F.col("distance") > F.col("threshold")).drop("__kind", "mean", "inverse")
 
 
 def drift_levels(spark, days: int, rate: float, level: float, runs: int, seed: int = 5) -> DataFrame:

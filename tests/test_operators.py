@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,6 +297,18 @@ def test_graph_queries_take_whole_tables(spark, tmp_path):
     assert sorted(map(tuple, rule_queries.import_cycles(spark, str(tmp_path)).collect())) == [(2, 2001), (2001, 2)]
 
 
+def test_copies_keep_their_weight_in_a_fit(spark):
+    """A third of a kind's 30,000 rows are copies of one vector: all rows count, as in plain linear algebra."""
+    x = np.random.default_rng(8).normal(size=(30_000, 3)) @ np.diag([1, 2, 3.0])
+    x[:10_000] = [3.0, -4.0, 5.0]
+    df = spark.createDataFrame(pd.DataFrame({"kind": "a", "v": x.tolist()}), "kind string, v array<double>")
+    got = calibration.fit_kinds(df, "kind", "v").first()
+    want = calibration.fit(x, resamples=200)
+    assert got.n == 30_000 and np.allclose(got.mean, want["mean"]) and np.allclose(got.inverse, want["inverse"])
+    assert got.threshold == pytest.approx(want["threshold"]) and got.low <= got.threshold <= got.high
+    assert (got.low, got.high) == pytest.approx((want["low"], want["high"]), rel=0.02)
+
+
 def test_each_pair_with_a_partner_gets_the_next_one(spark):
     """All that have a pair of another commit and file in the table get the next of them, round the end; 80 % clash."""
     rng = random.Random(4)
