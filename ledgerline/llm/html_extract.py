@@ -1,8 +1,8 @@
 """Main text of web pages: standard-library parser events are gathered into
 lines (one per block element), each line's text-to-tag ratio is smoothed with a
 Gaussian along the page, and the lines above a threshold form the content
-regions. The container that holds most of their text (article, main, or else
-the page between the first and the last region) is the article; its lines are
+regions. The containers that hold most of their text (all articles, main, or else
+the page between the first and the last region) are the article; their lines are
 given in page order, without menus, forms, adverts, notices or comments."""
 
 from __future__ import annotations
@@ -200,17 +200,28 @@ def main_text(html: str | None) -> str:
             weight[c] = weight.get(c, 0.0) + len(text) * (1.0 if good else 0.01)
             c = page.containers[c][1]
     total = sum(len(text) for (_, text), good in zip(found, content, strict=True) if good)
-    articles = [c for c in weight if page.containers[c][0] == "article"]
-    chosen = max(articles or weight, key=lambda c: (weight[c], -c), default=0)
-    if chosen and 10 * weight[chosen] >= total:
+    # the outermost articles together, else the main ones, else both: the first kind that holds most of that text
+    for kinds in (("article",), ("main",), ("article", "main")):
+        chosen = set()
+        for c in weight:  # those of the kind that stand in no other of it
+            up = page.containers[c][1]
+            while up > 0 and page.containers[up][0] not in kinds:
+                up = page.containers[up][1]
+            if page.containers[c][0] in kinds and up <= 0:
+                chosen.add(c)
+        if chosen and 2 * sum(weight[c] for c in chosen) > total:
+            break
+    else:
+        chosen = set()
+    if chosen:
 
         def within(c: int) -> bool:
-            while c > 0 and c != chosen:
+            while c > 0 and c not in chosen:
                 c = page.containers[c][1]
-            return c == chosen
+            return c > 0
 
         return "\n".join(text for line, text in found if within(line.container))
-    # no article element: from the first to the last region, with the headings that lead into it
+    # no such elements: from the first to the last region, with the headings that lead into it
     marked = [i for i, good in enumerate(content) if good and not found[i][0].heading] or [i for i, good in enumerate(content) if good]
     if not marked:
         return ""

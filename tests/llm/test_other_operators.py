@@ -125,6 +125,17 @@ def test_article_is_found(page):
     assert html_extract.main_text(page) == "Big news\nFirst line & more text. Same block\nSecond para, long enough to matter here."
 
 
+def test_text_beside_one_article_is_kept():
+    """Sibling articles are all kept, and a teaser article doesn't exclude the text beside it."""
+    part = lambda k: "".join(f"<p>Part {k} sentence {i} tells at some length what happened next.</p>" for i in range(6))
+    several = html_extract.main_text("<body>" + "".join(f"<article>{part(k)}</article>" for k in range(3)) + "</body>")
+    assert all(f"Part {k} sentence {i} " in several for k in range(3) for i in range(6))
+    teaser = "<article><p>A teaser of another story, which is rather a long one by itself, to be read later.</p></article>"
+    for body, first in ((f"<main>{part(0)}{part(1)}</main>{teaser}", 0), (f"<main>{part(0)}{teaser}{part(1)}</main>", 0), (f"<div>{part(0)}{part(1)}</div>{teaser}", 2)):
+        text = html_extract.main_text(f"<body>{body}</body>")  # without a container the ratio leaves out the first two lines of these
+        assert all(f"Part {k} sentence {i} " in text for k in range(2) for i in range(6) if (k, i) >= (0, first))
+
+
 def test_page_without_article_element():
     menu = "".join(f"<li><a href=/{i}>Menu item {i}</a></li>" for i in range(9))
     paras = "".join(f"<p>Paragraph {i} of the story, with enough words in it to be read as running text by anyone.</p>" for i in range(5))
