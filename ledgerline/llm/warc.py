@@ -97,8 +97,8 @@ class Bad(Exception):
     pass
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record at a place of plain data, and where it ends; Bad if a check fails."""
+def parse_record(data: bytes, at: int, proven: bool = False) -> tuple[dict, int]:
+    """The record at a place of plain data, and where it ends; Bad if a check fails or, for a proven one, there is no digest."""
     if data[at : at + 7] != b"WARC/1.":
         raise Bad("version")
     head_end = data.find(b"\r\n\r\n", at)
@@ -122,6 +122,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     wanted = head.get(b"warc-block-digest")
     if wanted and wanted != b"sha1:" + digest_of(block).encode():
         raise Bad("block digest")
+    if proven and not wanted:
+        raise Bad("no digest")
     http, _, payload = block.partition(b"\r\n\r\n")
     said = next((x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), b"")
     kind = head[b"warc-type"].decode()
@@ -143,37 +145,56 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def _plain(data: bytes, base: int, scale: bool) -> Iterator[tuple[str, dict]]:
-    """Records of plain data; gaps are given in its own bytes or, within a member, as the member's."""
+def _plain(data: bytes, base: int, proven: bool = False) -> Iterator[tuple[str, dict]]:
+    """Records of a member at `base`; gaps are given in its unpacked bytes."""
     at = 0
     while at < len(data):
         try:
-            record, end = parse_record(data, at)
-            yield "record", record | {"at": base if scale else base + at}
+            record, end = parse_record(data, at, proven)
+            yield "record", record | {"at": base}
             at = end
         except Bad as e:
             to = data.find(b"WARC/1.", at + 1)
             to = len(data) if to < 0 else to
-            yield "gap", {"at": base if scale else base + at, "bytes": to - at, "why": str(e)}
+            yield "gap", {"at": base, "bytes": to - at, "why": str(e)}
             at = to
 
 
+def _before_damage(data: bytes, at: int, end: int) -> bytes:
+    """What a member at a place holds before its error, which is in the piece at `end`."""
+    unpacker = zlib.decompressobj(31)
+    pieces = [unpacker.decompress(data[at:end])]
+    try:
+        for i in range(end, min(len(data), end + 65_536)):
+            pieces.append(unpacker.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(pieces)
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, dict]]:
     """("record", ...) and ("gap", {at, bytes, why}) of an archive, in order;
-    plain and compressed records may alternate."""
-    at = 0
+    plain and compressed records may alternate. Of a member that is cut short or
+    damaged the whole records before that are given (where its bytes are damaged,
+    those with a digest), and then the gap from its start."""
+    at, member_at = 0, -1
     while at < len(data):
         if data[at] == 0 and not data[at:].strip(b"\x00"):
             return  # padding
         if data[at : at + 7] == b"WARC/1.":
-            to = data.find(b"\x1f\x8b\x08", at)
-            while True:  # plain data up to a member that follows a whole record
-                to = len(data) if to < 0 else to
-                if to == len(data) or data[to - 4 : to] == b"\r\n\r\n":
-                    break
-                to = data.find(b"\x1f\x8b\x08", to + 1)
-            yield from _plain(data[at:to], at, False)
-            at = to
+            try:
+                record, end = parse_record(data, at)
+                yield "record", record | {"at": at}
+            except Bad as e:
+                while member_at <= at and member_at < len(data):  # a member that follows a whole record
+                    member_at = data.find(b"\x1f\x8b\x08", at + 1)
+                    while member_at >= 0 and data[member_at - 4 : member_at] != b"\r\n\r\n":
+                        member_at = data.find(b"\x1f\x8b\x08", member_at + 1)
+                    member_at = len(data) if member_at < 0 else member_at
+                end = data.find(b"WARC/1.", at + 1)
+                end = min(member_at, len(data) if end < 0 else end)
+                yield "gap", {"at": at, "bytes": end - at, "why": str(e)}
+            at = end
             continue
         why = "no member"
         if data[at : at + 3] == b"\x1f\x8b\x08":
@@ -184,12 +205,15 @@ def salvage(data: bytes) -> Iterator[tuple[str, dict]]:
                     pieces.append(unpacker.decompress(data[end : end + 65_536]))
                     end = min(len(data), end + 65_536)
                 if unpacker.eof:
-                    yield from _plain(b"".join(pieces), at, True)
+                    yield from _plain(b"".join(pieces), at)
                     at = end - len(unpacker.unused_data)
                     continue
-                why = "cut short"
+                why, held = "cut short", list(_plain(b"".join(pieces), at))
             except zlib.error as e:
-                why = str(e)[:80]
+                why, held = str(e)[:80], list(_plain(_before_damage(data, at, end), at, True))
+            while held and held[-1][0] == "gap":  # part of this one
+                held.pop()
+            yield from held
         ends = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
         to = min(ends, default=len(data))
         yield "gap", {"at": at, "bytes": to - at, "why": why}

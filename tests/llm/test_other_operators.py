@@ -180,6 +180,21 @@ def records(data):
     return [x["page_id"] for kind, x in found if kind == "record"], [(x["at"], x["bytes"]) for kind, x in found if kind == "gap"]
 
 
+def test_salvage_of_packed_bodies_and_long_members():
+    """A plain record whose body is gzip is one record; a member of several keeps those before its damage or end."""
+    body = warc.member(b"packed text " * 40)
+    plain = warc.record_bytes(1, "u", body, warc.digest_of(body), None, False)
+    noise = [random.Random(i).randbytes(3000) for i in range(6)]
+    records = [warc.record_bytes(i, "u", x, warc.digest_of(x), None, False) for i, x in enumerate(noise)]
+    found = list(warc.salvage(plain + warc.member(records[0]) + plain))
+    assert [(k, x.get("page_id")) for k, x in found] == [("record", 1), ("record", 0), ("record", 1)]
+    whole = warc.member(b"".join(records))
+    cut = list(warc.salvage(whole[: len(whole) - 4000]))
+    assert [x["page_id"] for k, x in cut if k == "record"] == [0, 1, 2, 3] and [x["why"] for k, x in cut if k == "gap"] == ["cut short"]
+    damaged = list(warc.salvage(whole[:-8] + bytes(4) + whole[-4:]))
+    assert [x["page_id"] for k, x in damaged if k == "record"] == [0, 1, 2, 3, 4, 5] and damaged[-1][0] == "gap"
+
+
 def test_salvage_of_members_and_plain_records():
     one = [warc.record_bytes(i, "u", b"payload %d " % i * 50, warc.digest_of(b"payload %d " % i * 50), None, False) for i in range(6)]
     members = [warc.member(r) for r in one]
