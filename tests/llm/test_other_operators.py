@@ -100,6 +100,29 @@ def test_pairs_in_a_dense_cone_are_found(spark):
     assert missed <= 4
 
 
+def test_links_do_not_depend_on_partitions(spark):
+    """Pairs at 0.952 are found whatever the number of shuffle partitions."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= x * (side * x).sum(axis=1, keepdims=True)
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.952 * x + np.sqrt(1 - 0.952**2) * side
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    missed = sum(found[0][i][1] != found[0][1400 + i][1] for i in range(1400))
+    assert missed <= 10
+
+
 def test_blocks_of_a_large_component(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(6)
