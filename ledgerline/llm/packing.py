@@ -4,12 +4,16 @@ A document's whole windows of the longest tier are sequences of their own; the
 rest is routed to the smallest tier that holds it. Each tier packs its pieces,
 longest first, into the fullest window that still takes them; gaps are filled
 from shorter tiers, last of all by cutting a piece, so that every window is
-exactly full. What is left at the end of a partition is laid end to end. Full
-windows are dealt into step groups of equal token counts, the next window to
-the group with the least attention cost.
+exactly full. What is left at the end of a partition is laid end to end.
+Finished windows wait until they make DEALT step groups and are then dealt,
+longest first, to the group with the fewest tokens: each group has exactly STEP
+tokens and, to one or so of each length, as many windows of each length as the
+others, hence a like attention cost. Windows over a task's last full deal are
+dealt among as few groups as hold them, which differ by one window at most.
 
 Each task packs its own partition of the scan as it streams by: no shuffle, and
-at most one padded sequence a task.
+at most one padded sequence a task. What it holds at a time is bounded: GATHER
+windows of a tier and DEALT + 1 step groups.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,9 @@ FILE, END = "word_bpe_49k.json", 1
 TIERS = (512, 1024, 2048)
 #: windows of pieces that a tier gathers before it packs them
 GATHER = 32
-#: tokens of a step group
+#: tokens of a step group, and groups that are dealt out at a time
 STEP = 16 * 2048
-#: step groups that are filled at the same time
-OPEN_GROUPS = 4
+DEALT = 16
 CACHED = 1_000_000
 
 
@@ -132,13 +136,47 @@ def cut(piece: Piece, n: int) -> tuple[Piece, Piece]:
     return (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total)
 
 
+class StepGroups:
+    """Deals windows into step groups. Powers of two, longest first, to the
+    emptiest group: every gap is a multiple of the windows still to come, so
+    groups fill up exactly while windows last."""
+
+    def __init__(self, base: int, step: int = STEP) -> None:
+        self.base, self.step, self.made = base, step, 0
+        self.held: list[tuple[int, list[tuple]]] = []
+        self.tokens = 0
+
+    def put(self, window: int, rows: list[tuple]) -> Iterator[tuple]:
+        self.held.append((window, rows))
+        self.tokens += window
+        if self.tokens >= (DEALT + 1) * self.step:  # a group's worth stays behind, for windows that come late
+            yield from self._deal(DEALT)
+
+    def close(self) -> Iterator[tuple]:
+        if self.held:
+            yield from self._deal(-(-self.tokens // self.step))
+
+    def _deal(self, groups: int) -> Iterator[tuple]:
+        open_groups = [(0, g) for g in range(groups)]
+        waiting, self.held = sorted(self.held, key=lambda x: x[0], reverse=True), []
+        for window, rows in waiting:
+            tokens, g = open_groups[0]
+            if tokens == self.step:  # all are full: the shortest wait for the next deal
+                self.held.append((window, rows))
+                continue
+            heapreplace(open_groups, (tokens + window, g))
+            for row in rows:
+                yield (*row, self.base + self.made + g)
+        self.tokens = sum(w for w, _ in self.held)
+        self.made += groups
+
 class Packer:
     def __init__(self, base: int, tiers: tuple[int, ...] = TIERS) -> None:
         self.tiers = tiers
         self.waiting: list[list[Piece]] = [[] for _ in tiers]
         self.tokens = [0] * len(tiers)
-        self.base, self.made, self.groups = base, 0, OPEN_GROUPS
-        self.open = [[0, 0, g] for g in range(OPEN_GROUPS)]  # attention cost, tokens, id
+        self.base, self.made = base, 0
+        self.groups = StepGroups(base)
 
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
         """The rows that are final once this document has come."""
@@ -220,20 +258,16 @@ class Packer:
                 held, gap = [], top
         if held:
             yield from self._emit(held, top)
+        yield from self.groups.close()
 
     def _emit(self, pieces: list[Piece], window: int) -> Iterator[tuple]:
-        group = min(self.open)
-        group[0] += window * window
-        group[1] += window
-        at = 0
+        rows, at = [], 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            yield doc, start, n, zlib.crc32(ids), total, self.base + self.made, at, window, self.base + group[2]
+            rows.append((doc, start, n, zlib.crc32(ids), total, self.base + self.made, at, window))
             at += n
         self.made += 1
-        if group[1] >= STEP:
-            self.open[self.open.index(group)] = [min(g[0] for g in self.open if g is not group), 0, self.groups]
-            self.groups += 1
+        yield from self.groups.put(window, rows)
 
 
 def _pack(path: str | None, tiers: tuple[int, ...]):
@@ -264,6 +298,7 @@ def _pack(path: str | None, tiers: tuple[int, ...]):
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, tier (the sequence's window), step_group.
+    Tiers are powers of two that divide STEP, shortest first.
 
     Every document, null and empty ones too, has its closing id at least. Rows
     that repeat are packed one by one; null ids stay; an empty table gives an

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, license_scan, packing, quality_rules, secret_scan, simhash
 
@@ -294,15 +295,67 @@ def check_packing(rows, ids_of):
     return padding
 
 
-def test_packing_loses_nothing(spark, edge):
+def test_packing_loses_nothing(spark):
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choices(["one", "two", "antidisestablishment", "x1"], k=int(rng.paretovariate(0.7) * 20) % 6000)), "en", "s", 0) for i in range(120)]
-    rows += [(1000, None, None, None, None), (1001, "", "en", None, 0)]
+    rows = [(10 + i, " ".join(rng.choices(["one", "two", "antidisestablishment", "x1"], k=int(rng.paretovariate(0.7) * 20) % 6000)), "en", "s", 0) for i in range(120)]
+    rows += [(1000, None, None, None, None), (1001, "", "en", None, 0), EDGE[5], EDGE[6], (1002, "<|endoftext|> " * 40, "en", "s", 0)]
     own = packing.load(packing.tokenizer_path())
     out = packing.pack_documents(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
     assert check_packing(out, dict(zip([r[0] for r in rows], own.encode_all([r[1] for r in rows])))) <= 2 * 2047
 
 
+def test_packing_of_repeated_rows_null_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5), (1, "a b c", 5), (None, "a b c", 6), (None, None, None)], "doc_id long, text string, length int")
+    out = packing.pack_documents(docs.withColumn("step_group", F.lit("x")).withColumn("a.b", F.lit(1))).collect()
+    assert sorted((r.doc_id or -1, r.start, r.length, r.doc_tokens) for r in out) == [(-1, 0, 1, 1), (-1, 0, 4, 4), (1, 0, 4, 4), (1, 0, 4, 4)]
+
+
+def packed(sizes, tiers=packing.TIERS):
+    packer, rows = packing.Packer(0, tiers), []
+    for i, n in enumerate(sizes):
+        rows += packer.add(i, np.full(n, i, "<u4").tobytes())
+    return [dict(zip(packing.FIELDS, r, strict=True)) for r in [*rows, *packer.finish()]]
+
+
+def test_tiers_gaps_and_step_groups():
+    rng = random.Random(2)
+    sizes = [min(int(rng.paretovariate(0.8) * 60), 30_000) for _ in range(6000)]
+    rows = packed(sizes)
+    windows, lengths, groups = {}, {}, {}
+    for r in rows:
+        assert r["tier"] in packing.TIERS and windows.setdefault(r["sequence_id"], r["tier"]) == r["tier"]
+        lengths[r["sequence_id"]] = lengths.get(r["sequence_id"], 0) + r["length"]
+        groups.setdefault(r["step_group"], set()).add(r["sequence_id"])
+    short = [s for s in windows if lengths[s] < windows[s]]
+    assert len(short) <= 1 and all(windows[s] == packing.TIERS[-1] for s in short)
+    assert set(windows.values()) == set(packing.TIERS)
+    # long windows hold pieces of their own tier, whose gaps shorter documents fill
+    by_window = {s: [sizes[r["doc_id"]] for r in rows if r["sequence_id"] == s] for s, w in list(windows.items())[:400] if w == packing.TIERS[-1]}
+    assert any(max(x) > 1024 and min(x) <= 512 for x in by_window.values())
+    # a piece that no cut has shortened is in its own tier's window or a longer one
+    assert all(r["tier"] >= r["length"] for r in rows)
+    # each sequence is in one group; full groups are equal in tokens and alike in cost
+    assert sum(map(len, groups.values())) == len(windows)
+    tokens = {g: sum(windows[s] for s in x) for g, x in groups.items()}
+    cost = {g: sum(windows[s] ** 2 for s in x) for g, x in groups.items()}
+    full = [g for g in sorted(groups) if tokens[g] == packing.STEP]
+    assert len(full) >= len(groups) - packing.DEALT - 1 and max(tokens.values()) <= packing.STEP
+    rest = [tokens[g] for g in groups if tokens[g] < packing.STEP]
+    assert not rest or max(rest) - min(rest) <= packing.TIERS[-1]
+    for k in range(0, len(full) - packing.DEALT, packing.DEALT):
+        dealt = [cost[g] for g in full[k : k + packing.DEALT]]
+        assert max(dealt) - min(dealt) <= packing.TIERS[-1] ** 2
+
+
+def test_packing_of_few_and_equal_documents():
+    assert packed([]) == []
+    one = packed([5])
+    assert [(r["length"], r["tier"], r["offset"]) for r in one] == [(5, 2048, 0)]
+    assert sorted({r["sequence_id"] for r in packed([2048] * 40)}) == list(range(40))
+    equal = packed([100] * 5000)
+    assert sum(r["length"] for r in equal) == 500_000 and len({r["sequence_id"] for r in equal}) <= 500_000 // 512 + 2
+
+
 def test_edges_and_empty_tables(spark, edge, empty):
     wide = edge.withColumnsRenamed({"source": "labels"}).withColumnRenamed("n_chars", "row")
     labels = spark.createDataFrame([(3, 1)], "doc_id long, quality int")
