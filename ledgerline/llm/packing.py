@@ -18,15 +18,16 @@ windows of a tier and DEALT + 1 step groups.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapreplace
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -38,23 +39,33 @@ GATHER = 32
 #: tokens of a step group, and groups that are dealt out at a time
 STEP = 16 * 2048
 DEALT = 16
+#: distinct words that a worker keeps, and bytes of texts that it splits at a time (one text at least)
 CACHED = 1_000_000
+BATCH = 8 << 20
 
 
-def stays_letters(word: str) -> bool:
+#: letters that stay one letter whatever the normalizer does, and a closing sign that the vocabulary splits off them
+CLOSING = r"([a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,])([\t-\r ]|$)"
+#: no text with it is taken apart: it may hold a special token's literal, which is looked for before letters are lowered
+SPECIAL = "<|"
+
+
+def stays_letters(words: pa.Array) -> np.ndarray:
     """Letters only, also once composed and lower-cased (some come apart into a letter and a mark)."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+    kept = pc.utf8_is_alpha(pc.utf8_lower(pc.utf8_normalize(words, "NFC")))
+    return pc.and_(pc.utf8_is_alpha(words), kept).to_numpy(zero_copy_only=False)
 
 
 class WordTokenizer:
-    """Ids of the tokenizers library, a blank-separated word at a time: no token
-    of a vocabulary that drops white space reaches over it, so a word's ids
-    depend on nothing else and are kept in a cache of bounded size.
-
-    A new word that is letters and at most one closing comma or full stop is
-    looked up as its lower-cased letters, then the sign: the vocabulary splits
-    letters from signs and drops case. New words of letters are encoded
-    together, each ending at its token with the word-end mark.
+    """Ids of the tokenizers library, a word between white space at a time: no
+    token of a vocabulary that drops white space reaches over it, so a word's
+    ids depend on nothing else and are kept in a table of bounded size.
+
+    ASCII letters are lowered and a closing comma or full stop is cut off its
+    letters first, as the vocabulary does itself. Splitting, counting distinct
+    words and joining ids work on whole batches; only words that are new to a
+    batch are looked up one by one, and words that are new to the table are
+    encoded, those of letters together, each ending at its word-end token.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,45 +77,74 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.signs = {c: self._each([c])[0] for c in ".,"}
-        self.cache: dict[str, bytes] = {}
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) != len(words):  # some letter that the normalizer takes apart
-            return self._each(words)
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
-
-    def _learn(self, seen: set[str]) -> None:
-        cache = self.cache
-        new = [w for w in seen if w not in cache]
-        if len(cache) + 2 * len(new) > CACHED:
-            cache.clear()
-            new = list(seen)
-        parts = []
-        for w in new:
-            low = w.lower() if w.isascii() else w
-            sign = low[-1:]
-            parts.append((low[:-1], self.signs[sign]) if sign in self.signs and stays_letters(low[:-1]) else (low, b""))
-        stems = {x for x, _ in parts if x not in cache}
-        letters = {x for x in stems if stays_letters(x)}
-        for encode, words in ((self._letters, list(letters)), (self._each, list(stems - letters))):
-            for k in range(0, len(words), 5_000):
-                part = words[k : k + 5_000]
-                cache.update(zip(part, encode(part), strict=True))
-        cache.update((w, cache[x] + sign) for w, (x, sign) in zip(new, parts, strict=True))
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, dtype="<u4")  # the words' ids one after the other, in the order of places
+        self.bounds = np.zeros(1 << 14, dtype=np.int64)
+
+    def _each(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _store(self, words: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        """Append words whose ids stand one after the other, each up to its stop."""
+        n, at = len(self.place), self.bounds[len(self.place)]
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while n + len(words) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.ids[at : at + len(ids)] = ids
+        self.bounds[n + 1 : n + 1 + len(words)] = at + stops
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        joined = stays_letters(pa.array(new, pa.string()))
+        letters, rest = list(compress(new, joined)), list(compress(new, ~joined))
+        for k in range(0, len(letters), 20_000):
+            part = letters[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                self._store(part, ids, stops)
+            else:  # some letter that the normalizer takes apart
+                rest += part
+        for k in range(0, len(rest), 5_000):
+            part = rest[k : k + 5_000]
+            each = self._each(part)
+            self._store(part, np.concatenate(each), np.cumsum([len(x) for x in each]))
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.place.get, words))
+        if None in found:
+            new = [w for w, i in zip(words, found, strict=True) if i is None]
+            if len(self.place) + len(new) > CACHED:
+                self._clear()
+                new = words
+            self._learn(new)
+            found = list(map(self.place.__getitem__, words))
+        return np.array(found, dtype=np.int64)
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
         """Per text its ids and END, as little-endian 32-bit integers."""
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*words))
-        look, end = self.cache.__getitem__, END.to_bytes(4, "little")
-        return [b"".join([*map(look, x), end]) for x in words]
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, SPECIAL)
+        plain = pc.ascii_lower(pc.if_else(special, "", texts))
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, CLOSING, r"\1 \2\3"))
+        coded = words.flatten().dictionary_encode()
+        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        first = self.bounds[place]
+        sizes = self.bounds[place + 1] - first
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(first - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+        bounds = words.offsets.to_numpy()
+        cuts = (4 * upto[bounds - bounds[0]]).tolist()
+        end = END.to_bytes(4, "little")
+        out = [ids[a:b] + end for a, b in zip(cuts, cuts[1:], strict=False)]
+        odd = np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()
+        for k, found in zip(odd, self._each([texts[k].as_py() for k in odd]), strict=True):
+            out[k] = found.tobytes() + end
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -270,6 +310,17 @@ class Packer:
         yield from self.groups.put(window, rows)
 
 
+def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of whole texts (column 1) of BATCH bytes or a little more."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        done = upto[at - 1] if at else 0
+        stop = int(np.searchsorted(upto, done + BATCH)) + 1
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _pack(path: str | None, tiers: tuple[int, ...]):
     schema = pa.schema([(f, pa.int32() if f == "tier" else pa.int64()) for f in FIELDS])
 
@@ -281,9 +332,8 @@ def _pack(path: str | None, tiers: tuple[int, ...]):
         packer = Packer(TaskContext.get().partitionId() << 32, tiers)
         rows: list[tuple] = []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), 256):
-                for doc_id, found in zip(ids[k : k + 256], words.encode_all(texts[k : k + 256]), strict=True):
+            for part in by_bytes(batch):
+                for doc_id, found in zip(part.column(0).to_pylist(), words.encode_all(part.column(1)), strict=True):
                     rows += packer.add(doc_id, found)
                 if len(rows) >= 5_000:
                     yield table(rows)

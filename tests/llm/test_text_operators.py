@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -268,10 +269,21 @@ def test_words_equal_the_library(hard_texts):
     from tokenizers import Tokenizer
 
     own, lib = packing.load(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
-    for text, ids in zip(hard_texts, own.encode_all(hard_texts)):
+    more = ["<|ENDOFTEXT|> a", "İ. ŉ, ǰ. ﬀ. ẞ.", "a. b, c.", "x'll, 5. ..", "K. Å, ª. ⅷ, ʰ.", "×. ÷, À. Þ,", "각 각."]
+    texts = [*hard_texts, *more, *(t.replace(" ", ". ") for t in hard_texts)]
+    for text, ids in zip(texts, own.encode_all(pa.array(texts, pa.string())), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == [*lib.encode(text, add_special_tokens=False).ids, packing.END]
 
 
+def test_word_table_starts_anew_when_full(monkeypatch, hard_texts):
+    own = packing.WordTokenizer(packing.tokenizer_path())
+    want = own.encode_all(pa.array(hard_texts, pa.string()))
+    monkeypatch.setattr(packing, "CACHED", 50)
+    small = packing.WordTokenizer(packing.tokenizer_path())
+    got = [small.encode_all(pa.array([t], pa.string()))[0] for t in hard_texts]
+    assert got == want
+
+
 def check_packing(rows, ids_of):
     seqs, docs = {}, {}
     for r in rows:
@@ -301,7 +313,7 @@ def test_packing_loses_nothing(spark):
     rows += [(1000, None, None, None, None), (1001, "", "en", None, 0), EDGE[5], EDGE[6], (1002, "<|endoftext|> " * 40, "en", "s", 0)]
     own = packing.load(packing.tokenizer_path())
     out = packing.pack_documents(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
-    assert check_packing(out, dict(zip([r[0] for r in rows], own.encode_all([r[1] for r in rows])))) <= 2 * 2047
+    assert check_packing(out, dict(zip([r[0] for r in rows], own.encode_all(pa.array([r[1] for r in rows], pa.string()))))) <= 2 * 2047
 
 
 def test_packing_of_repeated_rows_null_ids_and_clashing_names(spark):
