@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
@@ -30,6 +30,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/ledgerline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def carried(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a working column's; doc.* gives them back."""
+    return F.struct(*[column(df, c) for c in df.columns]).alias("doc")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back. Cuts the
     lineage, survives lost executors, and leaves later joins free to exchange

@@ -89,9 +89,15 @@ def _secrets() -> str:
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, contains(coalesce(text, ''), 'AKIA') OR regexp_matches(coalesce(text, ''), '{patterns[3]}') AS has_id FROM documents),
 found AS ({each}),
 placed AS (SELECT doc_id, kind, stop - len AS start, stop FROM (SELECT *, CAST(sum(gap + len) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM found) WHERE {ok}),
-spans AS (SELECT doc_id, kind, start, stop, {names}[kind + 1] || ':' || start || ':' || stop AS s FROM placed a
-          WHERE kind <= 2 OR (EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = a.doc_id AND {roles}[b.kind + 1] = 'id' AND abs(a.start - b.start) <= {SCOPE})
-                          AND EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = a.doc_id AND {roles}[b.kind + 1] = 'secret' AND abs(a.start - b.start) <= {SCOPE}))),
+named AS (SELECT *, {roles}[kind + 1] AS named FROM placed),
+parts AS (SELECT * FROM named a WHERE named <> 'secret' OR (
+            NOT EXISTS (SELECT 1 FROM named b WHERE b.doc_id = a.doc_id AND b.named = 'id' AND b.start < a.stop AND a.start < b.stop)
+            AND (kind < 3 OR NOT EXISTS (SELECT 1 FROM named b WHERE b.doc_id = a.doc_id AND b.kind < 3 AND b.start <= a.start AND b.stop >= a.stop)))),
+spans AS (SELECT doc_id, kind, start, stop, {names}[kind + 1] || ':' || start || ':' || stop AS s FROM
+          (SELECT doc_id, kind, start, stop FROM placed WHERE kind < 3 UNION ALL
+           SELECT doc_id, kind, start, stop FROM parts a WHERE kind >= 3
+             AND (named = 'id' OR EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = a.doc_id AND b.named = 'id' AND abs(a.start - b.start) <= {SCOPE} AND (b.stop <= a.start OR b.start >= a.stop)))
+             AND (named = 'secret' OR EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = a.doc_id AND b.named = 'secret' AND abs(a.start - b.start) <= {SCOPE} AND (b.stop <= a.start OR b.start >= a.stop))))),
 by_doc AS (SELECT doc_id, count(CASE WHEN kind = 0 THEN 1 END) AS n_assign, count(CASE WHEN kind = 1 THEN 1 END) AS n_access, count(CASE WHEN kind = 2 THEN 1 END) AS n_hex,
                   string_agg(CASE WHEN kind <= 2 THEN s END, ',' ORDER BY start, kind) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, column, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -68,16 +68,19 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__repeats", repeated)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata_col: str = "lang") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strata_col: str = "lang", carry: bool = False) -> DataFrame:
     """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed; null texts have no words."""
+    n_repeat_words, base_failed; null texts have no words. With carry, a struct
+    doc of all columns too."""
     few = docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
-        F.coalesce(docs[strata_col].cast("string"), F.lit("")).alias("stratum"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text"),
+        *([carried(docs)] if carry else []),
+        column(docs, id_col).cast("long").alias("doc_id"),
+        F.coalesce(column(docs, strata_col).cast("string"), F.lit("")).alias("stratum"),
+        F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("__text"),
     )
     n, repeats = F.col("__n"), F.col("__repeats")
     return _features(few).select(
+        *(["doc"] if carry else []),
         "doc_id",
         "stratum",
         n.alias("n_words"),
@@ -153,6 +156,9 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     """One row per input row: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
 
+    The bound holds for the documents that reach the rules: what base_failed
+    rejects, good documents too, is fixed beforehand and isn't counted in it.
+
     Null and empty texts have no words and fail the base rules. A null stratum
     is the stratum ''. A stratum without enough labels has no proven cutoff and
     rejects by base rules only; so does everything with an empty labels table.
@@ -172,22 +178,14 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows of docs (doc_id, text, lang, ...) that judge() would keep, with
-    their columns. Texts are written once with their features, not shuffled."""
-    cols = docs.columns
-    marked = docs.withColumn("__text", F.coalesce(docs["text"].cast("string"), F.lit("")))
-    n, repeats = F.col("__n"), F.col("__repeats")
-    wide = _features(marked).select(
-        F.struct(*[docs[c] for c in cols]).alias("doc"),
-        docs["doc_id"].cast("long").alias("doc_id"),
-        F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("stratum"),
-        n.alias("n_words"),
-        F.col("__chars").alias("word_chars"),
-        F.col("__symbols").alias("n_symbols"),
-        F.col("__again").alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"),
-        ((n < 20) | (100 * repeats > 30 * n)).alias("base_failed"),
-    )
-    rows = materialize(wide, "features").where("not base_failed")
+    all their columns, whatever their names. Texts are written once with their
+    features, not shuffled.
+
+    Null and empty texts go, as the base rules fail them; a null lang is the
+    stratum ''; rows with a null id are judged but never counted as labelled;
+    equal rows stay or go together; an empty table gives an empty one.
+    """
+    rows = materialize(features(docs, carry=True), "features").where("not base_failed")
     cuts = materialize(cutoffs(rows.drop("doc"), labels, alpha, delta), "cutoffs")
     values = signals()
     failed = [F.coalesce(values[r] > F.col(f"cut_{r}"), F.lit(False)) for r in RULES]

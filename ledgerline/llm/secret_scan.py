@@ -6,6 +6,11 @@ endpoints; an interval join within scopes of SCOPE code points reports a weak
 identifier only near a secret, a weak token only near an identifier, and an
 endpoint only near both.
 
+Parts are different places. A secret that overlaps an identifier is that
+identifier's value, no part of its own; a weak token within a strong span is
+that span again; what lies in an endpoint isn't its partner. So a lone
+credential is never its own complement.
+
 Places come from the texts' pieces between matches: their lengths are summed by
 a window, in time linear in the matches, so texts aren't shuffled.
 """
@@ -16,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import carried, column, materialize
 
 SCOPE = 200
 
@@ -31,6 +36,8 @@ ENDPOINT = r"""(?i:https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://[^
 
 #: in order of report; (kind, role)
 KINDS = (("assign", "secret"), ("access", "id"), ("hex", "secret"), ("weak_id", "id"), ("weak_token", "secret"), ("endpoint", "endpoint"))
+#: place of the first weak kind
+WEAK = 3
 
 
 def _matches(pattern: str, kind: int, wanted: Column, good=None) -> Column:
@@ -67,13 +74,49 @@ def _parts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_roles(placed: DataFrame) -> DataFrame:
+    """Adds role: id, secret, endpoint, or null for what is no part of its own."""
+    kind, start, end = F.col("kind"), F.col("start"), F.col("end")
+    upto = W.partitionBy("key").orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow)
+    # frames that grow are linear in the matches; one that shrinks would be quadratic
+    onward = W.partitionBy("key").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    is_id = F.element_at(F.array(*[F.lit(r == "id") for _, r in KINDS]), kind + 1)
+    in_id = (F.max(F.when(is_id, end)).over(upto) > start) | (F.min(F.when(is_id, start)).over(onward) < end)
+    in_strong = F.max(F.when(kind < WEAK, end)).over(upto) >= end
+    role = F.element_at(F.array(*[F.lit(r) for _, r in KINDS]), kind + 1)
+    gone = F.coalesce(in_id, F.lit(False)) | ((kind >= WEAK) & F.coalesce(in_strong, F.lit(False)))
+    return placed.withColumn("role", F.when((role != "secret") | ~gone, role))
+
+
+def _link(placed: DataFrame, scope: int) -> DataFrame:
+    """key, kind, start, end of the weak parts that stand within scope of the
+    parts that complete them, each in a place of its own."""
+    parts = materialize(_with_roles(placed).where(F.col("role").isNotNull()), "roles")
+    cell = F.floor(F.col("start") / scope)
+    near = parts.where("role <> 'endpoint'").select(
+        "key", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("role").alias("o_role"), F.explode(F.sequence(cell - 1, cell + 1)).alias("cell")
+    )
+    meets = lambda role: F.coalesce(F.max(F.col("o_role") == role), F.lit(False))
+    met = (
+        parts.where(F.col("kind") >= WEAK)
+        .withColumn("cell", cell)
+        .join(near, ["key", "cell"])
+        .where(F.abs(F.col("start") - F.col("o_start")) <= scope)
+        .where((F.col("o_end") <= F.col("start")) | (F.col("o_start") >= F.col("end")))
+        .groupBy("key", "kind", "start", "end", "role")
+        .agg(meets("id").alias("by_id"), meets("secret").alias("by_secret"))
+    )
+    has = lambda role: F.col("role") == role
+    return met.where((has("id") | F.col("by_id")) & (has("secret") | F.col("by_secret"))).select("key", "kind", "start", "end")
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> tuple[DataFrame, DataFrame]:
     """(rows, spans). rows: key, doc_id of every input row; spans: one row per
     key with some span: key, spans array<struct<start,kind_order,end,kind>>, sorted.
 
     The key is a digest of id and text, so repeated rows share their spans.
     """
-    few = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text"))
+    few = docs.select(column(docs, id_col).cast("long").alias("doc_id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("__text"))
     parts = _parts(few).select(key_of(F.col("doc_id"), F.col("__text")).alias("key"), "doc_id", "parts")
     parts = materialize(parts, "parts")
     placed = (
@@ -86,25 +129,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("key", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
     )
     placed = materialize(placed, "placed")
-    roles = F.array(*[F.lit(r) for _, r in KINDS])
-    near = placed.select(
-        "key",
-        F.col("start").alias("o_start"),
-        F.element_at(roles, F.col("kind") + 1).alias("role"),
-        F.explode(F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("start") / scope) + 1)).alias("scope"),
-    ).distinct()
-    weak = placed.where("kind > 2").withColumn("scope", F.floor(F.col("start") / scope))
-    linked = (
-        weak.join(near, ["key", "scope"])
-        .where(F.abs(F.col("start") - F.col("o_start")) <= scope)
-        .groupBy("key", "kind", "start", "end")
-        .agg(F.max((F.col("role") == "id").cast("int")).alias("ids"), F.max((F.col("role") == "secret").cast("int")).alias("secrets"))
-        .where("ids = 1 and secrets = 1")
-        .select("key", "kind", "start", "end")
-    )
+    linked = _link(placed, scope)
     names = F.array(*[F.lit(k) for k, _ in KINDS])
     item = F.struct("start", F.col("kind").alias("kind_order"), "end", F.element_at(names, F.col("kind") + 1).alias("kind"))
-    spans = placed.where("kind <= 2").unionByName(linked).groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("spans"))
+    spans = placed.where(F.col("kind") < WEAK).unionByName(linked).groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("spans"))
     return parts.select("key", "doc_id"), materialize(spans, "spans")
 
 
@@ -141,13 +169,16 @@ def suspect(text: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """docs (doc_id, text, ...) with every span found replaced by mark, spans
-    that touch or overlap by one; null texts stay null; n_chars, if there, is
-    counted anew. No row goes. Only texts that can have a span are joined with
-    their spans; the others pass as they are, whatever the size of the table."""
-    suspects = docs.where(suspect(docs["text"]))
+    that touch or overlap by one; n_chars, if there, is counted anew (0 for a
+    null text). Other columns stay as they are, whatever their names. No row
+    goes: null and empty texts, null ids and repeated rows stay; an empty table
+    gives an empty one. Only texts that can have a span are joined with their
+    spans; the others pass as they are, whatever the size of the table."""
+    text = column(docs, "text").cast("string")
+    rows = docs.select(carried(docs), column(docs, "doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    suspects = rows.where(suspect(F.col("text")))
     _, spans = find_spans(suspects)
-    keyed = suspects.withColumn("__key", key_of(F.col("doc_id").cast("long"), F.col("text")))
-    joined = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    joined = suspects.withColumn("key", key_of(F.col("doc_id"), F.col("text"))).join(spans, "key", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(s, x):
@@ -156,13 +187,9 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
         return F.struct(F.when(fresh, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
 
     rest = lambda s: F.concat(s["out"], F.substring("text", (s["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, rest))
-    cleaned = joined.withColumn("__clean", text)
-
-    def shaped(df: DataFrame, text: str) -> DataFrame:
-        changed = {"text": F.col(text)}
-        if "n_chars" in docs.columns:
-            changed["n_chars"] = F.coalesce(F.length(text), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
-        return df.select([changed.get(c, F.col(c)).alias(c) for c in docs.columns])
-
-    return shaped(docs.where(~suspect(docs["text"])), "text").unionByName(shaped(cleaned, "__clean"))
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, step, rest))
+    changed = joined.select("doc", clean.alias("text")).unionByName(rows.where(~suspect(F.col("text"))).select("doc", "text"))
+    doc = F.col("doc").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        doc = doc.withField("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return changed.select(doc.alias("doc")).select("doc.*")

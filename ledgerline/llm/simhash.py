@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, connected_components, materialize, shuffle_partitions
+from .common import UnionFind, carried, column, connected_components, materialize, shuffle_partitions
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
 _LOW = np.uint64(0x0101010101010101)
@@ -87,8 +87,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp, row), fp as a signed long; one row per input row. row: a
     hash that tells rows of one id apart, null if not given."""
     few = docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
-        docs[text_col].cast("string").alias("text"),
+        column(docs, id_col).cast("long").alias("doc_id"),
+        column(docs, text_col).cast("string").alias("text"),
         (F.lit(None) if row is None else row).cast("long").alias("row"),
     )
     return few.mapInArrow(_fingerprints, "doc_id long, fp long, row long")
@@ -191,17 +191,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _hash_of(docs: DataFrame) -> Column:
+    """A hash of all columns; maps, which Spark doesn't hash, as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(column(docs, f.name))) if "map<" in f.dataType.simpleString() else column(docs, f.name) for f in docs.schema])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of docs (doc_id, text, ...) and one row of each component: the
-    one with the smallest id (null ids last), of rows with that id the one with
-    the smallest hash, of equal rows one."""
-    cols = docs.columns
-    row = F.xxhash64(*[docs[c] for c in cols])
+    """The columns of docs (doc_id, text, ...), whatever their names, and one row
+    of each component: the one with the smallest id (null ids last), of rows
+    with that id the one with the smallest hash, of equal rows one. Null and
+    empty texts are one component; an empty table gives an empty one."""
+    row = _hash_of(docs)
     marks = near_duplicates(docs, row=row)
     order = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row")
     kept = materialize(marks.groupBy("root").agg(F.min(order).alias("kept")).select("kept.*"), "kept")
-    keyed = docs.select(
-        *[docs[c] for c in cols], docs["doc_id"].isNull().alias("__late"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("__id"), row.alias("__row")
-    )
-    on = kept.select(F.col("late").alias("__late"), F.col("id").alias("__id"), F.col("row").alias("__row"))
-    return keyed.join(on, ["__late", "__id", "__row"], "left_semi").dropDuplicates(["__late", "__id", "__row"]).select(*cols)
+    doc_id = column(docs, "doc_id").cast("long")
+    keyed = docs.select(carried(docs), doc_id.isNull().alias("late"), F.coalesce(doc_id, F.lit(0)).alias("id"), row.alias("row"))
+    on = ["late", "id", "row"]
+    return keyed.join(kept, on, "left_semi").dropDuplicates(on).select("doc.*")

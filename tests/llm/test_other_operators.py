@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from ledgerline.llm import embedding_dedup, html_extract, sharding, warc
 
@@ -264,3 +266,48 @@ def test_pipeline_stages(spark, tmp_path):
     assert not [r for r in step.collect() if "0123456789abcdef" in r.text]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {*range(30), 202}
+
+
+NAMES = ["__words", "__n", "__text", "__id", "__late", "__row", "__key", "__spans", "__clean", "a.b", "a`b", "row", "late", "id", "key", "doc", "stratum", "spans", "kept"]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Working names, dots and backticks in extra columns neither fail nor change."""
+    from ledgerline.llm import quality_rules, secret_scan, simhash
+
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    texts = [words(60) for _ in range(8)] + [words(60) + ' token = "0123456789abcdef0123"', None, ""]
+    base = [(i, t, "en", None if t is None else len(t)) for i, t in enumerate(texts)] + [(None, words(40), None, 3)]
+    base += [base[0], (20, base[1][1], "en", 5)]
+    plain = spark.createDataFrame(base, "doc_id long, text string, lang string, n_chars int")
+    extra = plain
+    for k, name in enumerate(NAMES):
+        extra = extra.withColumn(name, F.lit(k))
+    extra = extra.withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    stages = {"good": lambda d: quality_rules.keep_good(d, labels), "one": simhash.keep_one, "redact": secret_scan.redact}
+    sizes = {"good": 12, "one": 11, "redact": len(base)}
+    for name, stage in stages.items():
+        out = stage(extra)
+        assert out.columns == extra.columns and [t for _, t in out.dtypes] == [t for _, t in extra.dtypes]
+        rows = out.collect()
+        assert len(rows) == sizes[name]
+        assert all([r[n] for n in NAMES] == list(range(len(NAMES))) and r["m"] == {"k": 1} for r in rows)
+        short = stage(plain).collect()
+        assert sorted(map(str, short)) == sorted(str(Row(**{c: r[c] for c in plain.columns})) for r in rows)
+        assert stage(extra.limit(0)).columns == extra.columns and stage(extra.limit(0)).count() == 0
+    cleaned = {r.doc_id: r for r in secret_scan.redact(extra).collect()}
+    assert cleaned[8].text.endswith('[REDACTED]"') and cleaned[8].n_chars == len(cleaned[8].text) and cleaned[9].text is None and cleaned[9].n_chars == 0
+
+
+def test_operators_ignore_clashing_names(spark):
+    rows = [(i, f"text {i}", f"<p>page {i % 3}</p>", "u") for i in range(12)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, html string, url string").withColumn("page_id", F.col("doc_id"))
+    for name in [*NAMES, "shard", "slot", "size", "bucket", "payload", "digest", "copies", "fp", "root", "anchor", "offset", "first"]:
+        docs = docs.withColumn(name, F.lit("x"))
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), *[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("doc_id", "embedding")])
+    assert sharding.assign_shards(docs, [1.0] * 4).count() == 13
+    assert embedding_dedup.near_duplicates(vectors).count() == 13
+    assert html_extract.extract_pages(docs).count() == 13
+    assert warc.archive_round_trip(docs).count() == 13
