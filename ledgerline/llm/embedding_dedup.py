@@ -1,81 +1,136 @@
-"""Embedding near-duplicates by projection passes.
-
-Equal vectors are reduced to one first. In each pass vectors are dealt to
-buckets by random hyperplane bits, as many as would leave WINDOW in a bucket if
-the planes split the table evenly, and all vectors of a bucket are compared, in
-blocks where a dense group leaves many in one; verified pairs are united across
-passes. The vectors of a component are then compared in full, in blocks, so
-that links are counted exactly however many vectors are alike.
+"""Embedding near-duplicates by sorted projection passes.
+
+Equal vectors are reduced to one first. In each pass vectors are ordered by the
+concatenated bits of random hyperplanes; those that agree in the first of them,
+as many as would leave WINDOW together if the planes split the table evenly,
+are neighbours and are compared with each other. Windows aren't cut off in
+dense places: more than LARGE neighbours are dealt to blocks, and every block
+is compared with every other one.
+
+A pass carries a vector's bytes (one a component) and not the vector. From them
+a cosine is known to within a bound that is carried along: what is certainly
+near is united at once, what may be near is looked at again with the vectors
+themselves, pair by pair, or, where those are more than PAIRS a row, block by
+block. The vectors of a component are then compared in full, in blocks, so that
+links are counted exactly however many vectors are alike.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnionFind, connected_components, materialize, shuffle_partitions
+from .common import UnionFind, column, connected_components, materialize, shuffle_partitions
 
-COSINE, WINDOW, BITS, SEED = 0.95, 48, 48, 20_240
+COSINE, WINDOW, SEED = 0.95, 1024, 20_240
 #: a pair at the threshold is missed by all passes with at most this probability
 MISS = 0.002
-#: vectors of a bucket or a component compared at once with as many others
-BLOCK = 512
-CELL = ["pass", "dim", "bucket", "lo", "hi"]
+#: neighbours that are compared in one task, and rows of a block of more
+LARGE, BLOCK = 8192, 4096
+#: a component's blocks: a sixteenth of it, within these
+SMALLEST, PARTS = 64, 16
+#: pairs a row, on average, that are looked at again one by one
+PAIRS = 4
+#: rows compared with a block at a time
+STRIP = 256
+#: more than what sums of rounded products are off by
+ROUNDING = 2e-6
 
 
 def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes until a pair at the threshold has shared, with probability 1 - miss,
-    a bucket in one of them: it agrees in all of log2(rows / window) bits with
-    probability (1 - angle / pi) ** bits. However many others are in the bucket,
-    they are compared, so this holds for any table."""
+    """Passes until a pair at the threshold has been, with probability 1 - miss,
+    neighbours in one of them: it agrees in all of log2(rows / window) bits with
+    probability (1 - angle / pi) ** bits. However many others are there, they
+    are compared, so this holds for any table."""
     depth = max(1.0, math.log2(max(2, rows) / window))
     meet = (1 - math.acos(cosine) / math.pi) ** depth
     return max(4, math.ceil(math.log(miss) / math.log(1 - meet)))
 
 
 def bits_for(rows: int, window: int = WINDOW) -> int:
-    """Bits of a bucket, no more than passes_for counts with."""
-    return min(BITS, int(max(1.0, math.log2(max(2, rows) / window))))
+    """Bits in which neighbours agree, no more than passes_for counts with."""
+    return min(32, int(max(1.0, math.log2(max(2, rows) / window))))
 
 
-def _planes(dim: int, passes: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((passes, BITS, dim))
+def _planes(dim: int, passes: int, bits: int) -> np.ndarray:
+    return np.stack([np.random.default_rng([SEED, dim, p]).standard_normal((bits, dim)) for p in range(passes)])
 
 
-def _unit(vectors) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Unit rows, in double precision, of vectors of one length."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     x /= np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components leave the range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _project(passes: int, bits: int, with_vectors: bool = True):
-    """(pass, dim, bucket, rep, vec) for each pass; without vectors the first three."""
+def sketch(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, scale, distance) of unit rows: scale times bytes is that far from the row."""
+    scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    q = np.rint(x / scale[:, None]).clip(-127, 127).astype(np.int8)
+    off = np.linalg.norm(x - q * scale[:, None].astype(np.float64), axis=1)
+    return q, scale, (off * (1 + 1e-6)).astype(np.float32)
+
+
+def _project(passes: int, bits: int, with_sketch: bool = True):
+    """(key, rep, sketch) for each pass; without sketches the key only. The key
+    holds the pass, the vector's length and its bits."""
 
     def run(batches):
         powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             reps, vecs = batch.column(0), batch.column(1)
-            dims = np.array([len(v) for v in vecs.to_pylist()])
-            for dim in np.unique(dims):
+            dims = vecs.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims).tolist():
                 rows = pa.array(np.flatnonzero(dims == dim))
-                x = _unit(vecs.take(rows).to_pylist())
-                for p, planes in enumerate(_planes(int(dim), passes)):
-                    codes = (x @ planes[:bits].T > 0) @ powers
-                    n = len(rows)
-                    key = [pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(codes)]
-                    more = [reps.take(rows), vecs.take(rows)] if with_vectors else []
-                    yield pa.RecordBatch.from_arrays(key + more, ["pass", "dim", "bucket", "rep", "vec"][: 3 + len(more)])
+                x = _matrix(vecs.take(rows))
+                if with_sketch:
+                    packed = np.hstack([part.reshape(len(x), -1).view(np.uint8) for part in sketch(x)])
+                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(x), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                for p, planes in enumerate(_planes(dim, passes, bits)):
+                    key = pa.array((np.int64(p) << 51) + (np.int64(dim) << 32) + (x @ planes.T > 0) @ powers)
+                    if with_sketch:
+                        yield pa.RecordBatch.from_arrays([key, reps.take(rows), packed], ["key", "rep", "sketch"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([key], ["key"])
 
     return run
 
 
+def _cells(batches) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell (equal in the first two columns) of sorted batches."""
+    held = None
+    for batch in batches:
+        if held is not None and len(held):
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ends = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist()]
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            yield batch.slice(lo, hi - lo)
+        held = batch.slice(ends[-1])  # the next batch may go on with it
+    if held is not None and len(held):
+        yield held
+
+
+def _sides(cell: pa.RecordBatch, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows to be compared with each other: those of two blocks, or twice those
+    of one; None if there is nothing to compare."""
+    block = cell.column(1)[0].as_py()
+    if block >> 31 == block & (1 << 31) - 1:
+        every = np.arange(len(tags))
+        return (every, every) if len(tags) > 1 else None
+    left, right = np.flatnonzero(tags & 1 == 0), np.flatnonzero(tags & 1)
+    return (left, right) if len(left) and len(right) else None
+
+
 def _unite(near: np.ndarray, left: np.ndarray, right: np.ndarray, links: UnionFind) -> None:
-    """Link what is near, by a spanning forest: near-copies have far more pairs than that."""
+    """Link what is near, by a spanning forest: near copies have far more pairs than that."""
     label = np.arange(near.shape[1])
     for i in np.flatnonzero(near.any(axis=1)):
         met = np.unique(label[near[i]])
@@ -85,110 +140,201 @@ def _unite(near: np.ndarray, left: np.ndarray, right: np.ndarray, links: UnionFi
             label[np.isin(label, met)] = met[0]
 
 
-def _compare(cosine: float):
-    """Cells of rows of two blocks (side 0 and 1) of a bucket, or of one (lo = hi), in order;
-    a forest of the verified links of each partition."""
+def _look(cell: pa.RecordBatch, cosine: float, links: UnionFind, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Unites what is certainly near; the pairs that may be, or None if they are too many."""
+    tags = cell.column(2).to_numpy()
+    sides = _sides(cell, tags)
+    none = np.empty(0, np.int64)
+    if sides is None:
+        return none, none
+    packed = np.frombuffer(b"".join(cell.column(3).to_pylist()), np.uint8).reshape(len(tags), -1)
+    q = packed[:, :-8].view(np.int8).astype(np.float32)
+    scale, off = (np.ascontiguousarray(packed[:, a:b]).view(np.float32)[:, 0].astype(np.float64) for a, b in ((-8, -4), (-4, packed.shape[1])))
+    q *= scale[:, None].astype(np.float32)
+    (left, right), same = sides, sides[0] is sides[1]
+    rep, most = tags >> 1, 2 * off.max() + off.max() ** 2 + ROUNDING
+    found_a, found_b, total, limit = [], [], 0, pairs * len(tags)
+    for k in range(0, len(left), STRIP):
+        rows = left[k : k + STRIP]
+        dots = q[rows] @ q[right].T
+        at, to = np.nonzero(dots >= cosine - most)
+        if same:
+            at, to = at[at + k < to], to[at + k < to]
+        if not len(at):
+            continue
+        dot, a, b = dots[at, to], rows[at], right[to]
+        bound = off[a] + (1 + off[a]) * off[b] + ROUNDING
+        sure = dot - bound >= cosine
+        near = np.zeros(dots.shape, dtype=bool)
+        near[at[sure], to[sure]] = True
+        _unite(near, rep[rows], rep[right], links)
+        perhaps = ~sure & (dot + bound >= cosine)
+        if total > limit or not perhaps.any():
+            continue
+        a, b = rep[a[perhaps]], rep[b[perhaps]]
+        ends, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = np.array([links.find(int(x)) if int(x) in links.up else int(x) for x in ends])[place]
+        apart = root[: len(a)] != root[len(a) :]
+        found_a.append(a[apart])
+        found_b.append(b[apart])
+        total += int(apart.sum())
+    if total > limit:
+        return None
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+LINK, PERHAPS, DENSE = 0, 1, 2
+FOUND = "kind int, a long, b long, key long, block long"
+
+
+def _found(kind: int, a, b, key=None, block=None) -> pa.RecordBatch:
+    n = len(a)
+    fill = lambda x: pa.array(np.full(n, x or 0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), fill(key), fill(block)], ["kind", "a", "b", "key", "block"])
+
+
+def _forest(links: UnionFind) -> pa.RecordBatch:
+    forest = links.forest()
+    return _found(LINK, [a for a, _ in forest], [b for _, b in forest])
+
+
+def _compare_sketches(cosine: float, most: int):
+    """Rows: key, block, tag, sketch. A forest of the certain links of the
+    partition; pairs that may be links; the rows of cells with too many of these."""
 
-    def run(frames):
+    def run(batches):
         links = UnionFind()
+        for cell in _cells(batches):
+            pairs = _look(cell, cosine, links, most)
+            if pairs is None:
+                tags = cell.column(2).to_numpy()
+                yield _found(DENSE, tags, np.zeros_like(tags), cell.column(0)[0].as_py(), cell.column(1)[0].as_py())
+            elif len(pairs[0]):
+                yield _found(PERHAPS, *pairs)
+        yield _forest(links)
+
+    return run
+
+
+def _compare_vectors(cosine: float):
+    """Rows: key, block, tag, vec. A forest of the links of the partition."""
+
+    def run(batches):
+        links = UnionFind()
+        for cell in _cells(batches):
+            tags = cell.column(2).to_numpy()
+            sides = _sides(cell, tags)
+            if sides is not None:
+                x, (left, right) = _matrix(cell.column(3)), sides
+                for k in range(0, len(left), STRIP):
+                    near = x[left[k : k + STRIP]] @ x[right].T >= cosine
+                    _unite(near, tags[left[k : k + STRIP]] >> 1, tags[right] >> 1, links)
+        yield _forest(links)
+
+    return run
 
-        def cell(rows: pd.DataFrame) -> None:
-            if len(rows) < 2:
-                return
-            x, rep, side = _unit(list(rows["vec"])), rows["rep"].to_numpy(), rows["side"].to_numpy()
-            if rows["lo"].iat[0] == rows["hi"].iat[0]:
-                near = x @ x.T >= cosine
-                np.fill_diagonal(near, False)
-                _unite(near, rep, rep, links)
-            elif 0 < (right := side == 1).sum() < len(rows):
-                _unite(x[~right] @ x[right].T >= cosine, rep[~right], rep[right], links)
-
-        held = None
-        for frame in frames:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            keys = frame[CELL].to_numpy()
-            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
-            for lo, hi in zip(ends, ends[1:]):  # noqa: B905
-                cell(frame.iloc[lo:hi])
-            held = frame.iloc[ends[-1] :]  # the next frame may go on with it
-        if held is not None:
-            cell(held)
-        forest = links.forest()
-        yield pd.DataFrame({"a": [a for a, _ in forest], "b": [b for _, b in forest]}, dtype="int64")
+
+def _verify(cosine: float):
+    """Rows: a, b, u, v. The pairs whose vectors u, v are near."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, u, v = batch.columns
+            dims = u.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                rows = pa.array(np.flatnonzero(dims == dim))
+                near = (_matrix(u.take(rows)) * _matrix(v.take(rows))).sum(axis=1) >= cosine
+                yield _found(LINK, a.take(rows).to_numpy()[near], b.take(rows).to_numpy()[near])
 
     return run
 
 
-def _block_counts(cosine: float):
-    """Links between two blocks of one component, as (rep, weight of partners)."""
+def _count(cosine: float):
+    """Rows: root, block, tag, n, vec. How many vectors each row has links to in its cell."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        out = []
-        if len(left) and key[1] == key[2]:
-            x, w = _unit(list(left["vec"])), left["n"].to_numpy()
-            near = x @ x.T >= cosine
-            np.fill_diagonal(near, False)
-            out.append((left["rep"], near @ w))
-        elif len(left) and len(right):
-            near = _unit(list(left["vec"])) @ _unit(list(right["vec"])).T >= cosine
-            out += [(left["rep"], near @ right["n"].to_numpy()), (right["rep"], left["n"].to_numpy() @ near)]
-        return pd.concat([pd.DataFrame({"rep": r.to_numpy(), "links": np.asarray(c, np.int64)}) for r, c in out] or [pd.DataFrame({"rep": [], "links": []}, dtype="int64")])
+    def run(batches):
+        for cell in _cells(batches):
+            tags, n = cell.column(2).to_numpy(), cell.column(3).to_numpy()
+            sides = _sides(cell, tags)
+            if sides is None:
+                continue
+            x, (left, right) = _matrix(cell.column(4)), sides
+            same, counts = left is right, np.zeros(len(tags), np.int64)
+            for k in range(0, len(left), STRIP):
+                rows = left[k : k + STRIP]
+                near = x[rows] @ x[right].T >= cosine
+                if same:
+                    near[np.arange(len(rows)), rows] = False
+                else:
+                    counts[right] += n[rows] @ near
+                counts[rows] += near @ n[right]
+            yield pa.RecordBatch.from_arrays([pa.array(tags >> 1), pa.array(counts)], ["rep", "links"])
 
     return run
 
 
+def _in_cells(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Each row once for every block that its own is compared with: block names
+    the two, tag is rep and the side. Sorted by cell, a cell in one partition."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    out = rows.withColumn("blocks", blocks.cast("long")).withColumn("own", block)
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other")
+    tag = F.shiftleft("rep", 1) + (F.col("own") > F.col("other")).cast("long")
+    more = [c for c in rows.columns if c not in (key, "rep", "blocks")]
+    cells = out.select(key, pair.alias("block"), tag.alias("tag"), *more)
+    return cells.repartition(shuffle_partitions(rows.sparkSession), key, "block").sortWithinPartitions(key, "block")
+
+
+def _links(classes: DataFrame, cosine: float, window: int) -> DataFrame:
+    """(a, b): links found, by rep, enough to join all that are."""
+    count = classes.count()
+    passes, bits = passes_for(count, cosine, window), bits_for(count, window)
+    few = classes.select("rep", "vec")
+    keys = few.mapInArrow(_project(passes, bits, False), "key long").groupBy("key").count()
+    large = materialize(keys.where(F.col("count") > LARGE).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "large")
+    dealt = few.mapInArrow(_project(passes, bits), "key long, rep long, sketch binary")
+    dealt = dealt.withColumn("blocks", F.lit(1)) if large.isEmpty() else dealt.join(large, "key", "left")
+    found = _in_cells(dealt, "key", F.coalesce("blocks", F.lit(1))).mapInArrow(_compare_sketches(cosine, PAIRS), FOUND)
+    found = materialize(found, "found")
+    pairs = found.where(F.col("kind") == PERHAPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda end, name: few.select(F.col("rep").alias(end), F.col("vec").alias(name))
+    verified = pairs.join(of("a", "u"), "a").join(of("b", "v"), "b").select("a", "b", "u", "v").mapInArrow(_verify(cosine), FOUND)
+    dense = found.where(F.col("kind") == DENSE).select("key", "block", F.col("a").alias("tag"), F.shiftright("a", 1).alias("rep"))
+    dense = dense.join(few, "rep").select("key", "block", "tag", "vec").repartition(shuffle_partitions(classes.sparkSession), "key", "block")
+    compared = dense.sortWithinPartitions("key", "block").mapInArrow(_compare_vectors(cosine), FOUND)
+    return found.where(F.col("kind") == LINK).unionByName(verified).unionByName(compared).select("a", "b")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     A vector that is null, empty, zero or holds a null or non-finite component
     links with nothing, itself included: no links, its own component. Vectors
     of different lengths never link. Equal vectors count as links of each other;
-    rows that repeat an id count as one each. Other columns aren't carried.
+    rows that repeat an id count as one each; null ids stay, and name no
+    component. An empty table gives an empty one; other columns aren't carried.
     """
-    spark = vectors.sparkSession
-    vec = vectors[vec_col].cast("array<double>")
-    bad = F.coalesce(F.exists(vec, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
-    valid = ~bad & F.exists(vec, lambda v: v != 0)
-    digest = F.when(valid, F.sha2(F.array_join(F.transform(vec, lambda v: (v + F.lit(0.0)).cast("string")), ","), 256))
-    rows = materialize(vectors.select(vectors[id_col].cast("long").alias("vec_id"), digest.alias("digest"), F.when(valid, vec).alias("vec")), "vectors")
+    ids, given = column(vectors, id_col).cast("long"), column(vectors, vec_col)
+    exact = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
+    wide = given.cast("array<double>")
+    bad = F.coalesce(F.exists(wide, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
+    valid = ~bad & F.exists(wide, lambda v: v != 0)
+    digest = F.when(valid, F.sha2(F.array_join(F.transform(wide, lambda v: (v + F.lit(0.0)).cast("string")), ","), 256))
+    rows = materialize(vectors.select(ids.alias("vec_id"), digest.alias("digest"), F.when(valid, given.cast(exact)).alias("vec")), "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("vec").alias("vec"))
-    classes = materialize(classes.withColumn("rep", F.xxhash64("digest")), "classes")
-    count = classes.count()
-    passes, bits = passes_for(count, cosine, window), bits_for(count, window)
-    bucket = ["pass", "dim", "bucket"]
-    buckets = classes.select("rep", "vec").mapInArrow(_project(passes, bits, False), "pass int, dim int, bucket long").groupBy(*bucket).agg(F.count(F.lit(1)).alias("__rows"))
-    large = materialize(buckets.where(F.col("__rows") > BLOCK).select(*bucket, F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")), "large")
-    dealt = classes.select("rep", "vec").mapInArrow(_project(passes, bits), "pass int, dim int, bucket long, rep long, vec array<double>")
-    dealt = dealt.withColumn("blocks", F.lit(1)) if large.isEmpty() else dealt.join(large, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    ordered = (
-        dealt.select(*bucket, "rep", "vec", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(*bucket, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "vec")
-        .repartition(shuffle_partitions(spark), *CELL)
-        .sortWithinPartitions(*CELL)
-    )
-    links = ordered.mapInPandas(_compare(cosine), "a long, b long")
-    roots = connected_components(links)
-    named = materialize(classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left"), "named")
-    linked = named.where("root is not null")
-    sizes = materialize(linked.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
-    blocked = linked.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = blocked.select("root", "rep", "n", "vec", "block", others).select(
-        "root",
-        F.least("block", "other").alias("lo"),
-        F.greatest("block", "other").alias("hi"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-        "rep", "n", "vec",
-    )
-    counts = pairs.groupBy("root", "lo", "hi").applyInPandas(_block_counts(cosine), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    least = materialize(linked.groupBy("root").agg(F.min("first").alias("least")), "least")
-    whole = named.join(least, "root", "left").join(counts, "rep", "left")
-    of = materialize(whole.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "first").alias("least")), "links")
-    out = rows.select("vec_id", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("vec_id").cast("string"))).alias("digest")).join(of, "digest", "left")
+    # numbered once: the table that is written is what later steps read, so a number names one class
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    roots = connected_components(_links(classes, cosine, window)).withColumnRenamed("id", "rep")
+    linked = materialize(classes.select("rep", "first", "n", "vec").join(roots, "rep"), "linked")
+    of = materialize(linked.groupBy("root").agg(F.count(F.lit(1)).alias("g"), F.min("first").alias("least")), "components")
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(SMALLEST), F.ceil(F.col("g") / PARTS)))
+    blocks = linked.join(of.select("root", F.ceil(F.col("g") / size).alias("blocks")), "root").select("root", "rep", "n", "vec", "blocks")
+    counts = _in_cells(blocks, "root", F.col("blocks")).mapInArrow(_count(cosine), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    of_rep = linked.select("rep", "root").join(of.select("root", "least"), "root").join(counts, "rep", "left").select("rep", "least", "links")
+    named = classes.select("digest", "rep", "n", "first").join(materialize(of_rep, "named"), "rep", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("n") - 1
+    whole = materialize(named.select("digest", links.alias("links"), F.coalesce("least", "first").alias("least")), "links")
+    out = rows.select("vec_id", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("vec_id").cast("string"))).alias("digest")).join(whole, "digest", "left")
     component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

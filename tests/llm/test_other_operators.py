@@ -125,16 +125,77 @@ def test_links_do_not_depend_on_partitions(spark):
     assert missed <= 10
 
 
-def test_blocks_of_a_large_component(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+@pytest.mark.parametrize("pairs", [4, 0])
+def test_blocks_of_a_large_component(spark, monkeypatch, pairs):
+    """Small blocks throughout, and, without pairs looked at one by one, whole cells with their vectors."""
+    for name, value in (("LARGE", 20), ("BLOCK", 16), ("SMALLEST", 8), ("PARTS", 5), ("PAIRS", pairs)):
+        monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(6)
     hot = rng.normal(size=8)
-    vectors = [(i, (hot + 0.18 * rng.normal(size=8)).tolist()) for i in range(120)]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()
+    vectors = [(i, (hot + 0.18 * rng.normal(size=8)).tolist()) for i in range(120)] + [(200 + i, rng.normal(size=8).tolist()) for i in range(60)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), window=16).collect()
     rounded = [(i, np.array(v, dtype=np.float32).astype(float).tolist()) for i, v in vectors]
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute_links(rounded)
 
 
+def test_sketches_bound_the_cosine():
+    rng = np.random.default_rng(3)
+    for dim in (1, 2, 64, 900):
+        x = rng.normal(size=(200, dim)) * rng.choice([1.0, 50.0], size=(200, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q, scale, off = embedding_dedup.sketch(x)
+        rough = (q.astype(np.float32) * scale[:, None]) @ (q.astype(np.float32) * scale[:, None]).T
+        bound = off[:, None] + (1 + off[:, None]) * off[None, :] + embedding_dedup.ROUNDING
+        assert (np.abs(rough - x @ x.T) <= bound).all() and bound.max() < 0.2
+
+
+def test_cells_of_sketches_lose_no_link():
+    """What is united at once is a link; every link is united, or among the pairs to be looked at, or too many are."""
+    import pyarrow as pa
+
+    from ledgerline.llm.common import UnionFind
+
+    rng = np.random.default_rng(9)
+    for case in range(30):
+        centres = rng.normal(size=(6, 24))
+        x = np.concatenate([c + (0.02 + 0.05 * (case % 6)) * rng.normal(size=(50, 24)) for c in centres])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        packed = [bytes(r) for r in np.hstack([part.reshape(len(x), -1).view(np.uint8) for part in embedding_dedup.sketch(x)])]
+        two = case % 2
+        side = rng.integers(0, 2, len(x)) * two
+        cell = pa.RecordBatch.from_arrays([pa.array([1] * len(x)), pa.array([two] * len(x)), pa.array(np.arange(len(x)) * 2 + side), pa.array(packed, pa.binary())], ["key", "block", "tag", "sketch"])
+        links = UnionFind()
+        found = embedding_dedup._look(cell, 0.95, links)
+        dots, exact, near = x @ x.T, UnionFind(), UnionFind()
+        for i in range(len(x)):
+            for j in range(i):
+                if dots[i, j] >= 0.95 and (not two or side[i] != side[j]):
+                    exact.link(i, j)
+        for i, j in links.forest():
+            near.link(i, j)
+        assert all(exact.find(i) == exact.find(j) for i, j in links.forest())
+        if found is not None:
+            for i, j in zip(*found, strict=True):
+                if dots[i, j] >= 0.95:
+                    near.link(int(i), int(j))
+            assert all((near.find(i) == near.find(j)) == (exact.find(i) == exact.find(j)) for i in range(0, len(x), 7) for j in range(len(x)))
+
+
+def test_recall_on_anisotropic_vectors(spark):
+    """Vectors with a mean cosine of about 0.69 and planted pairs at 0.952, all apart from each other."""
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    mean = unit(rng.normal(size=64))
+    x = unit(mean + 0.084 * rng.normal(size=(16_000, 64)))
+    assert 0.66 < float((x[:500] @ x[:500].T).mean()) < 0.72
+    side = rng.normal(size=(500, 64))
+    side = unit(side - x[:500] * (side * x[:500]).sum(axis=1, keepdims=True))
+    y = 0.952 * x[:500] + np.sqrt(1 - 0.952**2) * side
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[16_000 + i] == got[i] for i in range(500)) >= 495
+
+
 ARTICLE = "<article><h1>Big  news</h1><p><b>First</b> line &amp; more&nbsp;text.<br>Same block<p>Second para, long enough to matter here.</article>"
 
 
