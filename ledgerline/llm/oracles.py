@@ -27,7 +27,7 @@ crc AS (SELECT doc_id, CAST(length(h) // 2 + 16 AS BIGINT) AS size,
 cost AS (SELECT doc_id, s AS shard, {_shard_cost("s")} AS cost FROM documents, (SELECT unnest(range(41)) AS s)),
 best AS (SELECT doc_id, arg_min(CASE WHEN shard < 40 THEN shard END, CASE WHEN shard < 40 THEN (cost, shard) END) AS shard, arg_min(shard, (cost, shard)) AS grown_shard FROM cost GROUP BY doc_id)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)
+       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':' || CAST(text_crc32 AS VARCHAR)), 1, 8) AS BIGINT)
            % (SELECT greatest(1, -(-count(*) // ({BUCKET_ROWS} * 40))) FROM documents), doc_id, text_crc32, size) - 1 AS slot,
        CAST(grown_shard AS INTEGER) AS grown_shard FROM crc JOIN best USING (doc_id)
 """

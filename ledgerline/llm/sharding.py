@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import column, materialize, shuffle_partitions
 
 #: rows of a shard that are numbered in one window partition, about
 BUCKET_ROWS = 5_000
+#: equal rows that one task deals out
+COPIES = 100_000
 
 
 def _cost(key: Column, shard: Column, weight: Column) -> Column:
@@ -41,32 +43,40 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], grown: float = 1.0,
     under which grown_shard is the new place. Null ids share one key, null texts
     have size 16 and the crc of no bytes. Repeated rows go to the same shard in
     slots of their own; an empty table gives an empty one; other columns aren't
-    carried.
+    carried. Slots have no gaps; their order within a shard goes by buckets,
+    whose number grows with the table, so it is another one for more rows.
+
+    Rows that are equal in what is returned are counted before they are
+    numbered, and dealt out again afterwards, COPIES at a time; rows that only
+    share an id (or have none) are in buckets by their text's crc as well.
     """
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    doc_id = docs[id_col].cast("long")
+    text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
     few = docs.select(
-        doc_id.alias("doc_id"),
+        column(docs, id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
     )
+    rows = materialize(few.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "counted")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     n = len(weights)
-    rows = few.withColumn("best", winner(key, weights)).withColumn("extra", _cost(key, F.lit(n), F.lit(float(grown))))
+    rows = rows.withColumn("best", winner(key, weights)).withColumn("extra", _cost(key, F.lit(n), F.lit(float(grown))))
     rows = rows.select(
-        "doc_id", "size", "text_crc32", F.col("best.shard").alias("shard"),
+        "doc_id", "size", "text_crc32", "n", F.col("best.shard").alias("shard"),
         F.when(F.col("extra") < F.col("best.cost"), F.lit(n)).otherwise(F.col("best.shard")).alias("grown_shard"),
     )
     rows = materialize(rows, "sharded")
     buckets = max(1, -(-rows.count() // (BUCKET_ROWS * max(1, n))))
-    spread = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+    spread = F.conv(F.substring(F.md5(F.concat_ws(":", key, F.col("text_crc32").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
-    numbered = rows.withColumn("place", place)
-    return numbered.join(offsets, ["shard", "bucket"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"), "grown_shard"
-    )
-
+    counts = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("m"))
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"))
+    place = F.sum("n").over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
+    numbered = rows.withColumn("place", place - F.col("n")).join(offsets, ["shard", "bucket"])
+    first = (F.col("offset") + F.col("place")).alias("slot")
+    out = materialize(numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", first, "grown_shard", "n"), "numbered")
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    chunks = out.where("n > 1").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    again = chunks.repartition(shuffle_partitions(docs.sparkSession), "doc_id", "size", "text_crc32", "k")
+    again = again.withColumn("j", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + COPIES, F.col("n")) - 1))).withColumn("slot", F.col("slot") + F.col("j"))
+    return out.where("n = 1").select(names).unionByName(again.select(names))

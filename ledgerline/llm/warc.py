@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import column, materialize, scratch_path
 
 #: an archive file is closed once it has this many bytes
 SEGMENT = 8 << 20
@@ -82,8 +82,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     group has no other). A null page is an empty payload. Written through
     Spark's own writer, so any file system it knows will do; each file ends in
     a zero byte, which gzip readers take as padding."""
-    html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
-    few = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), html.alias("html"))
+    html = F.coalesce(column(pages, html_col).cast("string"), F.lit(""))
+    few = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).cast("string").alias("url"), html.alias("html"))
     few = few.withColumn("digest", F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary"))))
     groups = few.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     # a table: small enough to broadcast or not is then known to the planner, and a hot digest may be split
@@ -239,11 +239,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read, RECORDS)
 
 
+def intact(rows: DataFrame) -> DataFrame:
+    """The records of read_archives(); any gap is an error."""
+    lost = F.raise_error(F.concat(F.lit("gap in "), F.coalesce("file", F.lit("?")), F.lit(" at "), F.col("at").cast("string"), F.lit(": "), F.coalesce("why", F.lit("?"))))
+    return rows.withColumn("page_id", F.when(F.col("kind") == "gap", lost.cast("long")).otherwise(F.col("page_id"))).drop("kind")
+
+
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the archives to the shared folder and reads them back: page_id,
     payload_bytes, payload_digest, record_type, refers_to. An empty table has an
-    empty archive; repeated rows have a record each; other columns aren't carried."""
+    empty archive; repeated rows have a record each; other columns aren't
+    carried. What was just written must be whole: a gap fails the query."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
-    return read_archives(spark, path).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return intact(read_archives(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

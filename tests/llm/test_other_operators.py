@@ -35,6 +35,36 @@ def test_shards_move_few_records(spark):
     assert sharding.assign_shards(docs.limit(0), weights).count() == 0
 
 
+def test_hot_ids_are_numbered_apart(spark, monkeypatch):
+    """Equal rows and rows without an id, far more than a bucket holds, get slots without gaps."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(1, "same")] * 300 + [(None, f"t{i}") for i in range(400)] + [(None, None)] * 50 + [(i, "x") for i in range(2, 200)]
+    out = sharding.assign_shards(spark.createDataFrame(rows, DOCS).repartition(3), [1.0, 1.0, 1.0]).collect()
+    assert collections.Counter((r.doc_id, r.text_crc32) for r in out) == collections.Counter((d, zlib.crc32((t or "").encode())) for d, t in rows)
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in out if r.doc_id is None}) == len({r.shard for r in out if r.doc_id == 1}) == 1
+
+
+def test_gaps_fail_the_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "p" * 50 * i) for i in range(9)], PAGES)
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "a"))
+    whole = warc.read_archives(spark, str(tmp_path / "a"))
+    assert warc.intact(whole).count() == 9
+    part = next((tmp_path / "a").glob("part-*"))
+    data = bytearray(part.read_bytes())
+    data[len(data) // 2] ^= 255
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc.gz").write_bytes(data)
+    torn = warc.read_archives(spark, str(tmp_path / "b"))
+    assert torn.where("kind = 'record'").count() == 8 and torn.where("kind = 'gap'").count() == 1
+    with pytest.raises(Exception, match="gap in"):
+        warc.intact(torn).collect()
+
+
 def brute_links(vectors):
     ids = [i for i, _ in vectors]
     unit = []
