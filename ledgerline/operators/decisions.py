@@ -23,6 +23,23 @@ RETRY_SECONDS = 120
 
 #: Weights of the efficiency score and of the token cost
 EFFICIENCY_SCALE, ACTION_COST = 0.43, 1.5
+#: Reasons and decisions by which events are classed
+DRIFT_REASON, AWAY_REASON = "plan_impl_drift", "sidecar_unavailable"
+CAUGHT = ("blocked", "warn", "shadow_blocked")
+OVERRIDES = ("operator_override", "allowed_via_override")
+SELF_PROTECTION = ("shell_escape", "guard_file_locked", "language_fingerprint_violation")
+#: Pain categories, with their sources, pieces of reasons, decisions
+PAIN = {
+    "1_scope_creep": (("plan_grounding",), ("plan_grounding", "off_plan", "not_in_plan"), ()),
+    "2_pattern_blindness": (("novelty", "session_centroid_drift", "project_fan_in", "project_coupling"), ("novelty", "centroid_drift", "fan_in", "coupling"), ()),
+    "3_spec_drift": (("plan_quality", "decomposition_recipe"), ("cgs_below", "plan_quality", "decomp", "framework_pivot", "boundary_prose"), ()),
+    "4_token_waste": (("hard_cap", "bm25_fallback"), ("hard_cap_exceeded", "timeout", "gen_timeout"), ()),
+    "5_local_only_violations": (("network_exfil",), ("non_loopback", "external_nic"), ()),
+    "6_hallucinated_apis": (("validate_imports", "rule_engine_import", "forbid_import"), ("unknown_module", "unknown_symbol", "forbid_import"), ()),
+    "7_runtime_enforcement": ((), (), ("blocked", "exit_block", "exit_blocked")),
+    "8_over_engineering": (("plan_loc", "phase_ratio"), ("loc_block", "loc_budget", "phase_to_file_ratio", "per_file_loc"), ()),
+    "9_repo_conventions": (("lang_lock", "rule_engine_pattern", "forbid_pattern"), ("lang_lock", "forbid_pattern", "language_mismatch"), ()),
+}
 #: Drift allowance, alarm level and days until an alarm is stale
 DRIFT_SLACK, DRIFT_ALARM, STALE_DAYS = 0.02, 0.06, 14
 
@@ -31,27 +48,36 @@ def count_where(condition: Column) -> Column:
     return F.coalesce(F.sum(condition.cast("long")), F.lit(0).cast("long"))
 
 
-def severity(decision: Column, source: Column, latency: Column) -> Column:
-    """Ordered: the first that holds."""
+def severity(reason: Column, decision: Column, gate: Column) -> Column:
+    """Class of an event by its decision, reason and gate; the first that holds. Nulls match nothing."""
+    r, d = F.lower(F.coalesce(reason, F.lit(""))), F.lower(F.coalesce(decision, F.lit("")))
+    gate = F.coalesce(gate, F.lit(""))
     return (
-        F.when(decision.isin(*BLOCKING) & (source == "contract"), "critical")
-        .when(decision.isin(*BLOCKING), "high")
-        .when(decision == "warn", "medium")
-        .when(latency > 1500, "slow")
-        .when(decision == "allow", "low")
+        F.when(d == "fail-open", "fail_open")
+        .when(d == "shadow_blocked", "shadow")
+        .when(d.isin(*OVERRIDES), "override")
+        .when(r.contains("contract_violation"), "contract")
+        .when(r.contains("oracle"), "oracle")
+        .when(r.startswith("rule_engine:"), "rule_engine")
+        .when(r == DRIFT_REASON, "plan_grounding")
+        .when(r.isin(*SELF_PROTECTION) | r.startswith("kill_switch") | r.startswith("magic_comment"), "self_protection")
+        .when((gate == "plan_grounding") | r.contains("plan"), "plan_grounding")
+        .when(gate == "rules", "rule_engine")
         .otherwise("other")
     )
 
 
-def pain_categories(decision: Column, source: Column, latency: Column) -> Column:
-    """All categories that hold; a source of its own settles it alone."""
-    tests = F.array(
-        F.when(decision.isin(*BLOCKING), "blocked"),
-        F.when(decision == "warn", "warned"),
-        F.when(latency > 1500, "slow"),
-        F.when(decision == "check", "verified"),
-    )
-    return F.when(source == "contract", F.array(F.lit("contract"))).otherwise(F.filter(tests, lambda x: x.isNotNull()))
+def pain_categories(source: Column, reason: Column, decision: Column) -> Column:
+    """All categories that hold, in their order: the event's source, a piece of its reason or its decision is one of theirs."""
+    s, r, d = (F.lower(F.coalesce(x, F.lit(""))) for x in (source, reason, decision))
+    found = []
+    for name, (sources, pieces, decisions) in PAIN.items():
+        tests = [s.isin(*sources)] * bool(sources) + [r.contains(x) for x in pieces] + [d.isin(*decisions)] * bool(decisions)
+        any_ = tests[0]
+        for t in tests[1:]:
+            any_ = any_ | t
+        found.append(F.when(any_, F.lit(name)))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def in_window(df: DataFrame, after: str | None, before: str | None) -> DataFrame:
@@ -89,13 +115,28 @@ def benchmark(log: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def efficiency(log: DataFrame) -> DataFrame:
-    """max(0, caught - false) per second of latency, scaled by how often the scorer was there."""
-    caught, false = count_where(F.col("decision").isin(*BLOCKING)), count_where(F.col("retry_after_block"))
-    seconds = F.coalesce(F.sum("latency_ms"), F.lit(0)) / 1000
-    away = F.coalesce(count_where(F.col("latency_ms").isNull()) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0))
-    gain = F.greatest(F.lit(0), caught - false) / (seconds + 1) * EFFICIENCY_SCALE
-    return log.agg(caught.alias("caught"), false.alias("false_blocks"), F.round(gain * F.greatest(F.lit(0.0), 1 - away), 8).alias("score"))
+def efficiency(log: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Drift that the plan gate caught, less what was false, per second of
+    latency, scaled by how often the scorer was there. One row; none for an
+    empty log.
+
+    Caught: reason plan_impl_drift, blocked, warned or blocked in shadow. False:
+    of these, a block that was retried at once, or whose decision was overridden
+    later (overrides: file_path, decision_id). log: decision_id, file_path,
+    decision, reason, retry_after_block, latency_ms.
+    """
+    links = overrides.select("file_path", "decision_id").distinct().withColumn("__linked", F.lit(True))
+    log = log.join(links, ["file_path", "decision_id"], "left")
+    reason, d = F.coalesce("reason", F.lit("")), F.col("decision")
+    caught = (reason == DRIFT_REASON) & d.isin(*CAUGHT)
+    retried = F.coalesce("retry_after_block", F.lit(False)) & (d == "blocked")
+    false = caught & (retried | F.coalesce("__linked", F.lit(False)))
+    n, away = F.count(F.lit(1)), count_where(reason.startswith(AWAY_REASON))
+    seconds = F.coalesce(F.sum("latency_ms"), F.lit(0)) / 1000.0
+    gain = F.greatest(F.lit(0), count_where(caught) - count_where(false)) / (seconds + 1) * EFFICIENCY_SCALE
+    score = gain * F.greatest(F.lit(0.0), 1 - away / F.greatest(n, F.lit(1)))
+    out = log.agg(n.alias("n_events"), count_where(caught).alias("caught"), count_where(false).alias("false_drifts"), F.round(score, 8).alias("score"))
+    return out.where("n_events > 0")
 
 
 def override_survival(log: DataFrame) -> DataFrame:
@@ -240,13 +281,15 @@ def unreviewed(changed: DataFrame, gated: DataFrame, acknowledged: DataFrame, on
     return changed.join(gated, on, "left_anti").join(acknowledged, on, "left_anti")
 
 
-def pain_report(log: DataFrame, categories: DataFrame, today: str) -> DataFrame:
-    """Totals and today's, with categories that never occur, and a verdict."""
-    hits = log.select(F.explode(pain_categories(F.col("decision"), F.col("signal_source"), F.col("latency_ms"))).alias("category"), F.to_date("ts").alias("day"))
+def pain_report(log: DataFrame, today: str) -> DataFrame:
+    """Per category its total, today's, and a verdict; categories that never occur too."""
+    cats = pain_categories(F.col("signal_source"), F.col("reason"), F.col("decision"))
+    hits = log.select(F.explode(cats).alias("category"), F.to_date("ts").alias("day"))
     counted = hits.groupBy("category").agg(F.count(F.lit(1)).alias("total"), count_where(F.col("day") == F.lit(today).cast("date")).alias("today"))
+    names = log.sparkSession.createDataFrame([(x,) for x in PAIN], "category string")
     total, day = F.coalesce("total", F.lit(0)), F.coalesce("today", F.lit(0))
     verdict = F.when(total == 0, "silent").when(total < 3, "weak").when(day == 0, "warm").otherwise("active")
-    return categories.join(counted, "category", "left").select("category", total.alias("total"), day.alias("today"), verdict.alias("verdict"))
+    return names.join(counted, "category", "left").select("category", total.alias("total"), day.alias("today"), verdict.alias("verdict"))
 
 
 def language_switches(log: DataFrame, home: str, least_files: int = 5, share: float = 0.33) -> DataFrame:

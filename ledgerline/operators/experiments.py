@@ -169,17 +169,38 @@ def holm(rows: DataFrame, by: list[str], p: str) -> DataFrame:
     return stepped.withColumn("p_holm", F.when(ok, F.least(F.lit(1.0), running))).drop("__raw")
 
 
-def sign_test_p(wins: int, losses: int) -> float:
-    """Exact two-sided."""
-    n = wins + losses
-    if not n:
+def _half_tail(k: int, n: int) -> float:
+    """P(X <= k) of n fair coins: exact sums up to 1,000 of them, else the last term and the falling ones below it."""
+    if k >= n:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(min(wins, losses) + 1))
-    return min(1.0, 2 * tail / 2**n)
-
-
-def sign_test(rows: DataFrame, by: list[str], delta: str) -> DataFrame:
-    exact = F.udf(sign_test_p, "double")
+    if n <= 1000:
+        return sum(math.comb(n, i) for i in range(k + 1)) / 2**n
+    if 2 * k > n:
+        return 1 - _half_tail(n - k - 1, n)
+    term = total = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    while k and term > total * 1e-17:
+        term *= k / (n - k + 1)
+        total += term
+        k -= 1
+    return total
+
+
+def sign_test_p(wins: int, losses: int, alternative: str = "greater") -> float:
+    """Binomial tail at one half: of as many wins or more, as few or fewer, or
+    twice the smaller of the two. 1 if there is neither a win nor a loss."""
+    n = wins + losses
+    if alternative == "greater":
+        return _half_tail(losses, n)
+    if alternative == "less":
+        return _half_tail(wins, n)
+    if alternative == "two-sided":
+        return min(1.0, 2 * _half_tail(min(wins, losses), n))
+    raise ValueError(alternative)
+
+
+def sign_test(rows: DataFrame, by: list[str], delta: str, alternative: str = "greater") -> DataFrame:
+    """wins, losses and the test's p; ties and nulls count as neither. One sum a group is taken in Python."""
+    exact = F.udf(lambda w, l: sign_test_p(w, l, alternative), "double")
     counts = rows.groupBy(*by).agg(count_where(F.col(delta) > 0).alias("wins"), count_where(F.col(delta) < 0).alias("losses"))
     return counts.withColumn("p", exact("wins", "losses"))
 
@@ -252,7 +273,7 @@ def bca(values: list[float], resamples: int = 10_000, seed: int = 42, level: flo
     return at((1 - level) / 2), at((1 + level) / 2)
 
 
-def bootstrap_means(rows: DataFrame, by: str, value: str, resamples: int = 2_000, seed: int = 42) -> DataFrame:
+def bootstrap_means(rows: DataFrame, by: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Interval of each group's mean; a group is one task, as resampling needs it whole."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,14 @@ from ledgerline.operators.vectors import clamp
 #: Scales of the eight risk dimensions, drift levels, least share of accepted steps, plan novelty and peers
 SCALES = (20.0, 8.0, 12.0, 40.0, 200.0, 40.0, 1.0, 1.0)
 DRIFT_WARN, DRIFT_DENY, STEP_SHARE, NOVELTY_CUT, LEAST_PEERS = 4.0, 6.0, 0.25, 1.8, 3
+#: Levels of the embedder gates, and whether they are reached from above
+EMBEDDER_GATES = {
+    "candidate_auc": (0.70, True),
+    "auc_inversion": (0.05, True),
+    "anisotropy_reduction": (0.04, True),
+    "latency_parity": (2.5, False),
+    "falsifiability": (0.55, False),
+}
 
 
 def risk_vector(deltas: Column, cold: Column) -> Column:
@@ -79,8 +87,29 @@ def step_labels(rows: DataFrame, run: str, step: str, accepted: str, outcome: st
     return rows.select(run, step, label.alias("label"))
 
 
-def embedder_verdict(auc: Column, anisotropy: Column, separation: Column, latency_ms: Column, n: Column) -> Column:
-    """All five gates, else the names of those that failed; NaN fails."""
-    checks = {"auc": auc >= 0.75, "anisotropy": anisotropy <= 0.5, "separation": separation >= 3.0, "latency": latency_ms <= 500, "size": n >= 30}
-    failed = F.concat_ws(",", *[F.when(~F.coalesce(ok & ~F.isnan(x.cast("double")), F.lit(False)), k) for (k, ok), x in zip(checks.items(), (auc, anisotropy, separation, latency_ms, n), strict=True)])
-    return F.when(failed == "", "accept").otherwise(failed)
+def embedder_gates(results: DataFrame, run: str, baseline: str, candidate: str, control: str) -> DataFrame:
+    """run, gate, passed, threshold, observed: five rows a run.
+
+    results: run, backend, auc, anisotropy, latency_ms (the median); one row a
+    backend. The candidate's AUC, its gain over the baseline, its fall in
+    anisotropy and its latency as a multiple of the baseline's have to be
+    measured (neither null nor NaN, a latency to compare with above 0) and good
+    enough; the control's AUC may be missing, else it has to be near chance.
+    """
+    of = lambda backend, x: F.max(F.when((F.col("backend") == backend) & ~F.isnan(F.col(x).cast("double")), F.col(x).cast("double")))
+    base_ms = of(baseline, "latency_ms")
+    observed = {
+        "candidate_auc": of(candidate, "auc"),
+        "auc_inversion": of(candidate, "auc") - of(baseline, "auc"),
+        "anisotropy_reduction": of(baseline, "anisotropy") - of(candidate, "anisotropy"),
+        "latency_parity": F.when(base_ms > 0, of(candidate, "latency_ms") / base_ms),
+        "falsifiability": of(control, "auc"),
+    }
+    wide = results.groupBy(run).agg(*[x.alias(f"__{k}") for k, x in observed.items()])
+    rows = []
+    for gate, (level, at_least) in EMBEDDER_GATES.items():
+        x = F.col(f"__{gate}")
+        ok = x >= level if at_least else x <= level
+        missing = gate == "falsifiability"
+        rows.append(F.struct(F.lit(gate).alias("gate"), F.coalesce(ok, F.lit(missing)).alias("passed"), F.lit(level).alias("threshold"), x.alias("observed")))
+    return wide.select(run, F.explode(F.array(*rows)).alias("g")).select(run, "g.*")

@@ -52,10 +52,15 @@ def first_seen(violations: DataFrame) -> DataFrame:
 
 
 def judged_outcome(scores: DataFrame, key: str, score: str) -> DataFrame:
-    """1 where more judges say good than bad, 0 where fewer; of equals the mean decides (above 3)."""
+    """resolved and regressed, each 0 or 1: where more judges score high than low,
+    or fewer; of equals the mean decides, if it is as high or as low as a score
+    has to be. Null scores aren't counted; a key without any is neither."""
     good, bad = F.count(F.when(F.col(score) >= GOOD, 1)), F.count(F.when(F.col(score) <= BAD, 1))
-    label = F.when(good > bad, 1).when(good < bad, 0).otherwise((F.avg(score) > 3).cast("int"))
-    return scores.groupBy(key).agg(good.alias("n_good"), bad.alias("n_bad"), label.alias("label"))
+    mean = F.avg(score)
+    flag = lambda ahead, behind, level: F.when(ahead > behind, 1).when(behind > ahead, 0).otherwise(F.coalesce(level.cast("int"), F.lit(0)))
+    return scores.groupBy(key).agg(
+        good.alias("n_high"), bad.alias("n_low"), flag(good, bad, mean >= GOOD).alias("resolved"), flag(bad, good, mean <= BAD).alias("regressed")
+    )
 
 
 def file_claims(claims: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -156,5 +161,8 @@ def shuffled_negatives(pairs: DataFrame, seed: str) -> DataFrame:
     return ordered.mapInArrow(_partners(after), T.StructType([T.StructField("id", kind), T.StructField("other_id", kind)]))
 
 
-def session_outcome(code: Column, missing: Column, infrastructure: Column) -> Column:
-    return F.when(infrastructure, "infrastructure").when((code == 0) & (missing == 0), "clean").otherwise("gap")
+def session_outcome(code: Column, missing: Column) -> Column:
+    """What a session's reconciliation says, by its return code and the number
+    of files without a gate event: clean, gap, or infrastructure for all else
+    (a code of 0 with missing files too, and a null code)."""
+    return F.when((code == 0) & (F.coalesce(missing, F.lit(0)) == 0), "clean").when(code == 1, "gap").otherwise("infrastructure")

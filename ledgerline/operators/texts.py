@@ -18,12 +18,44 @@ REDACTED = "[REDACTED]"
 
 #: Share and least count of the rare-token cutoff; sites and tokens of an extractable duplicate
 RARE_SHARE, RARE_LEAST, SITES, TOKENS = 0.03, 3, 3, 12
-#: Accept and warn levels of the plan score
+#: Accept and warn levels of the plan score, levels of its signals
 ACCEPT, WARN = 0.75, 0.5
-#: Mean and peak of the mock ratios
+LEVELS = {"ard": 0.4, "nrd": 0.2, "gpas": 0.15, "slr": 0.35}
+#: Where a plan's sentences end; files, endpoints and lines it refers to; risks by name; phrases that say nothing
+SENTENCE_END = r"(?U)[.!?](?=\s+[A-Z])|\n\n+|\n[-*]\s+"
+ARTIFACTS = (
+    r"(?U)\b[\w./-]+\.(?:ts|tsx|js|mjs|cjs|cs|py|vue|go|rs|sql|sh|json|yaml|yml|md|toml|ini)\b",
+    r"(?U)\B/[a-zA-Z][\w-]*(?:/[\w{}:.-]+)+\b",
+    r"(?U)(?::\d{2,}|line\s+\d+|L\d{2,})\b",
+)
+NAMED_RISKS = (
+    "N+1", "race condition", "race-condition", "TOCTOU", "deadlock",
+    "SQL injection", "SQLi", "XSS", "CSRF", "dead code",
+    "integer overflow", "null dereference", "unchecked exception",
+    "missing index", "coverage gap", "off-by-one", "double-free",
+    "use-after-free", "unbounded pagination", "missing auth check",
+    "open redirect", "ReDoS", "TOCTTOU", "type confusion",
+)
+GENERIC_PHRASES = (
+    "Read the diff", "Read full diff", "Re-read by file", "Check edge cases", "Verify it works", "Look for potential issues",
+    "Make sure tests pass", "Review the changes", "Check for correctness", "Ensure code quality", "Make sure the code is clean",
+)
+#: Mean and peak of the mock ratios; intercepted routes, stubs, id literals, calls that mock, calls of real clients
 MOCK_MEAN, MOCK_PEAK = 0.4, 0.6
-
-VAGUE = r"(?i)\b(?:maybe|somehow|various|etc|and so on|as needed|properly|appropriately)\b"
+INTERCEPT = r"""(?s)cy\.intercept\s*\(\s*["'`]([^"'`]*?)["'`](.*?)\)"""
+STUB = r"(?s)\{[^}]*?(?:fixture|statusCode|body)\s*:"
+ID_LITERAL = r"""["'`]([A-Za-z0-9_-]{6,40})["'`]"""
+MOCK_CALLS = (
+    r"\bjest\.mock\s*\(", r"\bvi\.mock\s*\(", r"\bsinon\.(?:stub|fake|mock|spy)\s*\(", r"\bnock\s*\(", r"\bMock<[^>]+>\s*\(", r"\bnew\s+Mock<[^>]+>\s*\(",
+    r"\.Setup\s*\(", r"\bMockBean\b", r"\bmock\s*\(\s*[A-Z]\w+::class", r"\bgomock\.NewController\b", r"@patch\s*\(", r"\bmocker\.patch\b",
+    r"\bresponses\.add\b", r"\brespx\.\w+\s*\(", r"\baioresponses\s*\(", r"\bsetupServer\s*\(", r"\brest\.(?:get|post|put|delete|patch)\s*\(",
+)
+CLIENT_CALLS = (
+    r"\baxios\.(?:get|post|put|delete|patch)\s*\(", r"\bfetch\s*\(\s*['\"]https?://", r"\brequests\.(?:get|post|put|delete|patch)\s*\(",
+    r"\bhttpx\.(?:get|post|put|delete|patch|Client)\s*\(", r"\bnew\s+HttpClient\b", r"\bWebApplicationFactory<", r"\bTestcontainers\.", r"\bGenericContainer\b",
+    r"\bPostgreSQLContainer\b", r"\bpsycopg\.\w+\.connect\b", r"\basyncpg\.connect\b", r"\bcreate_engine\s*\(", r"\bredis\.Redis\s*\(", r"\bgrpc\.insecure_channel\b",
+    r"\bboto3\.(?:client|resource)\s*\(", r"\bamqplib\.Connection\s*\(",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -108,34 +140,74 @@ def seeded_order(df: DataFrame, key: str, seed: str) -> DataFrame:
     return keyed.join(F.broadcast(offsets), "__b").withColumn("place", F.col("__o") + place).drop("__h", "__b", "__o")
 
 
+def sentences(text: Column) -> Column:
+    """Pieces between full stops before capitals, blank lines and bullets; blank ones left out."""
+    return F.filter(F.split(text, SENTENCE_END), lambda x: x.rlike(r"(?U)\S"))
+
+
+def artifacts(text: Column) -> Column:
+    """How many files, endpoints and lines a text refers to."""
+    return sum((F.regexp_count(text, F.lit(p)) for p in ARTIFACTS), F.lit(0))
+
+
 def plan_quality(text: Column) -> dict[str, Column]:
-    """Four shares in 0 to 1 and their mean: actionable lines, numbers, paths or
-    names, and specific (not vague) wording."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    n = F.greatest(F.size(lines), F.lit(1))
-    with_ = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p))) / n
-    parts = {
-        "actions": with_(r"^\s*(?:[-*]|[0-9]+[.)])?\s*[A-Za-z]+ [a-z]"),
-        "numbers": with_(r"[0-9]"),
-        "names": with_(r"[A-Za-z0-9_]+[./][A-Za-z0-9_]+"),
-        "specific": 1 - with_(VAGUE),
-    }
-    total = sum(parts.values(), F.lit(0.0)) / 4
-    return parts | {"score": total, "verdict": F.when(total >= ACCEPT, "accept").when(total >= WARN, "warn").otherwise("reject")}
-
-
-def mock_ratios(text: Column) -> dict[str, Column]:
-    """How much of a text looks made up: junk symbols, repeated lines, placeholder words."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    n_words = F.greatest(F.size(tokens(text)), F.lit(1))
-    parts = {
-        "symbols": F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / n_words),
-        "repeats": F.try_divide(F.size(lines) - F.size(F.array_distinct(lines)), F.greatest(F.size(lines), F.lit(1))),
-        "placeholders": F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"(?i)\b(?:foo|bar|baz|lorem|ipsum|todo|mock|dummy)\b")) / n_words),
+    """Signals of a plan, each per sentence, and the score of those that pass.
+
+    ard: artifacts referred to; nrd: named risks that occur; gpas: generic
+    phrases that occur, 1 at most; slr: sentences with an artifact. A quarter of
+    the score each for ard, nrd and slr of their levels at least, and for gpas
+    below its own. A null or blank plan scores 0 in all and is rejected.
+    """
+    text = F.coalesce(text, F.lit(""))
+    parts, low = sentences(text), F.lower(text)
+    n = F.size(parts)
+    per = lambda x: F.when(n > 0, x / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
+    hits = lambda phrases: sum((low.contains(p.lower()).cast("int") for p in phrases), F.lit(0))
+    out = {
+        "ard": per(artifacts(text)),
+        "nrd": per(hits(NAMED_RISKS)),
+        "gpas": F.least(F.lit(1.0), per(hits(GENERIC_PHRASES))),
+        "slr": per(F.size(F.filter(parts, lambda x: artifacts(x) > 0))),
     }
-    mean = sum(parts.values(), F.lit(0.0)) / 3
-    peak = F.greatest(*parts.values())
-    return parts | {"authenticity": 1 - mean, "mock": (mean >= MOCK_MEAN) & (peak >= MOCK_PEAK)}
+    passed = [out["ard"] >= LEVELS["ard"], out["nrd"] >= LEVELS["nrd"], out["gpas"] < LEVELS["gpas"], out["slr"] >= LEVELS["slr"]]
+    score = F.when(n > 0, sum((F.when(p, 0.25).otherwise(0.0) for p in passed), F.lit(0.0))).otherwise(F.lit(0.0))
+    return out | {"score": score, "verdict": F.when(score >= ACCEPT, "accept").when(score >= WARN, "warn").otherwise("reject")}
+
+
+def id_literals(text: Column) -> Column:
+    """The distinct quoted words of 6 to 40 letters, digits, hyphens and underscores."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ID_LITERAL), F.lit(1)))
+
+
+def mock_ratios(tests: DataFrame, seeds: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """How much a test file leans on mocks: key, intercepts, mocks, guests,
+    mean, peak, mocked, authenticity.
+
+    intercepts: share of intercepted routes that are wildcards answered by a
+    stub; mocks: share of mocking calls among these and calls of real clients;
+    guests: share of id literals that no seed file (seeds: text) has. A ratio
+    with nothing to count is 0, and so are guests where no seed has an id.
+    Mocked: a mean of 0.4 and a peak of 0.6 at least. Null texts count as empty;
+    keys are unique.
+    """
+    of = F.coalesce(text, F.lit(""))
+    routes, answers = (F.regexp_extract_all(of, F.lit(INTERCEPT), F.lit(k)) for k in (1, 2))
+    wild = lambda r: r.contains("**") | F.regexp_replace(r, r"(?U)^\s+|\s+$", "").isin("*", "/")
+    stub = lambda a: a.rlike(STUB) & ~a.contains("req.continue") & ~a.contains("passThrough")
+    flagged = F.size(F.filter(F.zip_with(routes, answers, lambda r, a: wild(r) & stub(a)), lambda x: x))
+    count = lambda patterns: sum((F.regexp_count(of, F.lit("(?U)" + p)) for p in patterns), F.lit(0))
+    share = lambda a, b: F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(F.lit(0.0))
+    rows = tests.select(F.col(key), share(flagged, F.size(routes)).alias("intercepts"), count(MOCK_CALLS).alias("__m"), count(CLIENT_CALLS).alias("__r"), id_literals(F.col(text)).alias("__ids"))
+    known = seeds.select(F.explode(id_literals(F.col(text))).alias("id")).distinct()
+    any_seed = known.limit(1).agg(F.count(F.lit(1)).alias("__any"))  # a row
+    met = rows.select(key, F.explode("__ids").alias("id")).join(known, "id", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("__met"))
+    rows = rows.join(met, key, "left").crossJoin(F.broadcast(any_seed))
+    n = F.size("__ids")
+    guests = F.when((n > 0) & (F.col("__any") > 0), 1 - F.coalesce("__met", F.lit(0)) / F.greatest(n, F.lit(1))).otherwise(F.lit(0.0))
+    rows = rows.select(key, "intercepts", share(F.col("__m"), F.col("__m") + F.col("__r")).alias("mocks"), guests.alias("guests"))
+    mean = (F.col("intercepts") + F.col("mocks") + F.col("guests")) / 3
+    rows = rows.withColumn("mean", mean).withColumn("peak", F.greatest("intercepts", "mocks", "guests"))
+    return rows.withColumn("mocked", (F.col("mean") >= MOCK_MEAN) & (F.col("peak") >= MOCK_PEAK)).withColumn("authenticity", 1 - F.col("mean"))
 
 
 def duplicate_definitions(new: DataFrame, old: DataFrame) -> DataFrame:

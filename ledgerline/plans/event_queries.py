@@ -78,19 +78,52 @@ def benchmark_by_source(spark, sf_dir):
     return D.benchmark(retried_log(spark, sf_dir), ["signal_source"])
 
 
-@query("""SELECT count_if(decision = 'block') AS caught, count_if(retry_after_block) AS false_blocks,
-                 round(greatest(0, count_if(decision = 'block') - count_if(retry_after_block)) / (sum(latency_ms) / 1000.0 + 1) * CAST(0.43 AS DOUBLE)
-                       * greatest(0.0, 1 - count_if(latency_ms IS NULL) / CAST(count(*) AS DOUBLE)), 8) AS score FROM retried""", f"{LOG}, {RETRY}")
+#: decisions, reasons, gates and sources of the stand-in audit trail, dealt by the events' ids and numbers
+DECISIONS = ("allowed", "blocked", "warn", "shadow_blocked", "fail-open", "Operator_Override", "allowed_via_override", "exit_block", "blocked")
+REASONS = (
+    "plan_impl_drift", "contract_violation: phase", "oracle_syntax", "ruff ORACLE failed", "rule_engine:no-eval", "shell_escape", "kill_switch_on", "magic_comment", "no plan yet",
+    "sidecar_unavailable: refused", "not_in_plan", "hard_cap_exceeded", "non_loopback peer", "unknown_symbol x", "loc_budget", "language_mismatch", "", None, "guard_file_locked", "fan_in high",
+)
+GATES = ("rules", "plan_grounding", None, "drift")
+SOURCES = ("plan_grounding", "novelty", "Plan_Quality", "bm25_fallback", "vector", None, "forbid_import", "phase_ratio")
+_sql = lambda xs: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in xs) + "]"
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+AUDIT = f"""audit AS (
+    SELECT event_id AS decision_id, ts, 'src/m' || {_K} % 7 AS file_path, {_sql(DECISIONS)}[1 + event_id % {len(DECISIONS)}] AS decision,
+           {_sql(REASONS)}[1 + ({_K} + event_id // 7) % {len(REASONS)}] AS reason, {_sql(GATES)}[1 + {_K} % {len(GATES)}] AS gate_id,
+           {_sql(SOURCES)}[1 + ({_K} + event_id) % {len(SOURCES)}] AS signal_source, {_K} % 5 = 0 AS retry_after_block,
+           CASE WHEN event_id % 17 > 0 THEN CAST(floor(value * 10) AS BIGINT) END AS latency_ms FROM events)"""
+
+
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, e = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
+    dealt = lambda xs, by: F.element_at(F.array(*[F.lit(x).cast("string") for x in xs]), (by % len(xs) + 1).cast("int"))
+    return events.select(
+        e.alias("decision_id"), "ts", F.concat(F.lit("src/m"), (k % 7).cast("string")).alias("file_path"), dealt(DECISIONS, e).alias("decision"),
+        dealt(REASONS, k + F.floor(e / 7)).alias("reason"), dealt(GATES, k).alias("gate_id"), dealt(SOURCES, k + e).alias("signal_source"),
+        (k % 5 == 0).alias("retry_after_block"), F.when(e % 17 > 0, F.floor(F.col("value") * 10).cast("long")).alias("latency_ms"),
+    )
+
+
+@query("""SELECT n_events, caught, false_drifts, round(greatest(0, caught - false_drifts) / (ms / 1000.0::DOUBLE + 1) * 0.43::DOUBLE * greatest(0.0::DOUBLE, 1 - away / CAST(n_events AS DOUBLE)), 8) AS score
+          FROM (SELECT count(*) AS n_events, count_if(drift) AS caught, count_if(drift AND ((retry_after_block AND decision = 'blocked') OR decision_id % 11 = 0)) AS false_drifts,
+                       sum(latency_ms) AS ms, count_if(reason LIKE 'sidecar_unavailable%') AS away
+                FROM (SELECT *, coalesce(reason = 'plan_impl_drift', FALSE) AND decision IN ('blocked', 'warn', 'shadow_blocked') AS drift FROM audit))""", AUDIT)
 def gate_efficiency(spark, sf_dir):
-    return D.efficiency(retried_log(spark, sf_dir))
+    log = audit_trail(spark, sf_dir)
+    return D.efficiency(log, log.where("decision_id % 11 = 0").select("file_path", "decision_id"))
 
 
-@query("""SELECT decision_id, CASE WHEN decision = 'block' AND signal_source = 'contract' THEN 'critical' WHEN decision = 'block' THEN 'high'
-                 WHEN decision = 'warn' THEN 'medium' WHEN latency_ms > 1500 THEN 'slow' WHEN decision = 'allow' THEN 'low' ELSE 'other' END AS severity
-          FROM log WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-05' AND strftime(ts, '%Y-%m-%d') < '2024-01-20'""")
+@query("""SELECT decision_id, CASE WHEN d = 'fail-open' THEN 'fail_open' WHEN d = 'shadow_blocked' THEN 'shadow' WHEN d IN ('operator_override', 'allowed_via_override') THEN 'override'
+                 WHEN contains(r, 'contract_violation') THEN 'contract' WHEN contains(r, 'oracle') THEN 'oracle' WHEN starts_with(r, 'rule_engine:') THEN 'rule_engine'
+                 WHEN r = 'plan_impl_drift' THEN 'plan_grounding' WHEN r IN ('shell_escape', 'guard_file_locked', 'language_fingerprint_violation') THEN 'self_protection'
+                 WHEN starts_with(r, 'kill_switch') OR starts_with(r, 'magic_comment') THEN 'self_protection' WHEN gate_id = 'plan_grounding' OR contains(r, 'plan') THEN 'plan_grounding'
+                 WHEN gate_id = 'rules' THEN 'rule_engine' ELSE 'other' END AS severity
+          FROM (SELECT *, lower(decision) AS d, lower(coalesce(reason, '')) AS r FROM audit) WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-05' AND strftime(ts, '%Y-%m-%d') < '2024-01-20'""", AUDIT)
 def severity_in_window(spark, sf_dir):
-    log = D.in_window(decision_log(spark, sf_dir), START, END)
-    return log.select("decision_id", D.severity(F.col("decision"), F.col("signal_source"), F.col("latency_ms")).alias("severity"))
+    log = D.in_window(audit_trail(spark, sf_dir), START, END)
+    return log.select("decision_id", D.severity(F.col("reason"), F.col("decision"), F.col("gate_id")).alias("severity"))
 
 
 @query("SELECT decision_id, retry_after_block FROM retried", f"{LOG}, {RETRY}")
@@ -232,17 +265,19 @@ def unreviewed_changes(spark, sf_dir):
     return D.unreviewed(files("allow").distinct(), files("check"), files("warn"), ["session_id", "file_path"])
 
 
-@query("""SELECT c.category, coalesce(total, 0) AS total, coalesce(today, 0) AS today,
+_ANY = " UNION ALL ".join(
+    f"SELECT '{name}' AS category, decision_id, ts FROM lowered WHERE " + " OR ".join([f"s IN ({', '.join(map(repr, sources))})"] * bool(sources) + [f"contains(r, '{x}')" for x in pieces] + [f"d IN ({', '.join(map(repr, decisions))})"] * bool(decisions))
+    for name, (sources, pieces, decisions) in D.PAIN.items()
+)
+
+
+@query(f"""SELECT c.category, coalesce(total, 0) AS total, coalesce(today, 0) AS today,
                  CASE WHEN coalesce(total, 0) = 0 THEN 'silent' WHEN total < 3 THEN 'weak' WHEN today = 0 THEN 'warm' ELSE 'active' END AS verdict
-          FROM (SELECT unnest(['contract', 'blocked', 'warned', 'slow', 'verified', 'injected']) AS category) c
-          LEFT JOIN (SELECT category, count(*) AS total, count_if(day = DATE '2024-01-30') AS today FROM (
-              SELECT CAST(ts AS DATE) AS day, unnest(CASE WHEN signal_source = 'contract' THEN ['contract'] ELSE list_filter([
-                  CASE WHEN decision = 'block' THEN 'blocked' END, CASE WHEN decision = 'warn' THEN 'warned' END,
-                  CASE WHEN latency_ms > 1500 THEN 'slow' END, CASE WHEN decision = 'check' THEN 'verified' END], lambda x: x IS NOT NULL) END) AS category FROM log)
-              GROUP BY 1) h ON h.category = c.category""")
+          FROM (SELECT unnest({_sql(D.PAIN)}) AS category) c
+          LEFT JOIN (SELECT category, count(*) AS total, count_if(CAST(ts AS DATE) = DATE '{TODAY}') AS today FROM ({_ANY}) GROUP BY 1) h ON h.category = c.category""",
+       AUDIT + ", lowered AS (SELECT *, lower(coalesce(signal_source, '')) AS s, lower(coalesce(reason, '')) AS r, lower(decision) AS d FROM audit)")
 def pain_report(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in ("contract", "blocked", "warned", "slow", "verified", "injected")], "category string")
-    return D.pain_report(decision_log(spark, sf_dir), names, TODAY)
+    return D.pain_report(audit_trail(spark, sf_dir), TODAY)
 
 
 @query("SELECT file_path, count(*) AS n FROM log GROUP BY file_path ORDER BY n DESC, file_path LIMIT 10")

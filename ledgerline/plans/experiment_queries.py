@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import experiments as E
+from ledgerline.operators import gates as G
 from ledgerline.plans.collect import collection
 
 RUNS = "runs AS (SELECT o_custkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'treatment' ELSE 'vanilla' END AS arm, o_orderkey, o_totalprice AS price, CAST(o_orderstatus = 'F' AS INTEGER) AS done, o_orderpriority AS stratum, o_orderstatus AS state FROM orders)"
@@ -144,16 +145,28 @@ def rate_counts(spark, sf_dir):
     return E.rate_bounds(runs(spark, sf_dir).withColumn("event", F.col("done") == 1), "stratum", "event").select("stratum", "k", "n")
 
 
-@query()
+#: bisection in SQL: 40 halvings of (0, 1) of the binomial sums, by a recursive expression
+_TERM = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+_CDF = "list_sum(list_transform(range(0, {k} + 1), lambda i: " + _TERM + "))"
+BOUNDS = f"""counts AS (SELECT stratum, count(CASE WHEN done = 1 THEN 1 END) AS k, count(*) AS n FROM runs GROUP BY ROLLUP (stratum)),
+    tried(stratum, k, n, step, a, b, c, d) AS (SELECT stratum, k, n, 0, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE FROM counts UNION ALL
+        SELECT stratum, k, n, step + 1, CASE WHEN low THEN (a + b) / 2 ELSE a END, CASE WHEN low THEN b ELSE (a + b) / 2 END, CASE WHEN high THEN (c + d) / 2 ELSE c END, CASE WHEN high THEN d ELSE (c + d) / 2 END
+        FROM (SELECT *, 1 - coalesce({_CDF.format(p="((a + b) / 2)", k="(k - 1)")}, 0) < 0.025::DOUBLE AS low, {_CDF.format(p="((c + d) / 2)", k="k")} > 0.025::DOUBLE AS high FROM tried WHERE step < 40))"""
+
+
+@query("""SELECT stratum, k, n, round(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE (a + b) / 2 END, 8) AS low, round(CASE WHEN k = n THEN 1.0::DOUBLE ELSE (c + d) / 2 END, 8) AS high FROM tried WHERE step = 40""", f"RECURSIVE {RUNS}, {BOUNDS}")
 def exact_rate_bounds(spark, sf_dir):
-    """The same with Clopper-Pearson bounds (bisection: tested against exact sums)."""
-    return E.rate_bounds(runs(spark, sf_dir).withColumn("event", F.col("done") == 1), "stratum", "event")
+    """Clopper-Pearson bounds per stratum and overall."""
+    got = E.rate_bounds(runs(spark, sf_dir).withColumn("event", F.col("done") == 1), "stratum", "event")
+    return got.select("stratum", "k", "n", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"))
 
 
-@query()
+@query("""SELECT stratum, wins, losses, round(list_sum(list_transform(range(0, losses + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) + (wins + losses) * ln(0.5::DOUBLE)))), 8) AS p
+          FROM (SELECT task % 7 AS stratum, count(CASE WHEN pa > pb THEN 1 END) AS wins, count(CASE WHEN pa < pb THEN 1 END) AS losses FROM pairs GROUP BY 1)""", f"{RUNS}, {PAIRS}")
 def sign_test(spark, sf_dir):
-    rows = pairs(spark, sf_dir).select(F.lit("price").alias("metric"), (F.col("price_treatment") - F.col("price_vanilla")).alias("d"))
-    return E.sign_test(rows, ["metric"], "d")
+    rows = pairs(spark, sf_dir).select((F.col("task") % 7).alias("stratum"), (F.col("price_treatment") - F.col("price_vanilla")).alias("d"))
+    got = E.sign_test(rows, ["stratum"], "d")
+    return got.withColumn("p", F.round("p", 8))
 
 
 @query("""SELECT stratum, round(b, 4) AS between, round(w, 4) AS within, round(b / (b + w), 6) AS icc FROM (SELECT stratum, var_samp(m) AS b, avg(v) AS w
@@ -179,3 +192,25 @@ def corpus_check(spark, sf_dir):
 def minimal_effect(spark, sf_dir):
     got = truth(spark, sf_dir).groupBy("lang").agg(E.minimal_effect(F.count(F.lit(1)), F.stddev_samp("n_chars")).alias("mde"))
     return got.select("lang", F.round("mde", 4).alias("mde"))
+
+
+BACKENDS = """backends AS (SELECT o_custkey % 50 AS run, ['old', 'new', 'random'][1 + o_orderkey % 3] AS backend, avg(o_totalprice) / 400000 AS auc,
+                            max(o_totalprice) / 600000 AS anisotropy, quantile_cont(o_totalprice, 0.5) / 10000 AS latency_ms FROM orders GROUP BY 1, 2),
+    wide AS (SELECT run, max(CASE WHEN backend = 'new' THEN auc END) AS na, max(CASE WHEN backend = 'old' THEN auc END) AS oa, max(CASE WHEN backend = 'random' THEN auc END) AS ra,
+                    max(CASE WHEN backend = 'new' THEN anisotropy END) AS ni, max(CASE WHEN backend = 'old' THEN anisotropy END) AS oi,
+                    max(CASE WHEN backend = 'new' THEN latency_ms END) AS nl, max(CASE WHEN backend = 'old' THEN latency_ms END) AS ol FROM backends GROUP BY run)"""
+
+
+@query("""SELECT run, 'candidate_auc' AS gate, coalesce(na >= 0.70::DOUBLE, FALSE) AS passed, round(na, 6) AS observed FROM wide
+          UNION ALL SELECT run, 'auc_inversion', coalesce(na - oa >= 0.05::DOUBLE, FALSE), round(na - oa, 6) FROM wide
+          UNION ALL SELECT run, 'anisotropy_reduction', coalesce(oi - ni >= 0.04::DOUBLE, FALSE), round(oi - ni, 6) FROM wide
+          UNION ALL SELECT run, 'latency_parity', coalesce(nl / ol <= 2.5::DOUBLE, FALSE), round(nl / ol, 6) FROM wide
+          UNION ALL SELECT run, 'falsifiability', coalesce(ra <= 0.55::DOUBLE, TRUE), round(ra, 6) FROM wide""", BACKENDS)
+def embedder_gates(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    backend = F.element_at(F.array(F.lit("old"), F.lit("new"), F.lit("random")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    price = F.col("o_totalprice")
+    results = o.groupBy((F.col("o_custkey") % 50).alias("run"), backend.alias("backend")).agg(
+        (F.avg(price) / 400000).alias("auc"), (F.max(price) / 600000).alias("anisotropy"), (F.percentile(price, 0.5) / 10000).alias("latency_ms")
+    )
+    return G.embedder_gates(results, "run", "old", "new", "random").select("run", "gate", "passed", F.round("observed", 6).alias("observed"))

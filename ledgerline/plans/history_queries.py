@@ -49,14 +49,21 @@ def first_violations(spark, sf_dir):
     return H.first_seen(e.select(F.col("event_type").alias("kind"), F.col("user_id").alias("path"), "ts", F.col("event_id").alias("id")))
 
 
-@query("""SELECT l_orderkey, count(CASE WHEN s >= 4 THEN 1 END) AS n_good, count(CASE WHEN s <= 2 THEN 1 END) AS n_bad,
-                 CASE WHEN n_good > n_bad THEN 1 WHEN n_good < n_bad THEN 0 ELSE CAST(avg(s) > 3 AS INTEGER) END AS label
+@query("""SELECT l_orderkey, count(CASE WHEN s >= 4 THEN 1 END) AS n_high, count(CASE WHEN s <= 2 THEN 1 END) AS n_low,
+                 CASE WHEN n_high > n_low THEN 1 WHEN n_high < n_low THEN 0 ELSE CAST(avg(s) >= 4 AS INTEGER) END AS resolved,
+                 CASE WHEN n_low > n_high THEN 1 WHEN n_low < n_high THEN 0 ELSE CAST(avg(s) <= 2 AS INTEGER) END AS regressed
           FROM (SELECT l_orderkey, 1 + l_partkey % 5 AS s FROM lineitem) GROUP BY l_orderkey""", "")
 def judged_outcomes(spark, sf_dir):
     scores = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (1 + F.col("l_partkey") % 5).alias("s"))
     return H.judged_outcome(scores, "l_orderkey", "s")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 3 = 0 THEN 'clean' WHEN o_orderkey % 4 = 1 THEN 'gap' ELSE 'infrastructure' END AS outcome FROM orders""", "")
+def session_outcomes(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", H.session_outcome(F.col("o_orderkey") % 4, F.col("o_custkey") % 3).alias("outcome"))
+
+
 @query("""SELECT c.conv_id AS sha, c.turn AS claim_no, coalesce(min(CASE WHEN contains(lower(c.text), lower(h.stem)) THEN h.hunk_no END), any_value(c.turn % n)) AS hunk_no
           FROM conversations c JOIN (SELECT conv_id, turn AS hunk_no, string_split(text, ' ')[2] AS stem, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) h USING (conv_id)
           GROUP BY c.conv_id, c.turn""", "")
@@ -66,9 +73,10 @@ def grounded_claims(spark, sf_dir):
     return H.file_claims(c.select(F.col("conv_id").alias("sha"), F.col("turn").alias("claim_no"), F.col("text").alias("claim")), hunks)
 
 
-@query("""SELECT id, other_id FROM (SELECT id, list_filter(nxt, lambda x: x.sha <> sha AND x.file <> file)[1].id AS other_id FROM (
-            SELECT doc_id AS id, source AS sha, lang AS file, list({'id': doc_id, 'sha': source, 'file': lang}) OVER (PARTITION BY substr(md5(doc_id || 'n1'), 1, 2) ORDER BY md5(doc_id || 'n1'), doc_id ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS nxt
-            FROM documents)) WHERE other_id IS NOT NULL""", "")
+@query("""SELECT id, other_id FROM (SELECT a.id, b.id AS other_id, row_number() OVER (PARTITION BY a.id ORDER BY (b.place - a.place + a.n) % a.n) AS nth
+            FROM placed a JOIN placed b ON a.sha <> b.sha AND a.file <> b.file) WHERE nth = 1""",
+       """placed AS (SELECT doc_id AS id, source AS sha, lang AS file, row_number() OVER (ORDER BY md5(doc_id || 'n1'), doc_id) AS place, count(*) OVER () AS n
+                     FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)""")
 def shuffled_negatives(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("source").alias("sha"), F.col("lang").alias("file"))
     return H.shuffled_negatives(d, "n1")

@@ -90,28 +90,69 @@ def copied_between_halves(spark, sf_dir):
     return docs.where("doc_id % 2 = 1").join(old, "body", "left_semi").groupBy("source", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT doc_id, round(symbols, 6) AS symbols, round(repeats, 6) AS repeats, round(1 - (symbols + repeats + placeholders) / 3, 6) AS authenticity,
-                  (symbols + repeats + placeholders) / 3 >= 0.4 AND greatest(symbols, repeats, placeholders) >= 0.6 AS mock
-           FROM (SELECT doc_id, least(1.0, len(regexp_extract_all(text, '[#*$%&|<>]')) / CAST(n AS DOUBLE)) AS symbols,
-                        CAST(len(l) - len(list_distinct(l)) AS DOUBLE) / greatest(len(l), 1) AS repeats,
-                        least(1.0, len(regexp_extract_all(text, '(?i)\b(?:foo|bar|baz|lorem|ipsum|todo|mock|dummy)\b')) / CAST(n AS DOUBLE)) AS placeholders
-                 FROM (SELECT doc_id, text, greatest(len(regexp_extract_all(lower(text), '[a-z0-9_]+')), 1) AS n,
-                              list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))""")
+#: what the stand-in test files and plans say beside their text, dealt by id
+TEST_CODE = (
+    'cy.intercept("/api/**", {fixture: "users.json"}); jest.mock("./db"); const id = "seed-7";',
+    "cy.intercept('*', (req) => req.continue()); cy.intercept('/api/x', {body: 1}); axios.get('/real')",
+    'vi.mock("a"); sinon.stub(o, "f"); nock("h"); const a = "user-0001", b = "order_99";',
+    "requests.get(url); httpx.Client(); create_engine(dsn)",
+    'cy.intercept(`/**`, {statusCode: 500}); cy.intercept("/", { body: [] }); setupServer(); x = "user-0001"',
+    "",
+    'fetch("https://h/x"); mocker.patch("m"); @patch("n"); y = "seed-0042" + \'user-0001\'',
+)
+PLAN_NOTES = (
+    " See src/app.py:120 and /api/users/list. A deadlock is likely at line 12.", " Check edge cases. Make sure tests pass. Verify it works.",
+    "\n\nTOCTOU and SQL injection in ./lib/db.ts, L42.\n- Fix web/main.vue\n- Add an index", " Read the diff!", "",
+)
+_chosen = lambda xs, by: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + f"][1 + ({by}) % {len(xs)}]"
+
+
+def dealt(xs, by):
+    return F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
+
+
+def _counts(patterns):
+    return " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))" for p in patterns)
+
+
+_IDS = "list_distinct(regexp_extract_all(text, '" + X.ID_LITERAL.replace("'", "''") + "', 1))"
+_INTERCEPT = X.INTERCEPT.replace("'", "''")
+TESTS = f"""tests AS (SELECT doc_id, coalesce(text, '') || ' ' || {_chosen(TEST_CODE, "doc_id")} AS text FROM documents),
+            ids AS (SELECT doc_id, {_IDS} AS ids FROM tests), seeds AS (SELECT DISTINCT unnest(ids) AS id FROM ids WHERE doc_id % 3 = 0)"""
+
+
+@query(rf"""SELECT doc_id, round(intercepts, 6) AS intercepts, round(mocks, 6) AS mocks, round(guests, 6) AS guests, round(1 - (intercepts + mocks + guests) / 3, 6) AS authenticity,
+                  (intercepts + mocks + guests) / 3 >= 0.4::DOUBLE AND greatest(intercepts, mocks, guests) >= 0.6::DOUBLE AS mocked
+           FROM (SELECT doc_id, CASE WHEN len(r) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(range(1, len(r) + 1), lambda i: (contains(r[i], '**') OR trim(r[i]) IN ('*', '/'))
+                          AND regexp_matches(a[i], '{X.STUB}') AND NOT contains(a[i], 'req.continue') AND NOT contains(a[i], 'passThrough'))) / CAST(len(r) AS DOUBLE) END AS intercepts,
+                        CASE WHEN m + c = 0 THEN 0.0::DOUBLE ELSE m / CAST(m + c AS DOUBLE) END AS mocks,
+                        CASE WHEN len(ids) = 0 OR (SELECT count(*) FROM seeds) = 0 THEN 0.0::DOUBLE ELSE 1 - coalesce(met, 0) / CAST(len(ids) AS DOUBLE) END AS guests
+                 FROM (SELECT doc_id, regexp_extract_all(text, '{_INTERCEPT}', 1) AS r, regexp_extract_all(text, '{_INTERCEPT}', 2) AS a, {_counts(X.MOCK_CALLS)} AS m, {_counts(X.CLIENT_CALLS)} AS c FROM tests)
+                 JOIN ids USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS met FROM (SELECT doc_id, unnest(ids) AS id FROM ids) JOIN seeds USING (id) GROUP BY doc_id) USING (doc_id))""", TESTS)
 def mock_detector(spark, sf_dir):
-    m = X.mock_ratios(F.col("text"))
-    r = lambda k: F.round(m[k], 6).alias(k)
-    return table(spark, sf_dir, "documents").select("doc_id", r("symbols"), r("repeats"), r("authenticity"), m["mock"].alias("mock"))
+    tests = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), dealt(TEST_CODE, F.col("doc_id"))).alias("text"))
+    m = X.mock_ratios(tests, tests.where("doc_id % 3 = 0"))
+    return m.select("doc_id", *[F.round(c, 6).alias(c) for c in ("intercepts", "mocks", "guests", "authenticity")], "mocked")
 
 
-@query(r"""SELECT conv_id, turn, round(score, 6) AS score, CASE WHEN score >= 0.75 THEN 'accept' WHEN score >= 0.5 THEN 'warn' ELSE 'reject' END AS verdict
-           FROM (SELECT conv_id, turn, (a / n + b / n + c / n + (1 - d / n)) / 4 AS score FROM (
-             SELECT conv_id, turn, CAST(greatest(len(l), 1) AS DOUBLE) AS n, len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:[-*]|[0-9]+[.)])?\s*[A-Za-z]+ [a-z]'))) AS a,
-                    len(list_filter(l, lambda x: regexp_matches(x, '[0-9]'))) AS b, len(list_filter(l, lambda x: regexp_matches(x, '[A-Za-z0-9_]+[./][A-Za-z0-9_]+'))) AS c,
-                    len(list_filter(l, lambda x: regexp_matches(x, '(?i)\b(?:maybe|somehow|various|etc|and so on|as needed|properly|appropriately)\b'))) AS d
-             FROM (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM conversations)))""")
+_ascii = lambda ps: [p.removeprefix("(?U)") for p in ps]  # noqa: E731  the same in SQL, whose classes are ASCII
+PLANS = f"plans AS (SELECT conv_id, turn, coalesce(text, '') || {_chosen(PLAN_NOTES, 'turn + ascii(right(CAST(conv_id AS VARCHAR), 1))')} AS text FROM conversations)"
+
+
+@query(rf"""SELECT conv_id, turn, round(ard, 6) AS ard, round(nrd, 6) AS nrd, round(gpas, 6) AS gpas, round(slr, 6) AS slr, score, CASE WHEN score >= 0.75 THEN 'accept' WHEN score >= 0.5 THEN 'warn' ELSE 'reject' END AS verdict
+           FROM (SELECT *, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 0.25::DOUBLE * (CAST(ard >= 0.4::DOUBLE AS INTEGER) + CAST(nrd >= 0.2::DOUBLE AS INTEGER) + CAST(gpas < 0.15::DOUBLE AS INTEGER) + CAST(slr >= 0.35::DOUBLE AS INTEGER)) END AS score
+             FROM (SELECT conv_id, turn, len(l) AS n, ({_counts(_ascii(X.ARTIFACTS))}) / CAST(greatest(len(l), 1) AS DOUBLE) AS ard,
+                    len(list_filter({[x.lower() for x in X.NAMED_RISKS]}, lambda x: contains(lower(text), x))) / CAST(greatest(len(l), 1) AS DOUBLE) AS nrd,
+                    least(1.0::DOUBLE, len(list_filter({[x.lower() for x in X.GENERIC_PHRASES]}, lambda x: contains(lower(text), x))) / CAST(greatest(len(l), 1) AS DOUBLE)) AS gpas,
+                    len(list_filter(l, lambda x: {" OR ".join(f"regexp_matches(x, '{p}')" for p in _ascii(X.ARTIFACTS))})) / CAST(greatest(len(l), 1) AS DOUBLE) AS slr
+             FROM (SELECT conv_id, turn, text, list_filter(string_split(regexp_replace(text, '([.!?])(\s+[A-Z])|
+
++|
+[-*]\s+', chr(1) || '', 'g'), chr(1)), lambda x: regexp_matches(x, '\S')) AS l FROM plans)))""", PLANS)
 def plan_quality(spark, sf_dir):
-    q = X.plan_quality(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(q["score"], 6).alias("score"), q["verdict"].alias("verdict"))
+    note = dealt(PLAN_NOTES, F.col("turn") + F.ascii(F.substring(F.col("conv_id").cast("string"), -1, 1)))
+    q = X.plan_quality(F.concat(F.coalesce("text", F.lit("")), note))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.round(q[k], 6).alias(k) for k in ("ard", "nrd", "gpas", "slr")], q["score"].alias("score"), q["verdict"].alias("verdict"))
 
 
 @query("""SELECT doc_id, source_rank FROM (SELECT doc_id, 0 AS source_rank FROM labels UNION ALL SELECT doc_id, 1 FROM documents)

@@ -12,10 +12,33 @@ def test_gates(spark):
     m = lambda **kw: F.create_map(*[F.lit(x) for p in kw.items() for x in p])
     got = one.select(gates.fired(m(a=2.0, b=1.0, c=9.0), m(a=1.5, b=1.0)).alias("f"), gates.manifest_changes(m(a="1", b="2"), m(a="1", c="3")).alias("d"), gates.redacted_config(m(Api_Key="x", n="1")).alias("r")).first()
     assert got.f == {"a": 0.5} and set(got.d) == {"b", "c"} and got.r == {"Api_Key": "[REDACTED]", "n": "1"}
-    steps = one.select(gates.process_gate(F.lit(1), F.lit(5)), gates.process_gate(F.lit(0), F.lit(0)), gates.regression_gate(F.lit(1)), history.session_outcome(F.lit(0), F.lit(0), F.lit(False))).first()
-    assert tuple(steps) == ("warn", "allow", "block", "clean")
-    verdict = one.select(gates.embedder_verdict(F.lit(0.8), F.lit(0.1), F.lit(4.0), F.lit(10.0), F.lit(40)), gates.embedder_verdict(F.lit(float("nan")), F.lit(0.1), F.lit(4.0), F.lit(900.0), F.lit(40))).first()
-    assert tuple(verdict) == ("accept", "auc,latency")
+    steps = one.select(gates.process_gate(F.lit(1), F.lit(5)), gates.process_gate(F.lit(0), F.lit(0)), gates.regression_gate(F.lit(1))).first()
+    assert tuple(steps) == ("warn", "allow", "block")
+
+
+def test_session_outcomes(spark):
+    rows = [(0, 0), (0, 2), (1, 0), (1, 3), (2, 0), (-9, 0), (None, 0), (0, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c int, m int").select(history.session_outcome(F.col("c"), F.col("m"))).collect()]
+    assert got == ["clean", "infrastructure", "gap", "gap", "infrastructure", "infrastructure", "infrastructure", "clean"]
+
+
+def test_judged_outcomes(spark):
+    rows = [("a", 4), ("a", 5), ("a", 1), ("b", 2), ("b", 3), ("c", 5), ("c", 1), ("d", 3), ("e", None), ("f", 5), ("f", 2), ("f", 3), ("f", 4), ("f", 1)]
+    got = {r.k: (r.n_high, r.n_low, r.resolved, r.regressed) for r in history.judged_outcome(spark.createDataFrame(rows, "k string, s int"), "k", "s").collect()}
+    assert got == {"a": (2, 1, 1, 0), "b": (0, 1, 0, 1), "c": (1, 1, 0, 0), "d": (0, 0, 0, 0), "e": (0, 0, 0, 0), "f": (2, 2, 0, 0)}
+
+
+def test_embedder_gates(spark):
+    nan = float("nan")
+    rows = [
+        (1, "old", 0.60, 0.92, 10.0), (1, "new", 0.72, 0.87, 25.0), (1, "random", 0.50, None, None),
+        (2, "old", 0.68, 0.92, 10.0), (2, "new", 0.72, 0.90, 26.0), (2, "random", 0.56, 0.1, 1.0),
+        (3, "old", nan, 0.92, 0.0), (3, "new", 0.70, nan, 1.0),
+    ]
+    got = gates.embedder_gates(spark.createDataFrame(rows, "run int, backend string, auc double, anisotropy double, latency_ms double"), "run", "old", "new", "random").collect()
+    passed = {k: [r.gate for r in got if r.run == k and r.passed] for k in (1, 2, 3)}
+    assert passed == {1: list(gates.EMBEDDER_GATES), 2: ["candidate_auc"], 3: ["candidate_auc", "falsifiability"]}
+    assert next(r.observed for r in got if r.run == 3 and r.gate == "auc_inversion") is None and len(got) == 15
 
 
 def test_plan_novelty(spark):

@@ -61,7 +61,7 @@ def test_exact_bounds_and_tests():
     tail = lambda p, ks: sum(math.comb(20, k) * p**k * (1 - p) ** (20 - k) for k in ks)
     assert tail(low, range(3, 21)) == pytest.approx(0.025) and tail(high, range(4)) == pytest.approx(0.025)
     assert experiments.exact_bounds(0, 20, 0.025)[0] == 0 and experiments.exact_bounds(20, 20, 0.025)[1] == 1
-    assert experiments.sign_test_p(0, 0) == 1 and experiments.sign_test_p(8, 0) == pytest.approx(2 / 256) and experiments.sign_test_p(3, 3) == 1
+    assert experiments.sign_test_p(0, 0, "two-sided") == 1 and experiments.sign_test_p(8, 0, "two-sided") == pytest.approx(2 / 256) and experiments.sign_test_p(3, 3, "two-sided") == 1
     r = experiments.rate_ratio(0, 150, 133, 150, 0.05)
     assert r["ratio"] == 0 and 0.02 < r["high"] < 0.05 and experiments.difference_bound(137, 150, 17, 150, 0.05) > 0.6
     low, high = experiments.bca([0.1 * i for i in range(20)], 500)
@@ -271,16 +271,27 @@ def test_findings_escalate_and_stick(spark):
     assert {r.finding_id: r.status for r in state.reviews(df).collect()} == {1: "resolved", 2: "deferred"}
 
 
-def test_long_tails_are_peeled_out(spark):
-    """Chains of any length hold no cycle, nor do tails of one; the rounds and the last task agree."""
+def test_only_edges_on_cycles_are_left(spark):
+    """Chains of any length, tails, and bridges between cycles lie on none; the rounds and the last task agree with brute force."""
     edges = lambda rows: spark.createDataFrame(rows, "src long, dst long")
-    chain = [(i, i + 1) for i in range(140)]
-    assert graph.on_cycles(edges(chain)).count() == 0
-    assert sorted(map(tuple, graph.on_cycles(edges([*chain, (140, 139), (7, 7)])).collect())) == sorted([(7, 7), (140, 139), *chain[7:]])
+    found = lambda rows, **kw: sorted(map(tuple, graph.on_cycles(edges(rows), **kw).collect()))
+    chain = [(i, i + 1) for i in range(300)]
+    assert found(chain) == found(chain[:12], at_once=0) == found([]) == []
+    assert found([*chain, (300, 299), (7, 7)]) == [(7, 7), (299, 300), (300, 299)]
+    bridge = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (5, 1), (4, 6), (None, 1), (2, 2), (1, 2)]
+    assert found(bridge) == found(bridge, at_once=0) == [(1, 2), (2, 1), (2, 2), (3, 4), (4, 3)]
+    assert len(found([*chain, (300, 0)])) == 301
     rng = random.Random(2)
-    some = edges([(rng.randrange(60), rng.randrange(60)) for _ in range(70)])
-    found = sorted(map(tuple, graph.on_cycles(some).collect()))
-    assert found and found == sorted(map(tuple, graph.on_cycles(some, at_once=0).collect()))
+    for n, m in ((12, 14), (40, 55), (60, 200)):
+        some = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {v: set() for v in range(n)}
+        for _ in range(n):
+            for a, b in some:
+                reach[a] |= {b} | reach[b]
+        want = sorted((a, b) for a, b in some if a == b or a in reach[b])
+        assert found(list(some)) == want
+        if n < 60:
+            assert found(list(some), at_once=0) == want
 
 
 def test_graph_queries_take_whole_tables(spark, tmp_path):
@@ -322,3 +333,73 @@ def test_each_pair_with_a_partner_gets_the_next_one(spark):
             if found:
                 want[id_] = found[0]
         assert got == want
+
+
+def test_severity_classes(spark):
+    rows = [
+        ("plan_impl_drift", "blocked", None, "plan_grounding"), ("plan_impl_drift", "shadow_blocked", None, "shadow"), ("contract_violation", "Fail-Open", "rules", "fail_open"),
+        ("x", "operator_override", None, "override"), ("CONTRACT_VIOLATION:oracle", "blocked", None, "contract"), ("oracle_ruff", "warn", None, "oracle"), ("rule_engine:r1", "warn", None, "rule_engine"),
+        ("my rule_engine:r1", "warn", None, "other"), ("shell_escape", "blocked", "rules", "self_protection"), ("kill_switch_set", "blocked", None, "self_protection"),
+        ("magic_comment", "blocked", None, "self_protection"), ("planless", "blocked", "rules", "plan_grounding"), (None, None, "plan_grounding", "plan_grounding"), ("", "blocked", "rules", "rule_engine"), (None, "allowed", None, "other"),
+    ]
+    df = spark.createDataFrame(rows, "reason string, decision string, gate string, want string")
+    assert [r.got for r in df.select(decisions.severity(F.col("reason"), F.col("decision"), F.col("gate")).alias("got")).collect()] == [r[3] for r in rows]
+
+
+def test_pain_categories_and_report(spark):
+    rows = [
+        ("novelty", "", "allowed", "2024-01-30"), ("x", "EDIT off_plan; gen_timeout", "Exit_Block", "2024-01-29"), (None, None, None, "2024-01-30"),
+        ("forbid_import", "forbid_pattern", "warn", "2024-01-30"), ("plan_loc", "loc_budget", "blocked", "2024-01-30"), ("novelty", "", "", "2024-01-01"), ("novelty", "", "", "2024-01-01"),
+    ]
+    df = spark.createDataFrame(rows, "signal_source string, reason string, decision string, ts string")
+    got = [r.c for r in df.select(decisions.pain_categories(F.col("signal_source"), F.col("reason"), F.col("decision")).alias("c")).collect()]
+    assert got[:5] == [["2_pattern_blindness"], ["1_scope_creep", "4_token_waste", "7_runtime_enforcement"], [], ["6_hallucinated_apis", "9_repo_conventions"], ["7_runtime_enforcement", "8_over_engineering"]]
+    report = {r.category: (r.total, r.today, r.verdict) for r in decisions.pain_report(df, "2024-01-30").collect()}
+    assert report["2_pattern_blindness"] == (3, 1, "active") and report["5_local_only_violations"] == (0, 0, "silent") and report["1_scope_creep"] == (1, 0, "weak") and len(report) == 9
+
+
+def test_efficiency_counts_drift_only(spark):
+    rows = [
+        (1, "a", "blocked", "plan_impl_drift", False, 500), (2, "a", "blocked", "plan_impl_drift", True, 500), (3, "b", "warn", "plan_impl_drift", True, None), (4, "b", "warn", "plan_impl_drift", False, 0),
+        (5, "b", "blocked", "contract_violation", True, 0), (6, "b", "allowed", "plan_impl_drift", None, 0), (7, None, None, "sidecar_unavailable: no", None, 0), (8, "b", "allowed", None, None, 0),
+    ]
+    log = spark.createDataFrame(rows, "decision_id long, file_path string, decision string, reason string, retry_after_block boolean, latency_ms long")
+    links = spark.createDataFrame([("b", 4), ("b", 4), ("z", 1)], "file_path string, decision_id long")
+    got = decisions.efficiency(log, links).first()
+    assert (got.n_events, got.caught, got.false_drifts) == (8, 4, 2) and got.score == pytest.approx(2 / 2.0 * 0.43 * (1 - 1 / 8))
+    assert decisions.efficiency(log.limit(0), links).count() == 0
+
+
+def test_plan_quality_signals(spark):
+    good = "Fix the race condition in src/app.py:42 before release. The endpoint /api/users/{id} needs a lock.\n- Deadlock risk in db/pool.go at line 17"
+    vague = "Check edge cases. Verify it works. Make sure tests pass."
+    rows = [(1, good), (2, vague), (3, ""), (4, None), (5, " \n\n "), (6, "One sentence. no capital after. Two")]
+    q = texts.plan_quality(F.col("t"))
+    got = {r.i: r for r in spark.createDataFrame(rows, "i int, t string").select("i", *[c.alias(k) for k, c in q.items()]).collect()}
+    assert got[1].ard == pytest.approx(5 / 3) and got[1].nrd == pytest.approx(2 / 3) and (got[1].gpas, got[1].slr, got[1].score, got[1].verdict) == (0.0, 1.0, 1.0, "accept")
+    assert (got[2].ard, got[2].gpas, got[2].score, got[2].verdict) == (0.0, 1.0, 0.0, "reject")
+    assert all((got[i].score, got[i].verdict) == (0.0, "reject") for i in (3, 4, 5)) and (got[6].score, got[6].verdict) == (0.25, "reject")
+
+
+def test_mock_ratios(spark):
+    rows = [
+        (1, "cy.intercept('/api/**', {fixture: 'u'}); cy.intercept('/x', {body: 1}); cy.intercept(`*`, (req) => req.continue({body: 2}))"),
+        (2, "jest.mock('a'); sinon.stub(x); axios.get('/y'); const id = 'user-0001', b = 'seed-77777'"),
+        (3, "cy.intercept('**', {statusCode: 1}); vi.mock('abcdefg')"), (4, ""), (5, None),
+    ]
+    seeds = spark.createDataFrame([("x 'seed-77777' y",), (None,)], "text string")
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r for r in texts.mock_ratios(df, seeds).collect()}
+    assert (got[1].intercepts, got[1].mocks, got[1].guests) == (pytest.approx(1 / 3), 0.0, 0.0)
+    assert (got[2].mocks, got[2].guests, got[2].mocked) == (pytest.approx(2 / 3), 0.5, False)
+    assert (got[3].intercepts, got[3].mocks, got[3].guests, got[3].mocked, got[3].authenticity) == (1.0, 1.0, 1.0, True, 0.0)
+    assert got[4].mean == got[5].mean == 0.0 and len(got) == 5
+    assert {r.guests for r in texts.mock_ratios(df, seeds.limit(0)).collect()} == {0.0}
+
+
+def test_sign_test_tails():
+    assert experiments.sign_test_p(8, 0) == 1 / 256 and experiments.sign_test_p(7, 1) == 9 / 256 and experiments.sign_test_p(0, 0) == 1.0
+    assert experiments.sign_test_p(1, 7, "less") == 9 / 256 and experiments.sign_test_p(1, 7, "two-sided") == 18 / 256
+    for k in (480, 500, 530, 700):
+        exact = sum(math.comb(1001, i) for i in range(k + 1)) / 2**1001
+        assert experiments.sign_test_p(1001 - k, k) == pytest.approx(exact, rel=1e-9)
