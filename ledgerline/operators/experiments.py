@@ -87,65 +87,86 @@ def majority(labels: Column) -> Column:
     return F.when(best["n"] <= -2, best["label"])
 
 
-def auc(rows: DataFrame, score: str, positive: str, pieces: int = 100) -> DataFrame:
-    """ROC-AUC from rank sums: counts per distinct score, then running sums over
-    the distinct scores, within pieces of their range and over the pieces, so
-    that no task sorts all. NaN if a class is empty."""
-    by = rows.groupBy(score).agg(count_where(F.col(positive)).alias("p"), count_where(~F.col(positive)).alias("q"))
-    cuts = by.agg(F.percentile_approx(score, [i / pieces for i in range(1, pieces)])).first()[0] or []  # `pieces` numbers at most
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(score))) if cuts else F.lit(0)
-    placed = by.withColumn("__piece", piece)
-    sums = placed.groupBy("__piece").agg(F.sum("q").alias("__q"))
-    before = F.sum("__q").over(W.partitionBy(F.lit(1)).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
-    below = sums.select("__piece", F.coalesce(before, F.lit(0)).alias("__below"))
-    inside = F.coalesce(F.sum("q").over(W.partitionBy("__piece").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = placed.withColumn("__inside", inside).join(F.broadcast(below), "__piece")  # `pieces` rows
-    area = F.sum(F.col("p") * (F.col("__below") + F.col("__inside") + F.col("q") / 2))
-    return wins.agg(F.coalesce(F.try_divide(area, F.nullif(F.sum("p") * F.sum("q"), F.lit(0))), F.lit(float("nan"))).alias("auc"))
+def cumulative(rows: DataFrame, by: list[str], value: str, *aggs: Column, pieces: int = 100) -> DataFrame:
+    """by, value, n, the given aggregates, below: of each distinct value in its
+    group how many rows have it and how many a smaller one.
+
+    Rows are counted per distinct value first; running sums are taken within
+    pieces of the values' range and over the pieces, so that no task sorts a
+    whole group. Null values are left out; NaN is the greatest.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    cuts = counts.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)])).first()[0] or []  # `pieces` numbers at most
+    piece = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    placed = counts.withColumn("__piece", piece)
+    inside = F.sum("n").over(W.partitionBy(*by, "__piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    sums = placed.groupBy(*by, "__piece").agg(F.sum("n").alias("__n"))  # `pieces` rows a group
+    before = F.sum("__n").over(W.partitionBy(*by or [F.lit(1)]).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sums.select(*by, "__piece", F.coalesce(before, F.lit(0)).alias("__before"))
+    same = F.col("p.__piece") == F.col("o.__piece")
+    for c in by:
+        same = same & F.col(f"p.`{c}`").eqNullSafe(F.col(f"o.`{c}`"))
+    joined = placed.withColumn("__inside", F.coalesce(inside, F.lit(0))).alias("p").join(offsets.alias("o"), same)
+    return joined.select("p.*", (F.col("__before") + F.col("__inside")).alias("below")).drop("__piece", "__inside")
+
+
+def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """ROC-AUC from rank sums over the distinct scores; ties count half. NaN if a class is empty."""
+    seen = cumulative(rows, [], score, count_where(F.col(positive)).alias("p"))
+    # rank sum of the positives, with ties averaged, less its least value
+    ranks, p, n = F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2.0)), F.sum("p"), F.sum("n")
+    return seen.agg(F.coalesce(F.try_divide(ranks - p * (p + 1) / 2.0, F.nullif(p * (n - p), F.lit(0))), F.lit(float("nan"))).alias("auc"))
+
+
+def _with_size(seen: DataFrame, by: str) -> DataFrame:
+    sizes = seen.groupBy(by).agg(F.sum("n").alias("__n")).withColumnRenamed(by, "__by")
+    return seen.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
 
 
 def arm_summary(rows: DataFrame, arm: str, value: str) -> DataFrame:
-    """n, sum, upper median sorted[n // 2] and the ceil(.9 n)-th value of each arm."""
-    w = W.partitionBy(arm).orderBy(value)
-    ranked = rows.select(arm, value, F.row_number().over(w).alias("__rn"), F.count(F.lit(1)).over(W.partitionBy(arm)).alias("__n"))
-    at = lambda k: F.max(F.when(F.col("__rn") == k, F.col(value)))
-    return ranked.groupBy(arm).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(value).alias("total"),
+    """n, sum, upper median sorted[n // 2] and the ceil(.9 n)-th value of each arm; null values are left out."""
+    seen = _with_size(cumulative(rows, [arm], value), arm)
+    at = lambda k: F.max(F.when((F.col("below") < k) & (k <= F.col("below") + F.col("n")), F.col(value)))
+    return seen.groupBy(arm).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col(value) * F.col("n")).alias("total"),
         at(F.floor(F.col("__n") / 2) + 1).alias("upper_median"),
         at(F.greatest(F.lit(1), F.ceil(F.col("__n") * 0.9))).alias("p90"),
     )
 
 
 def exclusive_quartiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Quartiles at places p (n + 1), interpolated; groups of 4 rows at least."""
-    w = W.partitionBy(by).orderBy(value)
-    ranked = rows.select(by, F.col(value).cast("double").alias("__v"), F.row_number().over(w).alias("__rn"), F.count(F.lit(1)).over(W.partitionBy(by)).alias("__n"))
+    """Quartiles at places p (n + 1), interpolated; groups of 4 rows at least, null values left out."""
+    seen = _with_size(cumulative(rows.select(by, F.col(value).cast("double").alias("__v")), [by], "__v"), by)
 
     def at(p: float) -> Column:
         place = p * (F.col("__n") + 1)
         low = F.least(F.greatest(F.floor(place), F.lit(1)), F.col("__n") - 1)
-        part = place - low
-        return F.sum(F.when(F.col("__rn") == low, F.col("__v") * (1 - part)).when(F.col("__rn") == low + 1, F.col("__v") * part))
+        holds = lambda k: (F.col("below") < k) & (k <= F.col("below") + F.col("n"))
+        share = F.when(holds(low), 1 - (place - low)).otherwise(0.0) + F.when(holds(low + 1), place - low).otherwise(0.0)
+        return F.sum(F.col("__v") * share)
 
-    return ranked.where("__n >= 4").groupBy(by).agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    return seen.where("__n >= 4").groupBy(by).agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
 
 
 def average_ranks(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rank with ties averaged."""
-    w = W.partitionBy(*by).orderBy(value)
-    peers = F.count(F.lit(1)).over(W.partitionBy(*by, value))
-    return rows.withColumn("rank", F.rank().over(w) + (peers - 1) / 2.0).withColumn("peers", peers)
+    """Each row with its rank in its group, ties averaged, and how many share it; rows with a null value are left out."""
+    seen = cumulative(rows, by, value).select(*[F.col(c).alias(f"__{c}") for c in [*by, value]], F.col("n").alias("peers"), (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank"))
+    same = F.col(value) == F.col(f"__{value}")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(seen, same).drop(*[f"__{c}" for c in [*by, value]])
 
 
 def wilcoxon(rows: DataFrame, by: list[str], delta: str) -> DataFrame:
     """Signed-rank test, normal approximation with tie and continuity correction:
     n, w (the smaller rank sum), z, p. Zero differences are left out."""
     kept = rows.where(F.col(delta) != 0).withColumn("__a", F.abs(delta))
-    ranked = average_ranks(kept, by, "__a")
-    plus, minus = (F.coalesce(F.sum(F.when(c, F.col("rank"))), F.lit(0.0)) for c in (F.col(delta) > 0, F.col(delta) < 0))
-    ties = F.sum(F.col("peers") * F.col("peers") - 1)  # each of t peers adds t^2 - 1: t^3 - t in all
-    agg = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.least(plus, minus).alias("w"), ties.alias("__t"))
+    seen = cumulative(kept, by, "__a", count_where(F.col(delta) > 0).alias("__up"))
+    rank = F.col("below") + (F.col("n") + 1) / 2.0
+    plus, minus = F.sum(rank * F.col("__up")), F.sum(rank * (F.col("n") - F.col("__up")))
+    ties = F.sum(F.col("n") * (F.col("n") * F.col("n") - 1))  # t^3 - t for each t that tie
+    agg = seen.groupBy(*by).agg(F.sum("n").alias("n"), F.least(plus, minus).alias("w"), ties.alias("__t"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("__t") / 48
     z = F.try_divide(F.greatest(F.lit(0.0), F.abs(F.col("w") - n * (n + 1) / 4) - 0.5), F.nullif(F.sqrt(var), F.lit(0.0)))

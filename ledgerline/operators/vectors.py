@@ -14,6 +14,8 @@ NEIGHBOURS, FAR, LEAST_CORPUS = 3, 0.40, 5
 RECALL, CONFIRM = 0.80, 0.97
 #: A code before the edit shorter than this is a cold start
 COLD_CHARS = 32
+#: components that are summed as columns of their own; rows of a block of a search, at most and on small tables
+SIDE_BY_SIDE, BLOCK, LEAST_BLOCK = 512, 50_000, 500
 
 
 def total(xs: Column) -> Column:
@@ -61,24 +63,33 @@ def dominant(v: Column) -> Column:
     return F.when(F.size(v) > 0, F.array_position(v, F.array_max(v)))
 
 
+def _component_sums(df: DataFrame, by: list[str], vec: str, scale: Column, *aggs: Column) -> DataFrame:
+    """by, the given aggregates, and __s: the sum of each component times scale, a row a group.
+    Components are summed side by side, without a row each, up to SIDE_BY_SIDE of them."""
+    dims = df.agg(F.max(F.size(vec))).first()[0] or 0
+    if dims <= SIDE_BY_SIDE:
+        side = [F.sum(F.get(vec, F.lit(i)).cast("double") * scale) for i in range(dims)]
+        return df.groupBy(*by).agg(*aggs, F.filter(F.array(*side).cast("array<double>"), lambda x: x.isNotNull()).alias("__s"))
+    each = df.select(*by, scale.alias("__k"), F.posexplode(vec).alias("__i", "__x")).groupBy(*by, "__i").agg(F.sum(F.col("__x").cast("double") * F.col("__k")).alias("__x"))
+    listed = each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__x"))), lambda x: x["__x"]).alias("__s"))
+    whole = df.groupBy(*by).agg(*aggs)
+    return whole.join(listed, by) if by else whole.crossJoin(listed)  # a row each
+
+
 def unit_sum(df: DataFrame, by: list[str], vec: str = "embedding") -> DataFrame:
     """Mean pairwise cosine of a group in closed form, (|sum u|^2 - sum |u|^2) / (n (n - 1)):
-    one pass over the components, no pairs. Zero vectors count as having norm 1."""
-    one = F.when(norm(F.col(vec)) == 0, F.lit(1.0)).otherwise(norm(F.col(vec)))
-    units = df.select(*by, F.transform(vec, lambda x: x.cast("double") / one).alias("__u"))
-    lengths = units.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(dot(F.col("__u"), F.col("__u"))).alias("__own"))
-    sums = units.select(*by, F.posexplode("__u").alias("__i", "__x")).groupBy(*by, "__i").agg(F.sum("__x").alias("__s"))
-    squares = sums.groupBy(*by).agg(F.sum(F.col("__s") * F.col("__s")).alias("__all"))
-    joined = lengths.join(squares, by) if by else lengths.crossJoin(squares)  # a row each
+    one pass, no pairs. Zero vectors count as having norm 1."""
+    units = df.select(*by, vec, norm(F.col(vec)).alias("__l")).withColumn("__k", F.when(F.col("__l") == 0, F.lit(1.0)).otherwise(1 / F.col("__l")))
+    own = F.sum(F.pow(F.col("__l") * F.col("__k"), 2)).alias("__own")
+    sums = _component_sums(units, by, vec, F.col("__k"), F.count(F.lit(1)).alias("n"), own)
     pairs = F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))
-    return joined.select(*by, "n", F.try_divide(F.col("__all") - F.col("__own"), pairs).alias("mean_cosine"))
+    return sums.select(*by, "n", F.try_divide(dot(F.col("__s"), F.col("__s")) - F.col("__own"), pairs).alias("mean_cosine"))
 
 
 def centroid(df: DataFrame, by: list[str], vec: str = "embedding") -> DataFrame:
-    """Mean vector of each group."""
-    parts = df.select(*by, F.posexplode(vec).alias("__i", "__x")).groupBy(*by, "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda x: x["__m"])
-    return parts.groupBy(*by).agg(ordered.alias("centroid"))
+    """Mean vector of each group; its vectors have one length."""
+    sums = _component_sums(df, by, vec, F.lit(1.0), F.count(vec).alias("__n"))
+    return sums.select(*by, F.transform("__s", lambda x: x / F.col("__n")).alias("centroid"))
 
 
 def drift_baseline(df: DataFrame, by: list[str], vec: str = "embedding") -> DataFrame:
@@ -93,18 +104,21 @@ def drift(distance: Column, p95: Column) -> Column:
     return clamp(F.when(p95 > 0, distance / p95).otherwise(distance))
 
 
-def query_blocks(corpus: DataFrame, queries: DataFrame, keep, schema: str, block: int = 2_000) -> DataFrame:
-    """All of a stated query set against all corpus rows, in blocks: each query
-    block meets each corpus partition's batches in one task as matrices; `keep`
-    turns a block of cosines into result rows.
+def query_blocks(corpus: DataFrame, queries: DataFrame, keep, schema: str, strip: int = 2_000) -> DataFrame:
+    """All of a stated query set against all corpus rows, in blocks: a task has
+    one block of either, of BLOCK rows at most, and multiplies them a strip of
+    queries at a time; `keep` turns a strip's cosines into result rows.
 
-    corpus: id, vec; queries: qid, qvec. Only the queries are replicated, once
-    per corpus partition, through a cogroup by partition number.
+    corpus: id, vec; queries: qid, qvec. Both are counted first, so that blocks
+    don't grow with the tables; on small tables there are as many as tasks.
     """
-    spark = corpus.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = corpus.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    copies = queries.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    tasks = max(1, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n, m = corpus.count(), queries.count()
+    across = max(1, -(-n // max(1, min(BLOCK, max(LEAST_BLOCK, n // tasks)))))
+    down = max(1, -(-m // BLOCK))
+    dealt = lambda df, key, own, blocks, other, others: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    spread = dealt(corpus, "id", "__c", across, "__q", down)
+    copies = dealt(queries, "qid", "__q", down, "__c", across)
 
     def unit(vectors) -> np.ndarray:
         x = np.array(list(vectors), dtype=np.float64)
@@ -115,12 +129,12 @@ def query_blocks(corpus: DataFrame, queries: DataFrame, keep, schema: str, block
         if not len(left) or not len(right):
             return keep(np.empty((0, 0)), right["qid"].to_numpy()[:0], left["id"].to_numpy()[:0])
         x, out = unit(left["vec"]), []
-        for k in range(0, len(right), block):
-            part = right.iloc[k : k + block]
+        for k in range(0, len(right), strip):
+            part = right.iloc[k : k + strip]
             out.append(keep(unit(part["qvec"]) @ x.T, part["qid"].to_numpy(), left["id"].to_numpy()))
         return pd.concat(out)
 
-    return spread.groupBy("__p").cogroup(copies.groupBy("__p")).applyInPandas(run, schema)
+    return spread.groupBy("__c", "__q").cogroup(copies.groupBy("__c", "__q")).applyInPandas(run, schema)
 
 
 def pairs_above(corpus: DataFrame, queries: DataFrame, least: float) -> DataFrame:

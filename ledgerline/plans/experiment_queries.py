@@ -128,7 +128,6 @@ def exclusive_quartiles(spark, sf_dir):
             FROM (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY abs(d)) AS peers
                   FROM (SELECT pa - pb AS d FROM pairs) WHERE d <> 0))""", f"{RUNS}, {PAIRS}")
 def wilcoxon(spark, sf_dir):
-    """One task ranks all differences: one test is one group, as the reference's is."""
     rows = pairs(spark, sf_dir).select(F.lit("price").alias("metric"), (F.col("price_treatment") - F.col("price_vanilla")).alias("d"))
     return E.wilcoxon(rows, ["metric"], "d").select("n", "w", F.round("z", 6).alias("z"))
 

@@ -11,7 +11,7 @@ from ledgerline.plans.collect import collection
 #: no pair of the test vectors reaches the default recall threshold
 TEST_RECALL = 0.30
 VEC = "vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
-NEXT = "nxt AS (SELECT vec_id, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM vec)"
+NEXT = "nxt AS (SELECT a.vec_id, a.v, b.v AS w FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1)"
 QUERIES, ORACLES, query = collection(VEC)
 
 
@@ -20,9 +20,9 @@ def vectors(spark, sf_dir):
 
 
 def successive(spark, sf_dir):
-    """Each vector with the next of its kind: an edit before and after."""
-    w = W.partitionBy("label").orderBy("vec_id")
-    return vectors(spark, sf_dir).select("vec_id", "v", F.lead("v").over(w).alias("w")).where("w is not null")
+    """Each vector with the next one: an edit before and after."""
+    v = vectors(spark, sf_dir)
+    return v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", "v", "w")
 
 
 @query("""SELECT vec_id, round(list_cosine_similarity(v, w), 6) AS cosine, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(v, w))), 6) AS chord,
