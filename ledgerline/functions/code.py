@@ -71,6 +71,36 @@ def calls(source: str | None) -> dict[str, set[str]]:
     return out
 
 
+def metrics(source: str | None) -> tuple[int, int, int, int, int, float]:
+    """branches, depth, and of the functions' call graph the greatest in and out
+    degree (calls of known functions count as in), edges, and the share without
+    a call; one parse for all. 0 for what doesn't parse; the share needs two functions."""
+    tree = parse(source)
+    if tree is None:
+        return 0, 0, 0, 0, 0, 0.0
+    graph: dict[str, set[str]] = {}
+    n_branches = deepest = 0
+    stack: list[tuple[ast.AST, str, int]] = [(tree, "", 1)]
+    while stack:
+        node, inside, d = stack.pop()
+        deepest = max(deepest, d)
+        n_branches += isinstance(node, _BRANCHES)
+        if isinstance(node, _FUNCTIONS):
+            inside = node.name
+            graph.setdefault(inside, set())
+        elif isinstance(node, ast.Call) and inside:
+            name = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
+            if name:
+                graph[inside].add(name)
+        stack += [(c, inside, d + 1) for c in ast.iter_child_nodes(node)]
+    into = dict.fromkeys(graph, 0)
+    for called in graph.values():
+        for name in called & into.keys():
+            into[name] += 1
+    alone = sum(not called for called in graph.values()) / len(graph) if len(graph) > 1 else 0.0
+    return n_branches, deepest, max(into.values(), default=0), max(map(len, graph.values()), default=0), sum(map(len, graph.values())), alone
+
+
 def node_stream(source: str | None) -> list[str]:
     """Node types in order, at most MOST_NODES."""
     tree, out = parse(source), []
@@ -295,6 +325,21 @@ def _column(kind: T.DataType, f):
     return each
 
 
+_METRICS = ("branches", "depth", "max_in", "max_out", "edges", "alone")
+
+
+@pandas_udf(T.StructType([T.StructField(x, T.DoubleType() if x == "alone" else T.IntegerType()) for x in _METRICS]))
+def metrics_udf(source: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([metrics(s) for s in source], columns=list(_METRICS))
+
+
+def risk_deltas(before, after, churn, novelty):
+    """The eight differences that an edit makes, for gates.risk_vector: of metrics_udf's
+    structs before and after, the churn in lines, and the novelty."""
+    more = [F.greatest(F.lit(0.0), (after[k] - before[k]).cast("double")) for k in ("branches", "max_in", "max_out", "depth", "edges", "alone")]
+    return F.array(*more[:4], churn.cast("double"), *more[4:], novelty.cast("double"))
+
+
 _STRINGS, _INTS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
 branches_udf = _column(T.IntegerType(), branches)
 depth_udf = _column(T.IntegerType(), depth)
@@ -305,6 +350,7 @@ node_stream_udf = _column(_STRINGS, node_stream)
 sequence_ratio_udf = _column(T.DoubleType(), sequence_ratio)
 tree_distance_udf = _column(T.IntegerType(), tree_distance)
 changed_lines_udf = _column(_INTS, changed_lines)
+function_names_udf = _column(_STRINGS, lambda source: [name for name, _, _ in functions_of(source)])
 
 
 @F.udtf(returnType="name string, line int, source string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -272,3 +273,70 @@ def first_wins(sources: list[DataFrame], key: str) -> DataFrame:
     rest = [c for c in all_.columns if c not in (key, "source_rank")]
     w = W.partitionBy(key).orderBy("source_rank", *rest)
     return all_.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def closest_symbols(names: DataFrame, symbols: DataFrame, most: int = 3, cutoff: float = 0.6, block: int = 2_000) -> DataFrame:
+    """name, symbol, ratio, rank: for each distinct name its nearest symbols by
+    the standard library's ratio, `cutoff` at least, the greater symbol first
+    where ratios are equal. names: name; symbols: symbol.
+
+    The names are a stated query set: both sides are dealt to blocks of `block`
+    rows, and every pair of blocks meets in one task. There the ratio is
+    computed only where the letters that two words share leave it a chance.
+    """
+    import difflib
+    from collections import Counter
+
+    asked, known = names.select("name").where("name <> ''").distinct(), symbols.select("symbol").where("symbol is not null").distinct()
+    down, across = (max(1, -(-df.count() // block)) for df in (asked, known))
+    spread = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        letters = {x: Counter(x) for x in right["symbol"]}
+        out = []
+        for name in left["name"]:
+            own, found = Counter(name), []
+            matcher = difflib.SequenceMatcher()
+            matcher.set_seq2(name)
+            for symbol, theirs in letters.items():
+                most_shared = 2 * min(len(name), len(symbol)) >= cutoff * (len(name) + len(symbol))
+                if most_shared and 2 * (own & theirs).total() >= cutoff * (len(name) + len(symbol)):
+                    matcher.set_seq1(symbol)
+                    ratio = matcher.ratio()
+                    if ratio >= cutoff:
+                        found.append((ratio, symbol))
+            out += [(name, symbol, ratio) for ratio, symbol in sorted(found, reverse=True)[:most]]
+        return pd.DataFrame(out, columns=["name", "symbol", "ratio"])
+
+    left, right = spread(asked, "name", "__n", down, "__s", across), spread(known, "symbol", "__s", across, "__n", down)
+    best = left.groupBy("__n", "__s").cogroup(right.groupBy("__n", "__s")).applyInPandas(run, "name string, symbol string, ratio double")
+    w = W.partitionBy("name").orderBy(F.desc("ratio"), F.desc("symbol"))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def unresolved_imports(imports: DataFrame, symbols: DataFrame, most: int = 3) -> DataFrame:
+    """file, name and suggestions (array, nearest first) of each imported name that no symbol has."""
+    missing = imports.join(symbols.select(F.col("symbol").alias("name")).distinct(), "name", "left_anti").select("file", "name").distinct()
+    near = closest_symbols(missing, symbols, most).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", "symbol"))).alias("found"))
+    return missing.join(near.select("name", F.transform("found", lambda x: x["symbol"]).alias("suggestions")), "name", "left").select("file", "name", F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
+
+
+def ranked_duplicates(pairs: DataFrame, queries: DataFrame, functions: DataFrame, confirm: float = 0.97) -> DataFrame:
+    """qid, id, n_shared, logic_ratio, cosine, rank: of the pairs that a search by
+    cosine gave, those whose logic agrees, most rare tokens in common first, then
+    by logic, then by cosine; equals in index order.
+
+    pairs: qid, id, cosine; queries: qid, tokens; functions: id, path, line, tokens.
+    Rare is what few functions have (rare_cutoff).
+    """
+    from ledgerline.functions.code import sequence_ratio_udf
+
+    df = document_frequency(functions, "id", "tokens")
+    n = functions.agg(F.count(F.lit(1)).alias("__n"))  # one row
+    rare = df.crossJoin(F.broadcast(n)).where(F.col("df") <= rare_cutoff(F.col("__n"))).select("token")
+    both = pairs.join(queries.select("qid", F.col("tokens").alias("__q")), "qid").join(functions.select("id", "path", "line", F.col("tokens").alias("__t")), "id")
+    hits = both.withColumn("logic_ratio", sequence_ratio_udf("__q", "__t")).where(F.col("logic_ratio") >= confirm)
+    common = hits.select("qid", "id", F.explode(F.array_intersect("__q", "__t")).alias("token")).join(rare, "token").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("__n"))
+    w = W.partitionBy("qid").orderBy(F.desc("n_shared"), F.desc("logic_ratio"), F.desc("cosine"), "path", "line", "id")
+    out = hits.join(common, ["qid", "id"], "left").withColumn("n_shared", F.coalesce("__n", F.lit(0)))
+    return out.select("qid", "id", "n_shared", "logic_ratio", "cosine", F.row_number().over(w).alias("rank"))

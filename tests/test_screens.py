@@ -66,3 +66,49 @@ def test_samples(spark):
     asked = screens.prompted(df, "k", "s").count()
     assert 140 < asked < 260 and asked == screens.prompted(df, "k", "s").count() and screens.picked(df, "k", "s").count() == 1
     assert screens.picked(df.limit(0), "k", "s").count() == 0
+
+
+def test_closest_symbols_are_the_librarys(spark, monkeypatch):
+    import difflib
+    import random
+
+    from ledgerline.operators import texts
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcde_", k=rng.randint(1, 9)))
+    symbols, names = sorted({word() for _ in range(150)}), [word() for _ in range(60)] + ["", "zzzz"]
+    got = {}
+    rows = texts.closest_symbols(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in symbols], "symbol string"), block=40).collect()
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r.name, []).append(r.symbol)
+    assert got == {x: m for x in set(names) if x and (m := difflib.get_close_matches(x, symbols, 3, 0.6))}
+    imports = spark.createDataFrame([("f", symbols[0]), ("f", "zzzz"), ("g", symbols[0] + "q"), ("g", symbols[0] + "q")], "file string, name string")
+    out = {(r.file, r.name): r.suggestions for r in texts.unresolved_imports(imports, spark.createDataFrame([(x,) for x in symbols], "symbol string")).collect()}
+    assert out == {("f", "zzzz"): [], ("g", symbols[0] + "q"): difflib.get_close_matches(symbols[0] + "q", symbols, 3, 0.6)}
+
+
+def test_ranked_duplicates_by_plain_loops(spark):
+    import difflib
+    import random
+
+    from ledgerline.operators import texts
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(30)}" for _ in range(40)] for _ in range(4)]
+    tokens = {i: [t if rng.random() > 0.02 else f"u{rng.randrange(6)}" for t in base[i % 4]] for i in range(60)}
+    pairs = [(q, i, rng.choice([0.85, 0.9, 0.99])) for q in range(0, 60, 7) for i in range(60) if i != q and rng.random() < 0.7]
+    functions = spark.createDataFrame([(i, f"p{i % 3}", i, t) for i, t in tokens.items()], "id long, path string, line long, tokens array<string>")
+    got = texts.ranked_duplicates(spark.createDataFrame(pairs, "qid long, id long, cosine double"), functions.selectExpr("id as qid", "tokens"), functions).collect()
+    df = {}
+    for t in tokens.values():
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    cutoff, want = max(3, int(0.03 * 60)), []
+    for q in sorted({p[0] for p in pairs}):
+        hits = []
+        for _, i, cos in (p for p in pairs if p[0] == q):
+            ratio = difflib.SequenceMatcher(None, tokens[q], tokens[i]).ratio()
+            if ratio >= 0.97:
+                hits.append((-len([x for x in set(tokens[q]) & set(tokens[i]) if df[x] <= cutoff]), -ratio, -cos, f"p{i % 3}", i))
+        want += [(q, h[4], -h[0], rank) for rank, h in enumerate(sorted(hits), 1)]
+    assert sorted((r.qid, r.id, r.n_shared, r["rank"]) for r in got) == sorted(want) and len(want) > 20
