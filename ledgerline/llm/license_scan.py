@@ -12,6 +12,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import column
+from .license_texts import TEMPLATES
+
 #: The phrases whose every place counts, and their labels.
 PHRASES = (
     ("under the mit license", "mit"),
@@ -19,40 +22,6 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Notices and opening grants by which public licences are usually stated.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files the software to deal in the software without restriction including without limitation the "
-            "rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at "
-                 "http www apache org licenses license 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that "
-            "the following conditions are met"),
-    ("bsd", "licensed under the bsd 3 clause license"),
-    ("bsd", "licensed under the bsd 2 clause license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-            "granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("gpl", "licensed under the gnu general public license version 2"),
-    ("gpl", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-            "public license as published by the free software foundation"),
-    ("lgpl", "licensed under the gnu lesser general public license version"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "licensed under the gnu affero general public license version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("mpl-2", "licensed under the mozilla public license version 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-)
-
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<struct<label:string,first:long,last:long,coverage:double>>"
@@ -270,4 +239,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Other columns, whatever their names, aren't carried. The whole of a text is
     streamed, however long; no shuffle.
     """
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
+    return docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
