@@ -3,7 +3,7 @@
 The leaves of a piece's tree are its adjacent pairs, each with rank and place;
 the root is the least of them, so it yields the leftmost pair of lowest rank.
 A merge changes three leaves, each a walk to the root, until no pair is left
-that can merge. Pieces met before come from a cache of bounded size; new short
+that can merge. Pieces met before come from a table of bounded size; new short
 pieces are merged together, one tree per row of an array; long ones, however
 long, one by one in n log n.
 """
@@ -19,6 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import column
+from .id_table import IdTable, by_bytes, ragged
+
 FILE = "byte_bpe_50k.json"
 
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -28,7 +31,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p
 NONE = np.int64(1) << 60
 #: pieces up to this many bytes are merged together
 SHORT = 64
-CACHED = 500_000
+CACHED = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,7 +69,10 @@ class ByteBPE:
         self.splitter = regex.compile(PATTERN)
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.cache: dict[str, bytes] = {}
+        self.table = IdTable(CACHED, self.learn)
+        tokens = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.token_ends = np.concatenate([[0], np.cumsum(list(map(len, tokens)))])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -87,6 +93,11 @@ class ByteBPE:
 
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pieces of up to SHORT bytes, as little-endian 32-bit integers."""
+        ids, stops = self._merge(pieces)
+        return [x.tobytes() for x in np.split(ids, stops[:-1])]
+
+    def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same one after the other, and where each piece's ids stop."""
         n = len(pieces)
         sizes = np.fromiter(map(len, pieces), np.int64, n)
         width = max(2, 1 << int(sizes.max() - 1).bit_length())
@@ -131,8 +142,7 @@ class ByteBPE:
                 put(r, x, np.where(rank < NONE, rank * width + x, NONE))
             rows = rows[tree[rows, 1] < NONE]
         live = ids[:, :width] >= 0
-        flat, counts = ids[:, :width][live].astype("<u4").tobytes(), np.cumsum(live.sum(axis=1)) * 4
-        return [flat[a:b] for a, b in zip([0, *counts[:-1].tolist()], counts.tolist(), strict=True)]
+        return ids[:, :width][live].astype("<u4"), np.cumsum(live.sum(axis=1))
 
     def merge_one(self, piece: bytes) -> bytes:
         """The same for a piece of any length."""
@@ -176,27 +186,25 @@ class ByteBPE:
                 put(before[i], leaf(before[i]))
         return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
 
-    def learn(self, pieces) -> None:
-        """Merge pieces that the cache lacks; the cache starts anew when it is full."""
-        cache = self.cache
-        new = [p for p in pieces if p not in cache]
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-            new = list(pieces)
-        raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        groups: dict[int, list[int]] = {}
-        for i, b in enumerate(raw):
-            groups.setdefault((len(b) - 1).bit_length() if len(b) <= SHORT else -1, []).append(i)
-        for width, rows in groups.items():
-            if width < 0:
-                for i in rows:
-                    cache[new[i]] = self.merge_one(raw[i])
-                continue
+    def learn(self, pieces: list[str]) -> None:
+        """Merge new pieces; special tokens' strings, which no split gives otherwise, are those tokens."""
+        add = self.table.add
+        groups: dict[int, tuple[list[str], list[bytes]]] = {}
+        for p in pieces:
+            b = p.encode("utf-8", "surrogatepass")
+            if p in self.special:
+                add([p], np.array([self.special[p]], dtype="<u4"), np.array([1]))
+            elif len(b) > SHORT:
+                ids = np.frombuffer(self.merge_one(b), dtype="<u4")
+                add([p], ids, np.array([len(ids)]))
+            else:
+                words, raw = groups.setdefault((len(b) - 1).bit_length(), ([], []))
+                words.append(p)
+                raw.append(b)
+        for width, (words, raw) in groups.items():
             step = 1 << max(8, 18 - width)
-            for k in range(0, len(rows), step):
-                part = rows[k : k + step]
-                for i, ids in zip(part, self.merge_many([raw[i] for i in part]), strict=True):
-                    cache[new[i]] = ids
+            for k in range(0, len(raw), step):
+                add(words[k : k + step], *self._merge(raw[k : k + step]))
 
     def split(self, text: str) -> list[str]:
         """Pieces in order; a special token's string is a piece of its own."""
@@ -209,27 +217,16 @@ class ByteBPE:
             at = m.end()
         return out + self.splitter.findall(text[at:])
 
-    def encode_all(self, texts: list[str | None], at_once: int = 2_000_000) -> list[bytes]:
-        """Per text its ids, as little-endian 32-bit integers; about at_once characters at a time."""
-        out: list[bytes] = []
-        held: list[list[str]] = []
-        total = 0
-        for k, text in enumerate(texts):
-            held.append(self.split(text or ""))
-            total += len(text or "")
-            if total >= at_once or k == len(texts) - 1:
-                seen = set().union(*held)
-                special = seen & self.special.keys()
-                self.learn(seen - special)
-                look = self.cache
-                if special:
-                    look = look | {s: np.array([self.special[s]], dtype="<u4").tobytes() for s in special}
-                out += [b"".join(map(look.__getitem__, x)) for x in held]
-                held, total = [], 0
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Per text its ids."""
+        pieces = [self.split(t or "") for t in texts]
+        ids, upto = self.table.look_up(pa.array([p for x in pieces for p in x], pa.string()))
+        ends = upto[np.cumsum(list(map(len, pieces)))] if pieces else upto[:0]
+        return np.split(ids, ends[:-1]) if pieces else []
+
+    def decode(self, ids: np.ndarray) -> str:
+        at, _ = ragged(self.token_ends[ids], self.token_ends[ids + 1] - self.token_ends[ids])
+        return self.token_bytes[at].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -247,17 +244,18 @@ def _round_trip(path: str | None):
     def run(batches):
         bpe = load(path or tokenizer_path())
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n, ids_sha, text_sha = [], [], []
-            for k in range(0, len(texts), 256):
-                for ids in bpe.encode_all(texts[k : k + 256]):
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in by_bytes(batch):
+                found = bpe.encode_all(part.column(1).to_pylist())
+                digest = lambda x: hashlib.sha256(x).hexdigest()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(map(len, found), pa.int64()),
+                        pa.array([digest(ids) for ids in found], pa.string()),
+                        pa.array([digest(bpe.decode(ids).encode("utf-8")) for ids in found], pa.string()),
+                    ],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return run
 
@@ -270,5 +268,5 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     string in a text is that token. Repeated rows give repeated results, an
     empty table an empty one; null ids stay; other columns aren't carried.
     """
-    few = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    few = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     return few.mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

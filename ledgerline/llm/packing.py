@@ -31,6 +31,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import column
+from .id_table import IdTable, by_bytes
+
 FILE, END = "word_bpe_49k.json", 1
 #: window sizes, powers of two
 TIERS = (512, 1024, 2048)
@@ -39,9 +42,8 @@ GATHER = 32
 #: tokens of a step group, and groups that are dealt out at a time
 STEP = 16 * 2048
 DEALT = 16
-#: distinct words that a worker keeps, and bytes of texts that it splits at a time (one text at least)
+#: distinct words that a worker keeps
 CACHED = 1_000_000
-BATCH = 8 << 20
 
 
 #: letters that stay one letter whatever the normalizer does, and a closing sign that the vocabulary splits off them
@@ -77,27 +79,11 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, dtype="<u4")  # the words' ids one after the other, in the order of places
-        self.bounds = np.zeros(1 << 14, dtype=np.int64)
+        self.table = IdTable(CACHED, self._learn)
 
     def _each(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _store(self, words: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
-        """Append words whose ids stand one after the other, each up to its stop."""
-        n, at = len(self.place), self.bounds[len(self.place)]
-        while at + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(words) >= len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.ids[at : at + len(ids)] = ids
-        self.bounds[n + 1 : n + 1 + len(words)] = at + stops
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
-
     def _learn(self, new: list[str]) -> None:
         joined = stays_letters(pa.array(new, pa.string()))
         letters, rest = list(compress(new, joined)), list(compress(new, ~joined))
@@ -106,24 +92,13 @@ class WordTokenizer:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
-                self._store(part, ids, stops)
+                self.table.add(part, ids, stops)
             else:  # some letter that the normalizer takes apart
                 rest += part
         for k in range(0, len(rest), 5_000):
             part = rest[k : k + 5_000]
             each = self._each(part)
-            self._store(part, np.concatenate(each), np.cumsum([len(x) for x in each]))
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.place.get, words))
-        if None in found:
-            new = [w for w, i in zip(words, found, strict=True) if i is None]
-            if len(self.place) + len(new) > CACHED:
-                self._clear()
-                new = words
-            self._learn(new)
-            found = list(map(self.place.__getitem__, words))
-        return np.array(found, dtype=np.int64)
+            self.table.add(part, np.concatenate(each), np.cumsum([len(x) for x in each]))
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """Per text its ids and END, as little-endian 32-bit integers."""
@@ -131,12 +106,8 @@ class WordTokenizer:
         special = pc.match_substring(texts, SPECIAL)
         plain = pc.ascii_lower(pc.if_else(special, "", texts))
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, CLOSING, r"\1 \2\3"))
-        coded = words.flatten().dictionary_encode()
-        place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        first = self.bounds[place]
-        sizes = self.bounds[place + 1] - first
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(first - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+        ids, upto = self.table.look_up(words.flatten())
+        ids = ids.tobytes()
         bounds = words.offsets.to_numpy()
         cuts = (4 * upto[bounds - bounds[0]]).tolist()
         end = END.to_bytes(4, "little")
@@ -310,17 +281,6 @@ class Packer:
         yield from self.groups.put(window, rows)
 
 
-def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of whole texts (column 1) of BATCH bytes or a little more."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(batch):
-        done = upto[at - 1] if at else 0
-        stop = int(np.searchsorted(upto, done + BATCH)) + 1
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def _pack(path: str | None, tiers: tuple[int, ...]):
     schema = pa.schema([(f, pa.int32() if f == "tier" else pa.int64()) for f in FIELDS])
 
@@ -355,5 +315,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty one; other columns aren't carried. A task that is run again packs the
     same rows in the same order into the same sequences.
     """
-    few = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    few = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     return few.mapInArrow(_pack(path, tuple(tiers)), SCHEMA)

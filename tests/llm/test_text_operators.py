@@ -300,12 +300,21 @@ def test_bpe_equals_the_library(hard_texts):
     from tokenizers import Tokenizer
 
     own, lib = bpe.load(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
-    for text, ids in zip(hard_texts, own.encode_all(hard_texts, at_once=3000)):
+    for text, ids in zip([*hard_texts, None], own.encode_all([*hard_texts, None]), strict=True):
+        text = text or ""
         want = lib.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert ids.tolist() == want
         assert own.decode(ids) == lib.decode(want, skip_special_tokens=False) == text
     for piece in (b"hello", b" the", b"a" * 40, b"x"):
         assert own.merge_one(piece) == own.merge_many([piece])[0]
+    assert own.encode_all([]) == [] and [x.tolist() for x in own.encode_all(["", None])] == [[], []]
+
+
+def test_piece_table_starts_anew_when_full(monkeypatch, hard_texts):
+    want = [x.tolist() for x in bpe.load(bpe.tokenizer_path()).encode_all(hard_texts)]
+    monkeypatch.setattr(bpe, "CACHED", 40)
+    small = bpe.ByteBPE(bpe.tokenizer_path())
+    assert [small.encode_all([t])[0].tolist() for t in hard_texts] == want
 
 
 def test_words_equal_the_library(hard_texts):
