@@ -62,9 +62,21 @@ def fit(x: np.ndarray, fpr: float = 0.05, resamples: int = RESAMPLES, seed: int
 
 
 def leave_one_out(x: np.ndarray, fpr: float = 0.05) -> float:
-    """The quantile of each row's distance under the fit of the others."""
-    keep = ~np.eye(len(x), dtype=bool)
-    d = [distances(x[i : i + 1], x[keep[i]].mean(axis=0), inverse(shrunk_covariance(x[keep[i]])))[0] for i in range(len(x))]
+    """The quantile of each row's distance under the fit of the others; two rows
+    at least. The others' moments are all rows' less the row's own, about a mean
+    that moved by e = -c / (n - 1), so a row costs no pass over the others."""
+    n = len(x)
+    c = x - x.mean(axis=0)
+    square, scatter = (c**2).sum(axis=1), c.T @ c
+    cubic, fourth = square @ c, (square**2).sum()
+    d = []
+    for own, sq in zip(c, square, strict=True):
+        e = -own / (n - 1)
+        ee = e @ e
+        # sum over all rows of |c - e|^4, less the row's own
+        quartic = fourth - 4 * e @ cubic + 4 * e @ scatter @ e + 2 * ee * square.sum() + n * ee**2 - ((own - e) @ (own - e)) ** 2
+        cov = (scatter - np.outer(own, own) * n / (n - 1)) / (n - 1)
+        d.append(distances((own - e)[None], np.zeros_like(own), inverse(_shrink(n - 1, cov, quartic)))[0])
     return float(np.quantile(d, 1 - fpr))
 
 

@@ -10,7 +10,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Schema version, retention in days and cap in bytes of the log folder
 SCHEMA_VERSION, KEEP_DAYS, CAP_BYTES = 4, 90, 5 << 30
@@ -113,47 +112,12 @@ def write_session(root: str, day: str, session: str, rows: list[dict], packed: b
     return path
 
 
-class _Block(InputPartition):
-    def __init__(self, path: str, first: int, end: int) -> None:
-        self.path, self.first, self.end = path, first, end
-
-
-class CommitSource(DataSource):
-    """spark.read.format("commit_log").load(path): a text export of
-    `git log --name-only --pretty=format:"%x1e%H%x1f%an%x1f%aI%x1f%s"`, in a folder
-    that all executors see; split by bytes at the record mark."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "commit_log"
-
-    def schema(self) -> str:
-        return "sha string, author string, date string, subject string, files array<string>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return CommitReader(self.options["path"], int(self.options.get("blockbytes", 8 << 20)))
-
-
-class CommitReader(DataSourceReader):
-    def __init__(self, path: str, block: int) -> None:
-        self.path, self.block = path, block
-
-    def partitions(self):
-        size = os.path.getsize(self.path)
-        return [_Block(self.path, k, min(size, k + self.block)) for k in range(0, size, self.block)] or [_Block(self.path, 0, 0)]
-
-    def read(self, part):
-        """Records that begin in the block."""
-        with open(part.path, "rb") as f:
-            f.seek(part.first)
-            data = f.read(part.end - part.first)
-            if data:
-                tail = f.read(1 << 16)
-                while tail and b"\x1e" not in tail:
-                    data += tail
-                    tail = f.read(1 << 16)
-                data += tail.partition(b"\x1e")[0]
-        for record in data.split(b"\x1e")[1:]:
-            head, *files = record.decode("utf-8", "replace").splitlines()
-            sha, author, when, subject = (head.split("\x1f") + [""] * 4)[:4]
-            yield sha, author, when, subject, [x for x in files if x.strip()]
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """sha, author, date, subject, files of a text export of
+    `git log --name-only --pretty=format:"%x1e%H%x1f%an%x1f%aI%x1f%s"`, on any file
+    system; Spark splits it at the record mark. Records without a hash are left out."""
+    records = spark.read.option("lineSep", "\x1e").text(path).select(F.split("value", r"\r?\n").alias("lines"))
+    head = F.split(F.element_at("lines", 1), "\x1f")
+    part = lambda i: F.coalesce(F.get(head, F.lit(i)), F.lit(""))
+    files = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.trim(x) != "")
+    return records.select(part(0).alias("sha"), part(1).alias("author"), part(2).alias("date"), part(3).alias("subject"), files.alias("files")).where("sha <> ''")

@@ -27,7 +27,9 @@ def _expire(state: GroupState, last_ms: int, ttl_ms: int) -> None:
 def retries(stream: DataFrame, within_ms: int = RETRY_MS, ttl_ms: int = 86_400_000) -> DataFrame:
     """decision_id, retry_after_block: the file's last block in that session is at
     most `within_ms` old. State: the last block's time, dropped after ttl_ms.
-    Rows of a key are taken in the order of their times within a batch."""
+    Rows of a key are taken in the order of their times within a batch; a block
+    that comes in a later batch than newer ones doesn't set the time back, and a
+    row from before the last block counts as no retry."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,9 +39,9 @@ def retries(stream: DataFrame, within_ms: int = RETRY_MS, ttl_ms: int = 86_400_0
         rows = pd.concat(list(frames)).sort_values(["ts", "decision_id"])
         out = []
         for d, when, decision in zip(rows["decision_id"], _milliseconds(rows["ts"]), rows["decision"], strict=True):
-            out.append((d, last is not None and when - last <= within_ms))
+            out.append((d, last is not None and 0 <= when - last <= within_ms))
             if decision in ("block", "deny"):
-                last = when
+                last = when if last is None else max(last, when)
         if last is not None:
             state.update((int(last),))
             _expire(state, last, ttl_ms)
@@ -62,10 +64,10 @@ def suppressed(stream: DataFrame, within_ms: int = SUPPRESS_MS, ttl_ms: int = 3_
         rows = pd.concat(list(frames)).sort_values(["ts", "decision_id"])
         out = []
         for d, when in zip(rows["decision_id"], _milliseconds(rows["ts"]), strict=True):
-            again = mark is not None and when - mark < within_ms
+            again = mark is not None and 0 <= when - mark < within_ms
             out.append((d, again))
             if not again:
-                mark = when
+                mark = when if mark is None else max(mark, when)
         state.update((int(mark),))
         _expire(state, mark, ttl_ms)
         yield pd.DataFrame(out, columns=["decision_id", "repeated"])

@@ -94,6 +94,10 @@ def test_calibration_against_plain_algebra(spark):
     share = min(1, noise / ((s - mu * np.eye(4)) ** 2).sum())
     assert np.allclose(calibration.shrunk_covariance(x), (1 - share) * s + share * mu * np.eye(4))
     assert np.isinf(calibration.distances(x, x.mean(axis=0), np.zeros((4, 4)))).all() and calibration.leave_one_out(x[:30]) > 0
+    for part in (x[:30], x[:2], np.ones((5, 2)), 1e3 + x[:40]):
+        each = [np.delete(part, i, axis=0) for i in range(len(part))]
+        plain = [calibration.distances(part[i : i + 1], r.mean(axis=0), calibration.inverse(calibration.shrunk_covariance(r)))[0] for i, r in enumerate(each)]
+        assert calibration.leave_one_out(part) == pytest.approx(np.quantile(plain, 0.95), rel=1e-6)
     rows = [("a", r.tolist()) for r in x[:50]] + [("b", r.tolist()) for r in x[:49]]
     df = spark.createDataFrame(rows, "kind string, v array<double>")
     models = calibration.fit_kinds(df, "kind", "v")
@@ -237,10 +241,15 @@ def test_tree_result_and_commit_sources(spark, tmp_path):
     assert [(r.task_id, r.resolved) for r in logs.read_results(spark, str(res)).collect()] == [("t", True)]
     log = "".join(f"\x1esha{i}\x1fann\x1f2024-01-01\x1fsubject {i} é\nf{i}.py\ng.py\n\n" for i in range(200))
     (tmp_path / "commits.txt").write_text(log)
-    spark.dataSource.register(logs.CommitSource)
-    for block in (64, 1000, 1 << 20):
-        rows = spark.read.format("commit_log").option("path", str(tmp_path / "commits.txt")).option("blockbytes", block).load().collect()
-        assert sorted(r.sha for r in rows) == sorted(f"sha{i}" for i in range(200)) and all(len(r.files) == 2 for r in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for block in ("64b", "1000b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            rows = logs.read_commits(spark, str(tmp_path / "commits.txt")).collect()
+            assert sorted(r.sha for r in rows) == sorted(f"sha{i}" for i in range(200)) and all(len(r.files) == 2 for r in rows)
+            assert {r.subject for r in rows} == {f"subject {i} é" for i in range(200)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
@@ -259,9 +268,28 @@ def test_streams_agree_with_batches(spark, tmp_path):
 
     streamed = {r.decision_id: r.retry_after_block for r in run(state.retries(src), "retries", "append")}
     assert streamed == {r.decision_id: r.retry_after_block for r in decisions.with_retry(log).collect()}
-    assert len(run(state.suppressed(src), "suppressed", "append")) == 60
+    marks, want = {}, {}
+    for i, _, file, when, *_, checksum in rows:
+        mark = marks.get((file, checksum))
+        want[i] = mark is not None and (when - mark).total_seconds() < 200
+        if not want[i]:
+            marks[file, checksum] = when
+    assert {r.decision_id: r.repeated for r in run(state.suppressed(src, 200_000), "suppressed", "append")} == want and any(want.values())
     assert max(r.n for r in run(state.history(src, keep=5), "history", "update")) == 5
-    assert sum(r.n for r in run(state.windowed_rate(src), "rates", "append")) <= 60
+    rates = {r.window.start.hour: (r.n, r.rate) for r in run(state.windowed_rate(src, "10 minutes"), "rates", "update") if r.window.start.minute == 0}
+    first = [r for r in rows if r[3] < dt.datetime(2024, 1, 1, 0, 10)]
+    assert rates[0] == (len(first), pytest.approx(sum(r[4] == "block" for r in first) / len(first)))
+
+
+def test_late_blocks_do_not_set_the_time_back(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "decision_id long, session_id long, file_path string, ts timestamp, decision string"
+    for k, rows in enumerate(([(1, 1, "f", at(300), "block")], [(2, 1, "f", at(100), "block"), (3, 1, "f", at(90), "allow")], [(4, 1, "f", at(380), "allow")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{k}"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = state.retries(src).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    assert {r.decision_id: r.retry_after_block for r in spark.table("late").collect()} == {1: False, 2: False, 3: False, 4: True}
 
 
 def test_findings_escalate_and_stick(spark):
