@@ -3,6 +3,8 @@ connected components over edge tables of any size."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,8 @@ _OWN_DIRS: dict[str, str] = {}
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary
-    folder of this process only where that is unset and the master is local."""
+    folder of this process, removed at its end, only where that is unset and the
+    master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
@@ -23,6 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="ledgerline-")
+        atexit.register(shutil.rmtree, _OWN_DIRS[app], ignore_errors=True)
     return _OWN_DIRS[app]
 
 
