@@ -52,13 +52,21 @@ def distances(x: np.ndarray, mean: np.ndarray, inv: np.ndarray) -> np.ndarray:
     return np.einsum("ij,jk,ik->i", c, inv, c)
 
 
+def quantile(d, q: float) -> float:
+    """Linear between neighbours; infinite where the greater of them is."""
+    d = np.sort(np.asarray(d, dtype=np.float64))
+    at = (len(d) - 1) * q
+    lo, hi = d[int(at)], d[min(int(at) + 1, len(d) - 1)]
+    return float(lo if at == int(at) else hi if np.isinf(hi) else lo + (hi - lo) * (at - int(at)))
+
+
 def fit(x: np.ndarray, fpr: float = 0.05, resamples: int = RESAMPLES, seed: int = SEED) -> dict:
     """Mean, inverse, the (1 - fpr) quantile of the distances and its bootstrap interval."""
     mean, inv = x.mean(axis=0), inverse(shrunk_covariance(x))
     d = distances(x, mean, inv)
     rng = np.random.default_rng(seed)
     draws = [np.quantile(d[rng.integers(0, len(d), len(d))], 1 - fpr) for _ in range(resamples)] if np.isfinite(d).all() else [math.inf]
-    return {"n": len(x), "mean": mean, "inverse": inv, "threshold": float(np.quantile(d, 1 - fpr)), "low": float(np.quantile(draws, 0.025)), "high": float(np.quantile(draws, 0.975))}
+    return {"n": len(x), "mean": mean, "inverse": inv, "threshold": quantile(d, 1 - fpr), "low": float(np.quantile(draws, 0.025)), "high": float(np.quantile(draws, 0.975))}
 
 
 def leave_one_out(x: np.ndarray, fpr: float = 0.05) -> float:
@@ -76,8 +84,10 @@ def leave_one_out(x: np.ndarray, fpr: float = 0.05) -> float:
         # sum over all rows of |c - e|^4, less the row's own
         quartic = fourth - 4 * e @ cubic + 4 * e @ scatter @ e + 2 * ee * square.sum() + n * ee**2 - ((own - e) @ (own - e)) ** 2
         cov = (scatter - np.outer(own, own) * n / (n - 1)) / (n - 1)
+        if np.trace(cov) <= 1e-12 * square.sum():  # nothing but rounding is left
+            cov, quartic = np.zeros_like(cov), 0.0
         d.append(distances((own - e)[None], np.zeros_like(own), inverse(_shrink(n - 1, cov, quartic)))[0])
-    return float(np.quantile(d, 1 - fpr))
+    return quantile(d, 1 - fpr)
 
 
 #: accuracy of the sketch that bounds what is looked at for exact quantiles; steps around the quantile that are asked of it

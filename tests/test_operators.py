@@ -97,7 +97,8 @@ def test_calibration_against_plain_algebra(spark):
     for part in (x[:30], x[:2], np.ones((5, 2)), 1e3 + x[:40]):
         each = [np.delete(part, i, axis=0) for i in range(len(part))]
         plain = [calibration.distances(part[i : i + 1], r.mean(axis=0), calibration.inverse(calibration.shrunk_covariance(r)))[0] for i, r in enumerate(each)]
-        assert calibration.leave_one_out(part) == pytest.approx(np.quantile(plain, 0.95), rel=1e-6)
+        assert calibration.leave_one_out(part) == pytest.approx(calibration.quantile(plain, 0.95), rel=1e-6)
+    assert calibration.quantile([1.0, 2.0, math.inf], 0.5) == 2.0 and calibration.quantile([math.inf] * 3, 0.9) == math.inf and calibration.quantile([1.0, 3.0], 0.25) == 1.5
     rows = [("a", r.tolist()) for r in x[:50]] + [("b", r.tolist()) for r in x[:49]]
     df = spark.createDataFrame(rows, "kind string, v array<double>")
     models = calibration.fit_kinds(df, "kind", "v")
