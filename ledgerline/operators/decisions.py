@@ -99,20 +99,55 @@ def with_retry(log: DataFrame, seconds: int = RETRY_SECONDS) -> DataFrame:
 
 
 def benchmark(log: DataFrame, by: list[str]) -> DataFrame:
-    d, latency = F.col("decision"), F.col("latency_ms")
-    blocked, warned = count_where(d.isin(*BLOCKING)), count_where(d == "warn")
-    retried = count_where(F.col("retry_after_block"))
-    return log.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        blocked.alias("blocked"),
-        warned.alias("warned"),
-        retried.alias("retried"),
-        F.floor(F.percentile(latency, 0.5)).cast("long").alias("p50_ms"),
-        F.floor(F.percentile(latency, 0.95)).cast("long").alias("p95_ms"),
-        F.max(latency).alias("max_ms"),
-        F.least(F.lit(1.0), F.round(F.try_divide(retried, F.nullif(blocked, F.lit(0))), 3)).alias("false_positive_proxy"),
-        F.round(F.count(F.lit(1)) * 1.0 + ACTION_COST * (blocked + warned), 1).alias("token_cost"),
-    )
+    """Counts of decisions, scope creep (drift and contract violations), latencies,
+    the token cost and the false-positive proxy, per group or over all.
+
+    log: decision, reason, retry_after_block, latency_ms. The proxy is retried
+    blocks and allowed overrides over what was blocked, also in shadow; null if
+    nothing was. Latencies are cut to whole milliseconds; null without any.
+    """
+    d, latency = F.coalesce("decision", F.lit("unknown")), F.col("latency_ms")
+    reason = F.coalesce("reason", F.lit(""))
+    of = lambda name: count_where(d == name)
+    creep = (reason == DRIFT_REASON) | F.lower(reason).contains("contract_violation")
+    stopped = d.isin("blocked", "shadow_blocked")
+    retried = count_where((d == "blocked") & F.coalesce("retry_after_block", F.lit(False)))
+    whole = lambda x: F.floor(x).cast("long")
+    n, blocked, shadow, overridden = F.count(F.lit(1)), of("blocked"), of("shadow_blocked"), of("allowed_via_override")
+    grouped = log.groupBy(*by) if by else log
+    return grouped.agg(
+        n.alias("n_events"), blocked.alias("blocked"), of("warn").alias("warn"), shadow.alias("shadow_blocked"), of("fail-open").alias("fail_open"), of("allowed").alias("allowed"),
+        overridden.alias("allowed_via_override"), of("operator_override").alias("operator_override"), of("operator_confirmed").alias("operator_confirmed"), retried.alias("retried"),
+        count_where(creep).alias("scope_creep"), count_where(creep & stopped).alias("scope_creep_blocked"), count_where(creep & ~stopped).alias("scope_creep_warned"),
+        whole(F.percentile(latency, 0.5)).alias("median_ms"), whole(F.percentile(latency, 0.95)).alias("p95_ms"), whole(F.percentile(F.when(d == "blocked", latency), 0.5)).alias("median_block_ms"),
+        F.round(n * 1.0 + ACTION_COST * (blocked + of("warn") + shadow + overridden), 1).alias("token_cost"),
+        F.least(F.lit(1.0), F.round(F.try_divide(retried + overridden, F.nullif(blocked + shadow, F.lit(0))), 3)).alias("false_positive_proxy"),
+    )
+
+
+def severity_counts(log: DataFrame) -> DataFrame:
+    """How many events of each class; allowed ones aren't counted."""
+    classed = log.where(F.coalesce("decision", F.lit("unknown")) != "allowed").select(severity(F.col("reason"), F.col("decision"), F.col("gate_id")).alias("severity"))
+    return classed.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily_false_positives(log: DataFrame) -> DataFrame:
+    """day, rate, n: of a day's shadow rows that are benign how many would have
+    been blocked. Benign is what ground_truth says; where it says nothing, a row
+    that was allowed or blocked in shadow only. log: ts, shadow, ground_truth,
+    decision, would_block; nulls count as no."""
+    benign = F.when(F.col("ground_truth").isNotNull(), F.col("ground_truth") == "benign").otherwise(F.coalesce(F.col("decision").isin("allowed", "shadow_blocked"), F.lit(False)))
+    rows = log.where(F.coalesce("shadow", F.lit(False)) & benign & F.col("ts").isNotNull())
+    flag = F.coalesce("would_block", F.lit(False)).cast("double")
+    return rows.groupBy(F.to_date("ts").alias("day")).agg(F.avg(flag).alias("rate"), F.count(F.lit(1)).alias("n"))
+
+
+def latency_snapshot(log: DataFrame, newest: int = 1000) -> DataFrame:
+    """One row: calls and percentiles of the newest latencies, and all errors. log: ts, decision_id, latency_ms, error."""
+    last = log.where("latency_ms is not null").orderBy(F.desc("ts"), F.desc("decision_id")).limit(newest)
+    p = lambda q: F.coalesce(F.percentile("latency_ms", q), F.lit(0.0))
+    calls = last.agg(F.count(F.lit(1)).alias("score_calls"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"), p(0.99).alias("p99_ms"))
+    return calls.crossJoin(log.agg(count_where(F.coalesce("error", F.lit(False))).alias("errors")))  # a row each
 
 
 def efficiency(log: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -263,11 +298,19 @@ def cusum(df: DataFrame, key: str, order: str, value: str, slack: float) -> Data
     return s.withColumn("__e", F.col("__s") - F.min("__s").over(w)).groupBy(key).agg(F.max("__e").alias("max_cusum"))
 
 
-def promotion(log: DataFrame, now: str, sessions: int, events: int, days: int) -> DataFrame:
-    age = F.datediff(F.lit(now).cast("date"), F.min(F.to_date("ts")))
-    n_sessions, n = F.countDistinct("session_id"), F.count(F.lit(1))
-    why = F.concat_ws("; ", F.when(n_sessions < sessions, "sessions"), F.when(n < events, "events"), F.when(age < days, "days"))
-    return log.agg(n_sessions.alias("n_sessions"), n.alias("n_events"), age.cast("long").alias("age_days"), why.alias("missing"))
+def promotion(log: DataFrame, now: str, repos: int = 5, events: int = 1000, days: float = 14.0) -> DataFrame:
+    """One row: distinct repositories, events, days since the first, whether that
+    is enough, and what isn't. log: repo, ts. An empty log isn't promoted."""
+    age = F.coalesce((micros(F.lit(now)) - micros(F.min("ts"))) / 86_400_000_000.0, F.lit(0.0))
+    one = log.agg(F.countDistinct(F.coalesce("repo", F.lit(""))).alias("n_repos"), F.count(F.lit(1)).alias("n_events"), age.alias("days"))
+    short = [
+        F.when(F.col("n_repos") < repos, F.format_string(f"repos %d/{repos}", "n_repos")),
+        F.when(F.col("n_events") < events, F.format_string(f"events %d/{events}", "n_events")),
+        F.when(F.col("days") < days, F.format_string(f"days %.1f/{days}", "days")),
+    ]
+    why = F.concat_ws("; ", *short)
+    reason = F.when(F.col("n_events") == 0, "no shadow events recorded").when(why == "", "promotion criteria met").otherwise(why)
+    return one.withColumn("promoted", (F.col("n_events") > 0) & (why == "")).withColumn("reason", reason)
 
 
 def failed_attempts(log: DataFrame, by: list[str]) -> DataFrame:
@@ -292,8 +335,11 @@ def pain_report(log: DataFrame, today: str) -> DataFrame:
     return names.join(counted, "category", "left").select("category", total.alias("total"), day.alias("today"), verdict.alias("verdict"))
 
 
-def language_switches(log: DataFrame, home: str, least_files: int = 5, share: float = 0.33) -> DataFrame:
-    """Per session the share of files outside of the home language; a warning above `share` of `least_files` or more."""
-    files = log.select("session_id", "file_path", (F.element_at(F.split("file_path", r"\."), -1) != home).alias("other")).distinct()
-    n, other = F.count(F.lit(1)), count_where(F.col("other"))
-    return files.groupBy("session_id").agg(n.alias("n_files"), other.alias("n_other"), ((n >= least_files) & (other / n > share)).alias("warn"))
+def language_switches(log: DataFrame, declared: str, least: int = 5, share: float = 0.33) -> DataFrame:
+    """Per session its writes to files of a known language, how many of another
+    one than declared, and a warning above `share` of `least` writes or more."""
+    from ledgerline.operators.rules import language
+
+    rows = log.select("session_id", language(F.col("file_path")).alias("language")).where("language is not null")
+    n, other = F.count(F.lit(1)), count_where(F.col("language") != declared)
+    return rows.groupBy("session_id").agg(n.alias("n_writes"), other.alias("n_other"), ((n >= least) & (other / n > share)).alias("warn"))

@@ -81,10 +81,19 @@ def redacted_config(config: Column) -> Column:
     return F.transform_values(config, lambda k, v: F.when(F.lower(k).rlike("password|secret|token|api_?key|credential"), "[REDACTED]").otherwise(v))
 
 
-def step_labels(rows: DataFrame, run: str, step: str, accepted: str, outcome: str) -> DataFrame:
-    """A step is good (1) if it was accepted and its run came out well, bad (0) if rejected or its run failed, else null."""
-    label = F.when(F.col(accepted) & (F.col(outcome) == 1), 1).when(~F.col(accepted) | (F.col(outcome) == 0), 0)
-    return rows.select(run, step, label.alias("label"))
+def step_label(file: Column, unsafe: Column, destructive: Column, regression: Column, regression_files: Column, resolved: Column) -> Column:
+    """A session's outcome as its steps' label: -1 for an unsafe command or a
+    destructive operation; after a regression -1 for the files it names (for all
+    if it names none) and 0 for the others; 1 where it was resolved, else 0.
+    Nulls count as no."""
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    named = F.coalesce(F.size(regression_files) > 0, F.lit(False))
+    return (
+        F.when(yes(unsafe) | yes(destructive), -1)
+        .when(yes(regression), F.when(~named | yes(F.array_contains(regression_files, file)), -1).otherwise(0))
+        .when(yes(resolved), 1)
+        .otherwise(0)
+    )
 
 
 def embedder_gates(results: DataFrame, run: str, baseline: str, candidate: str, control: str) -> DataFrame:

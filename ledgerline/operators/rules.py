@@ -8,8 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.operators.screens import text_lines
+
 #: Most rules of a set, longest pattern, longest source
 MOST_RULES, LONGEST_PATTERN, LONGEST_SOURCE = 50, 512, 2 << 20
+#: Magic comments and the lines that are read for them; a test's path; languages by ending
+DIRECTIVE = r"(?m)^[ \t]*(?:#|//|<!--)[ \t]*rc:(skip-lang|skip-mock|skip-quality|skip-framework|override|skip)\b[ \t]*([^\n]*?)(?:[ \t]*-->)?[ \t]*$"
+DIRECTIVE_LINES = 20
+TEST_FILE = r"(?:^|/)(?:tests?|__tests__)/|\.(?:test|spec)\.[^/]+$|(?:^|/)test_[^/]+$|_test\.[^/]+$"
+LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "tsx", ".cs": "csharp", ".sql": "sql",
+    ".md": "markdown", ".markdown": "markdown", ".mdx": "markdown", ".json": "json", ".jsonc": "json", ".yaml": "yaml", ".yml": "yaml", ".css": "css", ".scss": "scss", ".sass": "scss",
+    ".html": "html", ".htm": "html", ".vue": "html", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c++": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".h++": "cpp", ".c": "c", ".h": "c",
+}
 
 
 def path_glob(glob: str) -> str:
@@ -45,14 +56,23 @@ def imports_match(name: Column, target: Column) -> Column:
 
 
 def bypassed(source: Column) -> Column:
-    """Ids of the rules that a comment in the source switches off."""
-    return F.array_distinct(F.regexp_extract_all(source, F.lit(r"rc:skip-rule:\s*([A-Za-z0-9_.-]+)"), F.lit(1)))
+    """Ids of the rules that comments in the source switch off, one a line."""
+    found = F.transform(text_lines(source), lambda x: F.regexp_extract(x, r"(?:#|//)\s*rc:skip-rule:([A-Za-z0-9_-]+)", 1))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
+
+
+def directive(source: Column) -> Column:
+    """The first magic comment in the first lines: name, reason and line (from 1), all null without one."""
+    head = F.array_join(F.slice(text_lines(source), 1, DIRECTIVE_LINES), "\n")
+    at = F.regexp_instr(head, F.lit(DIRECTIVE))
+    part = lambda k: F.when(at > 0, F.trim(F.regexp_extract(head, DIRECTIVE, k)))
+    line = F.when(at > 0, F.size(F.split(F.substring(head, F.lit(1), at - 1), "\n")))
+    return F.struct(part(1).alias("name"), part(2).alias("reason"), line.alias("line"))
 
 
-def directive(source: Column, first_lines: int = 5) -> Column:
-    """The mode that a magic comment in the first lines asks for, or null."""
-    head = F.array_join(F.slice(F.split(source, "\n"), 1, first_lines), "\n")
-    return F.nullif(F.regexp_extract(head, r"(?m)^\s*(?:#|//|--)\s*rc:\s*(off|warn|strict)\b", 1), F.lit(""))
+def bypasses(found: Column, domain: str) -> Column:
+    """Whether a directive switches a domain's gate off (lang, mock, quality, framework)."""
+    return F.coalesce(found["name"].isin("skip", "override", f"skip-{domain}"), F.lit(False))
 
 
 def position(source: Column, pattern: str) -> tuple[Column, Column]:
@@ -63,27 +83,33 @@ def position(source: Column, pattern: str) -> tuple[Column, Column]:
     return F.size(F.when(at > 0, lines)), F.length(F.element_at(F.when(at > 0, lines), -1)) + 1
 
 
+def suffix(path: Column) -> Column:
+    """The lower-cased ending with its dot; empty without one and for names that only begin with a dot."""
+    return F.regexp_extract(F.lower(F.coalesce(path, F.lit(""))), r"[^/](\.[^./]*)$", 1)
+
+
 def language(path: Column) -> Column:
-    ends = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "sh": "shell", "md": "markdown", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json"}
-    table = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])
-    name = F.element_at(F.split(F.lower(path), "/"), -1)
-    return F.when(name.startswith("dockerfile"), "dockerfile").otherwise(F.try_element_at(table, F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)))
+    """By the file's ending, or its name for a Dockerfile; null where neither is known."""
+    name = F.element_at(F.split(F.lower(F.coalesce(path, F.lit(""))), "/"), -1)
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.when((name == "dockerfile") | name.endswith(".dockerfile"), "dockerfile").otherwise(F.try_element_at(table, suffix(path)))
 
 
 def file_kind(path: Column) -> Column:
-    """Ordered: plan, test code, other documents, configuration, source."""
-    p = F.lower(path)
+    """Ordered: plan, test code, documents, configuration, source."""
+    p = F.lower(F.coalesce(path, F.lit("")))
     return (
-        F.when(p.rlike(r"(?:^|/)plan[^/]*\.md$"), "plan_md")
-        .when(p.rlike(r"(?:^|/)tests?/|(?:^|/)test_[^/]*$|_test\.[a-z]+$|\.(?:test|spec)\.[a-z]+$"), "test_code")
-        .when(p.rlike(r"\.(?:md|rst|txt)$"), "doc_md")
-        .when(p.rlike(r"\.(?:json|ya?ml|toml|ini|cfg|conf)$"), "config")
+        F.when(p.contains("/plans/") | p.endswith(".plan.md"), "plan_md")
+        .when(p.contains("/test") | p.contains("_test"), "test_code")
+        .when(suffix(path).isin(".md", ".markdown", ".mdx"), "doc_md")
+        .when(suffix(path).isin(".json", ".yaml", ".yml", ".toml", ".ini"), "config")
         .otherwise("source_code")
     )
 
 
 def is_test(path: Column) -> Column:
-    return file_kind(path) == "test_code"
+    """Whether a path is a test's, for the search of duplicates (screens.is_test_path is the plan gate's)."""
+    return path.rlike(TEST_FILE)
 
 
 def apply_rules(edits: DataFrame, rules: list[dict]) -> DataFrame:

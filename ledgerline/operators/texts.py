@@ -7,16 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.operators.screens import text_lines
+
 #: Inline credentials that are blotted out, and paths that are never logged
-INLINE_SECRETS = (
-    r"(?i)(?:api[_-]?key|token|secret|password)\s*[:=]\s*\S+",
-    r"AKIA[0-9A-Z]{16}",
-    r"ghp_[A-Za-z0-9]{20,}",
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-)
-SECRET_PATHS = r"(?i)(?:^|/)(?:\.env(?:\..*)?|id_rsa|id_ed25519|credentials|.*\.pem|.*\.key)$"
+INLINE_SECRETS = (r"sk-[A-Za-z0-9_\-]{12,}", r"ghp_[A-Za-z0-9]{20,}", r"Bearer\s+[A-Za-z0-9._\-]{8,}", r"(?i)password\s*=\s*\S+")
+SECRET_PATHS = r"(?i)\.env(?:\.|$)|\.pem$|\.key$|secret|credential|token"
 REDACTED = "[REDACTED]"
 
+#: Commands by what they check, the first that fits
+CHECKS = {
+    "test": r"(?:^|\s)(?:pytest|mvn\s+test|gradle\s+test|cargo\s+test|go\s+test|dotnet\s+test|(?:npm|pnpm|yarn)\s+(?:run\s+)?test)\b",
+    "lint": r"(?:^|\s)(?:ruff|eslint|biome|golangci-lint|clippy)\b",
+    "typecheck": r"(?:^|\s)(?:mypy|pyright|tsc)\b",
+    "build": r"(?:^|\s)(?:make\s+(?:build|check)|cargo\s+build|go\s+build|dotnet\s+build|npm\s+run\s+build|pnpm\s+build|yarn\s+build)\b",
+}
 #: Share and least count of the rare-token cutoff; sites and tokens of an extractable duplicate
 RARE_SHARE, RARE_LEAST, SITES, TOKENS = 0.03, 3, 3, 12
 #: Accept and warn levels of the plan score, levels of its signals
@@ -104,14 +108,20 @@ def scrub(text: Column) -> Column:
     return text
 
 
-def redact_row(df: DataFrame, path: str, text: str, size: str, digest: str) -> DataFrame:
-    """Secret files keep neither text, size nor digest; other texts are scrubbed."""
-    hidden = F.col(path).rlike(SECRET_PATHS)
-    return df.withColumns({
-        text: F.when(hidden, REDACTED).otherwise(scrub(F.col(text))),
-        size: F.when(hidden, F.lit(0)).otherwise(F.col(size)),
-        digest: F.when(hidden, F.lit("")).otherwise(F.col(digest)),
-    })
+def redact_rows(log: DataFrame) -> DataFrame:
+    """Rows of a log, of these columns those that it has: a secret file keeps
+    neither path, digests nor sizes; free text is scrubbed; secret files are
+    blotted out of lists of files. Nulls stay null."""
+    hidden = F.coalesce(F.col("file_path").rlike(SECRET_PATHS), F.lit(False)) if "file_path" in log.columns else F.lit(False)
+    own = {
+        **dict.fromkeys(("file_path", "file_path_rel"), lambda c: F.when(hidden, REDACTED).otherwise(c)),
+        **dict.fromkeys(("before_sha256", "after_sha256"), lambda c: F.when(~hidden, c)),
+        **dict.fromkeys(("before_bytes", "after_bytes"), lambda c: F.when(hidden, F.lit(0)).otherwise(c)),
+        **dict.fromkeys(("human_summary", "reason", "command"), scrub),
+        **dict.fromkeys(("missing_files", "changed_files"), lambda c: F.transform(c, lambda x: F.when(x.rlike(SECRET_PATHS), REDACTED).otherwise(x))),
+    }
+    kinds = dict(log.dtypes)
+    return log.select(*[own[c](F.col(c)).cast(kinds[c]).alias(c) if c in own else F.col("`" + c.replace("`", "``") + "`") for c in log.columns])
 
 
 def hash_split(key: Column) -> Column:
@@ -230,33 +240,58 @@ def duplicate_verdict(n_sites: Column, n_tokens: Column, covered: Column) -> Col
     return F.when((n_sites >= SITES) & (n_tokens >= TOKENS) & covered, "extract").when(n_sites >= 2, "report").otherwise("ignore")
 
 
-def claims(text: Column) -> Column:
-    """Sentences that state something checkable: 4 words at least, markers taken off."""
-    parts = F.split(text, r"(?<=[.!?])\s+|\n")
-    bare = F.transform(parts, lambda x: F.regexp_replace(F.trim(x), r"^(?:[-*]|[0-9]+[.)])\s*", ""))
-    return F.filter(bare, lambda x: F.size(F.split(x, r"\s+")) >= 4)
-
-
-def commit_kind(subject: Column) -> Column:
-    s = F.lower(F.trim(subject))
-    return (
-        F.when(s.startswith("amend!") | s.rlike(r"^fixup!"), "amend")
-        .when(s.startswith("revert"), "revert")
-        .when(s.rlike(r"\b(?:fix|fixes|fixed|bug|hotfix|regression)\b"), "fix")
-        .when(s.rlike(r"^(?:typo|whitespace|bump|merge|chore|docs?)\b"), "trivial")
-        .otherwise("other")
-    )
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def plan_claims(plan: Column, most: int = 8) -> Column:
+    """The first bullets of 20 to 500 characters."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(plan, F.lit("")), F.lit(r"(?m)^[ \t]*[-*+]\s+(.+)$"), F.lit(1)), _bare)
+    return F.slice(F.filter(found, lambda x: F.length(x).between(20, 500)), 1, most)
+
+
+def step_claims(plan: Column) -> Column:
+    """Bullets and numbered items of over 4 characters, the first 300 of each."""
+    found = F.transform(text_lines(plan), lambda x: _bare(F.regexp_extract(x, r"^\s*(?:[-*]|\d+[.)])\s+(.+?)\s*$", 1)))
+    return F.transform(F.filter(found, lambda x: F.length(x) > 4), lambda x: F.substring(x, 1, 300))
+
+
+def commit_claims(body: Column) -> Column:
+    """Of a commit's body the bullets, and the lines that are sentences, without
+    their file's name, of 20 to 400 characters, the first 200 of each; footers
+    and trivial remarks are left out."""
+    lines = F.filter(text_lines(body), lambda x: x.rlike(r"\S") & ~x.rlike(r"(?i)^\s*(?:co-authored-by|signed-off-by|reviewed-by):"))
+    bullet = r"^\s*[-*]\s+(.+)$"
+    right = lambda x: F.regexp_replace(x, r"\s+$", "")
+    sentence = lambda x: _bare(x).endswith(".") & ~_bare(x).startswith("#")
+    found = F.transform(lines, lambda x: F.when(right(x).rlike(bullet), _bare(F.regexp_extract(right(x), bullet, 1))).when(sentence(x), _bare(x)))
+    clean = lambda x: _bare(F.regexp_replace(F.regexp_replace(x, r"^[\w./\-]+\.(?:py|js|ts|md|json|yaml|sh)\s+[—:-]\s+", ""), r"^[-*•· ]+", ""))
+    kept = F.filter(F.transform(F.filter(found, lambda x: x.isNotNull()), clean), lambda x: F.length(x).between(20, 400) & ~x.rlike(r"(?i)^(?:chore|typo|lint|format|whitespace|nit)\b"))
+    return F.transform(kept, lambda x: F.substring(x, 1, 200))
+
+
+def commit_flags(message: Column) -> dict[str, Column]:
+    """What a commit's message says that it is: amend, revert and fix by its
+    beginning; reverts: the hash that it takes back, or null; keywords anywhere."""
+    low = F.regexp_replace(F.lower(F.coalesce(message, F.lit(""))), r"(?U)^\s+", "")
+    target = F.regexp_extract(F.coalesce(message, F.lit("")), r"This reverts commit ([0-9a-f]{7,40})", 1)
+    return {
+        "amend": low.rlike(r"^(?:amend|fixup|squash)"),
+        "revert": low.startswith("revert"),
+        "fix": low.rlike(r"^:*(?:[ 🐛✨🔧📝⚡]\s*)*(?:fix:|fix\(|bug:|bug\(|hotfix:)"),
+        "reverts": F.nullif(target, F.lit("")),
+        "fix_keyword": low.rlike(r"\b(?:fix|revert|hotfix|patch)\b"),
+        "test_keyword": low.rlike(r"\b(?:test|spec)\b"),
+        "refactor_keyword": low.rlike(r"\b(?:refactor|cleanup)\b"),
+    }
 
 
 def verification_kind(command: Column) -> Column:
     """What a shell command checks; the first that fits, null for none."""
-    c = F.lower(command)
-    return (
-        F.when(c.rlike(r"\b(?:pytest|unittest|jest|vitest|mocha|go test|cargo test|npm (?:run )?test)\b"), "test")
-        .when(c.rlike(r"\b(?:ruff|flake8|pylint|eslint|golangci-lint|clippy)\b"), "lint")
-        .when(c.rlike(r"\b(?:mypy|pyright|tsc)\b"), "typecheck")
-        .when(c.rlike(r"\b(?:make|cargo build|go build|npm run build|mvn|gradle)\b"), "build")
-    )
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(CHECKS.items()):
+        kind = F.when(command.rlike(pattern), name).otherwise(kind)
+    return kind
 
 
 def most_similar(a: DataFrame, b: DataFrame) -> DataFrame:

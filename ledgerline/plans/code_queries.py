@@ -96,17 +96,24 @@ def glob_dialects(spark, sf_dir):
     return files.select("event_id", *stay, *[F.col("path").rlike(R.scope_glob(g)).alias(f"scope_{n}") for n, g in enumerate(GLOBS)])
 
 
-HEADS = ("# rc: off\nx", "import a\n// rc: warn\n", "a\nb\nc\nd\n-- rc: strict", "a\nb\nc\nd\ne\n# rc: off", "x = '# rc: off'", "")
-SUBJECTS = ("Revert \"x\"", "fix: a bug", "amend! y", "typo in docs", "feat: z", "prefix only", "  Merge branch")
-COMMANDS = ("python -m pytest -q", "ruff check .", "npx tsc --noEmit", "make all", "ls", "cargo clippy", "npm run build && npm test")
+#: text, and the directive's name, reason and line in it
+HEADS = (("# rc:skip\nx", "skip", "", 1), ("import a\n  // rc:override  trusted change \n", "override", "trusted change", 2), ("a\nb\n<!-- rc:skip-lang because -->", "skip-lang", "because", 3),
+         ("\n" * 20 + "# rc:skip", None, None, None), ("x = '# rc:skip'", None, None, None), ("# rc: skip", None, None, None), ("#rc:skip-mock\n# rc:skip", "skip-mock", "", 1), ("# rc:skipper", None, None, None))
+SUBJECTS = (('Revert "x"\n\nThis reverts commit abcdef0123.', "r", "abcdef0123"), ("fix: a bug", "f", None), ("  Amend y", "a", None), ("squash! it", "a", None), (":bug: fix(z): w", "f", None), ("prefix only", "", None), ("🐛 hotfix: q", "f", None), ("fixup the bug", "a", None))
+COMMANDS = (("python -m pytest -q", "test"), ("ruff check .", "lint"), ("npx tsc --noEmit", "typecheck"), ("make all", None), ("make  check", "build"), ("ls", None), ("cargo clippy", "lint"), ("npm run build && npm test", "test"), ("xpytest", None), ("pnpm run test", "test"))
+_told = lambda xs, k, by: "[" + ", ".join("NULL" if x[k] is None else repr(x[k]) for x in xs) + f"][1 + ({by}) % {len(xs)}]"
 
 
-@query(f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'off' WHEN 1 THEN 'warn' WHEN 2 THEN 'strict' END AS directive,
-                 CASE event_id % 7 WHEN 0 THEN 'revert' WHEN 1 THEN 'fix' WHEN 2 THEN 'amend' WHEN 3 THEN 'trivial' WHEN 6 THEN 'trivial' ELSE 'other' END AS commit_kind,
-                 CASE {K} % 7 WHEN 0 THEN 'test' WHEN 1 THEN 'lint' WHEN 2 THEN 'typecheck' WHEN 3 THEN 'build' WHEN 5 THEN 'lint' WHEN 6 THEN 'test' END AS verification FROM events""")
+@query(f"""SELECT event_id, {_told(HEADS, 1, "event_id")} AS directive, {_told(HEADS, 2, "event_id")} AS reason, CAST({_told(HEADS, 3, "event_id")} AS INTEGER) AS line, coalesce({_told(HEADS, 1, "event_id")} IN ('skip', 'override', 'skip-lang'), FALSE) AS no_lang,
+                 {_told(SUBJECTS, 1, "event_id")} AS flags, {_told(SUBJECTS, 2, "event_id")} AS reverts, {_told(COMMANDS, 1, K)} AS verification FROM events""")
 def directives_and_kinds(spark, sf_dir):
     i = F.col("event_id")
-    return events(spark, sf_dir).select("event_id", R.directive(dealt(HEADS, i)).alias("directive"), X.commit_kind(dealt(SUBJECTS, i)).alias("commit_kind"), X.verification_kind(dealt(COMMANDS, F.col("k"))).alias("verification"))
+    found, flags = R.directive(dealt([x[0] for x in HEADS], i)), X.commit_flags(dealt([x[0] for x in SUBJECTS], i))
+    told = F.concat(*[F.when(flags[k], k[0]).otherwise("") for k in ("amend", "revert", "fix")])
+    return events(spark, sf_dir).select(
+        "event_id", found["name"].alias("directive"), found["reason"].alias("reason"), found["line"].alias("line"), R.bypasses(found, "lang").alias("no_lang"),
+        told.alias("flags"), flags["reverts"].alias("reverts"), X.verification_kind(dealt([x[0] for x in COMMANDS], F.col("k"))).alias("verification"),
+    )
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'a' ELSE '' END || CASE WHEN {K} % 4 = 0 THEN 'c' ELSE '' END || 'd' AS changed,
@@ -122,15 +129,14 @@ def manifest_diffs(spark, sf_dir):
 
 @query(f"""SELECT event_id, round(CASE WHEN event_id % 5 > 0 THEN greatest(0, least(1, value / 100 / ((event_id % 5) / 2.0::DOUBLE))) ELSE greatest(0, least(1, value / 100)) END, 6) AS drift,
                  CASE WHEN value / 100 > 0.5 THEN 'x' ELSE '' END || CASE WHEN {K} % 10 > 4 THEN 'y' ELSE '' END AS fired,
-                 CASE WHEN event_id % 2 = 0 AND {K} % 3 = 1 THEN 1 WHEN event_id % 2 = 1 OR {K} % 3 = 0 THEN 0 END AS step_label FROM events""")
+                 CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN -1 WHEN {K} % 3 = 0 THEN CASE WHEN {K} % 2 = 0 OR event_id % 2 = 0 THEN -1 ELSE 0 END WHEN {K} % 3 = 1 THEN 1 ELSE 0 END AS step_label FROM events""")
 def drift_and_fired(spark, sf_dir):
     i, k, v = F.col("event_id"), F.col("k"), F.col("value") / 100
     m = lambda **kw: F.create_map(*[y for p in kw.items() for y in (F.lit(p[0]), p[1].cast("double"))])
-    rows = events(spark, sf_dir).withColumn("accepted", i % 2 == 0).withColumn("outcome", F.when(k % 3 < 2, k % 3))
-    labels = G.step_labels(rows.select("event_id", F.lit(0).alias("run"), "accepted", "outcome"), "run", "event_id", "accepted", "outcome").select("event_id", F.col("label").alias("step_label"))
+    files = F.when(k % 2 == 1, F.array(F.lit("f0"), F.lit("g"))).otherwise(F.array().cast("array<string>"))
+    label = G.step_label(F.concat(F.lit("f"), (i % 2).cast("string")), F.when(i % 11 == 0, True), i % 13 == 0, k % 3 == 0, files, k % 3 == 1)
     fired = G.fired(m(x=v, y=k % 10, z=v), m(x=F.lit(0.5), y=F.lit(4)))
-    got = rows.select("event_id", F.round(V.drift(v, (i % 5) / 2), 6).alias("drift"), F.array_join(F.array_sort(F.map_keys(fired)), "").alias("fired"))
-    return got.join(labels, "event_id")
+    return events(spark, sf_dir).select("event_id", F.round(V.drift(v, (i % 5) / 2), 6).alias("drift"), F.array_join(F.array_sort(F.map_keys(fired)), "").alias("fired"), label.alias("step_label"))
 
 
 @query("""SELECT a.l_orderkey, a.l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey) AS nth, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n FROM lineitem WHERE l_linenumber % 2 = 0) a
@@ -183,7 +189,8 @@ def unresolved_imports(spark, sf_dir):
 def ranked_duplicates(spark, sf_dir):
     """Vectors with the words of their kind and place as tokens (a matcher: tested against plain loops)."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    tokens = F.array(*[F.concat(F.lit(f"t{j}_"), (F.col("label") * 3 + F.floor(F.col("vec_id") / 40) * int(j == 5)).cast("string")) for j in range(40)])
+    own = {5: F.floor(F.col("vec_id") / 40), 60: F.col("label")}  # of 80 tokens these two tell rows apart
+    tokens = F.array(*[F.concat(F.lit(f"t{j}_"), own.get(j, F.lit(0)).cast("string")) for j in range(80)])
     f = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), tokens.alias("tokens"), F.col("label").cast("string").alias("path"), F.col("vec_id").alias("line"))
     asked = f.where("id % 20 = 0")
     pairs = V.pairs_above(f.select("id", "vec"), asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 0.5)

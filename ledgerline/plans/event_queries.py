@@ -68,16 +68,6 @@ def gate_benchmark(spark, sf_dir):
     )
 
 
-@query("""SELECT signal_source, count(*) AS n, count_if(decision = 'block') AS blocked, count_if(decision = 'warn') AS warned,
-                 count_if(retry_after_block) AS retried, CAST(floor(quantile_cont(latency_ms, 0.5)) AS BIGINT) AS p50_ms,
-                 CAST(floor(quantile_cont(latency_ms, 0.95)) AS BIGINT) AS p95_ms, max(latency_ms) AS max_ms,
-                 least(1.0, round(CAST(count_if(retry_after_block) AS DOUBLE) / nullif(count_if(decision = 'block'), 0), 3)) AS false_positive_proxy,
-                 CAST(round(count(*) + 1.5 * (count_if(decision = 'block') + count_if(decision = 'warn')), 1) AS DOUBLE) AS token_cost
-          FROM retried GROUP BY signal_source""", f"{LOG}, {RETRY}")
-def benchmark_by_source(spark, sf_dir):
-    return D.benchmark(retried_log(spark, sf_dir), ["signal_source"])
-
-
 #: decisions, reasons, gates and sources of the stand-in audit trail, dealt by the events' ids and numbers
 DECISIONS = ("allowed", "blocked", "warn", "shadow_blocked", "fail-open", "Operator_Override", "allowed_via_override", "exit_block", "blocked")
 REASONS = (
@@ -106,6 +96,29 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_COUNTS = ", ".join(f"count_if(decision = '{d}') AS {c}" for d, c in (("blocked", "blocked"), ("warn", "warn"), ("shadow_blocked", "shadow_blocked"), ("fail-open", "fail_open"), ("allowed", "allowed"), ("allowed_via_override", "allowed_via_override"), ("operator_override", "operator_override"), ("operator_confirmed", "operator_confirmed")))
+
+
+@query(f"""SELECT *, CAST(round(n_events + 1.5 * (blocked + warn + shadow_blocked + allowed_via_override), 1) AS DOUBLE) AS token_cost,
+                  least(1.0::DOUBLE, round(CAST(retried + allowed_via_override AS DOUBLE) / nullif(blocked + shadow_blocked, 0), 3)) AS false_positive_proxy
+           FROM (SELECT signal_source, count(*) AS n_events, {_COUNTS}, count_if(decision = 'blocked' AND retry_after_block) AS retried, count_if(creep) AS scope_creep,
+                        count_if(creep AND decision IN ('blocked', 'shadow_blocked')) AS scope_creep_blocked, count_if(creep AND decision NOT IN ('blocked', 'shadow_blocked')) AS scope_creep_warned,
+                        CAST(floor(quantile_cont(latency_ms, 0.5)) AS BIGINT) AS median_ms, CAST(floor(quantile_cont(latency_ms, 0.95)) AS BIGINT) AS p95_ms,
+                        CAST(floor(quantile_cont(CASE WHEN decision = 'blocked' THEN latency_ms END, 0.5)) AS BIGINT) AS median_block_ms
+                 FROM (SELECT *, coalesce(reason = 'plan_impl_drift' OR contains(lower(reason), 'contract_violation'), FALSE) AS creep FROM audit) GROUP BY signal_source)""", AUDIT)
+def benchmark_by_source(spark, sf_dir):
+    return D.benchmark(audit_trail(spark, sf_dir), ["signal_source"])
+
+
+@query("""SELECT severity, count(*) AS n FROM (SELECT CASE WHEN d = 'fail-open' THEN 'fail_open' WHEN d = 'shadow_blocked' THEN 'shadow' WHEN d IN ('operator_override', 'allowed_via_override') THEN 'override'
+                 WHEN contains(r, 'contract_violation') THEN 'contract' WHEN contains(r, 'oracle') THEN 'oracle' WHEN starts_with(r, 'rule_engine:') THEN 'rule_engine'
+                 WHEN r = 'plan_impl_drift' THEN 'plan_grounding' WHEN r IN ('shell_escape', 'guard_file_locked', 'language_fingerprint_violation') OR starts_with(r, 'kill_switch') OR starts_with(r, 'magic_comment') THEN 'self_protection'
+                 WHEN gate_id = 'plan_grounding' OR contains(r, 'plan') THEN 'plan_grounding' WHEN gate_id = 'rules' THEN 'rule_engine' ELSE 'other' END AS severity
+          FROM (SELECT *, lower(decision) AS d, lower(coalesce(reason, '')) AS r FROM audit WHERE decision <> 'allowed')) GROUP BY severity""", AUDIT)
+def severity_counts(spark, sf_dir):
+    return D.severity_counts(audit_trail(spark, sf_dir))
+
+
 @query("""SELECT n_events, caught, false_drifts, round(greatest(0, caught - false_drifts) / (ms / 1000.0::DOUBLE + 1) * 0.43::DOUBLE * greatest(0.0::DOUBLE, 1 - away / CAST(n_events AS DOUBLE)), 8) AS score
           FROM (SELECT count(*) AS n_events, count_if(drift) AS caught, count_if(drift AND ((retry_after_block AND decision = 'blocked') OR decision_id % 11 = 0)) AS false_drifts,
                        sum(latency_ms) AS ms, count_if(reason LIKE 'sidecar_unavailable%') AS away
@@ -214,9 +227,16 @@ HINKLEY = """cum AS (SELECT day, sum(rate - 0.15 - 0.02) OVER (ORDER BY day) AS
     ph AS (SELECT day, cum - least(0.0, min(cum) OVER (ORDER BY day)) AS excess FROM cum)"""
 
 
-@query("SELECT CAST(day AS VARCHAR) AS day, round(rate, 6) AS rate, n FROM daily", f"{LOG}, {DAILY}")
-def daily_block_rate(spark, sf_dir):
-    return D.daily_rate(decision_log(spark, sf_dir)).select(F.col("day").cast("string").alias("day"), F.round("rate", 6).alias("rate"), "n")
+@query("""SELECT CAST(day AS VARCHAR) AS day, round(avg(CAST(would_block AS INTEGER)), 6) AS rate, count(*) AS n FROM (
+              SELECT CAST(ts AS DATE) AS day, coalesce(decision = 'shadow_blocked', FALSE) OR decision_id % 6 = 1 AS would_block, CASE decision_id % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'harmful' END AS truth, decision
+              FROM audit WHERE decision_id % 3 > 0)
+          WHERE CASE WHEN truth IS NOT NULL THEN truth = 'benign' ELSE decision IN ('allowed', 'shadow_blocked') END GROUP BY day""", AUDIT)
+def daily_false_positives(spark, sf_dir):
+    i = F.col("decision_id")
+    log = audit_trail(spark, sf_dir).withColumns({
+        "shadow": i % 3 > 0, "ground_truth": F.when(i % 4 == 0, "benign").when(i % 4 == 1, "harmful"), "would_block": (F.col("decision") == "shadow_blocked") | (i % 6 == 1)
+    })
+    return D.daily_false_positives(log).select(F.col("day").cast("string").alias("day"), F.round("rate", 6).alias("rate"), "n")
 
 
 @query("SELECT CAST(day AS VARCHAR) AS day, round(excess, 6) AS excess, excess > 0.06 AS alarm FROM ph", f"{LOG}, {DAILY}, {HINKLEY}")
@@ -235,21 +255,21 @@ def session_cusum(spark, sf_dir):
     return D.cusum(decision_log(spark, sf_dir), "session_id", "decision_id", "latency_ms", 200.0).withColumn("max_cusum", F.round("max_cusum", 4))
 
 
-@query("""SELECT decision, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95,
-                 round(quantile_cont(latency_ms, 0.99), 4) AS p99
-          FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY decision ORDER BY ts DESC, decision_id DESC) <= 1000) GROUP BY decision""")
+@query("""SELECT count(*) AS score_calls, round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms,
+                 (SELECT count_if(decision = 'block') FROM log) AS errors FROM (SELECT * FROM log ORDER BY ts DESC, decision_id DESC LIMIT 1000)""")
 def latency_snapshot(spark, sf_dir):
-    """Percentiles of each decision's newest 1,000."""
-    log = D.newest(decision_log(spark, sf_dir), ["decision"], 1000)
-    p = lambda q: F.round(F.percentile("latency_ms", q), 4)
-    return log.groupBy("decision").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """The newest 1,000 are the feature."""
+    got = D.latency_snapshot(decision_log(spark, sf_dir).withColumn("error", F.col("decision") == "block"))
+    return got.select("score_calls", *[F.round(c, 4).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms")], "errors")
 
 
-@query("""SELECT count(DISTINCT session_id) AS n_sessions, count(*) AS n_events, date_diff('day', min(CAST(ts AS DATE)), DATE '2024-01-30') AS age_days,
-                 concat_ws('; ', CASE WHEN count(DISTINCT session_id) < 100 THEN 'sessions' END, CASE WHEN count(*) < 50000 THEN 'events' END,
-                           CASE WHEN date_diff('day', min(CAST(ts AS DATE)), DATE '2024-01-30') < 14 THEN 'days' END) AS missing FROM log""")
+@query(f"""SELECT n_repos, n_events, round(days, 6) AS days, n_repos >= 200 AND n_events >= 1000 AND days >= 100 AS promoted,
+                 CASE WHEN n_repos >= 200 AND n_events >= 1000 AND days >= 100 THEN 'promotion criteria met' ELSE concat_ws('; ', CASE WHEN n_repos < 200 THEN 'repos ' || n_repos || '/200' END,
+                      CASE WHEN n_events < 1000 THEN 'events ' || n_events || '/1000' END, CASE WHEN days < 100 THEN 'days ' || printf('%.1f', days) || '/100.0' END) END AS reason
+          FROM (SELECT count(DISTINCT session_id) AS n_repos, count(*) AS n_events, (epoch_us(TIMESTAMP '{TODAY}') - epoch_us(min(ts))) / 86400000000.0::DOUBLE AS days FROM log)""")
 def promotion_readiness(spark, sf_dir):
-    return D.promotion(decision_log(spark, sf_dir), TODAY, 100, 50_000, 14)
+    log = decision_log(spark, sf_dir).withColumn("repo", F.col("session_id").cast("string"))
+    return D.promotion(log, TODAY, 200, 1000, 100.0).withColumn("days", F.round("days", 6))
 
 
 @query("""SELECT session_id, file_path, count(DISTINCT coalesce(CAST(batch_id AS VARCHAR), CAST(decision_id AS VARCHAR))) AS failed_attempts
@@ -286,10 +306,10 @@ def busiest_files(spark, sf_dir):
     return decision_log(spark, sf_dir).groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file_path").limit(10)
 
 
-@query("""SELECT session_id, count(*) AS n_files, count_if(other) AS n_other, count(*) >= 5 AND count_if(other) / CAST(count(*) AS DOUBLE) > 0.33 AS warn
-          FROM (SELECT DISTINCT session_id, file_path, NOT ends_with(file_path, '.py') AS other FROM log) GROUP BY session_id""")
+@query("""SELECT session_id, count(*) AS n_writes, count_if(NOT ends_with(file_path, '.py')) AS n_other, count(*) >= 5 AND count_if(NOT ends_with(file_path, '.py')) / CAST(count(*) AS DOUBLE) > 0.33 AS warn
+          FROM log GROUP BY session_id""")
 def language_switches(spark, sf_dir):
-    return D.language_switches(decision_log(spark, sf_dir), "py")
+    return D.language_switches(decision_log(spark, sf_dir), "python")
 
 
 @query("""SELECT a.decision_id, count(DISTINCT b.decision_id) AS n_later FROM log a JOIN log b ON a.file_path = b.file_path AND a.session_id = b.session_id

@@ -8,6 +8,7 @@ from ledgerline.operators import calibration as C
 from ledgerline.operators import graph as G
 from ledgerline.operators import rules as R
 from ledgerline.plans.collect import collection
+from ledgerline.plans.text_queries import _chosen, dealt
 
 EDITS = """edits AS (SELECT doc_id AS edit_id, 'src/' || source || '/f' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.ts' WHEN 'de' THEN '.md' ELSE '.json' END AS path,
     text AS source, ['pkg.' || lang, 'os.path'] AS imports FROM documents)"""
@@ -45,10 +46,19 @@ def contract_check(spark, sf_dir):
     return R.check_contract(edits(spark, sf_dir), ["**/*.json"], ["src/src1*/**"], ["**/*.py"])
 
 
-@query("""SELECT edit_id, CASE WHEN ends_with(path, '.md') THEN 'doc_md' WHEN ends_with(path, '.json') THEN 'config' ELSE 'source_code' END AS kind,
-                 CASE WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.ts') THEN 'typescript' WHEN ends_with(path, '.md') THEN 'markdown' ELSE 'json' END AS language FROM edits""")
+ODD_PATHS = ("Dockerfile", "a/b.dockerfile", "x/plans/p.md", "q.PLAN.md", "src/tests/a.py", "src/test_a.ts", "lib/a_test.go", "a.spec.tsx", ".md", "docs/read.MDX", "c.toml", "c.cfg", "k.h++", "noend", "__tests__/x.js", "my.tests/x.cs")
+
+
+@query(r"""SELECT edit_id, CASE WHEN contains(p, '/plans/') OR ends_with(p, '.plan.md') THEN 'plan_md' WHEN contains(p, '/test') OR contains(p, '_test') THEN 'test_code' WHEN e IN ('.md', '.markdown', '.mdx') THEN 'doc_md'
+                 WHEN e IN ('.json', '.yaml', '.yml', '.toml', '.ini') THEN 'config' ELSE 'source_code' END AS kind,
+                 CASE WHEN regexp_matches(p, '(^|/|\.)dockerfile$') THEN 'dockerfile' WHEN e = '.py' THEN 'python' WHEN e = '.ts' THEN 'typescript' WHEN e IN ('.md', '.mdx') THEN 'markdown' WHEN e = '.json' THEN 'json'
+                      WHEN e = '.tsx' THEN 'tsx' WHEN e = '.h++' THEN 'cpp' WHEN e = '.js' THEN 'javascript' WHEN e = '.cs' THEN 'csharp' END AS language,
+                 regexp_matches(path, '(^|/)(tests?|__tests__)/|\.(test|spec)\.[^/]+$|(^|/)test_[^/]+$|_test\.[^/]+$') AS is_test
+          FROM (SELECT edit_id, path, lower(path) AS p, regexp_extract(lower(path), '[^/](\.[^./]*)$', 1) AS e FROM odd)""",
+       f"{EDITS}, odd AS (SELECT edit_id, CASE WHEN edit_id % 3 = 0 THEN path ELSE {_chosen(ODD_PATHS, 'edit_id')} END AS path FROM edits)")
 def file_kinds(spark, sf_dir):
-    return edits(spark, sf_dir).select("edit_id", R.file_kind(F.col("path")).alias("kind"), R.language(F.col("path")).alias("language"))
+    odd = edits(spark, sf_dir).select("edit_id", F.when(F.col("edit_id") % 3 == 0, F.col("path")).otherwise(dealt(ODD_PATHS, F.col("edit_id"))).alias("path"))
+    return odd.select("edit_id", R.file_kind(F.col("path")).alias("kind"), R.language(F.col("path")).alias("language"), R.is_test(F.col("path")).alias("is_test"))
 
 
 @query("""SELECT edit_id, CAST(len(string_split(b, chr(10))) AS INTEGER) AS line, CAST(length(string_split(b, chr(10))[-1]) + 1 AS INTEGER) AS col

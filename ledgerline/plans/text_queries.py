@@ -18,6 +18,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_chosen = lambda xs, by: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + f"][1 + ({by}) % {len(xs)}]"
+
+
+def dealt(xs, by):
+    return F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
+
+
 def bench_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.tokens(F.col("text")).alias("t"))
 
@@ -55,12 +62,36 @@ def shared_tokens(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.size(X.shared(a, b)).alias("n_shared"), F.round(X.jaccard(a, b), 6).alias("jaccard"))
 
 
-@query(r"""SELECT doc_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-            '(?i)(?:api[_-]?key|token|secret|password)\s*[:=]\s*\S+', '[REDACTED]', 'g'), 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g'),
-            'ghp_[A-Za-z0-9]{20,}', '[REDACTED]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g') AS s FROM documents)""")
-def scrubbed_texts(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", X.scrub(F.col("text")).alias("s"))
-    return s.select("doc_id", F.length("s").cast("long").alias("n_chars"), F.md5(F.col("s").cast("binary")).alias("digest"))
+LEAKS = (" key sk-abcdefghijkl_mn here", " Bearer abc.def-ghi", " password = hunter2!", " ghp_abcdefghij0123456789xyz", " token=abc", "")
+PATHS = ("conf/.env", "a/.env.local", "keys/id.pem", "src/tokenizer.py", "src/app.py", "x/server.key", "lib/environment.py")
+
+
+@query(rf"""SELECT doc_id, length(s) AS n_chars, md5(s) AS digest, CASE WHEN regexp_matches(path, '{X.SECRET_PATHS}') THEN '[REDACTED]' ELSE path END AS file_path, CASE WHEN regexp_matches(path, '{X.SECRET_PATHS}') THEN 0 ELSE doc_id END AS after_bytes
+            FROM (SELECT doc_id, {_chosen(PATHS, "doc_id")} AS path, {"".join("regexp_replace(" for _ in X.INLINE_SECRETS)}coalesce(text, '') || {_chosen(LEAKS, "doc_id")}{"".join(f", '{p}', '[REDACTED]', 'g')" for p in X.INLINE_SECRETS)} AS s FROM documents)""")
+def redacted_rows(spark, sf_dir):
+    i = F.col("doc_id")
+    log = table(spark, sf_dir, "documents").select("doc_id", dealt(PATHS, i).alias("file_path"), i.alias("after_bytes"), F.concat(F.coalesce("text", F.lit("")), dealt(LEAKS, i)).alias("reason"))
+    return X.redact_rows(log).select("doc_id", F.length("reason").cast("long").alias("n_chars"), F.md5(F.col("reason").cast("binary")).alias("digest"), "file_path", "after_bytes")
+
+
+BODIES = (
+    "- Adds a cache for the parsed files.\n* src/app.py — reads the whole log at once\n  1. First item of the plan\n2) ok\n+ a plus bullet that is long enough", "A sentence that ends with a full stop.\nno stop here\n# Header line.\nSigned-off-by: A B.",
+    "- typo in the documentation of it\n- short\n-   • leading marks are dropped from here", "", "* x\n3. " + "long " * 80,
+)
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(b, '(?m)^[ \t]*[-*+]\s+(.+)$', 1), lambda x: trim(x)), lambda x: length(x) BETWEEN 20 AND 500)[1:8], '|') AS plan_claims,
+                 array_to_string(list_transform(list_filter(list_transform(l, lambda x: trim(regexp_extract(x, '^\s*(?:[-*]|\d+[.)])\s+(.+?)\s*$', 1))), lambda x: length(x) > 4), lambda x: substr(x, 1, 300)), '|') AS step_claims,
+                 array_to_string(list_transform(list_filter(list_transform(list_filter(list_transform(list_filter(l, lambda x: regexp_matches(x, '\S') AND NOT regexp_matches(x, '(?i)^\s*(?:co-authored-by|signed-off-by|reviewed-by):')),
+                       lambda x: CASE WHEN regexp_matches(rtrim(x), '^\s*[-*]\s+(.+)$') THEN trim(regexp_extract(rtrim(x), '^\s*[-*]\s+(.+)$', 1)) WHEN ends_with(trim(x), '.') AND NOT starts_with(trim(x), '#') THEN trim(x) END), lambda x: x IS NOT NULL),
+                       lambda x: trim(regexp_replace(regexp_replace(x, '^[\w./\-]+\.(?:py|js|ts|md|json|yaml|sh)\s+[—:-]\s+', ''), '^[-*•· ]+', ''))),
+                       lambda x: length(x) BETWEEN 20 AND 400 AND NOT regexp_matches(x, '(?i)^(?:chore|typo|lint|format|whitespace|nit)\b')), lambda x: substr(x, 1, 200)), '|') AS commit_claims
+          FROM (SELECT doc_id, b, string_split(b, chr(10)) AS l FROM bodies)""",
+       f"bodies AS (SELECT doc_id, {_chosen(BODIES, 'doc_id')} || chr(10) || '- document ' || doc_id || ' has its own claim' AS b FROM documents)")
+def claims(spark, sf_dir):
+    body = F.concat(dealt(BODIES, F.col("doc_id")), F.lit("\n- document "), F.col("doc_id").cast("string"), F.lit(" has its own claim"))
+    of = {"plan_claims": X.plan_claims(body), "step_claims": X.step_claims(body), "commit_claims": X.commit_claims(body)}
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.array_join(c, "|").alias(k) for k, c in of.items()])
 
 
 @query("""SELECT split, count(*) AS n FROM (SELECT CASE WHEN x < 70 THEN 'train' WHEN x < 85 THEN 'dev' ELSE 'test' END AS split
@@ -104,13 +135,6 @@ PLAN_NOTES = (
     " See src/app.py:120 and /api/users/list. A deadlock is likely at line 12.", " Check edge cases. Make sure tests pass. Verify it works.",
     "\n\nTOCTOU and SQL injection in ./lib/db.ts, L42.\n- Fix web/main.vue\n- Add an index", " Read the diff!", "",
 )
-_chosen = lambda xs, by: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + f"][1 + ({by}) % {len(xs)}]"
-
-
-def dealt(xs, by):
-    return F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
-
-
 def _counts(patterns):
     return " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))" for p in patterns)
 

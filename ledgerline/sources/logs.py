@@ -82,7 +82,9 @@ def read_tree(spark: SparkSession, root: str, endings: list[str]) -> DataFrame:
 
 
 def scan_tests(tree: DataFrame) -> DataFrame:
-    return tree.where(F.col("path").rlike(r"(?:^|/)tests?/|(?:^|/)test_[^/]*$|_test\.[a-z]+$"))
+    from ledgerline.operators.rules import is_test
+
+    return tree.where(is_test(F.col("path")))
 
 
 def append_log(rows: DataFrame, root: str, scrub=None) -> None:
