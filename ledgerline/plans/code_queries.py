@@ -16,6 +16,7 @@ from ledgerline.plans.collect import collection
 from ledgerline.plans.event_queries import LOG, decision_log
 from ledgerline.plans.screen_queries import K, events
 from ledgerline.plans.text_queries import _chosen, dealt, table
+from ledgerline.plans.vector_queries import TEST_RECALL
 
 QUERIES, ORACLES, query = collection()
 
@@ -193,6 +194,6 @@ def ranked_duplicates(spark, sf_dir):
     tokens = F.array(*[F.concat(F.lit(f"t{j}_"), own.get(j, F.lit(0)).cast("string")) for j in range(80)])
     f = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), tokens.alias("tokens"), F.col("label").cast("string").alias("path"), F.col("vec_id").alias("line"))
     asked = f.where("id % 20 = 0")
-    pairs = V.pairs_above(f.select("id", "vec"), asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 0.5)
+    pairs = V.pairs_above(f.select("id", "vec"), asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), TEST_RECALL)
     got = X.ranked_duplicates(pairs, asked.select(F.col("id").alias("qid"), "tokens"), f.select("id", "path", "line", "tokens"))
     return got.withColumn("cosine", F.round("cosine", 6))
