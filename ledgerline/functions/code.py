@@ -71,23 +71,27 @@ def calls(source: str | None) -> dict[str, set[str]]:
     return out
 
 
-def metrics(source: str | None) -> tuple[int, int, int, int, int, float]:
-    """branches, depth, and of the functions' call graph the greatest in and out
-    degree (calls of known functions count as in), edges, and the share without
-    a call; one parse for all. 0 for what doesn't parse; the share needs two functions."""
+def metrics(source: str | None) -> dict:
+    """All that one parse tells: branches, depth, and of the functions' call
+    graph the greatest in and out degree (calls of known functions count as in),
+    edges, and the share without a call (of two functions or more); whether it
+    compiles, imports, and the functions that are indexed. Zeros and imports by
+    pattern for what doesn't parse."""
     tree = parse(source)
+    out = {"branches": 0, "depth": 0, "max_in": 0, "max_out": 0, "edges": 0, "alone": 0.0, "compiles": tree is not None, "imports": imports_of(source, tree), "functions": []}
     if tree is None:
-        return 0, 0, 0, 0, 0, 0.0
+        return out
     graph: dict[str, set[str]] = {}
-    n_branches = deepest = 0
+    defined = []
     stack: list[tuple[ast.AST, str, int]] = [(tree, "", 1)]
     while stack:
         node, inside, d = stack.pop()
-        deepest = max(deepest, d)
-        n_branches += isinstance(node, _BRANCHES)
+        out["depth"] = max(out["depth"], d)
+        out["branches"] += isinstance(node, _BRANCHES)
         if isinstance(node, _FUNCTIONS):
             inside = node.name
             graph.setdefault(inside, set())
+            defined.append(node)
         elif isinstance(node, ast.Call) and inside:
             name = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
             if name:
@@ -97,8 +101,10 @@ def metrics(source: str | None) -> tuple[int, int, int, int, int, float]:
     for called in graph.values():
         for name in called & into.keys():
             into[name] += 1
-    alone = sum(not called for called in graph.values()) / len(graph) if len(graph) > 1 else 0.0
-    return n_branches, deepest, max(into.values(), default=0), max(map(len, graph.values()), default=0), sum(map(len, graph.values())), alone
+    out |= {"max_in": max(into.values(), default=0), "max_out": max(map(len, graph.values()), default=0), "edges": sum(map(len, graph.values()))}
+    out["alone"] = sum(not called for called in graph.values()) / len(graph) if len(graph) > 1 else 0.0
+    out["functions"] = [name for name, _, _ in _indexed(source, defined)]
+    return out
 
 
 def node_stream(source: str | None) -> list[str]:
@@ -157,17 +163,29 @@ def tree_distance(before: str | None, after: str | None) -> int:
     return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in codes if tag != "equal")
 
 
+def _indexed(source: str | None, found: list) -> list[tuple[str, int, str]]:
+    """Definitions of SHORTEST to LONGEST characters, in order; places in a tree are in bytes."""
+    lines = (source or "").encode().splitlines(keepends=True) if found else []
+    out = []
+    for n in sorted(found, key=lambda n: (n.lineno, n.col_offset)):
+        part = lines[n.lineno - 1 : n.end_lineno]
+        part[-1] = part[-1][: n.end_col_offset]
+        part[0] = part[0][n.col_offset :]
+        text = b"".join(part).decode()
+        if SHORTEST <= len(text) <= LONGEST:
+            out.append((n.name, n.lineno, text))
+    return out
+
+
 def functions_of(source: str | None) -> list[tuple[str, int, str]]:
     """(name, line, source) of named functions of SHORTEST to LONGEST characters, in order."""
     tree = parse(source)
-    found = [] if tree is None else [n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)]
-    parts = [(n.name, n.lineno, ast.get_source_segment(source, n) or "") for n in sorted(found, key=lambda n: (n.lineno, n.col_offset))]
-    return [p for p in parts if SHORTEST <= len(p[2]) <= LONGEST]
+    return _indexed(source, [] if tree is None else [n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)])
 
 
-def imports_of(source: str | None) -> list[str]:
+def imports_of(source: str | None, tree: ast.Module | None = None) -> list[str]:
     """Modules that Python or script source imports, sorted; by pattern where there is no parse."""
-    tree = parse(source)
+    tree = tree or parse(source)
     if tree is not None:
         out = {a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names}
         out |= {"." * n.level + (n.module or "") for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)}
@@ -325,10 +343,11 @@ def _column(kind: T.DataType, f):
     return each
 
 
-_METRICS = ("branches", "depth", "max_in", "max_out", "edges", "alone")
+_STRINGS, _INTS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
+_METRICS = {**dict.fromkeys(("branches", "depth", "max_in", "max_out", "edges"), T.IntegerType()), "alone": T.DoubleType(), "compiles": T.BooleanType(), "imports": _STRINGS, "functions": _STRINGS}
 
 
-@pandas_udf(T.StructType([T.StructField(x, T.DoubleType() if x == "alone" else T.IntegerType()) for x in _METRICS]))
+@pandas_udf(T.StructType([T.StructField(k, t) for k, t in _METRICS.items()]))
 def metrics_udf(source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([metrics(s) for s in source], columns=list(_METRICS))
 
@@ -340,7 +359,6 @@ def risk_deltas(before, after, churn, novelty):
     return F.array(*more[:4], churn.cast("double"), *more[4:], novelty.cast("double"))
 
 
-_STRINGS, _INTS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
 branches_udf = _column(T.IntegerType(), branches)
 depth_udf = _column(T.IntegerType(), depth)
 compiles_udf = _column(T.BooleanType(), compiles)
@@ -350,7 +368,6 @@ node_stream_udf = _column(_STRINGS, node_stream)
 sequence_ratio_udf = _column(T.DoubleType(), sequence_ratio)
 tree_distance_udf = _column(T.IntegerType(), tree_distance)
 changed_lines_udf = _column(_INTS, changed_lines)
-function_names_udf = _column(_STRINGS, lambda source: [name for name, _, _ in functions_of(source)])
 
 
 @F.udtf(returnType="name string, line int, source string")

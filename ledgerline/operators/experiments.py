@@ -227,12 +227,20 @@ def sign_test(rows: DataFrame, by: list[str], delta: str, alternative: str = "gr
 
 
 def _binomial_cdf(k: int, n: int, p: float) -> float:
+    """P(X <= k): the term at the edge and those that fall away from it, on the lighter side."""
     if k >= n:
         return 1.0
     if p <= 0 or p >= 1:
         return 1.0 if p <= 0 else 0.0
-    ln = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return math.fsum(math.exp(ln(i)) for i in range(k + 1))
+    at = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    below = k <= n * p
+    i = k if below else k + 1
+    term = total = at(i)
+    while term > total * 1e-18 and 0 <= i <= n:
+        term *= i / (n - i + 1) * (1 - p) / p if below else (n - i) / (i + 1) * p / (1 - p)
+        total += term
+        i += -1 if below else 1
+    return total if below else 1 - total
 
 
 def exact_bounds(k: int, n: int, alpha: float) -> tuple[float, float]:

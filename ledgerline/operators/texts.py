@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,13 +181,25 @@ def plan_quality(text: Column) -> dict[str, Column]:
         "ard": per(artifacts(text)),
         "nrd": per(hits(NAMED_RISKS)),
         "gpas": F.least(F.lit(1.0), per(hits(GENERIC_PHRASES))),
-        "slr": per(F.size(F.filter(parts, lambda x: artifacts(x) > 0))),
+        "slr": per(F.size(F.filter(parts, lambda x: x.rlike(ARTIFACTS[0]) | (x.contains("/") & x.rlike(ARTIFACTS[1])) | (x.rlike("[0-9]") & x.rlike(ARTIFACTS[2]))))),
     }
     passed = [out["ard"] >= LEVELS["ard"], out["nrd"] >= LEVELS["nrd"], out["gpas"] < LEVELS["gpas"], out["slr"] >= LEVELS["slr"]]
     score = F.when(n > 0, sum((F.when(p, 0.25).otherwise(0.0) for p in passed), F.lit(0.0))).otherwise(F.lit(0.0))
     return out | {"score": score, "verdict": F.when(score >= ACCEPT, "accept").when(score >= WARN, "warn").otherwise("reject")}
 
 
+def _needle(pattern: str) -> str:
+    """The longest word that every match of a pattern has: one that stands in no group, class or option."""
+    plain = re.sub(r"\\[a-zA-Z]|\(\?:[^)]*\)|\[[^\]]*\]", " ", pattern)
+    return max(re.findall(r"[A-Za-z_]+", re.sub(r".[?*]", " ", plain)), key=len)
+
+
+def count_matches(text: Column, patterns: Sequence[str]) -> Column:
+    """Matches of all patterns; each is tried only where its needle occurs, as few texts have any."""
+    each = (F.when(text.contains(_needle(p)), F.regexp_count(text, F.lit("(?U)" + p))).otherwise(0) for p in patterns)
+    return sum(each, F.lit(0))
+
+
 def id_literals(text: Column) -> Column:
     """The distinct quoted words of 6 to 40 letters, digits, hyphens and underscores."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ID_LITERAL), F.lit(1)))
@@ -202,13 +217,13 @@ def mock_ratios(tests: DataFrame, seeds: DataFrame, key: str = "doc_id", text: s
     keys are unique.
     """
     of = F.coalesce(text, F.lit(""))
-    routes, answers = (F.regexp_extract_all(of, F.lit(INTERCEPT), F.lit(k)) for k in (1, 2))
+    none = F.array().cast("array<string>")
+    routes, answers = (F.when(of.contains("cy.intercept"), F.regexp_extract_all(of, F.lit(INTERCEPT), F.lit(k))).otherwise(none) for k in (1, 2))
     wild = lambda r: r.contains("**") | F.regexp_replace(r, r"(?U)^\s+|\s+$", "").isin("*", "/")
     stub = lambda a: a.rlike(STUB) & ~a.contains("req.continue") & ~a.contains("passThrough")
     flagged = F.size(F.filter(F.zip_with(routes, answers, lambda r, a: wild(r) & stub(a)), lambda x: x))
-    count = lambda patterns: sum((F.regexp_count(of, F.lit("(?U)" + p)) for p in patterns), F.lit(0))
     share = lambda a, b: F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(F.lit(0.0))
-    rows = tests.select(F.col(key), share(flagged, F.size(routes)).alias("intercepts"), count(MOCK_CALLS).alias("__m"), count(CLIENT_CALLS).alias("__r"), id_literals(F.col(text)).alias("__ids"))
+    rows = tests.select(F.col(key), share(flagged, F.size(routes)).alias("intercepts"), count_matches(of, MOCK_CALLS).alias("__m"), count_matches(of, CLIENT_CALLS).alias("__r"), id_literals(F.col(text)).alias("__ids"))
     known = seeds.select(F.explode(id_literals(F.col(text))).alias("id")).distinct()
     any_seed = known.limit(1).agg(F.count(F.lit(1)).alias("__any"))  # a row
     met = rows.select(key, F.explode("__ids").alias("id")).join(known, "id", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("__met"))

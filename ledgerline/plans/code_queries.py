@@ -44,7 +44,9 @@ SOURCES = f"""sizes AS (SELECT event_id, {K} % 9 AS k, event_id % 6 AS n, {K} %
 
 def sources(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", (F.col("k") % 9).alias("k"), (F.col("event_id") % 6).alias("n"), (F.col("k") % 4).alias("m"), (F.floor(F.col("event_id") / 6) % 6).alias("n2"), (F.floor(F.col("k") / 4) % 4).alias("m2"))
-    return e.withColumn("before", source(F.col("n"), F.col("m"), F.col("k"))).withColumn("after", source(F.col("n2"), F.col("m2"), F.col("k")))
+    e = e.withColumn("before", source(F.col("n"), F.col("m"), F.col("k"))).withColumn("after", source(F.col("n2"), F.col("m2"), F.col("k")))
+    # a parse costs far more than its row: spread by id, not by bytes of the scan (and a UDF can't take an expression with a lambda)
+    return e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
 
 
 @query("""SELECT event_id, CAST(n * m AS INTEGER) AS branches, CAST(CASE WHEN n = 0 THEN 3 WHEN m = 0 THEN 5 ELSE 7 END AS INTEGER) AS depth, CAST(n > 0 AND m > 0 AS INTEGER) AS max_in, CAST(n > 0 AND m > 0 AS INTEGER) AS max_out,
@@ -52,7 +54,8 @@ def sources(spark, sf_dir):
                  CASE WHEN m > 0 THEN coalesce(array_to_string(list_transform(range(0, n), lambda i: 'f' || i), ','), '') ELSE '' END AS functions, TRUE AS compiles FROM sources""", SOURCES)
 def code_metrics(spark, sf_dir):
     s = sources(spark, sf_dir).select("event_id", "before").withColumn("c", C.metrics_udf("before"))
-    return s.select("event_id", "c.*", F.array_join(C.imports_udf("before"), ",").alias("imports"), F.array_join(C.function_names_udf("before"), ",").alias("functions"), C.compiles_udf("before").alias("compiles"))
+    told = s.select("event_id", F.inline(F.array("c")))
+    return told.withColumns({k: F.array_join(k, ",") for k in ("imports", "functions")})
 
 
 _COLD = "length(trim(before)) < 32"

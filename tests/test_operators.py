@@ -164,6 +164,14 @@ def test_code_functions():
     renamed = code.logic_tokens(SOURCE.replace("x", "zz").replace("i ", "k ").replace("(i", "(k"))
     assert code.sequence_ratio(tokens, renamed) > 0.9 and code.sequence_ratio([], []) == 1.0 and code.sequence_ratio([], ["a"]) == 0.0
     assert [f[:2] for f in code.functions_of(SOURCE)] == [("first", 3)]
+    nested = "é = 1\nclass A:\n    def méthode(self):\n        def inner():\n            return 'a string that is long enough é'\n        return inner\nx = 1; f = lambda: 0\n"
+    import ast
+
+    plain = [(n.name, n.lineno, ast.get_source_segment(nested, n)) for n in ast.walk(ast.parse(nested)) if isinstance(n, ast.FunctionDef)]
+    assert code.functions_of(nested) == [p for p in sorted(plain, key=lambda p: p[1]) if len(p[2]) >= 40] != []
+    assert code.metrics(nested)["functions"] == [p[0] for p in code.functions_of(nested)] and code.metrics("def (") == {**code.metrics("def ("), "branches": 0, "compiles": False}
+    for n, k, p in ((50, 3, 0.2), (50, 40, 0.2), (9, 0, 0.5), (400, 399, 0.9)):
+        assert experiments._binomial_cdf(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-10)
     assert code.tree_distance(SOURCE, SOURCE.replace("10", "11")) == 1 and code.tree_distance("a(", "b(") == 2
     text = "é = 1\n" * 70 + SOURCE
     spans = code.chunks(text)
@@ -422,6 +430,15 @@ def test_mock_ratios(spark):
     assert {r.guests for r in texts.mock_ratios(df, seeds.limit(0)).collect()} == {0.0}
 
 
+def test_needles_are_in_every_match():
+    samples = {
+        r"\bjest\.mock\s*\(": "jest.mock (", r"\bmock\s*\(\s*[A-Z]\w+::class": "mock( Ab::class", r"\bfetch\s*\(\s*['\"]https?://": "fetch('http://", r"\brest\.(?:get|post|put|delete|patch)\s*\(": "rest.put(",
+        r"\bhttpx\.(?:get|post|put|delete|patch|Client)\s*\(": "httpx.Client(", r"\bpsycopg\.\w+\.connect\b": "psycopg.x.connect",
+    }
+    assert set(samples) <= {*texts.MOCK_CALLS, *texts.CLIENT_CALLS}
+    assert all(texts._needle(p) in x for p, x in samples.items()) and all(texts._needle(p) in p for p in (*texts.MOCK_CALLS, *texts.CLIENT_CALLS))
+
+
 def test_sign_test_tails():
     assert experiments.sign_test_p(8, 0) == 1 / 256 and experiments.sign_test_p(7, 1) == 9 / 256 and experiments.sign_test_p(0, 0) == 1.0
     assert experiments.sign_test_p(1, 7, "less") == 9 / 256 and experiments.sign_test_p(1, 7, "two-sided") == 18 / 256
