@@ -200,27 +200,36 @@ def session_rollup(log: DataFrame) -> DataFrame:
     )
 
 
-def ledger(log: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each edit with its labels, the checks that name it, and its session's outcome; a grade of the evidence.
-
-    labels: decision_id, label. checks: log rows of decision 'check', linked to
-    the edit of that session whose id is parent_id. Outcome: the session's
-    latest 'end' row.
+def ledger(log: DataFrame, labels: DataFrame, commits: DataFrame) -> DataFrame:
+    """Each edit with its labels, the checks that name it, its session's outcome
+    and the commits that hold it; a grade of that evidence: strong with a check or
+    a commit, partial with a label or an outcome only, else unlinked.
+
+    labels: decision_id, one row a label; commits: decision_id, one row a linked
+    commit. checks: log rows of decision 'check', linked to the edit of that session
+    whose id is parent_id. Outcome: the session's latest 'end' row.
     """
     per_label = labels.groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    per_commit = commits.groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_commits"))
     checks = log.where("decision = 'check'").groupBy("session_id", F.col("parent_id").alias("decision_id")).agg(F.count(F.lit(1)).alias("n_checks"))
     ends = log.where("decision = 'end'").groupBy("session_id").agg(F.max_by("checksum", F.struct("ts", "decision_id")).alias("outcome"))
     edits = log.where("decision not in ('check', 'end')")
-    joined = edits.join(per_label, "decision_id", "left").join(checks, ["session_id", "decision_id"], "left").join(ends, "session_id", "left")
-    n = (F.col("n_labels").isNotNull()).cast("int") + F.col("n_checks").isNotNull().cast("int") + F.col("outcome").isNotNull().cast("int")
-    grade = F.when(n >= 2, "strong").when(n == 1, "partial").otherwise("unlinked")
-    return joined.select("decision_id", "session_id", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("n_checks", F.lit(0)).alias("n_checks"), "outcome", grade.alias("grade"))
-
-
-def coverage(linked: DataFrame) -> DataFrame:
-    """Counts by grade and their share of all, 6 decimals."""
-    share = F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1)))
-    return linked.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).select("grade", "n", F.round(share, 6).alias("rate"))
+    joined = edits.join(per_label, "decision_id", "left").join(per_commit, "decision_id", "left").join(checks, ["session_id", "decision_id"], "left").join(ends, "session_id", "left")
+    has = lambda c: F.col(c).isNotNull()
+    grade = F.when(has("n_checks") | has("n_commits"), "strong").when(has("n_labels") | has("outcome"), "partial").otherwise("unlinked")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_labels", "n_checks", "n_commits")]
+    return joined.select("decision_id", "session_id", *counts, "outcome", grade.alias("grade"))
+
+
+def coverage(linked: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: sessions and edits, and which share of them (6 decimals, null of
+    none) has a label, a check, a commit; of the sessions, an outcome."""
+    rate = lambda n, of: F.round(F.try_divide(n, F.nullif(of, F.lit(0))), 6)
+    n = F.count(F.lit(1))
+    edits = linked.agg(n.alias("decisions"), *[rate(count_where(F.col(c) > 0), n).alias(k) for c, k in (("n_labels", "label_rate"), ("n_checks", "exact_verification_rate"), ("n_commits", "commit_link_rate"))])
+    ended = F.countDistinct(F.when(F.col("decision") == "end", F.col("session_id")))
+    sessions = F.countDistinct("session_id")
+    return edits.crossJoin(log.agg(sessions.alias("sessions"), rate(ended, sessions).alias("session_outcome_rate")))  # a row each
 
 
 def unlabelled(log: DataFrame, labels: DataFrame) -> DataFrame:

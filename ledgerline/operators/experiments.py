@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Ship and kill thresholds
-SHIP_GAIN, SHIP_HARM, SHIP_COST, KILL_GAIN, KILL_HARM = 0.15, 0.05, 1.5, -0.05, -0.10
+SHIP_GAIN, SHIP_HARM, SHIP_COST, KILL_GAIN, KILL_HARM, ALPHA = 0.15, 0.05, 1.5, -0.05, -0.10, 0.05
 
 
 def count_where(condition: Column) -> Column:
@@ -41,12 +41,14 @@ def summarize(pairs: DataFrame, metrics: list[str], arms: tuple[str, str]) -> Da
     return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("a") - F.col("b")).alias("mean_delta"))
 
 
-def verdict(gain: Column, harm: Column, cost: Column) -> Column:
-    return (
-        F.when((gain <= KILL_GAIN) | (harm <= KILL_HARM), "kill")
-        .when((gain >= SHIP_GAIN) & (harm >= -SHIP_HARM) & (cost <= SHIP_COST), "ship")
-        .otherwise("inconclusive")
-    )
+def verdict(drop: Column, p_holm: Column, resolved: Column, latency: Column) -> Column:
+    """ship where regressions fell by enough, and significantly, tasks were not
+    resolved more rarely and latency held; else kill where either got much worse;
+    else inconclusive. drop: vanilla less treatment; resolved: treatment less
+    vanilla; latency: their ratio. Nulls and NaN prove nothing."""
+    sure = F.coalesce((p_holm < ALPHA) & ~F.isnan(p_holm), F.lit(False))
+    ship = (drop >= SHIP_GAIN) & sure & (resolved >= -SHIP_HARM) & (latency <= SHIP_COST)
+    return F.when(ship, "ship").when((drop < KILL_GAIN) | (resolved < KILL_HARM), "kill").otherwise("inconclusive")
 
 
 def confusion(rows: DataFrame, category: str | None = None) -> DataFrame:
@@ -349,7 +351,13 @@ def median_of_ratios(rows: DataFrame, probe: str, top: str, bottom: str) -> Data
     return each.agg(F.count(F.lit(1)).alias("n_probes"), F.percentile(F.try_divide("__a", F.nullif("__b", F.lit(0.0))), 0.5).alias("ratio"))
 
 
-def corpus_check(rows: DataFrame, stratum: str, behaviour: str, least: int, overall: int) -> DataFrame:
-    """Distinct behaviours per stratum and overall (null), and whether they suffice."""
-    got = rows.withColumn("__b", F.lower(F.regexp_replace(behaviour, r"[^A-Za-z0-9]+", " "))).rollup(stratum).agg(F.countDistinct("__b").alias("n_behaviours"), F.count(F.lit(1)).alias("n"))
-    return got.withColumn("ok", F.col("n_behaviours") >= F.when(F.col(stratum).isNull(), overall).otherwise(least))
+def corpus_check(rows: DataFrame, key: str, stratum: str, behaviour: str, least: int, overall: int, size: int | None = None) -> DataFrame:
+    """Rows, distinct ids and distinct behaviours per stratum and overall (null),
+    and whether they suffice: no id twice, enough behaviours, and, if given, as many
+    rows in each stratum."""
+    told = rows.withColumn("__b", F.lower(F.regexp_replace(behaviour, r"[^A-Za-z0-9]+", " ")))
+    got = told.rollup(stratum).agg(F.countDistinct("__b").alias("n_behaviours"), F.countDistinct(key).alias("n_ids"), F.count(F.lit(1)).alias("n"), F.grouping(stratum).alias("__all"))
+    ok = (F.col("n_ids") == F.col("n")) & (F.col("n_behaviours") >= F.when(F.col("__all") == 1, overall).otherwise(least))
+    if size is not None:
+        ok = ok & ((F.col("__all") == 1) | (F.col("n") == size))
+    return got.withColumn("ok", ok).drop("__all")

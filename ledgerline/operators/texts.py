@@ -135,11 +135,14 @@ def hash_split(key: Column) -> Column:
 
 
 def stratified_sample(df: DataFrame, key: str, size: str, n: int, seed: str) -> DataFrame:
-    """A sampling operator: n // 3 rows of each stratum (size 1, 2 to 5, 6 and more), by the key's hash."""
-    stratum = F.when(F.col(size) <= 1, "1").when(F.col(size) <= 5, "2-5").otherwise("6+")
+    """A sampling operator: of the strata of size 1, 2 to 5, and 6 and more a
+    third each of n, the last one with what is left over, by the key's hash.
+    Rows of no size are in no stratum."""
+    stratum = F.when(F.col(size) == 1, "1").when(F.col(size).between(2, 5), "2-5").when(F.col(size) >= 6, "6+")
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary"))
-    ranked = df.withColumn("stratum", stratum).withColumn("__rn", F.row_number().over(W.partitionBy("stratum").orderBy(order, key)))
-    return ranked.where(F.col("__rn") <= n // 3).drop("__rn")
+    ranked = df.withColumn("stratum", stratum).where("stratum is not null").withColumn("__rn", F.row_number().over(W.partitionBy("stratum").orderBy(order, key)))
+    share = F.when(F.col("stratum") == "6+", n - 2 * (n // 3)).otherwise(n // 3)
+    return ranked.where((F.col("__rn") <= n) & (F.col("__rn") <= share)).drop("__rn")
 
 
 def seeded_order(df: DataFrame, key: str, seed: str) -> DataFrame:
@@ -252,7 +255,8 @@ def finding_id(sites: Column) -> Column:
 
 
 def duplicate_verdict(n_sites: Column, n_tokens: Column, covered: Column) -> Column:
-    return F.when((n_sites >= SITES) & (n_tokens >= TOKENS) & covered, "extract").when(n_sites >= 2, "report").otherwise("ignore")
+    """extract with enough sites, enough logic and a test that covers it, else note."""
+    return F.when(F.coalesce((n_sites >= SITES) & (n_tokens >= TOKENS) & covered, F.lit(False)), "extract").otherwise("note")
 
 
 def _bare(text: Column) -> Column:

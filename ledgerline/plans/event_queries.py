@@ -158,9 +158,8 @@ def session_rollup(spark, sf_dir):
 
 
 LEDGER = """linked AS (
-    SELECT e.decision_id, e.session_id, coalesce(n_labels, 0) AS n_labels, coalesce(n_checks, 0) AS n_checks, outcome,
-           CASE WHEN (n_labels IS NOT NULL)::INT + (n_checks IS NOT NULL)::INT + (outcome IS NOT NULL)::INT >= 2 THEN 'strong'
-                WHEN n_labels IS NOT NULL OR n_checks IS NOT NULL OR outcome IS NOT NULL THEN 'partial' ELSE 'unlinked' END AS grade
+    SELECT e.decision_id, e.session_id, coalesce(n_labels, 0) AS n_labels, coalesce(n_checks, 0) AS n_checks, CASE WHEN e.decision_id % 13 = 0 THEN 2 ELSE 0 END AS n_commits, outcome,
+           CASE WHEN n_checks IS NOT NULL OR e.decision_id % 13 = 0 THEN 'strong' WHEN n_labels IS NOT NULL OR outcome IS NOT NULL THEN 'partial' ELSE 'unlinked' END AS grade
     FROM (SELECT * FROM ended WHERE decision NOT IN ('check', 'end')) e
     LEFT JOIN (SELECT doc_id AS decision_id, count(*) AS n_labels FROM labels GROUP BY 1) l ON l.decision_id = e.decision_id
     LEFT JOIN (SELECT session_id, parent_id, count(*) AS n_checks FROM ended WHERE decision = 'check' GROUP BY 1, 2) c
@@ -174,17 +173,22 @@ def _ledger(spark, sf_dir):
     log = decision_log(spark, sf_dir)
     d = F.when((F.col("decision") == "block") & (F.col("checksum") > 90), "end").otherwise(F.col("decision"))
     log = log.withColumn("parent_id", F.when(F.col("decision") == "check", F.col("decision_id") - 150).otherwise(F.col("parent_id"))).withColumn("decision", d)
-    return D.ledger(log, spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("decision_id")))
+    commits = log.where("decision_id % 13 = 0").select("decision_id")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("decision_id"))
+    return D.ledger(log, labels, commits.unionByName(commits)), log
 
 
 @query("SELECT * FROM linked", f"{LOG}, {ENDED}, {LEDGER.rstrip().rstrip(',')}")
 def decision_ledger(spark, sf_dir):
-    return _ledger(spark, sf_dir)
+    return _ledger(spark, sf_dir)[0]
 
 
-@query("SELECT grade, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS rate FROM linked GROUP BY grade", f"{LOG}, {ENDED}, {LEDGER.rstrip().rstrip(',')}")
+@query("""SELECT count(*) AS decisions, round(count_if(n_labels > 0) / CAST(count(*) AS DOUBLE), 6) AS label_rate, round(count_if(n_checks > 0) / CAST(count(*) AS DOUBLE), 6) AS exact_verification_rate,
+                 round(count_if(n_commits > 0) / CAST(count(*) AS DOUBLE), 6) AS commit_link_rate, (SELECT count(DISTINCT session_id) FROM ended) AS sessions,
+                 round((SELECT count(DISTINCT session_id) FROM ended WHERE decision = 'end') / CAST((SELECT count(DISTINCT session_id) FROM ended) AS DOUBLE), 6) AS session_outcome_rate
+          FROM linked""", f"{LOG}, {ENDED}, {LEDGER.rstrip().rstrip(',')}")
 def ledger_coverage(spark, sf_dir):
-    return D.coverage(_ledger(spark, sf_dir))
+    return D.coverage(*_ledger(spark, sf_dir))
 
 
 @query("SELECT decision_id, decision FROM log WHERE decision_id NOT IN (SELECT doc_id FROM labels)")

@@ -51,13 +51,14 @@ def paired_summary(spark, sf_dir):
     return got.select("metric", "n", *[F.round(c, 4).alias(c) for c in ("mean_a", "mean_b", "mean_delta")])
 
 
-@query("""SELECT n, CASE WHEN gain <= -0.05 OR harm <= -0.10 THEN 'kill' WHEN gain >= 0.15 AND harm >= -0.05 AND cost <= 1.5 THEN 'ship' ELSE 'inconclusive' END AS verdict
-          FROM (SELECT count(*) AS n, avg(da - db) AS gain, -avg(CASE WHEN da < db THEN 1.0 ELSE 0.0 END) / 10 AS harm, avg(pa) / avg(pb) AS cost FROM pairs)""", f"{RUNS}, {PAIRS}")
+@query("""SELECT task % 40 AS block, CASE WHEN drop_ >= 0.15::DOUBLE AND p < 0.05::DOUBLE AND resolved >= -0.05::DOUBLE AND latency <= 1.5::DOUBLE THEN 'ship'
+                 WHEN drop_ < -0.05::DOUBLE OR resolved < -0.10::DOUBLE THEN 'kill' ELSE 'inconclusive' END AS verdict
+          FROM (SELECT task % 40 AS task, -avg(CAST(pa < pb AS INTEGER) - 0.4::DOUBLE) AS drop_, max(task % 40) / 400.0::DOUBLE AS p, avg(da - db) AS resolved, avg(pa) / avg(pb) AS latency FROM pairs GROUP BY 1)""", f"{RUNS}, {PAIRS}")
 def ship_verdict(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    worse = F.avg((F.col("done_treatment") < F.col("done_vanilla")).cast("double"))
-    v = E.verdict(F.avg(F.col("done_treatment") - F.col("done_vanilla")), -worse / 10, F.avg("price_treatment") / F.avg("price_vanilla"))
-    return p.agg(F.count(F.lit(1)).alias("n"), v.alias("verdict"))
+    p = pairs(spark, sf_dir).withColumn("block", F.col("task") % 40)
+    drop = -F.avg((F.col("price_treatment") < F.col("price_vanilla")).cast("double") - 0.4)
+    v = E.verdict(drop, F.max("block") / 400.0, F.avg(F.col("done_treatment") - F.col("done_vanilla")), F.avg("price_treatment") / F.avg("price_vanilla"))
+    return p.groupBy("block").agg(v.alias("verdict"))
 
 
 @query("""SELECT o_orderkey FROM runs JOIN (SELECT task, state FROM runs GROUP BY task, state HAVING count(*) = 2 AND count(DISTINCT arm) = 2 AND bool_and(price > 1000))
@@ -181,10 +182,10 @@ def median_of_ratios(spark, sf_dir):
     return E.median_of_ratios(rows, "l_suppkey", "l_extendedprice", "l_quantity").withColumn("ratio", F.round("ratio", 6))
 
 
-@query("""SELECT p_type, count(DISTINCT lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS n_behaviours, count(*) AS n,
-                 count(DISTINCT lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g'))) >= CASE WHEN p_type IS NULL THEN 30 ELSE 10 END AS ok FROM part GROUP BY ROLLUP (p_type)""", "")
+@query("""SELECT p_type, n_behaviours, n_ids, n, n_ids = n AND n_behaviours >= CASE WHEN p_type IS NULL THEN 30 ELSE 10 END AS ok
+          FROM (SELECT p_type, count(DISTINCT lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS n_behaviours, count(DISTINCT p_partkey) AS n_ids, count(*) AS n FROM part GROUP BY ROLLUP (p_type))""", "")
 def corpus_check(spark, sf_dir):
-    return E.corpus_check(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_type", "p_name", 10, 30)
+    return E.corpus_check(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", "p_type", "p_name", 10, 30)
 
 
 @query("""SELECT lang, round((1.959963984540054 + 0.8416212335729143) * stddev_samp(n_chars) / sqrt(count(*)), 4) AS mde FROM truth GROUP BY lang""", TRUTH)

@@ -102,10 +102,10 @@ def split_sizes(spark, sf_dir):
 
 @query("""SELECT conv_id, stratum FROM (SELECT conv_id, CASE WHEN n <= 1 THEN '1' WHEN n <= 5 THEN '2-5' ELSE '6+' END AS stratum
             FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id))
-          QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5(conv_id || 's7'), conv_id) <= 20""")
+          QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5(conv_id || 's7'), conv_id) <= CASE WHEN stratum = '6+' THEN 21 ELSE 20 END""")
 def stratified_conversations(spark, sf_dir):
     sizes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return X.stratified_sample(sizes, "conv_id", "n", 60, "s7").select("conv_id", "stratum")
+    return X.stratified_sample(sizes, "conv_id", "n", 61, "s7").select("conv_id", "stratum")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || 's7'), doc_id) AS place FROM documents")
@@ -186,7 +186,7 @@ def first_source_wins(spark, sf_dir):
 
 
 @query("""SELECT source, substr(sha256('["' || array_to_string(list_sort(list(DISTINCT lang)), '", "') || '"]'), 1, 12) AS finding_id,
-                 CASE WHEN count(DISTINCT lang) >= 3 AND count(*) >= 12 AND bool_or(n_chars > 1000) THEN 'extract' WHEN count(DISTINCT lang) >= 2 THEN 'report' ELSE 'ignore' END AS verdict
+                 CASE WHEN count(DISTINCT lang) >= 3 AND count(*) >= 12 AND bool_or(n_chars > 1000) THEN 'extract' ELSE 'note' END AS verdict
           FROM documents GROUP BY source""")
 def finding_verdicts(spark, sf_dir):
     by = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("sites"), F.count(F.lit(1)).alias("n"), F.bool_or(F.col("n_chars") > 1000).alias("covered"))

@@ -445,3 +445,24 @@ def test_sign_test_tails():
     for k in (480, 500, 530, 700):
         exact = sum(math.comb(1001, i) for i in range(k + 1)) / 2**1001
         assert experiments.sign_test_p(1001 - k, k) == pytest.approx(exact, rel=1e-9)
+
+
+def test_verdicts_and_samples(spark):
+    rows = [(0.15, 0.04, -0.05, 1.5, "ship"), (0.15, 0.05, 0.0, 1.0, "inconclusive"), (0.3, None, 0.0, 1.0, "inconclusive"), (0.3, float("nan"), 0.0, 1.0, "inconclusive"), (-0.05, 0.01, 0.0, 1.0, "inconclusive"), (-0.06, 0.01, 0.0, 1.0, "kill"), (0.3, 0.01, -0.11, 1.0, "kill"), (0.3, 0.01, 0.0, 1.6, "inconclusive")]
+    df = spark.createDataFrame(rows, "d double, p double, r double, l double, want string")
+    assert [r[0] for r in df.select(experiments.verdict(F.col("d"), F.col("p"), F.col("r"), F.col("l"))).collect()] == [r[4] for r in rows]
+    sizes = spark.createDataFrame([(i, i % 9) for i in range(180)] + [(999, None)], "k int, n int")
+    got = texts.stratified_sample(sizes, "k", "n", 20, "s").collect()
+    assert sorted(r.stratum for r in got) == ["1"] * 6 + ["2-5"] * 6 + ["6+"] * 8 and all(r.n for r in got)
+    corpus = spark.createDataFrame([(1, "a", "Run x"), (2, "a", "run-x"), (2, "b", "y")], "id int, s string, b string")
+    assert {r.s: (r.n_behaviours, r.n_ids, r.n, r.ok) for r in experiments.corpus_check(corpus, "id", "s", "b", 1, 2, 2).collect()} == {"a": (1, 2, 2, True), "b": (1, 1, 1, False), None: (2, 2, 3, False)}
+
+
+def test_ledger_grades(spark):
+    rows = [(1, 1, "edit", None), (2, 1, "edit", None), (3, 1, "check", 1), (4, 2, "edit", None), (5, 2, "edit", None), (6, 3, "edit", None), (7, 3, "end", None), (8, 2, "check", 2)]
+    log = spark.createDataFrame([(*r, r[0], f"t{r[0]}") for r in rows], "decision_id long, session_id long, decision string, parent_id long, checksum long, ts string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "decision_id long")
+    linked = decisions.ledger(log, ids(4, 4), ids(5))
+    assert {r.decision_id: r.grade for r in linked.collect()} == {1: "strong", 2: "unlinked", 4: "partial", 5: "strong", 6: "partial"}
+    assert decisions.coverage(linked, log).first().asDict() == {"decisions": 5, "label_rate": 0.2, "exact_verification_rate": 0.2, "commit_link_rate": 0.2, "sessions": 3, "session_outcome_rate": 0.333333}
+    assert decisions.coverage(linked.limit(0), log.limit(0)).first().label_rate is None
