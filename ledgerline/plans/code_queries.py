@@ -120,6 +120,20 @@ def directives_and_kinds(spark, sf_dir):
     )
 
 
+SHELL = (
+    ("ls -la", "allow"), ("echo x > main.py", "source_write"), ("echo x > out.txt", "allow"), ("cat conf/settings.json", "allow"), ("rm conf/settings.json", "guarded_write"), ("git status && git log -3", "allow"),
+    ("git checkout -- a", "git"), ("cd x; git -C y stash pop", "git"), ("git stash list", "allow"), ("pkill -f gatekeeper", "process_kill"), ("sed -i s/a/b/ src/x.ts", "source_write"), ("unset GATE_ON", "hard_deny"),
+    ("cp a.py conf/settings.json", "guarded_write"), ("python -c \"open('x','w')\"", "source_write"), ("x 2>&1 | tee log.md", "source_write"), ("", "allow"), ("sudo A=1 git rebase main", "git"), ("diff a.py b.py >/dev/null", "allow"),
+)
+
+
+@query("SELECT event_id, [" + ", ".join(repr(x) for _, x in SHELL) + f"][1 + event_id % {len(SHELL)}] AS verdict FROM events")
+def screened_commands(spark, sf_dir):
+    """Commands with their verdicts as the rules give them by hand."""
+    text = dealt([x for x, _ in SHELL], F.col("event_id"))
+    return events(spark, sf_dir).select("event_id", R.screen_command(text, ["conf/settings.json"], ["gatekeeper"], [r"\bunset\s+GATE_ON\b"]).alias("verdict"))
+
+
 @query(f"""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'a' ELSE '' END || CASE WHEN {K} % 4 = 0 THEN 'c' ELSE '' END || 'd' AS changed,
                  '[REDACTED]' AS api_key, 'v' || {K} % 4 AS plain FROM events""")
 def manifest_diffs(spark, sf_dir):
