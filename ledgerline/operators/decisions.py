@@ -174,24 +174,32 @@ def efficiency(log: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.where("n_events > 0")
 
 
-def override_survival(log: DataFrame) -> DataFrame:
-    """Of warned edits that went on: is their content still the file's at its end?"""
-    end = log.groupBy("session_id", "file_path").agg(F.max_by("checksum", F.struct("ts", "decision_id")).alias("last_sum"), F.count(F.lit(1)).alias("n_file"))
-    state = (
-        F.when(F.col("n_file") == 1, "unknown").when(F.col("checksum") == F.col("last_sum"), "survived").otherwise("reverted")
-    )
-    return (
-        log.where("decision = 'warn'")
-        .join(end, ["session_id", "file_path"])
-        .groupBy(state.alias("state"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def override_survival(log: DataFrame, current: DataFrame) -> DataFrame:
+    """One row: of the edits that an override let through, how many files still
+    are as they were then, how many aren't, and of how many it isn't known, with
+    the shares of the first two (4 decimals); none of them gives shares of 0.
+
+    log: decision, file_path, digest (of the file's content then), rows without
+    a file are left out; current: file_path, digest, one row a file that is there.
+    """
+    past = log.where((F.col("decision") == "allowed_via_override") & F.col("file_path").isNotNull()).select("file_path", F.col("digest").alias("__then"))
+    joined = past.join(current.select("file_path", F.col("digest").alias("__now")), "file_path", "left")
+    same, n = F.col("__then") == F.col("__now"), F.count(F.lit(1))
+    survived, reverted = count_where(F.coalesce(same, F.lit(False))), count_where(F.coalesce(~same, F.lit(False)))
+    share = lambda x: F.round(x / F.greatest(n, F.lit(1)), 4)
+    return joined.agg(
+        n.alias("overrides"), survived.alias("survived"), reverted.alias("reverted"), (n - survived - reverted).alias("unknown"),
+        share(survived).alias("survival_ratio"), share(reverted).alias("reverted_ratio"),
+    )
 
 
 def session_rollup(log: DataFrame) -> DataFrame:
+    """Per session its decisions, checks and outcomes, what was blocked and warned, files, and times."""
     d = F.col("decision")
     return log.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n"),
+        count_where(~d.isin("check", "end")).alias("decisions"),
+        count_where(d == "check").alias("verifications"),
+        count_where(d == "end").alias("outcomes"),
         count_where(d.isin(*BLOCKING)).alias("blocked"),
         count_where(d == "warn").alias("warned"),
         F.countDistinct("file_path").alias("n_files"),

@@ -144,17 +144,14 @@ def retry_after_block(spark, sf_dir):
     return retried_log(spark, sf_dir).select("decision_id", "retry_after_block")
 
 
-@query("""SELECT CASE WHEN n_file = 1 THEN 'unknown' WHEN checksum = last_sum THEN 'survived' ELSE 'reverted' END AS state, count(*) AS n
-          FROM (SELECT decision, checksum, arg_max(checksum, (ts, decision_id)) OVER (PARTITION BY session_id, file_path) AS last_sum,
-                       count(*) OVER (PARTITION BY session_id, file_path) AS n_file FROM log) WHERE decision = 'warn' GROUP BY 1""")
+@query("""SELECT count(*) AS overrides, count_if(d = c) AS survived, count_if(d <> c) AS reverted, count_if(d IS NULL OR c IS NULL) AS unknown,
+                 round(count_if(d = c) / CAST(greatest(count(*), 1) AS DOUBLE), 4) AS survival_ratio, round(count_if(d <> c) / CAST(greatest(count(*), 1) AS DOUBLE), 4) AS reverted_ratio
+          FROM (SELECT CASE WHEN decision_id % 10 > 0 THEN decision_id % 3 END AS d, CASE WHEN file_path <> 'src/m6' THEN CAST(right(file_path, 1) AS INTEGER) % 3 END AS c FROM audit WHERE decision = 'allowed_via_override')""", AUDIT)
 def override_survival(spark, sf_dir):
-    return D.override_survival(decision_log(spark, sf_dir))
-
-
-@query("""SELECT session_id, count(*) AS n, count_if(decision = 'block') AS blocked, count_if(decision = 'warn') AS warned,
-                 count(DISTINCT file_path) AS n_files, min(ts) AS first_ts, max(ts) AS last_ts FROM log GROUP BY session_id""")
-def session_rollup(spark, sf_dir):
-    return D.session_rollup(decision_log(spark, sf_dir))
+    i = F.col("decision_id")
+    log = audit_trail(spark, sf_dir).withColumn("digest", F.when(i % 10 > 0, i % 3))
+    current = spark.createDataFrame([(f"src/m{k}", k % 3) for k in range(6)], "file_path string, digest long")
+    return D.override_survival(log, current)
 
 
 LEDGER = """linked AS (
@@ -178,6 +175,12 @@ def _ledger(spark, sf_dir):
     return D.ledger(log, labels, commits.unionByName(commits)), log
 
 
+@query("""SELECT session_id, count_if(decision NOT IN ('check', 'end')) AS decisions, count_if(decision = 'check') AS verifications, count_if(decision = 'end') AS outcomes, count_if(decision = 'block') AS blocked,
+                 count_if(decision = 'warn') AS warned, count(DISTINCT file_path) AS n_files, min(ts) AS first_ts, max(ts) AS last_ts FROM ended GROUP BY session_id""", f"{LOG}, {ENDED}")
+def session_rollup(spark, sf_dir):
+    return D.session_rollup(_ledger(spark, sf_dir)[1])
+
+
 @query("SELECT * FROM linked", f"{LOG}, {ENDED}, {LEDGER.rstrip().rstrip(',')}")
 def decision_ledger(spark, sf_dir):
     return _ledger(spark, sf_dir)[0]

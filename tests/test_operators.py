@@ -467,3 +467,11 @@ def test_ledger_grades(spark):
     assert {r.decision_id: r.grade for r in linked.collect()} == {1: "strong", 2: "unlinked", 4: "partial", 5: "strong", 6: "partial"}
     assert decisions.coverage(linked, log).first().asDict() == {"decisions": 5, "label_rate": 0.2, "exact_verification_rate": 0.2, "commit_link_rate": 0.2, "sessions": 3, "session_outcome_rate": 0.333333}
     assert decisions.coverage(linked.limit(0), log.limit(0)).first().label_rate is None
+
+
+def test_override_survival(spark):
+    rows = [("allowed_via_override", "a", 1), ("allowed_via_override", "a", 2), ("allowed_via_override", "b", None), ("allowed_via_override", "gone", 1), ("allowed_via_override", None, 1), ("blocked", "a", 1)]
+    log = spark.createDataFrame(rows, "decision string, file_path string, digest long")
+    current = spark.createDataFrame([("a", 1), ("b", 1)], "file_path string, digest long")
+    assert tuple(decisions.override_survival(log, current).first()) == (4, 1, 1, 2, 0.25, 0.25)
+    assert tuple(decisions.override_survival(log.limit(0), current).first()) == (0, 0, 0, 0, 0.0, 0.0)
