@@ -18,6 +18,7 @@ windows of a tier and DEALT + 1 step groups.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -46,16 +47,21 @@ DEALT = 16
 CACHED = 1_000_000
 
 
-#: letters that stay one letter whatever the normalizer does, and a closing sign that the vocabulary splits off them
-CLOSING = r"([a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([.,])([\t-\r ]|$)"
+#: letters that stay one letter whatever the normalizer does
+_LATIN = r"a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
+#: such a letter and closing signs, which the vocabulary splits off it
+CLOSING = rf"([{_LATIN}])([!-/:-@\[-`{{-~]+)([\t-\r ]|$)"
 #: no text with it is taken apart: it may hold a special token's literal, which is looked for before letters are lowered
 SPECIAL = "<|"
 
 
 def stays_letters(words: pa.Array) -> np.ndarray:
     """Letters only, also once composed and lower-cased (some come apart into a letter and a mark)."""
-    kept = pc.utf8_is_alpha(pc.utf8_lower(pc.utf8_normalize(words, "NFC")))
-    return pc.and_(pc.utf8_is_alpha(words), kept).to_numpy(zero_copy_only=False)
+    found = np.array(pc.match_substring_regex(words, rf"^[{_LATIN}]+$").to_numpy(zero_copy_only=False))
+    for i in np.flatnonzero(~found).tolist():
+        word = words[i].as_py()
+        found[i] = word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+    return found
 
 
 class WordTokenizer:
@@ -63,8 +69,8 @@ class WordTokenizer:
     token of a vocabulary that drops white space reaches over it, so a word's
     ids depend on nothing else and are kept in a table of bounded size.
 
-    ASCII letters are lowered and a closing comma or full stop is cut off its
-    letters first, as the vocabulary does itself. Splitting, counting distinct
+    ASCII letters are lowered and closing signs are cut off their letters first,
+    as the vocabulary does itself. Splitting, counting distinct
     words and joining ids work on whole batches; only words that are new to a
     batch are looked up one by one, and words that are new to the table are
     encoded, those of letters together, each ending at its word-end token.

@@ -321,7 +321,7 @@ def test_words_equal_the_library(hard_texts):
     from tokenizers import Tokenizer
 
     own, lib = packing.load(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
-    more = ["<|ENDOFTEXT|> a", "İ. ŉ, ǰ. ﬀ. ẞ.", "a. b, c.", "x'll, 5. ..", "K. Å, ª. ⅷ, ʰ.", "×. ÷, À. Þ,", "각 각."]
+    more = ["<|ENDOFTEXT|> a", "İ. ŉ, ǰ. ﬀ. ẞ.", "a. b, c.", "x'll, 5. ..", "K. Å, ª. ⅷ, ʰ.", "×. ÷, À. Þ,", "각 각.", "a*** b$$$ é### ñ%%% ü&&& z!!", "it's. x's' y'll! z'-", "a.'s b,'ll c'. d-_-", "a) b] c} d~ e` f^^ g\"' h''s", "ß... ẞ!! ŉ## Ω?! ж,."]
     texts = [*hard_texts, *more, *(t.replace(" ", ". ") for t in hard_texts)]
     for text, ids in zip(texts, own.encode_all(pa.array(texts, pa.string())), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == [*lib.encode(text, add_special_tokens=False).ids, packing.END]
