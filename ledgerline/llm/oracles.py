@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries that SQL can express.
 
-The licence scan's chained spans, the fingerprints, the page extraction and the
-tokenizers' queries have none: the tests hold them against brute force.
+The licence scan's chained spans, the fingerprints, the page extraction, the
+tokenizers' queries, language profiles and eigenvectors have none: the tests hold
+them against brute force.
 """
 
 from __future__ import annotations
@@ -120,10 +121,34 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM based)"""
 
+
+
+def _centroids(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds written out: assignment of every vector, then sums that are rounded down."""
+    # the smallest distance, ties by number, as one integer
+    nearest = f"min(list_sum(list_transform(list_zip(q, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * {k} + c.cluster)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS (SELECT row_id, any_value(vec_id) AS vec_id, any_value(q) AS q, CAST({nearest} AS BIGINT) AS best FROM kept, cent{r} c GROUP BY row_id)")
+        steps.append(f"""sums{r} AS (SELECT cluster, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM
+            (SELECT best % {k} AS cluster, i, sum(q[i])::DOUBLE AS s, count(*) AS n FROM near{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY cluster)""")
+        steps.append(f"cent{r + 1} AS (SELECT cluster, coalesce(s.c, o.c) AS c FROM cent{r} o LEFT JOIN sums{r} s USING (cluster))")
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+              WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+cent0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS cluster, q AS c FROM kept QUALIFY cluster < {k}),
+{", ".join(steps[:-2])},
+result AS (SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, best // {k} AS distance FROM near{rounds})
+SELECT vec_id, r.cluster, distance, CAST(sum(distance) OVER (PARTITION BY r.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM result r JOIN cent{rounds} c ON c.cluster = r.cluster"""
+
+
 ORACLES: dict[str, str] = {
     "op3_secret_scan": _secrets(),
     "op4_quality_rules": _quality(),
     "op5_sharding": SHARDING,
     "op6_embedding_dedup": EMBEDDINGS,
     "op8_warc": WARC,
+    "op12_centroids": _centroids(),
 }

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_extract, license_scan, packing, quality_rules, secret_scan, sharding, simhash, warc
+from . import (
+    bpe, centroids, embedding_dedup, html_extract, language_id, license_scan, packing, quality_rules, secret_scan,
+    sharding, simhash, warc, whitening,
+)
 
 SHARDS = 40
 
@@ -53,10 +56,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_simhash_dedup, op3_secret_scan, op4_quality_rules, op5_sharding,
         op6_embedding_dedup, op7_html_extraction, op8_warc, op9_bpe, op10_packing,
+        op11_language_id, op12_centroids, op13_whitening,
     )
 }
