@@ -23,6 +23,7 @@ MOST_NODES, SHORTEST, LONGEST, CHUNK_TOKENS, CHUNK_LINES = 4_096, 40, 3_000, 384
 
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.IfExp, ast.ExceptHandler, ast.comprehension, ast.BoolOp, ast.match_case)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_FSTRING = (getattr(tokenize, "FSTRING_START", -1), getattr(tokenize, "FSTRING_END", -1))
 
 
 def parse(source: str | None) -> ast.Module | None:
@@ -118,30 +119,72 @@ def node_stream(source: str | None) -> list[str]:
     return out
 
 
+#: Operators that carry logic
+OPERATORS = {
+    "+", "-", "*", "/", "%", "<", ">", "<=", ">=", "==", "===", "!=", "!==", "&&", "||", "!", "**", "&", "|", "^", "~", "<<", ">>", "?",
+}
+
+
+def _identifiers(node: ast.AST | None) -> set[str]:
+    """All names in an expression, attributes too."""
+    found = ast.walk(node) if node is not None else ()
+    return {n.id if isinstance(n, ast.Name) else n.attr for n in found if isinstance(n, (ast.Name, ast.Attribute))}
+
+
+def _bound(node: ast.AST) -> set[str]:
+    """Names that are local below a node: whatever stands in parameter lists
+    (defaults and annotations too), on the left of assignments, and as the
+    variable of a loop. Those of comprehensions, `with`, `except` and lambdas aren't."""
+    out: set[str] = set()
+    for n in ast.walk(node):
+        if isinstance(n, _FUNCTIONS):
+            a = n.args
+            for arg in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, [a.vararg, a.kwarg])]:
+                out |= {arg.arg} | _identifiers(arg.annotation)
+            for default in [*a.defaults, *filter(None, a.kw_defaults)]:
+                out |= _identifiers(default)
+        elif isinstance(n, ast.Assign):
+            out = out.union(*map(_identifiers, n.targets))
+        elif isinstance(n, (ast.AugAssign, ast.AnnAssign, ast.For, ast.AsyncFor)):
+            out |= _identifiers(n.target)
+    return out
+
+
+def _first_function(tree: ast.Module) -> ast.AST:
+    """The first definition of a function, else the whole."""
+    found = [n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)]
+    return min(found, key=lambda n: (n.lineno, n.col_offset)) if found else tree
+
+
 def logic_tokens(source: str | None) -> list[str]:
-    """Tokens that carry logic: local names are V, other names N:<name>, numbers
-    NUM:<value>, keywords K:<word>, operators themselves; strings, comments and
-    annotations are left out. Where there is no parse, words and signs."""
+    """What of the first function carries logic, in order: names that aren't
+    local (N:<name>) and operators (K:<sign>). Its own name, local names, keywords,
+    numbers, brackets, strings, annotations and decorators are left out. Without
+    a function it is the whole source; where there is no parse, its words and signs."""
     tree = parse(source)
     if tree is None:
-        return [f"K:{w}" if keyword.iskeyword(w) else f"N:{w}" if w[0].isalpha() or w[0] == "_" else w for w in re.findall(r"\w+|[^\w\s]", source or "")]
-    local = {a.arg for n in ast.walk(tree) if isinstance(n, ast.arguments) for a in [*n.posonlyargs, *n.args, *n.kwonlyargs, *filter(None, [n.vararg, n.kwarg])]}
-    local |= {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
-    typed: set[tuple[int, int]] = set()
-    for n in ast.walk(tree):
-        for note in filter(None, [getattr(n, "annotation", None), getattr(n, "returns", None)]):
-            typed |= {(x.lineno, x.col_offset) for x in ast.walk(note) if hasattr(x, "lineno")}
-    lines = (source or "").splitlines()
-    out = []
+        words = re.findall(r"[^\W\d]\w*|\*\*|<<|>>|[<>=!]=|[^\w\s]", source or "")
+        return [f"K:{w}" if w in OPERATORS else f"N:{w}" for w in words if w in OPERATORS or (w[0].isalpha() or w[0] == "_") and not keyword.iskeyword(w)]
+    node = _first_function(tree)
+    local = _bound(node)
+    spans = [n for x in ast.walk(node) for n in (getattr(x, "annotation", None), getattr(x, "returns", None)) if n is not None]
+    pruned = [((n.lineno, n.col_offset), (n.end_lineno, n.end_col_offset)) for n in spans]
+    whole = node is tree
+    first, last = (0, 0) if whole else (node.lineno, node.col_offset), (1 << 60, 0) if whole else (node.end_lineno, node.end_col_offset)
+    lines, out, quoted, named = (source or "").splitlines(), [], 0, whole
     try:
         for t in tokenize.generate_tokens(io.StringIO(source or "").readline):
-            byte = len(lines[t.start[0] - 1][: t.start[1]].encode()) if t.start[0] <= len(lines) else t.start[1]
-            if t.type == tokenize.NAME and (t.start[0], byte) not in typed:
-                out.append(f"K:{t.string}" if keyword.iskeyword(t.string) else "V" if t.string in local else f"N:{t.string}")
-            elif t.type == tokenize.NUMBER:
-                out.append(f"NUM:{t.string}")
-            elif t.type == tokenize.OP:
-                out.append(t.string)
+            line = lines[t.start[0] - 1] if t.start[0] <= len(lines) else ""
+            at = (t.start[0], len(line[: t.start[1]].encode()))  # trees count bytes
+            quoted += (t.type == _FSTRING[0]) - (t.type == _FSTRING[1])
+            if quoted or not first <= at < last or any(a <= at < b for a, b in pruned):
+                continue
+            if t.type == tokenize.OP and t.string in OPERATORS:
+                out.append(f"K:{t.string}")
+            elif t.type == tokenize.NAME and not keyword.iskeyword(t.string):
+                if named and t.string not in local:
+                    out.append(f"N:{t.string}")
+                named = True  # the first name is the function's own
     except (tokenize.TokenError, IndentationError):
         pass
     return out
@@ -152,15 +195,21 @@ def sequence_ratio(a: list[str], b: list[str]) -> float:
     return 1.0 if not len(a) and not len(b) else difflib.SequenceMatcher(None, list(a), list(b)).ratio()
 
 
+def _dumped(source: str | None) -> list[str]:
+    """The lines of the dumped tree; none where there is no parse."""
+    tree = parse(source)
+    return [] if tree is None else ast.dump(tree, indent=2, annotate_fields=False).splitlines()
+
+
 def tree_distance(before: str | None, after: str | None) -> int:
-    """Changed lines of the dumped trees; of the sources as sets of lines where either has no parse."""
-    a, b = parse(before), parse(after)
-    if a is None or b is None:
-        x, y = set((before or "").splitlines()), set((after or "").splitlines())
-        return len(x ^ y)
-    x, y = (ast.dump(t, indent=1).splitlines() for t in (a, b))
-    codes = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
-    return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in codes if tag != "equal")
+    """Lines of the dumped trees that go and that come, a replaced one counting
+    as both. A side without a parse has no lines; where neither has one it is the
+    sources' lines, as sets, that differ."""
+    x, y = _dumped(before), _dumped(after)
+    if not x and not y:
+        return len(set((before or "").splitlines()) ^ set((after or "").splitlines()))
+    kept = sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+    return len(x) + len(y) - 2 * kept
 
 
 def _indexed(source: str | None, found: list) -> list[tuple[str, int, str]]:
@@ -261,60 +310,79 @@ def apply_edit(kind: str, before: str | None, payload: dict) -> str | None:
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
-def diff_errors(diff: str | None) -> list[tuple[int, str]]:
-    """(line, kind) of what is wrong in a unified diff: header, count, body or stray lines."""
-    out: list[tuple[int, str]] = []
-    lines = (diff or "").splitlines()
-    i, headed = 0, False
-    while i < len(lines):
-        line = lines[i]
-        if line.startswith("--- "):
-            headed = i + 1 < len(lines) and lines[i + 1].startswith("+++ ")
-            if not headed:
-                out.append((i + 1, "missing_new_file"))
-            i += 2 if headed else 1
-            continue
-        m = _HUNK.match(line)
-        if not m:
-            if line.startswith("@@"):
-                out.append((i + 1, "bad_hunk_header"))
-            elif headed and line[:1] in "+-" and line:
-                out.append((i + 1, "line_outside_hunk"))
-            i += 1
-            continue
-        if not headed:
-            out.append((i + 1, "hunk_without_file"))
-        start, old, new = i, int(m[2] or 1), int(m[4] or 1)
-        i += 1
-        while i < len(lines) and (old > 0 or new > 0) and not lines[i].startswith(("@@", "--- ")):
-            c = lines[i][:1] or " "
-            if c not in " +-\\":
-                out.append((i + 1, "bad_line"))
-            old -= c in " -"
-            new -= c in " +"
-            i += 1
-        if old or new:
-            out.append((start + 1, "count_mismatch"))
+_FILE_LINE = ("diff --git ", "--- ", "+++ ")
+
+
+def _patch_lines(diff: str | None) -> list[str]:
+    text = diff or ""
+    return text.removesuffix("\n").split("\n") if text else []
+
+
+def _hunks(lines: list[str]) -> list[tuple[int, re.Match | None, list[int]]]:
+    """(place of the header, what it says, places of the body's lines); a header that says nothing has no body."""
+    out: list[tuple[int, re.Match | None, list[int]]] = []
+    inside = False
+    for i, line in enumerate(lines):
+        if line.startswith("@@"):
+            head = _HUNK.match(line)
+            inside = head is not None
+            out.append((i, head, []))
+        elif line.startswith(_FILE_LINE):
+            inside = False
+        elif inside:
+            out[-1][2].append(i)
     return out
 
 
-def repair_diff(diff: str | None) -> str:
-    """The diff with each hunk header's counts as its body has them."""
+def diff_errors(diff: str | None) -> list[tuple[int, str]]:
+    """(line, kind) of what is wrong with a unified diff, in order: empty_input,
+    bad_hunk_header, empty_context (a bare empty line; it counts as context),
+    missing_prefix, count_mismatch (at the hunk's header) and missing_hunk."""
+    if not diff:
+        return [(0, "empty_input")]
+    lines, out = _patch_lines(diff), []
+    hunks = _hunks(lines)
+    for place, head, body in hunks:
+        if head is None:
+            out.append((place + 1, "bad_hunk_header"))
+            continue
+        out += [(i + 1, "missing_prefix" if lines[i] else "empty_context") for i in body if lines[i][:1] not in (" ", "+", "-", "\\")]
+        signs = [lines[i][:1] or " " for i in body]
+        counted = tuple(sum(c in side for c in signs) for side in (" -", " +"))
+        if counted != (int(head[2] or 1), int(head[4] or 1)):
+            out.append((place + 1, "count_mismatch"))
+    return out if any(head for _, head, _ in hunks) else [*out, (0, "missing_hunk")]
+
+
+def repair_diff(diff: str | None) -> str | None:
+    """The diff with counts as the bodies have them, bare empty lines as empty
+    context, and lines without a sign joined to the one before. Null where that
+    is out of reach: no text, a header that can't be read, a side of a hunk without lines."""
+    if not diff:
+        return None
     out: list[str] = []
-    lines = (diff or "").splitlines()
-    for i, line in enumerate(lines):
-        m = _HUNK.match(line)
-        if not m:
+    body: list[str] | None = None
+    head = 0
+    for line in [*_patch_lines(diff), None]:
+        if line is None or line.startswith(("@@", *_FILE_LINE)):
+            if body:
+                m = _HUNK.match(out[head])
+                old, new = (sum(x[:1] in side for x in body) for side in ((" ", "-"), (" ", "+")))
+                if m is None or not old or not new:
+                    return None
+                out[head] = f"@@ -{int(m[1])},{old} +{int(m[3])},{new} @@"
+                out += body
+            if line is not None:
+                body = [] if line.startswith("@@") else None
+                head = len(out)
+                out.append(line)
+        elif body is None:
             out.append(line)
-            continue
-        old = new = 0
-        for x in lines[i + 1 :]:
-            if x.startswith(("@@", "--- ")):
-                break
-            old += x[:1] in (" ", "-", "")
-            new += x[:1] in (" ", "+", "")
-        out.append(f"@@ -{m[1]},{old} +{m[3]},{new} @@{line[m.end():]}")
-    return "\n".join(out)
+        elif line[:1] in ("", " ", "+", "-", "\\"):
+            body.append(line or " ")
+        elif body:
+            body[-1] += line
+    return "\n".join(out) + "\n" * diff.endswith("\n")
 
 
 def control_embedding(tokens: list[str], dim: int = 64) -> list[float]:
@@ -370,6 +438,19 @@ tree_distance_udf = _column(T.IntegerType(), tree_distance)
 changed_lines_udf = _column(_INTS, changed_lines)
 
 
+@pandas_udf(T.StructType([T.StructField("errors", T.StringType()), T.StructField("repaired", T.StringType())]))
+def diff_findings_udf(diff: pd.Series) -> pd.DataFrame:
+    """The errors, and where there are some in a text the first hunk header of its repair, `none` if it is out of reach."""
+    out = []
+    for text in diff:
+        text = text if isinstance(text, str) else None
+        errors = diff_errors(text)
+        fixed = repair_diff(text) if text and errors else ""
+        head = next((x for x in (fixed or "").split("\n") if x.startswith("@@")), None)
+        out.append((",".join(f"{line} {kind}" for line, kind in errors), "none" if fixed is None else head))
+    return pd.DataFrame(out, columns=["errors", "repaired"])
+
+
 @F.udtf(returnType="name string, line int, source string")
 class FunctionsOf:
     def eval(self, source: str):

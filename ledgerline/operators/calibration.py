@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans.scratch import cut
 
-#: Rows of a kind that is fitted, weight of the global threshold, resamples and seed of its interval
-LEAST_ROWS, GLOBAL_WEIGHT, RESAMPLES, SEED = 50, 5, 1_000, 11
+#: Rows that a fit takes, weight of the global threshold, resamples and seed of its interval, share of false alarms
+LEAST_ROWS, GLOBAL_WEIGHT, RESAMPLES, SEED, FPR = 50, 5, 1_000, 11, 0.02
 
 MODEL = "kind string, n long, mean array<double>, inverse array<array<double>>, threshold double, low double, high double"
 
@@ -60,7 +60,7 @@ def quantile(d, q: float) -> float:
     return float(lo if at == int(at) else hi if np.isinf(hi) else lo + (hi - lo) * (at - int(at)))
 
 
-def fit(x: np.ndarray, fpr: float = 0.05, resamples: int = RESAMPLES, seed: int = SEED) -> dict:
+def fit(x: np.ndarray, fpr: float = FPR, resamples: int = RESAMPLES, seed: int = SEED) -> dict:
     """Mean, inverse, the (1 - fpr) quantile of the distances and its bootstrap interval."""
     mean, inv = x.mean(axis=0), inverse(shrunk_covariance(x))
     d = distances(x, mean, inv)
@@ -176,17 +176,18 @@ def _fit_all(rows: DataFrame, fpr: float, least: int) -> DataFrame:
     return cut(models.join(on(found), same).select("kind", "n", "mean", "inverse", "threshold", "low", "high"))
 
 
-def fit_kinds(rows: DataFrame, kind: str, vec: str, fpr: float = 0.05) -> DataFrame:
+def fit_kinds(rows: DataFrame, kind: str, vec: str, fpr: float = FPR) -> DataFrame:
     """A model per kind, of all of its rows; n counts them. Kinds below LEAST_ROWS have the
-    global model with n = 0; the others' thresholds are drawn to the global one."""
+    global model; the others' thresholds are drawn to the global one. Fewer than
+    LEAST_ROWS rows in all give no models."""
     every = rows.select(F.col(kind).cast("string").alias("kind"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
-    whole = _fit_all(every.withColumn("kind", F.lit("")), fpr, 1).first()
+    whole = _fit_all(every.withColumn("kind", F.lit("")), fpr, LEAST_ROWS).first()
     if whole is None:
         return rows.sparkSession.createDataFrame([], MODEL)
     own = _fit_all(every, fpr, LEAST_ROWS)
     drawn = (F.col("n") * F.col("threshold") + F.lit(GLOBAL_WEIGHT * whole.threshold)) / (F.col("n") + GLOBAL_WEIGHT)
-    few = every.groupBy("kind").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < LEAST_ROWS).select("kind")
-    one = rows.sparkSession.createDataFrame([(0, whole.mean, whole.inverse, whole.threshold, whole.low, whole.high)], MODEL.partition(", ")[2])
+    few = every.groupBy("kind").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < LEAST_ROWS).select("kind", F.col("__n").alias("n"))
+    one = rows.sparkSession.createDataFrame([(whole.mean, whole.inverse, whole.threshold, whole.low, whole.high)], MODEL.partition("n long, ")[2])
     return own.withColumn("threshold", drawn).unionByName(few.crossJoin(one))  # a row
 
 

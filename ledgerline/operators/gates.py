@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ledgerline.operators.vectors import clamp
+from ledgerline.operators.vectors import clamp, total
 
 #: Scales of the eight risk dimensions, drift levels, least share of accepted steps, plan novelty and peers
 SCALES = (20.0, 8.0, 12.0, 40.0, 200.0, 40.0, 1.0, 1.0)
-DRIFT_WARN, DRIFT_DENY, STEP_SHARE, NOVELTY_CUT, LEAST_PEERS = 4.0, 6.0, 0.25, 1.8, 3
+DRIFT_WARN, DRIFT_DENY, STEP_SHARE, NOVELTY_CUT, NOVELTY_FLOOR, LEAST_PEERS, PEERS = 4.0, 6.0, 0.25, 1.8, 0.05, 3, 8
 #: Levels of the embedder gates, and whether they are reached from above
 EMBEDDER_GATES = {
     "candidate_auc": (0.70, True),
@@ -59,15 +60,32 @@ def downgraded(verdict: Column, mode: Column) -> Column:
     )
 
 
-def plan_novelty(plans: DataFrame, key: str, distance: str, norm: str) -> DataFrame:
-    """Distance of each plan as a multiple of its peers' median (5 % of their
-    median norm at least), and whether that is far; null below LEAST_PEERS rows."""
-    stats = plans.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__n"), F.percentile(distance, 0.5).alias("__d"), F.percentile(norm, 0.5).alias("__m")
-    )
-    base = F.nullif(F.greatest(F.col("__d"), 0.05 * F.col("__m")), F.lit(0.0))
-    ratio = F.when(F.col("__n") >= LEAST_PEERS, F.try_divide(F.col(distance), base))
-    return plans.join(stats, key).withColumn("novelty", ratio).withColumn("far", F.col("novelty") > NOVELTY_CUT).drop("__n", "__d", "__m")
+def plan_novelty(plans: DataFrame, project: str, ts: str, plan: str, vec: str) -> DataFrame:
+    """Each plan against the PEERS newest ones before it in its project:
+    peer_count, drift (its distance from their mean vector), peer_median (theirs,
+    in the middle), denom (that, or 5 % of their median length if that is more),
+    ratio and far. Below LEAST_PEERS, or where nothing has a length, all but the
+    count are null. Plans are ordered by time, of one time by plan.
+
+    A project's plans are looked at in order, with PEERS of them at hand; what is
+    sorted is its vectors, which Spark spills.
+    """
+    w = W.partitionBy(project).orderBy(ts, plan).rowsBetween(-PEERS, -1)
+    rows = plans.select(project, plan, F.col(vec).cast("array<double>").alias("__v"), F.collect_list(F.col(vec).cast("array<double>")).over(w).alias("__peers"))
+    n = F.size("__peers")
+    added = F.aggregate("__peers", F.transform("__v", lambda _: F.lit(0.0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    rows = rows.withColumn("__c", F.transform(added, lambda x: F.try_divide(x, n)))
+    far = lambda a, b: F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
+    middle = lambda xs: (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2
+    rows = rows.withColumns({
+        "__d": F.array_sort(F.transform("__peers", lambda p: far(p, F.col("__c")))), "__l": F.array_sort(F.transform("__peers", lambda p: F.sqrt(total(F.transform(p, lambda x: x * x))))),
+    })
+    known = lambda x: F.when((n >= LEAST_PEERS) & (F.col("__base") >= 1e-9) & (F.col("__base") < float("inf")) & (F.col("__far") < float("inf")), x)
+    rows = rows.withColumns({"__middle": middle(F.col("__d")), "__far": far(F.col("__v"), F.col("__c"))}).withColumn("__base", F.greatest("__middle", NOVELTY_FLOOR * middle(F.col("__l"))))
+    ratio = F.try_divide(F.col("__far"), F.col("__base"))
+    return rows.select(
+        project, plan, n.alias("peer_count"), known(F.col("__far")).alias("drift"), known(F.col("__middle")).alias("peer_median"), known(F.col("__base")).alias("denom"), known(ratio).alias("ratio"), known(ratio > NOVELTY_CUT).alias("far"),
+    )
 
 
 def manifest_changes(before: Column, after: Column) -> Column:

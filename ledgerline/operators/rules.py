@@ -1,4 +1,4 @@
-"""Declarative rules over edits: scopes, imports, patterns, bypasses, contracts."""
+"""Declarative rules over edits: scopes, imports, patterns, bypasses."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.operators.paths import flat_glob
 from ledgerline.operators.screens import text_lines
 
 #: Most rules of a set, longest pattern, longest source
@@ -23,31 +24,9 @@ LANGUAGES = {
 }
 
 
-def path_glob(glob: str) -> str:
-    """A regular expression in which * and ? stay within a path part and ** crosses parts."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob[i : i + 3] == "**/":
-            out, i = out + "(?:.*/)?", i + 3
-        elif glob[i : i + 2] == "**":
-            out, i = out + ".*", i + 2
-        else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i])), i + 1
-    return f"^(?:.*/)?{out}$" if not glob.startswith("/") else f"^{out}$"
-
-
 def scope_glob(glob: str) -> str:
-    """The other dialect, of rule scopes: * crosses path parts, and the whole path must fit."""
-    out, i = "", 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "[" and "]" in glob[i + 2 :]:
-            end = glob.index("]", i + 2)
-            inner = glob[i + 1 : end]
-            out, i = out + "[" + ("^" + inner[1:] if inner.startswith("!") else inner).replace("\\", "\\\\") + "]", end + 1
-            continue
-        out, i = out + {"*": ".*", "?": "."}.get(c, re.escape(c)), i + 1
-    return f"(?s)^{out}$"
+    """The dialect of rule scopes: * crosses path parts, and the whole path must fit."""
+    return f"(?s)^{flat_glob(glob)}$"
 
 
 def imports_match(name: Column, target: Column) -> Column:
@@ -77,11 +56,11 @@ def bypasses(found: Column, domain: str) -> Column:
 
 
 def position(source: Column, pattern: str) -> tuple[Column, Column]:
-    """Line and column, from 1, of a pattern's first match; null without one."""
+    """Line, from 1, and column, from 0, of a pattern's first match; null without one."""
     at = F.regexp_instr(source, F.lit(pattern))
     before = F.substring(source, F.lit(1), F.when(at > 0, at - 1))
     lines = F.split(before, "\n")
-    return F.size(F.when(at > 0, lines)), F.length(F.element_at(F.when(at > 0, lines), -1)) + 1
+    return F.size(F.when(at > 0, lines)), F.length(F.element_at(F.when(at > 0, lines), -1))
 
 
 def suffix(path: Column) -> Column:
@@ -144,18 +123,6 @@ def apply_rules(edits: DataFrame, rules: list[dict]) -> DataFrame:
     return edits.select("edit_id", F.inline(found))
 
 
-def check_contract(edits: DataFrame, forbidden: list[str], phase: list[str], allowed: list[str]) -> DataFrame:
-    """edit_id, verdict: forbidden paths first, then what is outside of the phase, then what isn't allowed."""
-    some = lambda globs: F.lit(False) if not globs else F.col("path").rlike("|".join(f"(?:{path_glob(g)})" for g in globs))
-    verdict = (
-        F.when(some(forbidden), "forbidden")
-        .when(F.lit(bool(phase)) & ~some(phase), "outside_phase")
-        .when(F.lit(bool(allowed)) & ~some(allowed), "not_allowed")
-        .otherwise("ok")
-    )
-    return edits.select("edit_id", verdict.alias("verdict"))
-
-
 #: Endings of sources; shell constructs that write them; words that destroy; git subcommands that are let through
 SOURCE_ENDINGS = r"(?:\.py|\.js|\.mjs|\.cjs|\.ts|\.tsx|\.cs|\.sql|\.sh|\.json|\.yaml|\.yml|\.md|\.markdown|\.mdx|\.toml|\.ini)"
 SOURCE_WRITES = (

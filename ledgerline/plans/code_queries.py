@@ -9,6 +9,7 @@ from ledgerline.functions import code as C
 from ledgerline.operators import decisions as D
 from ledgerline.operators import experiments as E
 from ledgerline.operators import gates as G
+from ledgerline.operators import paths as P
 from ledgerline.operators import rules as R
 from ledgerline.operators import texts as X
 from ledgerline.operators import vectors as V
@@ -86,18 +87,88 @@ def edited_lines(spark, sf_dir):
     return e.select("event_id", F.explode(C.changed_lines_udf(F.lit("line 0\nline 1\nline 2"), after)).alias("line"))
 
 
-GLOBS = ("src/*.py", "**/m1?/*.ts", "m*/f[0-3].py", "docs/**", "*.py", "src/**/f?.ts")
-_FILES = f"files AS (SELECT event_id, {_chosen(('src/', 'a/m1', 'docs/x/', '', 'src/q/r/'), 'event_id')} || 'm' || {K} % 12 || '/f' || event_id % 5 || {_chosen(('.py', '.ts'), K)} AS path FROM events)"
-_STAY, _CROSS = ("^(.*/)?src/[^/]*\\.py$", "^(.*/)?(.*/)?m1[^/]/[^/]*\\.ts$", None, "^(.*/)?docs/.*$", "^(.*/)?[^/]*\\.py$", "^(.*/)?src/(.*/)?f[^/]\\.ts$"), ("^src/.*\\.py$", "^.*.*/m1./.*\\.ts$", "^m.*/f[0-3]\\.py$", "^docs/.*.*$", "^.*\\.py$", "^src/.*.*/f.\\.ts$")
+#: globs of either dialect, and what they say in SQL of a path p; null where it isn't asked
+GLOBS = {
+    "src/*.py": ("p LIKE 'src/%.py' OR p LIKE '/%/src/%.py'", "path LIKE 'src/%.py'"),
+    "**/m1?/*.ts": ("len(s) >= 2 AND ends_with(p, '.ts') AND length(s[-2]) = 3 AND starts_with(s[-2], 'm1')", "len(string_split(path, '/')) >= 2 AND ends_with(path, '.ts') AND regexp_matches(path, '/m1./')"),
+    "m*/f[0-3].py": ("regexp_matches(p, '^(/(.*/)?)?m.*/f[0-3][.]py$')", "path LIKE 'm%' AND right(path, 6) IN ('/f0.py', '/f1.py', '/f2.py', '/f3.py')"),
+    "docs/**": ("list_contains(s, 'docs')", "starts_with(path, 'docs/')"),
+    "*.py": ("ends_with(p, '.py')", "ends_with(path, '.py')"),
+    "./src//**/f?.ts": ("list_contains(s[:-2], 'src') AND ends_with(p, '.ts') AND length(s[-1]) = 5", None),
+    "/w/a/../src/**": ("starts_with(p, '/w/src/')", None),
+    "src/m3/f3.ts": ("p = 'src/m3/f3.ts' OR p LIKE '/%/src/m3/f3.ts'", "path = 'src/m3/f3.ts'"),
+}
+_HEADS = ("src/", "a/m1", "docs/x/", "", "src/q/r/", "/w/src/", "./a/../src/", "/w//docs/../src/./", "../src/")
+_PLAIN = ("src/", "a/m1", "docs/x/", "", "src/q/r/", "/w/src/", "src/", "/w/src/", "../src/")
+_TAIL = f"'m' || {K} % 12 || '/f' || event_id % 5 || {_chosen(('.py', '.ts'), K)}"
+_FILES = f"files AS (SELECT event_id, path, p, string_split(p, '/') AS s FROM (SELECT event_id, {_chosen(_HEADS, 'event_id')} || {_TAIL} AS path, {_chosen(_PLAIN, 'event_id')} || {_TAIL} AS p FROM events))"
+
+
+@query(f"""SELECT event_id, {", ".join(f"({p}) AS path_{i}" for i, (p, _) in enumerate(GLOBS.values()))}, {", ".join(f"({s}) AS scope_{i}" for i, (_, s) in enumerate(GLOBS.values()) if s)} FROM files""", _FILES)
+def glob_dialects(spark, sf_dir):
+    i, k = F.col("event_id"), F.col("k")
+    path = F.concat(dealt(_HEADS, i), F.lit("m"), (k % 12).cast("string"), F.lit("/f"), (i % 5).cast("string"), dealt((".py", ".ts"), k))
+    files = events(spark, sf_dir).select("event_id", path.alias("path"), P.normalised_path(path).alias("p"))
+    told = [P.matches_path(F.col("p"), [g], normal=True).alias(f"path_{n}") for n, g in enumerate(GLOBS)]
+    return files.select("event_id", *told, *[F.col("path").rlike(R.scope_glob(g)).alias(f"scope_{n}") for n, (g, (_, s)) in enumerate(GLOBS.items()) if s])
 
 
-@query(f"""SELECT event_id, {", ".join(f"regexp_matches(path, '{p}') AS path_{i}" for i, p in enumerate(_STAY) if p)}, {", ".join(f"regexp_matches(path, '{p}') AS scope_{i}" for i, p in enumerate(_CROSS))} FROM files""", _FILES)
-def glob_dialects(spark, sf_dir):
-    i = F.col("event_id")
-    path = F.concat(dealt(("src/", "a/m1", "docs/x/", "", "src/q/r/"), i), F.lit("m"), (F.col("k") % 12).cast("string"), F.lit("/f"), (i % 5).cast("string"), dealt((".py", ".ts"), F.col("k")))
-    files = events(spark, sf_dir).select("event_id", path.alias("path"))
-    stay = [F.col("path").rlike(R.path_glob(g)).alias(f"path_{n}") for n, g in enumerate(GLOBS) if _STAY[n]]
-    return files.select("event_id", *stay, *[F.col("path").rlike(R.scope_glob(g)).alias(f"scope_{n}") for n, g in enumerate(GLOBS)])
+#: a statement is four lines of a dumped tree, the frame three more; what follows a statement is on its last line
+_DUMPED = lambda n, ok: f"CASE WHEN NOT {ok} THEN 0 WHEN {n} = 0 THEN 1 ELSE 2 + 4 * {n} END"
+_SIDES = f"sides AS (SELECT event_id, event_id % 7 AS n, {K} % 5 AS m, event_id % 11 > 0 AS ok, {K} % 6 > 0 AS ok2 FROM events)"
+
+
+@query(f"""SELECT event_id, CAST(CASE WHEN ok AND ok2 THEN CASE WHEN n = m THEN 0 WHEN n = 0 OR m = 0 THEN 1 + 2 + 4 * (n + m) ELSE 4 * abs(n - m) + 2 END
+                 WHEN NOT ok AND NOT ok2 THEN abs(n - m) ELSE {_DUMPED("n", "ok")} + {_DUMPED("m", "ok2")} END AS INTEGER) AS distance FROM sides""", _SIDES)
+def tree_distances(spark, sf_dir):
+    """Sources of a few assignments, some with a line that doesn't parse."""
+    i, k = F.col("event_id"), F.col("k")
+
+    def text(n, ok):
+        some = F.slice(F.array(*[F.lit(f"v{x} = {x}\n") for x in range(7)]), F.lit(1), n.cast("int"))
+        return F.concat(F.array_join(some, ""), F.when(ok, "").otherwise("a b(\n"))
+
+    both = events(spark, sf_dir).select("event_id", text(i % 7, i % 11 > 0).alias("before"), text(k % 5, k % 6 > 0).alias("after"))
+    return both.select("event_id", C.tree_distance_udf("before", "after").alias("distance"))
+
+
+_STREAM = f"parts AS (SELECT event_id, {K} % 4 AS n, event_id % 3 AS sign FROM events)"
+
+
+@query("""SELECT event_id, array_to_string(['N:open', 'K:+', ['K:<', 'K:>=', 'K:+'][1 + sign]] || flatten(list_transform(range(0, n), lambda j: ['N:call' || j, 'K:*', 'N:attr'])) || ['N:y', 'N:y'], ' ') AS tokens FROM parts""", _STREAM)
+def logic_token_streams(spark, sf_dir):
+    """Functions whose callees, operators and free names stand out from local names, numbers, strings, annotations."""
+    i, k = F.col("event_id"), F.col("k")
+    calls = F.slice(F.array(*[F.lit(f"    self.x += call{j}(1) * fn.attr  # note\n") for j in range(4)]), F.lit(1), (k % 4).cast("int"))
+    text = F.concat(
+        F.lit("@deco(1 + 2)\ndef name"), k.cast("string"), F.lit("(a: int, fn=None) -> list[str]:\n    b: dict[str, int] = open('<' + f'{a * 3}', 9)\n    if b "), dealt(("<", ">=", "+"), i),
+        F.lit(" 2:\n        pass\n"), F.array_join(calls, ""), F.lit("    for q in b:\n        q = [y for y in a]\n    return not q and 5\n\ndef other(): return 1 + 1\n"),
+    )
+    made = events(spark, sf_dir).select("event_id", text.alias("text"))
+    return made.select("event_id", F.array_join(C.logic_tokens_udf("text"), " ").alias("tokens"))
+
+
+#: a patch made of parts, with the errors that each brings
+_PATCH = f"patch AS (SELECT event_id, event_id % 5 = 0 AS blank, {K} % 3 = 0 AS bare, {K} % 7 = 1 AS less, event_id % 4 = 3 AS worse, event_id % 13 = 0 AS none FROM events)"
+
+
+@query("""SELECT event_id, CASE WHEN none THEN '0 empty_input' ELSE array_to_string(list_filter([
+                 CASE WHEN blank THEN '5 empty_context' END, CASE WHEN bare THEN 5 + CAST(blank AS INTEGER) || ' missing_prefix' END,
+                 CASE WHEN blank <> less THEN '3 count_mismatch' END, CASE WHEN worse THEN 7 + CAST(blank AS INTEGER) + CAST(bare AS INTEGER) || ' bad_hunk_header' END], lambda x: x IS NOT NULL), ',') END AS errors,
+                 CASE WHEN NOT none AND (blank OR bare OR less OR worse) THEN coalesce(CASE WHEN NOT worse THEN '@@ -1,' || 2 + CAST(blank AS INTEGER) || ' +1,' || 2 + CAST(blank AS INTEGER) || ' @@' END, 'none') END AS repaired FROM patch""", _PATCH)
+def diff_findings(spark, sf_dir):
+    """Patches with bare empty lines, lines without a sign, wrong counts and headers; and the header of the repaired one."""
+    i, k = F.col("event_id"), F.col("k")
+    blank, bare, less, worse, none = i % 5 == 0, k % 3 == 0, k % 7 == 1, i % 4 == 3, i % 13 == 0
+    # a count that is one more than there is without the blank line: right only with it
+    count = F.when(less, "3").otherwise("2")
+    text = F.concat(
+        F.lit("--- a/f\n+++ b/f\n@@ -1,"), count, F.lit(" +1,"), count, F.lit(" @@\n same\n"), F.when(blank, "\n").otherwise(""), F.when(bare, "wrapped\n").otherwise(""),
+        F.lit("-old\n+new\n"), F.when(worse, "@@ nowhere\n same\n").otherwise(""),
+    )
+    made = events(spark, sf_dir).select("event_id", F.when(~none, text).alias("text"))
+    told = made.select("event_id", C.diff_findings_udf("text").alias("f"))
+    return told.select("event_id", F.col("f.errors").alias("errors"), F.col("f.repaired").alias("repaired"))
 
 
 #: text, and the directive's name, reason and line in it
@@ -179,11 +250,19 @@ def newest_rows(spark, sf_dir):
     return D.newest(decision_log(spark, sf_dir), ["session_id"], 10).select("session_id", "decision_id")
 
 
-@query("""SELECT k, round(d / greatest(md, 0.05 * mn), 6) AS novelty, d / greatest(md, 0.05 * mn) > 1.8 AS far FROM (
-            SELECT o_custkey AS k, o_totalprice AS d, quantile_cont(o_totalprice, 0.5) OVER (PARTITION BY o_custkey) AS md, quantile_cont(o_totalprice * 3, 0.5) OVER (PARTITION BY o_custkey) AS mn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n >= 3""")
+_PEERS = """old AS (SELECT a.label, a.vec_id, CAST(a.embedding AS DOUBLE[]) AS v, CAST(b.embedding AS DOUBLE[]) AS p FROM embeddings a JOIN embeddings b ON b.label = a.label AND b.vec_id < a.vec_id
+         QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id DESC) <= 8),
+    centre AS (SELECT vec_id, list(m ORDER BY i) AS c FROM (SELECT vec_id, i, avg(p[i]) AS m FROM old, (SELECT unnest(range(1, 65)) AS i) GROUP BY vec_id, i) GROUP BY vec_id),
+    far AS (SELECT vec_id, CAST(count(*) AS INTEGER) AS peer_count, any_value(list_distance(v, c)) AS drift, quantile_cont(list_distance(p, c), 0.5) AS peer_median, 0.05 * quantile_cont(sqrt(list_inner_product(p, p)), 0.5) AS least
+            FROM old JOIN centre USING (vec_id) GROUP BY vec_id)"""
+
+
+@query("""SELECT vec_id, peer_count, round(drift, 6) AS drift, round(peer_median, 6) AS peer_median, round(drift / greatest(peer_median, least), 6) AS ratio, drift / greatest(peer_median, least) > 1.8 AS far FROM far WHERE peer_count >= 3""", _PEERS)
 def plan_novelty(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("d"), (F.col("o_totalprice") * 3).alias("n"))
-    return G.plan_novelty(o, "k", "d", "n").where("novelty is not null").select("k", F.round("novelty", 6).alias("novelty"), "far")
+    """Vectors stand in for plans, their kind for the project, their number for the time."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    got = G.plan_novelty(e.withColumn("ts", F.col("vec_id")), "label", "ts", "vec_id", "embedding").where("ratio is not null")
+    return got.select("vec_id", "peer_count", *[F.round(c, 6).alias(c) for c in ("drift", "peer_median", "ratio")], "far")
 
 
 @query("""SELECT stratum, round(1 + (n / CAST(c AS DOUBLE) - 1) * 0.2, 6) AS effect FROM (SELECT o_orderpriority AS stratum, count(*) AS n, count(DISTINCT o_custkey) AS c FROM orders GROUP BY 1)""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import calibration as C
 from ledgerline.operators import graph as G
+from ledgerline.operators import paths as P
 from ledgerline.operators import rules as R
 from ledgerline.plans.collect import collection
 from ledgerline.plans.text_queries import _chosen, dealt
@@ -41,9 +42,18 @@ def rule_hits(spark, sf_dir):
     return R.apply_rules(edits(spark, sf_dir), RULES)
 
 
-@query("""SELECT edit_id, CASE WHEN ends_with(path, '.json') THEN 'forbidden' WHEN NOT path LIKE 'src/src1%' THEN 'outside_phase' WHEN NOT ends_with(path, '.py') THEN 'not_allowed' ELSE 'ok' END AS verdict FROM edits""")
+@query("""SELECT edit_id, CASE WHEN contains(path, '/f1') OR ends_with(path, '.json') THEN 'forbidden_path' WHEN path LIKE 'src/src1/%' THEN 'phase_forbidden_path'
+                 WHEN NOT path LIKE 'src/src1%' AND NOT ends_with(path, '.ts') THEN 'phase_scope' ELSE 'ok' END AS verdict FROM edits""")
 def contract_check(spark, sf_dir):
-    return R.check_contract(edits(spark, sf_dir), ["**/*.json"], ["src/src1*/**"], ["**/*.py"])
+    """Forbidden paths, the phase's own, then its scope; what the contract allows doesn't count within a phase."""
+    return P.check_contract(edits(spark, sf_dir), ["**/f1*", "src/*.json"], ["nothing/**"], ["src/src1/*"], ["./src/src1*/../src1*/**", "src/*.ts"])
+
+
+@query("""SELECT edit_id, CASE WHEN NOT (ends_with(path, '.py') OR path LIKE 'src/src2/%') THEN 'allowed_paths' ELSE 'ok' END AS verdict FROM edits""")
+def plan_contract_check(spark, sf_dir):
+    """A contract that a plan gives forbids nothing, but allows only what it names."""
+    whole = edits(spark, sf_dir).withColumn("path", F.concat(F.lit("/home/u//repo/./x/../"), "path"))
+    return P.check_contract(whole, ["**"], ["src/*.py", "src/src2/**"], from_plan=True)
 
 
 ODD_PATHS = ("Dockerfile", "a/b.dockerfile", "x/plans/p.md", "q.PLAN.md", "src/tests/a.py", "src/test_a.ts", "lib/a_test.go", "a.spec.tsx", ".md", "docs/read.MDX", "c.toml", "c.cfg", "k.h++", "noend", "__tests__/x.js", "my.tests/x.cs")
@@ -61,7 +71,7 @@ def file_kinds(spark, sf_dir):
     return odd.select("edit_id", R.file_kind(F.col("path")).alias("kind"), R.language(F.col("path")).alias("language"), R.is_test(F.col("path")).alias("is_test"))
 
 
-@query("""SELECT edit_id, CAST(len(string_split(b, chr(10))) AS INTEGER) AS line, CAST(length(string_split(b, chr(10))[-1]) + 1 AS INTEGER) AS col
+@query("""SELECT edit_id, CAST(len(string_split(b, chr(10))) AS INTEGER) AS line, CAST(length(string_split(b, chr(10))[-1]) AS INTEGER) AS col
           FROM (SELECT edit_id, CASE WHEN pos > 0 THEN substr(source, 1, pos - 1) END AS b FROM (SELECT edit_id, source, strpos(source, '###') AS pos FROM edits)) WHERE b IS NOT NULL""")
 def match_positions(spark, sf_dir):
     line, col = R.position(F.col("source"), "###")

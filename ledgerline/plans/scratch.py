@@ -5,18 +5,39 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or what the context was given; a temporary
+    one only where both are unset and the master is local, removed at the process's end."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="ledgerline-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a temporary folder only where
-    that is unset and the master is local, and removed at the process's end."""
+    """df.checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="ledgerline-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        context.setCheckpointDir(own)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. For loops: what a checkpoint knows of
+    its plan (constraints on columns) would grow with every round."""
+    path = f"{_shared(df.sparkSession)}/ledgerline/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

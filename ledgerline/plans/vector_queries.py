@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.operators import separation as S
 from ledgerline.operators import vectors as V
 from ledgerline.plans.collect import collection
 
@@ -87,3 +88,29 @@ def risk_correlation(spark, sf_dir):
 def kind_separation(spark, sf_dir):
     values = vectors(spark, sf_dir).select((F.col("label") < 5).alias("g"), F.col("v")[0].alias("x"))
     return V.separation(values, "g", "x").select(F.round("d", 6).alias("d"))
+
+
+#: deviations that are enough for the test vectors
+TEST_SIGMA = 0.05
+_COS = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
+_OWN = f"own AS (SELECT a.label, count(*) AS pairs, avg({_COS}) AS intra_mean, stddev_pop({_COS}) AS intra_sd FROM vec a JOIN vec b ON b.label = a.label AND b.vec_id > a.vec_id GROUP BY a.label)"
+_CROSS = f"across AS (SELECT a.label, count(*) AS cross_pairs, avg({_COS}) AS cross_mean, stddev_pop({_COS}) AS cross_sd FROM vec a JOIN vec b ON b.label <> a.label GROUP BY a.label)"
+_SPREADS = "round(intra_mean, 6) AS intra_mean, round(intra_sd, 6) AS intra_sd, cross_pairs, round(cross_mean, 6) AS cross_mean, round(cross_sd, 6) AS cross_sd"
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("intra_mean", "intra_sd", "cross_mean", "cross_sd")} | {"sigma": F.round("sigma", 4)})
+
+
+@query(f"""SELECT label, pairs, {_SPREADS}, round(sigma, 4) AS sigma, sigma >= {TEST_SIGMA} AS fit
+          FROM (SELECT *, abs(intra_mean - cross_mean) / sqrt((intra_sd * intra_sd + cross_sd * cross_sd) / 2) AS sigma FROM own JOIN across USING (label))""", f"{VEC}, {_OWN}, {_CROSS}")
+def embedder_separation(spark, sf_dir):
+    """Each kind's own cosines against those with the other kinds."""
+    return _rounded(S.kind_sigma(S.cosine_spreads(vectors(spark, sf_dir), "label", "v"), TEST_SIGMA)).drop("n")
+
+
+@query(f"""SELECT label, pairs, {_SPREADS}, round(sigma, 4) AS sigma, sigma >= {TEST_SIGMA} AS fit
+          FROM (SELECT *, (intra_mean - cross_mean) / cross_sd AS sigma FROM own JOIN across USING (label))""", f"{VEC}, {_OWN}, {_CROSS}".replace(_COS, "list_inner_product(a.v, b.v)"))
+def duplicate_separation(spark, sf_dir):
+    """Each kind as a cluster of duplicates: its inner products against those with unrelated vectors."""
+    return _rounded(S.duplicate_sigma(S.cosine_spreads(vectors(spark, sf_dir), "label", "v", unit=False), TEST_SIGMA)).drop("n")

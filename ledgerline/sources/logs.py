@@ -123,3 +123,19 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
     part = lambda i: F.coalesce(F.get(head, F.lit(i)), F.lit(""))
     files = F.filter(F.slice("lines", F.lit(2), F.size("lines")), lambda x: F.trim(x) != "")
     return records.select(part(0).alias("sha"), part(1).alias("author"), part(2).alias("date"), part(3).alias("subject"), files.alias("files")).where("sha <> ''")
+
+
+#: what an export for read_history has to be made with
+HISTORY_FORMAT = "%x1e%H%x1f%P%x1f%ct%x1f%an%x1f%s"
+
+
+def read_history(spark: SparkSession, path: str, project: str) -> DataFrame:
+    """project, sha, parents (first one first), ts (seconds), author, message,
+    files of a text export of `git log --all --name-only --pretty=format:` with
+    HISTORY_FORMAT; a merge has no files, as in the log. Records without a hash are left out."""
+    records = spark.read.option("lineSep", "\x1e").text(path).select(F.split("value", r"\r?\n").alias("lines"))
+    part = lambda i: F.coalesce(F.get(F.split(F.element_at("lines", 1), "\x1f"), F.lit(i)), F.lit(""))
+    words = lambda x: F.filter(x, lambda w: F.trim(w) != "")
+    files = words(F.slice("lines", F.lit(2), F.size("lines")))
+    rows = records.select(F.lit(project).alias("project"), part(0).alias("sha"), words(F.split(part(1), " ")).alias("parents"), part(2).try_cast("long").alias("ts"), part(3).alias("author"), part(4).alias("message"), files.alias("files"))
+    return rows.where("sha <> ''")

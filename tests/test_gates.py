@@ -1,3 +1,8 @@
+import math
+import random
+import statistics
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import gates, history
@@ -42,6 +47,22 @@ def test_embedder_gates(spark):
 
 
 def test_plan_novelty(spark):
-    plans = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 1.0), ("a", 3.0, 1.0), ("b", 5.0, 1.0)], "k string, d double, n double")
-    got = sorted((r.k, r.novelty, r.far) for r in gates.plan_novelty(plans, "k", "d", "n").collect() if r.novelty is not None)
-    assert got == [("a", 1.0, False), ("a", 1.0, False), ("a", 3.0, True)]
+    """Against the eight newest before it, by plain loops."""
+    rng = random.Random(3)
+    rows = [("p", t // 2, t, [rng.gauss(0, 1), rng.gauss(5, 1)]) for t in range(14)] + [("q", t, t, [0.0, 0.0]) for t in range(5)] + [("r", t, t, [1.0, 0.0] if t < 4 else [2.0, 0.0]) for t in range(5)]
+    plans = spark.createDataFrame(rows, "project string, ts long, plan long, v array<double>")
+    got = {(r.project, r.plan): r for r in gates.plan_novelty(plans, "project", "ts", "plan", "v").collect()}
+    assert len(got) == len(rows)
+    for project, _, plan, v in rows:
+        peers = [x for p, _, k, x in rows if p == project and k < plan][-8:]
+        r = got[project, plan]
+        assert r.peer_count == len(peers)
+        if len(peers) < 3 or project == "q":
+            assert r.ratio is None and r.drift is None and r.far is None
+            continue
+        centre = [sum(x) / len(peers) for x in zip(*peers, strict=True)]
+        middle = statistics.median(math.dist(x, centre) for x in peers)
+        denom = max(middle, 0.05 * statistics.median(math.hypot(*x) for x in peers))
+        assert (r.drift, r.peer_median, r.denom) == pytest.approx((math.dist(v, centre), middle, denom))
+        assert r.ratio == pytest.approx(math.dist(v, centre) / denom) and r.far == (r.ratio > 1.8)
+    assert got["r", 4].ratio == pytest.approx(20) and got["r", 4].far

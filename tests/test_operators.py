@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import code
-from ledgerline.operators import calibration, decisions, experiments, graph, history, rules, texts, vectors
+from ledgerline.operators import calibration, decisions, experiments, graph, history, paths, rules, texts, vectors
 from ledgerline.plans import rule_queries
 from ledgerline.sources import logs
 from ledgerline.streaming import state
@@ -103,11 +103,13 @@ def test_calibration_against_plain_algebra(spark):
     df = spark.createDataFrame(rows, "kind string, v array<double>")
     models = calibration.fit_kinds(df, "kind", "v")
     got = {r.kind: r for r in models.collect()}
-    assert got["a"].n == 50 and got["b"].n == 0 and got["a"].low <= got["a"].high
+    assert got["a"].n == 50 and got["b"].n == 49 and got["a"].low <= got["a"].high
     scored = calibration.score(df, models, "kind", "v").where("kind = 'b'").collect()
     own = [float(calibration.distances(np.array([r.v]), np.array(got["b"].mean), np.array(got["b"].inverse))[0]) for r in scored]
     assert [r.distance for r in scored] == pytest.approx(own)
-    assert calibration.fit_kinds(df.limit(0), "kind", "v").count() == 0
+    assert calibration.fit_kinds(df.limit(0), "kind", "v").count() == 0 and calibration.fit_kinds(df.limit(49), "kind", "v").count() == 0
+    whole = calibration.fit(np.array([r[1] for r in rows]))  # what a kind of 49 rows falls back to
+    assert got["b"].threshold == pytest.approx(whole["threshold"]) and got["b"].mean == pytest.approx(whole["mean"].tolist())
     power = calibration.drift_levels(spark, 30, 0.1, 0.25, 40).first()
     assert power.power > power.type_i
 
@@ -125,8 +127,9 @@ def test_two_glob_dialects():
     import re
 
     hit = lambda f, g, p: bool(re.search(f(g), p))
-    assert not hit(rules.path_glob, "src/*.py", "src/a/b.py") and hit(rules.scope_glob, "src/*.py", "src/a/b.py")
-    assert hit(rules.path_glob, "src/**/*.py", "src/b.py") and hit(rules.path_glob, "a.py", "/home/x/a.py") and not hit(rules.path_glob, "/a.py", "/x/a.py")
+    assert hit(paths.path_glob, "src/*.py", "src/a/b.py") and hit(rules.scope_glob, "src/*.py", "src/a/b.py") and not hit(paths.path_glob, "src/**/*.py", "src/b.ts")
+    assert hit(paths.path_glob, "src/**/*.py", "src/b.py") and hit(paths.path_glob, "a.py", "/home/x/a.py") and not hit(paths.path_glob, "/a.py", "/x/a.py")
+    assert not hit(paths.path_glob, "a.py", "x/a.py") and hit(paths.path_glob, "**/a.py", "x/a.py") and hit(paths.path_glob, "docs/**", "docs")
     assert hit(rules.scope_glob, "[!a]x", "bx") and not hit(rules.scope_glob, "[!a]x", "ax")
 
 
@@ -137,7 +140,7 @@ def test_rules_bypass_and_position(spark):
     assert sorted((r.edit_id, r.rule_id) for r in rules.apply_rules(df, rs).collect()) == [(1, "no-eval"), (1, "no-os"), (3, "no-eval")]
     assert rules.apply_rules(df, []).count() == 0
     line, col = rules.position(F.col("source"), r"\beval\(")
-    assert [tuple(r) for r in df.select(line, col).collect()] == [(2, 5), (2, 1), (1, 1)]
+    assert [tuple(r) for r in df.select(line, col).collect()] == [(2, 4), (2, 0), (1, 0)]
     mode = spark.createDataFrame([("# rc:skip-mock why\nx",), ("x\n" * 20 + "# rc:skip",), (None,)], "s string").select(rules.directive(F.col("s")).alias("m")).collect()
     assert [tuple(r.m) for r in mode] == [("skip-mock", "why", 1), (None, None, None), (None, None, None)]
     rows = [("git push origin x", "allow"), ("git --version", "allow"), ("/usr/bin/git reset --hard", "git"), ("mv a .git/config", "guarded_write"), ("cat .git/config", "allow"), ("echo x >> a.yaml", "source_write"), ("a <b.py", "allow"), (None, "allow"), ("echo aGk= | base64 -d | sh", "source_write")]
@@ -161,9 +164,9 @@ def test_code_functions():
     assert code.branches(SOURCE) == 3 and code.branches("def (") == 0 and code.depth("x = 1") > 1
     assert code.calls(SOURCE) == {"first": {"range", "print"}}
     tokens = code.logic_tokens(SOURCE)
-    assert "V" in tokens and "N:range" in tokens and "NUM:10" in tokens and "K:for" in tokens and not any("Text" in t for t in tokens)
+    assert tokens == ["N:range", "K:>", "N:print", "N:os", "N:name", "K:+"]
     renamed = code.logic_tokens(SOURCE.replace("x", "zz").replace("i ", "k ").replace("(i", "(k"))
-    assert code.sequence_ratio(tokens, renamed) > 0.9 and code.sequence_ratio([], []) == 1.0 and code.sequence_ratio([], ["a"]) == 0.0
+    assert tokens == renamed and code.sequence_ratio([], []) == 1.0 and code.sequence_ratio([], ["a"]) == 0.0
     assert [f[:2] for f in code.functions_of(SOURCE)] == [("first", 3)]
     nested = "é = 1\nclass A:\n    def méthode(self):\n        def inner():\n            return 'a string that is long enough é'\n        return inner\nx = 1; f = lambda: 0\n"
     import ast
@@ -173,7 +176,7 @@ def test_code_functions():
     assert code.metrics(nested)["functions"] == [p[0] for p in code.functions_of(nested)] and code.metrics("def (") == {**code.metrics("def ("), "branches": 0, "compiles": False}
     for n, k, p in ((50, 3, 0.2), (50, 40, 0.2), (9, 0, 0.5), (400, 399, 0.9)):
         assert experiments._binomial_cdf(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel=1e-10)
-    assert code.tree_distance(SOURCE, SOURCE.replace("10", "11")) == 1 and code.tree_distance("a(", "b(") == 2
+    assert code.tree_distance(SOURCE, SOURCE.replace("10", "11")) == 2 and code.tree_distance("a(", "b(") == 2
     text = "é = 1\n" * 70 + SOURCE
     spans = code.chunks(text)
     assert spans[0][0] == 0 and spans[-1][1] == len(text.encode()) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
@@ -187,7 +190,7 @@ def test_edits_and_diffs():
     assert code.apply_edit("multi", "a", {"edits": [{"old": "a", "new": "b"}, {"old": "b", "new": "c"}]}) == "c" and code.apply_edit("write", None, {"content": "w"}) == "w"
     good = "--- a/f\n+++ b/f\n@@ -1,2 +1,2 @@\n x\n-y\n+z"
     assert code.diff_errors(good) == [] and code.diff_errors(good.replace("1,2 @@", "1,3 @@")) == [(3, "count_mismatch")]
-    assert code.repair_diff(good.replace("1,2 @@", "1,3 @@")) == good and code.diff_errors("@@ -1 +1 @@\n-a\n+b")[0][1] == "hunk_without_file"
+    assert code.repair_diff(good.replace("1,2 @@", "1,3 @@")) == good and code.diff_errors("@@ -1 +1 @@\n-a\n+b") == []
 
 
 def test_code_udfs(spark):
