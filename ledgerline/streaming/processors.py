@@ -90,7 +90,7 @@ def _missing(x) -> bool:
 
 
 def _plain(x):
-    return x.item() if hasattr(x, "item") else x
+    return x.tolist() if hasattr(x, "tolist") else x
 
 
 class OncePer(InOrder):
@@ -227,7 +227,7 @@ class BaselineCache(InOrder):
                     held[session][0] = n
                     touched.add(session)
                 found = paths.get(session, {}).get(path)
-                yield i, kind, None if found is None else list(found[1])
+                yield i, kind, None if found is None or found[1] is None else list(found[1])
                 continue
             held[session] = [n, ms]
             touched.add(session)

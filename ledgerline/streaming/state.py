@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerline.streaming.processors import review
+
 RETRY_MS, SUPPRESS_MS, HISTORY = 120_000, 15_000, 1_000
 #: rows that come later than this behind the newest are left out
 LATE = "10 minutes"
@@ -103,27 +105,12 @@ def windowed_rate(stream: DataFrame, size: str = "1 hour", late: str = LATE) ->
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size)).agg(F.count(F.lit(1)).alias("n"), blocked.alias("rate"))
 
 
-#: Blocks until a finding is passed on to people
-BLOCKS_UNTIL_ESCALATED = 3
-
-
 def review_state(events: list[str]) -> tuple[str, int]:
-    """Fold of a finding's events: blocks count up and escalate, `defer` and
-    `escalate` stick until `resolve`."""
-    status, n = "open", 0
+    """(status, blocks) of a finding after all of its events, in order."""
+    state = ("new", 0)
     for e in events:
-        if e == "resolve":
-            status, n = "resolved", 0
-        elif status in ("deferred", "escalated"):
-            continue
-        elif e == "defer":
-            status = "deferred"
-        elif e == "escalate":
-            status = "escalated"
-        elif e == "block":
-            n += 1
-            status = "escalated" if n > BLOCKS_UNTIL_ESCALATED else "open"
-    return status, n
+        state = review(state, e)
+    return state
 
 
 def reviews(findings: DataFrame) -> DataFrame:

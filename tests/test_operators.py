@@ -302,9 +302,10 @@ def test_late_blocks_do_not_set_the_time_back(spark, tmp_path):
 
 
 def test_findings_escalate_and_stick(spark):
-    assert state.review_state(["block"] * 3) == ("open", 3) and state.review_state(["block"] * 4)[0] == "escalated"
-    assert state.review_state(["defer", "block", "block"]) == ("deferred", 0) and state.review_state(["defer", "resolve", "block"]) == ("open", 1)
-    df = spark.createDataFrame([(1, 2, "resolve"), (1, 1, "block"), (2, 1, "defer")], "finding_id long, seq long, event string")
+    assert state.review_state(["seen"] + ["stop"] * 3) == ("open", 3) and state.review_state(["seen"] + ["stop"] * 9) == ("escalated", 3)
+    assert state.review_state(["seen", "defer", "stop", "seen"]) == ("deferred", 0) and state.review_state(["seen", "stop", "resolve", "stop"]) == ("resolved", 1)
+    assert state.review_state(["seen", "stop", "gone", "seen", "stop"]) == ("open", 1) and state.review_state(["stop", "defer"]) == ("new", 0) and state.review_state(["seen", "stop", "seen"]) == ("open", 1)
+    df = spark.createDataFrame([(1, 2, "resolve"), (1, 1, "seen"), (2, 1, "seen"), (2, 2, "defer")], "finding_id long, seq long, event string")
     assert {r.finding_id: r.status for r in state.reviews(df).collect()} == {1: "resolved", 2: "deferred"}
 
 
