@@ -1,18 +1,19 @@
 """Embedding near-duplicates by sorted projection passes.
 
 Equal vectors are reduced to one first. In each pass vectors are ordered by the
-concatenated bits of random hyperplanes; those that agree in the first of them,
-as many as would leave WINDOW together if the planes split the table evenly,
-are neighbours and are compared with each other. Windows aren't cut off in
-dense places: more than LARGE neighbours are dealt to blocks, and every block
-is compared with every other one.
+concatenated bits of random hyperplanes, all of them, and each is compared with
+the WINDOW that follow it: the order is cut into blocks, and the last WINDOW of a
+block are carried into the next one, so that windows cross the borders of blocks
+and partitions. What a pass compares is rows x WINDOW, however dense the vectors
+lie.
 
 A pass carries a vector's bytes (one a component) and not the vector. From them
 a cosine is known to within a bound that is carried along: what is certainly
 near is united at once, what may be near is looked at again with the vectors
 themselves, pair by pair, or, where those are more than PAIRS a row, block by
-block. The vectors of a component are then compared in full, in blocks, so that
-links are counted exactly however many vectors are alike.
+block. The pairs of all passes are united, and the vectors of a component are then
+compared in full, in blocks, so that links are counted exactly however many
+vectors are alike.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import UnionFind, column, connected_components, materialize, shuffle_partitions
 
 COSINE, WINDOW, SEED = 0.95, 1024, 20_240
-#: a pair at the threshold is missed by all passes with at most this probability
-MISS = 0.002
-#: neighbours that are compared in one task, and rows of a block of more
-LARGE, BLOCK = 8192, 4096
+#: a pair at the threshold is missed by all passes with at most this probability, where vectors lie evenly
+MISS = 4e-6
+#: bits that order a pass, rows of a block
+BITS, BLOCK = 62, 4096
 #: a component's blocks: a sixteenth of it, within these
 SMALLEST, PARTS = 64, 16
 #: pairs a row, on average, that are looked at again one by one
@@ -44,21 +46,17 @@ ROUNDING = 2e-6
 
 def passes_for(rows: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes until a pair at the threshold has been, with probability 1 - miss,
-    neighbours in one of them: it agrees in all of log2(rows / window) bits with
-    probability (1 - angle / pi) ** bits. However many others are there, they
-    are compared, so this holds for any table."""
+    within a window in one of them. Where planes split the table evenly those
+    that agree in log2(rows / window) bits are, and a pair does with probability
+    (1 - angle / pi) ** bits. Where vectors are all alike more bits are needed:
+    the README has what is found there."""
     depth = max(1.0, math.log2(max(2, rows) / window))
     meet = (1 - math.acos(cosine) / math.pi) ** depth
     return max(4, math.ceil(math.log(miss) / math.log(1 - meet)))
 
 
-def bits_for(rows: int, window: int = WINDOW) -> int:
-    """Bits in which neighbours agree, no more than passes_for counts with."""
-    return min(32, int(max(1.0, math.log2(max(2, rows) / window))))
-
-
-def _planes(dim: int, passes: int, bits: int) -> np.ndarray:
-    return np.stack([np.random.default_rng([SEED, dim, p]).standard_normal((bits, dim)) for p in range(passes)])
+def _planes(dim: int, passes: int) -> np.ndarray:
+    return np.stack([np.random.default_rng([SEED, dim, p]).standard_normal((BITS, dim)) for p in range(passes)])
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -76,29 +74,24 @@ def sketch(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, (off * (1 + 1e-6)).astype(np.float32)
 
 
-def _project(passes: int, bits: int, with_sketch: bool = True):
-    """(key, rep, sketch) for each pass; without sketches the key only. The key
-    holds the pass, the vector's length and its bits."""
+def _project(passes: int):
+    """run, key, rep, sketch for each pass: run is the pass and the vector's length, key its bits."""
 
-    def run(batches):
-        powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+    def go(batches):
+        powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             reps, vecs = batch.column(0), batch.column(1)
             dims = vecs.value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 rows = pa.array(np.flatnonzero(dims == dim))
                 x = _matrix(vecs.take(rows))
-                if with_sketch:
-                    packed = np.hstack([part.reshape(len(x), -1).view(np.uint8) for part in sketch(x)])
-                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(x), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-                for p, planes in enumerate(_planes(dim, passes, bits)):
-                    key = pa.array((np.int64(p) << 51) + (np.int64(dim) << 32) + (x @ planes.T > 0) @ powers)
-                    if with_sketch:
-                        yield pa.RecordBatch.from_arrays([key, reps.take(rows), packed], ["key", "rep", "sketch"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([key], ["key"])
+                packed = np.hstack([part.reshape(len(x), -1).view(np.uint8) for part in sketch(x)])
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(x), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                for p, planes in enumerate(_planes(dim, passes)):
+                    run = pa.array(np.full(len(x), (p << 32) + dim, np.int64))
+                    yield pa.RecordBatch.from_arrays([run, pa.array((x @ planes.T > 0) @ powers), reps.take(rows), packed], ["run", "key", "rep", "sketch"])
 
-    return run
+    return go
 
 
 def _cells(batches) -> Iterator[pa.RecordBatch]:
@@ -140,34 +133,42 @@ def _unite(near: np.ndarray, left: np.ndarray, right: np.ndarray, links: UnionFi
             label[np.isin(label, met)] = met[0]
 
 
-def _look(cell: pa.RecordBatch, cosine: float, links: UnionFind, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Unites what is certainly near; the pairs that may be, or None if they are too many."""
-    tags = cell.column(2).to_numpy()
-    sides = _sides(cell, tags)
+def _strips(carried: np.ndarray, width: int) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Rows of an ordered block, a strip at a time, those that follow them, and
+    which of these are within `width` places: pairs of carried rows were compared
+    in the block before."""
+    n = len(carried)
+    for lo in range(0, n - 1, STRIP):
+        rows, after = slice(lo, min(n, lo + STRIP)), slice(lo + 1, min(n, lo + STRIP + width))
+        gap = np.arange(after.start, after.stop)[None, :] - np.arange(rows.start, rows.stop)[:, None]
+        compared = (gap >= 1) & (gap <= width) & ~(carried[rows, None] & carried[None, after])
+        if compared.any():
+            yield rows, after, compared
+
+
+def _look(cell: pa.RecordBatch, cosine: float, links: UnionFind, pairs: int = PAIRS, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray] | None:
+    """Unites what is certainly near within windows of an ordered block; the pairs
+    that may be near, or None if they are too many. Columns: run, block, place, tag, sketch."""
+    tags = cell.column(3).to_numpy()
+    rep, carried = tags >> 1, (tags & 1).astype(bool)
     none = np.empty(0, np.int64)
-    if sides is None:
-        return none, none
-    packed = np.frombuffer(b"".join(cell.column(3).to_pylist()), np.uint8).reshape(len(tags), -1)
+    packed = np.frombuffer(b"".join(cell.column(4).to_pylist()), np.uint8).reshape(len(tags), -1)
     q = packed[:, :-8].view(np.int8).astype(np.float32)
     scale, off = (np.ascontiguousarray(packed[:, a:b]).view(np.float32)[:, 0].astype(np.float64) for a, b in ((-8, -4), (-4, packed.shape[1])))
     q *= scale[:, None].astype(np.float32)
-    (left, right), same = sides, sides[0] is sides[1]
-    rep, most = tags >> 1, 2 * off.max() + off.max() ** 2 + ROUNDING
+    most = 2 * off.max() + off.max() ** 2 + ROUNDING
     found_a, found_b, total, limit = [], [], 0, pairs * len(tags)
-    for k in range(0, len(left), STRIP):
-        rows = left[k : k + STRIP]
-        dots = q[rows] @ q[right].T
-        at, to = np.nonzero(dots >= cosine - most)
-        if same:
-            at, to = at[at + k < to], to[at + k < to]
+    for rows, after, compared in _strips(carried, width):
+        dots = q[rows] @ q[after].T
+        at, to = np.nonzero((dots >= cosine - most) & compared)
         if not len(at):
             continue
-        dot, a, b = dots[at, to], rows[at], right[to]
+        dot, a, b = dots[at, to], at + rows.start, to + after.start
         bound = off[a] + (1 + off[a]) * off[b] + ROUNDING
         sure = dot - bound >= cosine
         near = np.zeros(dots.shape, dtype=bool)
         near[at[sure], to[sure]] = True
-        _unite(near, rep[rows], rep[right], links)
+        _unite(near, rep[rows], rep[after], links)
         perhaps = ~sure & (dot + bound >= cosine)
         if total > limit or not perhaps.any():
             continue
@@ -198,40 +199,35 @@ def _forest(links: UnionFind) -> pa.RecordBatch:
     return _found(LINK, [a for a, _ in forest], [b for _, b in forest])
 
 
-def _compare_sketches(cosine: float, most: int):
-    """Rows: key, block, tag, sketch. A forest of the certain links of the
-    partition; pairs that may be links; the rows of cells with too many of these."""
+def _compare_sketches(cosine: float, most: int, width: int):
+    """Rows: run, block, place, tag, sketch. A forest of the certain links of the
+    partition; pairs that may be links; the rows of blocks with too many of these."""
 
-    def run(batches):
+    def go(batches):
         links = UnionFind()
         for cell in _cells(batches):
-            pairs = _look(cell, cosine, links, most)
+            pairs = _look(cell, cosine, links, most, width)
             if pairs is None:
-                tags = cell.column(2).to_numpy()
-                yield _found(DENSE, tags, np.zeros_like(tags), cell.column(0)[0].as_py(), cell.column(1)[0].as_py())
+                yield _found(DENSE, cell.column(3), cell.column(2), cell.column(0)[0].as_py(), cell.column(1)[0].as_py())
             elif len(pairs[0]):
                 yield _found(PERHAPS, *pairs)
         yield _forest(links)
 
-    return run
+    return go
 
 
-def _compare_vectors(cosine: float):
-    """Rows: key, block, tag, vec. A forest of the links of the partition."""
+def _compare_vectors(cosine: float, width: int):
+    """Rows: run, block, tag, vec, in their order. A forest of the links of the partition."""
 
-    def run(batches):
+    def go(batches):
         links = UnionFind()
         for cell in _cells(batches):
-            tags = cell.column(2).to_numpy()
-            sides = _sides(cell, tags)
-            if sides is not None:
-                x, (left, right) = _matrix(cell.column(3)), sides
-                for k in range(0, len(left), STRIP):
-                    near = x[left[k : k + STRIP]] @ x[right].T >= cosine
-                    _unite(near, tags[left[k : k + STRIP]] >> 1, tags[right] >> 1, links)
+            tags, x = cell.column(2).to_numpy(), _matrix(cell.column(3))
+            for rows, after, compared in _strips((tags & 1).astype(bool), width):
+                _unite((x[rows] @ x[after].T >= cosine) & compared, tags[rows] >> 1, tags[after] >> 1, links)
         yield _forest(links)
 
-    return run
+    return go
 
 
 def _verify(cosine: float):
@@ -286,23 +282,39 @@ def _in_cells(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
     return cells.repartition(shuffle_partitions(rows.sparkSession), key, "block").sortWithinPartitions(key, "block")
 
 
+def _in_order(few: DataFrame, passes: int, window: int) -> DataFrame:
+    """run, block, place, tag, sketch: the rows of each pass in the order of their
+    keys, cut into blocks; the last `window` rows of a block are in the next one too.
+
+    A row's place is its number in its partition of the sorted table, plus what
+    stands in the partitions before: a table of a row a partition and run."""
+    parts = shuffle_partitions(few.sparkSession)
+    keyed = few.mapInArrow(_project(passes), "run long, key long, rep long, sketch binary")
+    ordered = keyed.repartitionByRange(parts, "run", "key", "rep").sortWithinPartitions("run", "key", "rep")
+    ordered = materialize(ordered.select("run", "rep", "sketch", F.monotonically_increasing_id().alias("at")), "ordered").withColumn("part", F.shiftright("at", 33))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("run").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heads = ordered.groupBy("run", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    heads = materialize(heads.select("run", "part", (before - F.col("first")).alias("shift")), "heads")
+    size = max(BLOCK, window)
+    placed = ordered.join(heads, ["run", "part"]).withColumn("place", F.col("at") + F.col("shift"))
+    block = F.floor(F.col("place") / size)
+    own, carried = F.struct(block.alias("block"), F.lit(0).alias("carried")), F.struct((block + 1).alias("block"), F.lit(1).alias("carried"))
+    both = F.when(F.col("place") % size >= size - window, F.array(own, carried)).otherwise(F.array(own))
+    cells = placed.select("run", "place", "rep", "sketch", F.inline(both)).select("run", "block", "place", (F.shiftleft("rep", 1) + F.col("carried")).alias("tag"), "sketch")
+    return cells.repartition(parts, "run", "block").sortWithinPartitions("run", "block", "place")
+
+
 def _links(classes: DataFrame, cosine: float, window: int) -> DataFrame:
     """(a, b): links found, by rep, enough to join all that are."""
-    count = classes.count()
-    passes, bits = passes_for(count, cosine, window), bits_for(count, window)
+    passes = passes_for(classes.count(), cosine, window)
     few = classes.select("rep", "vec")
-    keys = few.mapInArrow(_project(passes, bits, False), "key long").groupBy("key").count()
-    large = materialize(keys.where(F.col("count") > LARGE).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "large")
-    dealt = few.mapInArrow(_project(passes, bits), "key long, rep long, sketch binary")
-    dealt = dealt.withColumn("blocks", F.lit(1)) if large.isEmpty() else dealt.join(large, "key", "left")
-    found = _in_cells(dealt, "key", F.coalesce("blocks", F.lit(1))).mapInArrow(_compare_sketches(cosine, PAIRS), FOUND)
-    found = materialize(found, "found")
+    found = materialize(_in_order(few, passes, window).mapInArrow(_compare_sketches(cosine, PAIRS, window), FOUND), "found")
     pairs = found.where(F.col("kind") == PERHAPS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of = lambda end, name: few.select(F.col("rep").alias(end), F.col("vec").alias(name))
     verified = pairs.join(of("a", "u"), "a").join(of("b", "v"), "b").select("a", "b", "u", "v").mapInArrow(_verify(cosine), FOUND)
-    dense = found.where(F.col("kind") == DENSE).select("key", "block", F.col("a").alias("tag"), F.shiftright("a", 1).alias("rep"))
-    dense = dense.join(few, "rep").select("key", "block", "tag", "vec").repartition(shuffle_partitions(classes.sparkSession), "key", "block")
-    compared = dense.sortWithinPartitions("key", "block").mapInArrow(_compare_vectors(cosine), FOUND)
+    dense = found.where(F.col("kind") == DENSE).select("key", "block", F.col("a").alias("tag"), F.col("b").alias("place"), F.shiftright("a", 1).alias("rep"))
+    dense = dense.join(few, "rep").repartition(shuffle_partitions(classes.sparkSession), "key", "block").sortWithinPartitions("key", "block", "place")
+    compared = dense.select("key", "block", "tag", "vec").mapInArrow(_compare_vectors(cosine, window), FOUND)
     return found.where(F.col("kind") == LINK).unionByName(verified).unionByName(compared).select("a", "b")
 
 

@@ -158,7 +158,7 @@ def test_links_do_not_depend_on_partitions(spark):
 @pytest.mark.parametrize("pairs", [4, 0])
 def test_blocks_of_a_large_component(spark, monkeypatch, pairs):
     """Small blocks throughout, and, without pairs looked at one by one, whole cells with their vectors."""
-    for name, value in (("LARGE", 20), ("BLOCK", 16), ("SMALLEST", 8), ("PARTS", 5), ("PAIRS", pairs)):
+    for name, value in (("BLOCK", 16), ("SMALLEST", 8), ("PARTS", 5), ("PAIRS", pairs)):
         monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(6)
     hot = rng.normal(size=8)
@@ -191,15 +191,15 @@ def test_cells_of_sketches_lose_no_link():
         x = np.concatenate([c + (0.02 + 0.05 * (case % 6)) * rng.normal(size=(50, 24)) for c in centres])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         packed = [bytes(r) for r in np.hstack([part.reshape(len(x), -1).view(np.uint8) for part in embedding_dedup.sketch(x)])]
-        two = case % 2
-        side = rng.integers(0, 2, len(x)) * two
-        cell = pa.RecordBatch.from_arrays([pa.array([1] * len(x)), pa.array([two] * len(x)), pa.array(np.arange(len(x)) * 2 + side), pa.array(packed, pa.binary())], ["key", "block", "tag", "sketch"])
+        width, carried = (1000, 37, 300)[case % 3], np.arange(len(x)) < (case % 2) * 40
+        x, packed = (lambda order: (x[order], [packed[i] for i in order]))(rng.permutation(len(x)))
+        cell = pa.RecordBatch.from_arrays([pa.array([1] * len(x)), pa.array([0] * len(x)), pa.array(np.arange(len(x))), pa.array(np.arange(len(x)) * 2 + carried), pa.array(packed, pa.binary())], ["run", "block", "place", "tag", "sketch"])
         links = UnionFind()
-        found = embedding_dedup._look(cell, 0.95, links)
+        found = embedding_dedup._look(cell, 0.95, links, width=width)
         dots, exact, near = x @ x.T, UnionFind(), UnionFind()
         for i in range(len(x)):
             for j in range(i):
-                if dots[i, j] >= 0.95 and (not two or side[i] != side[j]):
+                if dots[i, j] >= 0.95 and i - j <= width and not (carried[i] and carried[j]):
                     exact.link(i, j)
         for i, j in links.forest():
             near.link(i, j)
@@ -226,6 +226,40 @@ def test_recall_on_anisotropic_vectors(spark):
     assert sum(got[16_000 + i] == got[i] for i in range(500)) >= 495
 
 
+def test_windows_are_bounded(spark, monkeypatch):
+    """Each row meets the `window` rows after it in the order, across blocks and partitions, and no other."""
+    rng = np.random.default_rng(8)
+    mean = rng.normal(size=12)
+    few = spark.createDataFrame([(i, (mean + 0.05 * rng.normal(size=12)).tolist()) for i in range(230)] + [(900 + i, [1.0, float(i)]) for i in range(30)], "rep long, vec array<double>")
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    orders = []
+    try:
+        for parts in ("3", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = embedding_dedup._in_order(few, 2, 25).collect()
+            own = {(r.run, r.place): r.tag >> 1 for r in rows if not r.tag & 1}
+            met, at_most = set(), 0
+            for cell in {(r.run, r.block) for r in rows}:
+                inside = sorted((r.place, r.tag) for r in rows if (r.run, r.block) == cell)
+                assert [p for p, _ in inside] == list(range(inside[0][0], inside[0][0] + len(inside)))
+                for a, b, compared in embedding_dedup._strips(np.array([t & 1 for _, t in inside], dtype=bool), 25):
+                    i, j = np.nonzero(compared)
+                    pairs = [(cell[0], inside[a.start + x][0], inside[b.start + y][0]) for x, y in zip(i, j, strict=True)]
+                    assert not met & set(pairs)
+                    met |= set(pairs)
+            for run in {r.run for r in rows}:
+                n = 230 if run % 2**32 == 12 else 30
+                assert sorted(p for k, p in own if k == run) == list(range(n))
+                at_most += sum(min(25, n - 1 - p) for p in range(n))
+                assert all((run, p, q) in met for p in range(n) for q in range(p + 1, min(n, p + 26)))
+            assert len(met) == at_most
+            orders.append(own)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert orders[0] == orders[1] and len(orders[0]) == 520
+
+
 ARTICLE = "<article><h1>Big  news</h1><p><b>First</b> line &amp; more&nbsp;text.<br>Same block<p>Second para, long enough to matter here.</article>"
 
 
