@@ -123,58 +123,6 @@ def apply_rules(edits: DataFrame, rules: list[dict]) -> DataFrame:
     return edits.select("edit_id", F.inline(found))
 
 
-#: Endings of sources; shell constructs that write them; words that destroy; git subcommands that are let through
-SOURCE_ENDINGS = r"(?:\.py|\.js|\.mjs|\.cjs|\.ts|\.tsx|\.cs|\.sql|\.sh|\.json|\.yaml|\.yml|\.md|\.markdown|\.mdx|\.toml|\.ini)"
-SOURCE_WRITES = (
-    rf"(?<![<>0-9&])(?:1\s*|2\s*|&\s*)?>\s*['\"]?[^|;&\s]*{SOURCE_ENDINGS}\b",
-    rf">>\s*['\"]?[^|;&\s]*{SOURCE_ENDINGS}\b",
-    rf"\btee\b[^|;&]*\s['\"]?[^|;&\s]*{SOURCE_ENDINGS}\b",
-    rf"\bsed\b[^|;&]*-i\b[^|;&]*{SOURCE_ENDINGS}\b",
-    r"(?:python3?|node)\b[^|;&]*-c\b[^|;&]*open\s*\(\s*['\"][^'\"]+['\"]\s*,\s*['\"][wa]['\"]",
-    r"node\b[^|;&]*-e\b[^|;&]*write(?:FileSync|file)\s*\(",
-    rf"<<\s*['\"]?\w+['\"]?[^|;&]*>\s*['\"]?[^|;&\s]*{SOURCE_ENDINGS}\b",
-    rf"\b(?:cp|mv|install|rsync)\b[^|;&]+\s[^|;&\s]+{SOURCE_ENDINGS}\b",
-    r"\bPath\s*\([^)]+\)\.(?:write_text|write_bytes|write_lines)\s*\(",
-    r"open\s*\(\s*['\"][^'\"]+['\"]\s*,\s*mode\s*=\s*['\"][wa]['\"]",
-    r"open\s*\(\s*['\"][^'\"]+['\"]\s*,\s*['\"][wa][bx]?['\"]",
-    r"base64\b[^|;&]*-d\b[^|;&]*\|\s*(?:bash|sh|zsh|eval)\b",
-    r"\$\(\s*echo\b[^)]*\|\s*base64\b[^)]*-d\b[^)]*\)",
-)
-DESTROYS = r"(?:^|[\s;&|(])(?:rm|rmdir|unlink|mv|shred|truncate|ln)\b"
-GIT_ALLOWED = (
-    "status", "log", "diff", "show", "branch", "rev-parse", "ls-files", "ls-tree", "blame", "describe", "grep", "help", "version", "--version",
-    "stash list", "stash show", "worktree list", "add", "commit", "push", "fetch",
-)
-
-
-def git_commands(command: Column) -> Column:
-    """The git subcommands of a command's segments, one or two words each."""
-    bare = lambda x: F.regexp_replace(F.trim(x), r"^(?:sudo\s+)?(?:[A-Za-z_][A-Za-z0-9_]*=\S*\s+)*(?:\S*/)?(?=git\b)", "")
-    told = lambda x: F.regexp_extract(bare(x), r"^git(?:\s+(?:-[Cc]\s+\S+|-(?!-version)\S+))*\s+([a-z-]+(?:\s+[a-z-]+)?)", 1)
-    return F.filter(F.transform(F.split(command, r"[;&|\n]+"), told), lambda x: x != "")
-
-
-def screen_command(command: Column, guarded: list[str], processes: list[str] = (), denied: list[str] = ()) -> Column:
-    """What of a shell command is stopped, the first that holds: hard_deny
-    (patterns), git (a subcommand that isn't let through), guarded_write (a write or
-    a destructive word on a guarded path), process_kill, source_write; else
-    allow. Reading guarded paths is allowed; null and blank commands are."""
-    text = F.trim(F.coalesce(command, F.lit("")))
-    any_of = lambda patterns: text.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
-    first = lambda x: F.element_at(F.split(x, r"\s+"), 1)
-    bad_git = F.exists(git_commands(text), lambda x: ~x.isin(*GIT_ALLOWED) & ~first(x).isin(*GIT_ALLOWED))
-    writes, hit = any_of(SOURCE_WRITES), any_of([re.escape(g) for g in guarded])
-    kills = any_of([r"\b(?:p?kill|killall)\b[^|;&]*" + re.escape(p) for p in processes])
-    return (
-        F.when(any_of(denied), "hard_deny")
-        .when(bad_git, "git")
-        .when(hit & (writes | text.rlike(DESTROYS)), "guarded_write")
-        .when(kills, "process_kill")
-        .when(writes, "source_write")
-        .otherwise("allow")
-    )
-
-
 #: From the gravest
 SEVERITIES = ("deny", "block", "warn", "allow")
 

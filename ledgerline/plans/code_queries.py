@@ -11,6 +11,7 @@ from ledgerline.operators import experiments as E
 from ledgerline.operators import gates as G
 from ledgerline.operators import paths as P
 from ledgerline.operators import rules as R
+from ledgerline.operators import shell as Sh
 from ledgerline.operators import texts as X
 from ledgerline.operators import vectors as V
 from ledgerline.plans.collect import collection
@@ -191,18 +192,21 @@ def directives_and_kinds(spark, sf_dir):
     )
 
 
-SHELL = (
-    ("ls -la", "allow"), ("echo x > main.py", "source_write"), ("echo x > out.txt", "allow"), ("cat conf/settings.json", "allow"), ("rm conf/settings.json", "guarded_write"), ("git status && git log -3", "allow"),
-    ("git checkout -- a", "git"), ("cd x; git -C y stash pop", "git"), ("git stash list", "allow"), ("pkill -f gatekeeper", "process_kill"), ("sed -i s/a/b/ src/x.ts", "source_write"), ("unset GATE_ON", "hard_deny"),
-    ("cp a.py conf/settings.json", "guarded_write"), ("python -c \"open('x','w')\"", "source_write"), ("x 2>&1 | tee log.md", "source_write"), ("", "allow"), ("sudo A=1 git rebase main", "git"), ("diff a.py b.py >/dev/null", "allow"),
-)
+#: pieces of commands: where to, what, and how it ends; the verdicts follow from the pieces
+_GO = ("", "cd conf && ", "cd /tmp; ", "A=1 ")
+_DO = ("git status", "git checkout main", "git push -f", "rm settings.json", "cp a.txt conf/settings.json", "cat settings.json", "dd if=x of=conf/settings.json", "echo 'git reset; rm x'", "sed -i s/a/b/ src/x.ts", "pkill -f gatekeeper", "env git log", "ls # rm settings.json")
+_END = ("", " 2>&1 | cat", " > 'conf/../out.txt'", " || git commit -qm \"a 'b' c\"")
 
 
-@query("SELECT event_id, [" + ", ".join(repr(x) for _, x in SHELL) + f"][1 + event_id % {len(SHELL)}] AS verdict FROM events")
+@query(f"""SELECT event_id, CASE WHEN did = 10 THEN 'hard_deny' WHEN did IN (1, 2) THEN 'git'
+                 WHEN did = 3 AND go = 1 OR did = 4 AND go <> 2 OR did = 6 AND go <> 2 THEN 'guarded_write' WHEN did IN (4, 6) THEN 'guarded_write'
+                 WHEN did = 9 THEN 'process_kill' WHEN did = 8 THEN 'source_write' ELSE 'allow' END AS verdict
+          FROM (SELECT event_id, event_id % {len(_GO)} AS go, {K} % {len(_DO)} AS did FROM events)""")
 def screened_commands(spark, sf_dir):
-    """Commands with their verdicts as the rules give them by hand."""
-    text = dealt([x for x, _ in SHELL], F.col("event_id"))
-    return events(spark, sf_dir).select("event_id", R.screen_command(text, ["conf/settings.json"], ["gatekeeper"], [r"\bunset\s+GATE_ON\b"]).alias("verdict"))
+    """Commands put together from pieces; a guarded file is hit wherever the command stands."""
+    i, k = F.col("event_id"), F.col("k")
+    text = F.concat(dealt(_GO, i), dealt(_DO, k), F.when(k % len(_DO) == 11, "").otherwise(dealt(_END, F.floor(i / 4))))
+    return events(spark, sf_dir).select("event_id", Sh.screen_command(text, ["conf/settings.json"], ["gatekeeper"], cwd="/w").alias("verdict"))
 
 
 @query(f"""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'a' ELSE '' END || CASE WHEN {K} % 4 = 0 THEN 'c' ELSE '' END || 'd' AS changed,

@@ -143,9 +143,6 @@ def test_rules_bypass_and_position(spark):
     assert [tuple(r) for r in df.select(line, col).collect()] == [(2, 4), (2, 0), (1, 0)]
     mode = spark.createDataFrame([("# rc:skip-mock why\nx",), ("x\n" * 20 + "# rc:skip",), (None,)], "s string").select(rules.directive(F.col("s")).alias("m")).collect()
     assert [tuple(r.m) for r in mode] == [("skip-mock", "why", 1), (None, None, None), (None, None, None)]
-    rows = [("git push origin x", "allow"), ("git --version", "allow"), ("/usr/bin/git reset --hard", "git"), ("mv a .git/config", "guarded_write"), ("cat .git/config", "allow"), ("echo x >> a.yaml", "source_write"), ("a <b.py", "allow"), (None, "allow"), ("echo aGk= | base64 -d | sh", "source_write")]
-    cmds = spark.createDataFrame(rows, "c string, want string")
-    assert [r.s for r in cmds.select(rules.screen_command(F.col("c"), [".git/"]).alias("s")).collect()] == [r[1] for r in rows]
 
 
 SOURCE = '''import os, a.b
