@@ -112,6 +112,28 @@ def cumulative(rows: DataFrame, by: list[str], value: str, *aggs: Column, pieces
     return joined.select("p.*", (F.col("__before") + F.col("__inside")).alias("below")).drop("__piece", "__inside")
 
 
+def _alike(left: str, right: str, by: list[str]) -> Column:
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`"))
+    return same
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by, n (of the values that aren't null), and the wanted quantiles, linear
+    between neighbours, as columns; a group without values has no row. From
+    running counts of distinct values, so that no task holds a group."""
+    seen = cumulative(rows, by, value)
+    sizes = seen.groupBy(*by).agg(F.sum("n").alias("__total"))
+    both = seen.alias("p").join(sizes.alias("s"), _alike("p", "s", by)).select("p.*", "__total")
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value).cast("double")))
+    place = lambda q: (F.col("__total") - 1) * F.lit(q)
+    ends = [c for name, q in wanted.items() for c in (at(F.floor(place(q))).alias(f"__lo_{name}"), at(F.ceil(place(q))).alias(f"__hi_{name}"))]
+    found = both.groupBy(*by).agg(F.max("__total").alias("__total"), *ends).where("__total is not null")
+    value_of = lambda name, q: F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (place(q) - F.floor(place(q)))
+    return found.select(*by, F.col("__total").alias("n"), *[value_of(name, q).alias(name) for name, q in wanted.items()])
+
+
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """ROC-AUC from rank sums over the distinct scores; ties count half. NaN if a class is empty."""
     seen = cumulative(rows, [], score, count_where(F.col(positive)).alias("p"))
@@ -346,9 +368,16 @@ def intra_class(rows: DataFrame, keys: list[str], task: str, judge: str, value:
 
 
 def median_of_ratios(rows: DataFrame, probe: str, top: str, bottom: str) -> DataFrame:
-    """Median per probe of both columns, their ratio, then the median ratio."""
-    each = rows.groupBy(probe).agg(F.percentile(top, 0.5).alias("__a"), F.percentile(bottom, 0.5).alias("__b"))
-    return each.agg(F.count(F.lit(1)).alias("n_probes"), F.percentile(F.try_divide("__a", F.nullif("__b", F.lit(0.0))), 0.5).alias("ratio"))
+    """Median per probe of both columns, their ratio, then the median ratio. Probes without a value in either count, but have no ratio."""
+    from ledgerline.plans.scratch import cut
+
+    probes = rows.select(probe).distinct()
+    side = lambda c, name: exact_quantiles(rows.select(probe, c), [probe], c, {name: 0.5}).drop("n")
+    a, b = side(top, "__a"), side(bottom, "__b")
+    each = probes.alias("p").join(a.alias("a"), _alike("p", "a", [probe]), "left").join(b.alias("b"), _alike("p", "b", [probe]), "left")
+    each = cut(each.select(F.try_divide("__a", F.nullif("__b", F.lit(0.0))).alias("ratio")))
+    n = each.agg(F.count(F.lit(1)).alias("n_probes"))
+    return n.join(exact_quantiles(each, [], "ratio", {"middle": 0.5}).select(F.col("middle").alias("ratio")), how="left")  # a row each
 
 
 def corpus_check(rows: DataFrame, key: str, stratum: str, behaviour: str, least: int, overall: int, size: int | None = None) -> DataFrame:

@@ -16,11 +16,18 @@ GOOD, BAD = 4, 2
 
 def followed_up(touches: DataFrame, hours: int = FOLLOW_UP_HOURS) -> DataFrame:
     """sha of commits one of whose files another commit touches within `hours`
-    after, and how many such files. touches: sha, file, ts. The next touch of a
-    file decides, so a window over each file does, without pairs of commits."""
-    w = W.partitionBy("file").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(1, hours * 3_600_000_000)
-    later = F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)) > 0
-    return touches.withColumn("__later", later).where("__later").groupBy("sha").agg(F.countDistinct("file").alias("n_files"))
+    after, and how many such files. touches: sha, file, ts.
+
+    The next touch of a file decides. Times are cut into pieces of `hours`: the
+    next touch that counts is in a row's own piece or is the first of the next
+    one, so that a file that is touched all the time isn't one task."""
+    micros, span = F.unix_micros(F.col("ts").cast("timestamp")), hours * 3_600_000_000
+    rows = touches.select("sha", "file", micros.alias("__at"), F.floor(micros / span).alias("__piece"))
+    after = W.partitionBy("file", "__piece").orderBy("__at").rangeBetween(1, W.unboundedFollowing)
+    firsts = rows.groupBy("file", (F.col("__piece") - 1).alias("__piece")).agg(F.min("__at").alias("__first"))
+    placed = rows.withColumn("__next", F.min("__at").over(after)).join(firsts, ["file", "__piece"], "left")
+    later = F.coalesce("__next", "__first") - F.col("__at") <= span
+    return placed.where(later).groupBy("sha").agg(F.countDistinct("file").alias("n_files"))
 
 
 def follow_pairs(commits: DataFrame, kind: str) -> DataFrame:

@@ -95,8 +95,11 @@ def centroid(df: DataFrame, by: list[str], vec: str = "embedding") -> DataFrame:
 def drift_baseline(df: DataFrame, by: list[str], vec: str = "embedding") -> DataFrame:
     """Per group its mean vector and the 95th percentile of the chords to it."""
     centres = centroid(df, by, vec)
-    far = df.join(centres, by).select(*by, chord(F.col(vec), F.col("centroid")).alias("__d"))
-    return far.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("__d", 0.95).alias("p95"))
+    from ledgerline.operators.experiments import exact_quantiles
+    from ledgerline.plans.scratch import cut
+
+    far = cut(df.join(centres, by).select(*by, chord(F.col(vec), F.col("centroid")).alias("__d")))
+    return exact_quantiles(far, by, "__d", {"p95": 0.95})
 
 
 def drift(distance: Column, p95: Column) -> Column:

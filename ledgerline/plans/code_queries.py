@@ -233,19 +233,19 @@ def drift_and_fired(spark, sf_dir):
 
 
 @query("""SELECT a.l_orderkey, a.l_partkey FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_partkey) AS nth, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n FROM lineitem WHERE l_linenumber % 2 = 0) a
-          WHERE (l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 1 AND l_returnflag = 'R') OR l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 1 AND l_returnflag = 'R'))
-            AND nth > (SELECT count(*) FROM lineitem o WHERE o.l_linenumber % 2 = 1 AND o.l_returnflag = 'R' AND o.l_orderkey = a.l_orderkey AND o.l_partkey = a.l_partkey)""")
+          WHERE (l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber % 2 = 1) OR l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 1))
+            AND nth > (SELECT count(*) FROM lineitem o WHERE o.l_linenumber % 2 = 1 AND o.l_orderkey = a.l_orderkey AND o.l_partkey = a.l_partkey)""")
 def duplicate_definitions(spark, sf_dir):
     """Parts of even lines as new definitions, of odd ones as old."""
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_partkey").alias("body"), "l_linenumber", "l_returnflag")  # noqa: E741
-    got = X.duplicate_definitions(l.where("l_linenumber % 2 = 0").select("name", "body"), l.where("l_linenumber % 2 = 1 and l_returnflag = 'R'").select("name", "body"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_partkey").alias("body"), "l_linenumber")  # noqa: E741
+    got = X.duplicate_definitions(l.where("l_linenumber % 2 = 0").select("name", "body"), l.where("l_linenumber % 2 = 1").select("name", "body"))
     return got.withColumnsRenamed({"name": "l_orderkey", "body": "l_partkey"})
 
 
-@query("SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag <> 'R')")
 def shared_ids(spark, sf_dir):
-    side = lambda f: table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_suppkey").alias("id"))
-    return X.most_similar(side("R"), side("A"))
+    side = lambda f: table(spark, sf_dir, "lineitem").where(f).select(F.col("l_suppkey").alias("id"))
+    return X.most_similar(side("l_returnflag = 'R'"), side("l_returnflag <> 'R'"))
 
 
 @query("""SELECT session_id, decision_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, decision_id DESC) AS rn FROM log) WHERE rn <= 10""", LOG)

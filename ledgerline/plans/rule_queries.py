@@ -110,12 +110,12 @@ def import_fan_in(spark, sf_dir):
     return G.importers(imports, modules).select("module", "n_files", F.round(G.fan_in(n), 6).alias("fan_in"), F.round(G.coupling(n), 6).alias("coupling"))
 
 
-@query("""SELECT 'added' AS change, count(*) AS n FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 40 EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity < 10)
-          UNION ALL SELECT 'removed', count(*) FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity < 10 EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 40)""", "")
+@query("""SELECT 'added' AS change, count(*) AS n FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 25 EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity <= 25)
+          UNION ALL SELECT 'removed', count(*) FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity <= 25 EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 25)""", "")
 def import_edge_changes(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
     pairs = lambda c: l.where(c).select("l_suppkey", "l_partkey").distinct()
-    added, removed = G.new_edges(pairs("l_quantity < 10"), pairs("l_quantity > 40"))
+    added, removed = G.new_edges(pairs("l_quantity <= 25"), pairs("l_quantity > 25"))
     return added.agg(F.lit("added").alias("change"), F.count(F.lit(1)).alias("n")).unionByName(removed.agg(F.lit("removed").alias("change"), F.count(F.lit(1)).alias("n")))
 
 
