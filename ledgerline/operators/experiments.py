@@ -326,16 +326,6 @@ def bca(values: list[float], resamples: int = 10_000, seed: int = 42, level: flo
     return at((1 - level) / 2), at((1 + level) / 2)
 
 
-def bootstrap_means(rows: DataFrame, by: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Interval of each group's mean; a group is one task, as resampling needs it whole."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = bca(sorted(frame[value].astype(float)), resamples, seed)
-        return pd.DataFrame({by: [frame[by].iloc[0]], "n": [len(frame)], "low": [low], "high": [high]})
-
-    return rows.select(by, value).groupBy(by).applyInPandas(run, f"{by} {dict(rows.dtypes)[by]}, n long, low double, high double")
-
-
 def kappa_interval(pairs: list[tuple[int, int]], resamples: int = 1_000, seed: int = 7) -> tuple[float, float]:
     """Percentile bootstrap of kappa; resamples without two classes are dropped."""
     rng, draws, n = random.Random(seed), [], len(pairs)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import experiments as E
 from ledgerline.operators import gates as G
+from ledgerline.operators import resampling as R
 from ledgerline.plans.collect import collection
 
 RUNS = "runs AS (SELECT o_custkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'treatment' ELSE 'vanilla' END AS arm, o_orderkey, o_totalprice AS price, CAST(o_orderstatus = 'F' AS INTEGER) AS done, o_orderpriority AS stratum, o_orderstatus AS state FROM orders)"
@@ -51,6 +52,25 @@ def paired_summary(spark, sf_dir):
     return got.select("metric", "n", *[F.round(c, 4).alias(c) for c in ("mean_a", "mean_b", "mean_delta")])
 
 
+_TESTED = """deltas AS (SELECT 'price' AS metric, pa - pb AS d FROM pairs UNION ALL SELECT 'done', CAST(da - db AS DOUBLE) FROM pairs),
+    signed AS (SELECT metric, d, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY metric, abs(d)) AS peers
+               FROM deltas WHERE d <> 0),
+    tested AS (SELECT metric, greatest(0, abs(w - n * (n + 1) / 4.0) - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0) AS z FROM (
+        SELECT metric, count(*) AS n, least(coalesce(sum(CASE WHEN d > 0 THEN r END), 0), coalesce(sum(CASE WHEN d < 0 THEN r END), 0)) AS w, sum(peers * peers - 1) AS t FROM signed GROUP BY metric)),
+    told AS (SELECT metric, count(*) AS n, avg(d) AS mean_delta, stddev_pop(d) / sqrt(count(*)) AS se FROM deltas GROUP BY metric)"""
+
+
+@query("SELECT metric, n, round(mean_delta, 4) AS mean_delta, round(z, 6) AS z, TRUE AS holds, round(se, 6) AS se, TRUE AS as_wide FROM told JOIN tested USING (metric)", f"{RUNS}, {PAIRS}, {_TESTED}")
+def paired_intervals(spark, sf_dir):
+    """The report of both metrics; its intervals hold the means and are as wide as the standard errors say (within a fifth)."""
+    both = pairs(spark, sf_dir)
+    report = R.paired_report(both, ["price", "done"], ARMS)
+    long = both.select(F.expr("stack(2, 'price', CAST(price_treatment - price_vanilla AS DOUBLE), 'done', CAST(done_treatment - done_vanilla AS DOUBLE)) as (metric, d)"))
+    report = report.join(long.groupBy("metric").agg((F.stddev_pop("d") / F.sqrt(F.count("d"))).alias("se")), "metric")
+    width = F.try_divide(F.col("ci_hi") - F.col("ci_lo"), 2 * 1.959964 * F.col("se"))
+    return report.select("metric", "n", F.round("mean_delta", 4).alias("mean_delta"), F.round("z", 6).alias("z"), F.col("mean_delta").between(F.col("ci_lo"), F.col("ci_hi")).alias("holds"), F.round("se", 6).alias("se"), width.between(0.8, 1.2).alias("as_wide"))
+
+
 @query("""SELECT task % 40 AS block, CASE WHEN drop_ >= 0.15::DOUBLE AND p < 0.05::DOUBLE AND resolved >= -0.05::DOUBLE AND latency <= 1.5::DOUBLE THEN 'ship'
                  WHEN drop_ < -0.05::DOUBLE OR resolved < -0.10::DOUBLE THEN 'kill' ELSE 'inconclusive' END AS verdict
           FROM (SELECT task % 40 AS task, -avg(CAST(pa < pb AS INTEGER) - 0.4::DOUBLE) AS drop_, max(task % 40) / 400.0::DOUBLE AS p, avg(da - db) AS resolved, avg(pa) / avg(pb) AS latency FROM pairs GROUP BY 1)""", f"{RUNS}, {PAIRS}")
