@@ -16,6 +16,8 @@ RECALL, CONFIRM = 0.80, 0.97
 COLD_CHARS = 32
 #: components that are summed as columns of their own; rows of a block of a search, at most and on small tables
 SIDE_BY_SIDE, BLOCK, LEAST_BLOCK = 512, 50_000, 500
+#: rows that the cells of a search are built around
+PIVOTS = 64
 
 
 def total(xs: Column) -> Column:
@@ -123,32 +125,97 @@ def query_blocks(corpus: DataFrame, queries: DataFrame, keep, schema: str, strip
     spread = dealt(corpus, "id", "__c", across, "__q", down)
     copies = dealt(queries, "qid", "__q", down, "__c", across)
 
-    def unit(vectors) -> np.ndarray:
-        x = np.array(list(vectors), dtype=np.float64)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(size == 0, 1.0, size)
+    return spread.groupBy("__c", "__q").cogroup(copies.groupBy("__c", "__q")).applyInPandas(_meet(keep, strip), schema)
+
+
+def _unit(vectors) -> np.ndarray:
+    x = np.array(list(vectors), dtype=np.float64)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size == 0, 1.0, size)
+
+
+def _meet(keep, strip: int):
+    """A block of the corpus with a block of queries, a strip of them at a time."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return keep(np.empty((0, 0)), right["qid"].to_numpy()[:0], left["id"].to_numpy()[:0])
-        x, out = unit(left["vec"]), []
+        x, out = _unit(left["vec"]), []
         for k in range(0, len(right), strip):
             part = right.iloc[k : k + strip]
-            out.append(keep(unit(part["qvec"]) @ x.T, part["qid"].to_numpy(), left["id"].to_numpy()))
+            out.append(keep(_unit(part["qvec"]) @ x.T, part["qid"].to_numpy(), left["id"].to_numpy()))
         return pd.concat(out)
 
-    return spread.groupBy("__c", "__q").cogroup(copies.groupBy("__c", "__q")).applyInPandas(run, schema)
+    return run
+
+
+def _chords(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
+
+
+def cells_by_pivots(corpus: DataFrame, queries: DataFrame, least: float, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """(corpus, queries) dealt to cells, for cosines of `least` (above 0) or more:
+    a row of the corpus (id, vec) to its nearest pivot's, a query (qid, qvec)
+    to each cell that can hold a hit: by the triangle inequality its distance from
+    the pivot is no more than the cell's radius and the distance that `least`
+    stands for. Columns cell, block, part: cells of over BLOCK rows, and queries, are
+    dealt on to blocks. Zero vectors are left out: their cosines are 0.
+
+    Pivots are `pivots` rows of the corpus, chosen by hash; they and a radius for
+    each are all that the driver holds."""
+    from ledgerline.plans.scratch import written
+
+    some = corpus.where(F.col("vec").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    if not some:
+        return corpus.limit(0).withColumns({"cell": F.lit(0), "block": F.lit(0), "part": F.lit(0)}), queries.limit(0).withColumns({"cell": F.lit(0), "block": F.lit(0), "part": F.lit(0)})
+    centres = _unit([r.vec for r in some])
+
+    def assign(frames):
+        for frame in frames:
+            frame = frame[[np.any(v) for v in frame["vec"]]]
+            far = _chords(_unit(frame["vec"]), centres) if len(frame) else np.empty((0, 1))
+            yield frame.assign(cell=far.argmin(axis=1).astype("int32") if len(frame) else np.empty(0, "int32"), far=far.min(axis=1))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.select("id", "vec").schema)
+    cells = written(corpus.where(F.col("vec").isNotNull()).select("id", "vec").mapInPandas(assign, f"{kinds}, cell int, far double"))
+    told = {r.cell: (r.far, r.n) for r in cells.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(told)
+    blocks = {c: -(-told[c][1] // BLOCK) for c in order}
+    reach = np.array([told[c][0] for c in order]) + np.sqrt(2 - 2 * least) + 1e-9
+    near = centres[order]
+    parts = max(1, -(-queries.count() // BLOCK))
+
+    def ask(frames):
+        for frame in frames:
+            frame = frame[[v is not None and np.any(v) for v in frame["qvec"]]]
+            hit = _chords(_unit(frame["qvec"]), near) <= reach if len(frame) else np.empty((0, 1), bool)
+            yield frame.assign(cell=[[order[j] for j in np.flatnonzero(h)] for h in hit]).explode("cell").dropna(subset=["cell"]).astype({"cell": "int32"})
+
+    asked = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.select("qid", "qvec").schema)
+    wanted = queries.select("qid", "qvec").mapInPandas(ask, f"{asked}, cell int")
+    count = F.create_map(*[F.lit(x) for c in order for x in (c, blocks[c])])
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = F.pmod(F.xxhash64("id"), F.element_at(count, F.col("cell"))).cast("int")
+    left = cells.drop("far").withColumn("block", own).withColumn("part", upto(F.lit(parts)))
+    right = wanted.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")).withColumn("block", upto(F.element_at(count, F.col("cell"))))
+    return left, right
 
 
 def pairs_above(corpus: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """qid, id, cosine of each query's corpus rows with cosine `least` or more, itself left out."""
+    """qid, id, cosine of each query's corpus rows with cosine `least` or more, itself
+    left out. Above 0 only those cells meet that can hold a hit."""
 
     def keep(cos: np.ndarray, qids: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
         q, i = np.nonzero(cos >= least) if cos.size else (np.empty(0, int), np.empty(0, int))
         out = pd.DataFrame({"qid": qids[q].astype("int64"), "id": ids[i].astype("int64"), "cosine": cos[q, i] if cos.size else np.empty(0)})
         return out[out["qid"] != out["id"]]
 
-    return query_blocks(corpus, queries, keep, "qid long, id long, cosine double")
+    schema = "qid long, id long, cosine double"
+    if least <= 0:
+        return query_blocks(corpus, queries, keep, schema)
+    left, right = cells_by_pivots(corpus, queries, least)
+    by = ["cell", "block", "part"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_meet(keep, 2_000), schema)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

@@ -60,3 +60,28 @@ def test_sigmas(spark):
     assert alone["a"].sigma == math.inf and alone["a"].fit  # unrelated pairs are all alike
     still = {r.kind: r for r in S.kind_sigma(S.cosine_spreads(spark.createDataFrame(rows[:3], VECTORS), "kind")).collect()}
     assert still["a"].sigma == 0 and not still["a"].fit
+
+
+def test_searches_pass_over_cells_that_hold_no_hit(spark, monkeypatch):
+    """Same pairs as plain loops; of clustered vectors most cells are never met."""
+    import numpy as np
+
+    from ledgerline.operators import vectors as V
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 12))
+    rows = [(i, (centres[i % 20] + 0.15 * rng.normal(size=12)).tolist()) for i in range(600)] + [(900, [0.0] * 12), (901, None)]
+    corpus = spark.createDataFrame(rows, "id long, vec array<double>")
+    queries = corpus.where("id % 20 = 0 or id >= 900").selectExpr("id AS qid", "vec AS qvec")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v is not None and any(v)}
+    for block in (50_000, 7):
+        monkeypatch.setattr(V, "BLOCK", block)
+        for least in (0.5, 0.97):
+            got = {(r.qid, r.id): r.cosine for r in V.pairs_above(corpus, queries, least).collect()}
+            want = {(q, i): float(unit[q] @ unit[i]) for q in unit if q % 20 == 0 for i in unit if i != q and unit[q] @ unit[i] >= least}
+            assert got == pytest.approx(want) and len(got) > 20
+    monkeypatch.setattr(V, "BLOCK", 50_000)
+    left, right = V.cells_by_pivots(corpus, queries, 0.97)
+    cells, met = left.select("cell").distinct().count(), right.select("qid", "cell").distinct().count()
+    assert met < 0.4 * cells * 30
+    assert V.pairs_above(corpus.limit(0), queries, 0.9).count() == 0 and V.pairs_above(corpus, queries.limit(0), 0.9).count() == 0
