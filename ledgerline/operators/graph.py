@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row: distinct edges, greatest in and out degree, share of nodes without an edge."""
     e = edges.select("src", "dst").distinct()
-    into, out = e.groupBy("dst").count(), e.groupBy("src").count()
-    ends = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    every = ends if nodes is None else nodes.select("node").unionByName(ends).distinct()
-    n = every.join(ends.withColumn("linked", F.lit(1)), "node", "left").agg(F.count(F.lit(1)).alias("n_nodes"), F.count("linked").alias("__l"))
-    one = e.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(into.agg(F.coalesce(F.max("count"), F.lit(0)).alias("max_in"))).crossJoin(out.agg(F.coalesce(F.max("count"), F.lit(0)).alias("max_out"))).crossJoin(n)  # a row each
+    side = lambda end, out: e.select(F.col(end).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
+    per = side("src", 1).unionByName(side("dst", 0)).groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    most = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(f"max_{c.removesuffix('to')}")
+    one = per.agg(F.coalesce(F.sum("out"), F.lit(0)).alias("n_edges"), most("into"), most("out"), F.count(F.lit(1)).alias("__l"))
+    if nodes is None:
+        one = one.withColumn("n_nodes", F.col("__l"))
+    else:
+        alone = nodes.select("node").distinct().join(per.select("node"), "node", "left_anti").agg(F.count(F.lit(1)).alias("__alone"))
+        one = one.crossJoin(alone).withColumn("n_nodes", F.col("__l") + F.col("__alone")).drop("__alone")  # a row each
     return one.withColumn("isolated_share", F.coalesce(F.try_divide(F.col("n_nodes") - F.col("__l"), F.nullif("n_nodes", F.lit(0))), F.lit(0.0))).drop("__l")
 
 

@@ -297,3 +297,63 @@ def ranked_duplicates(spark, sf_dir):
     pairs = V.pairs_above(f.select("id", "vec"), asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), TEST_RECALL)
     got = X.ranked_duplicates(pairs, asked.select(F.col("id").alias("qid"), "tokens"), f.select("id", "path", "line", "tokens"))
     return got.withColumn("cosine", F.round("cosine", 6))
+
+
+_EDITS = f"asked AS (SELECT event_id, event_id % 4 AS kind, ['a', 'zz', 'b'][1 + {K} % 3] AS old, 'a b a ' || {K} AS before, {K} AS k FROM events)"
+
+
+@query("""SELECT event_id, CASE kind WHEN 0 THEN 'w' || k WHEN 1 THEN CASE WHEN old <> 'zz' THEN regexp_replace(before, old, 'c') END WHEN 2 THEN CASE WHEN old <> 'zz' THEN replace(before, old, 'c') END
+                 ELSE CASE WHEN old <> 'zz' THEN 'n' || regexp_replace(regexp_replace(before, old, 'c'), 'c', 'dd') END END AS after FROM asked""", _EDITS)
+def applied_edits(spark, sf_dir):
+    """Whole writes, one replacement, all of them, and several in turn; null where the old text is missing."""
+    i, k = F.col("event_id"), F.col("k")
+    old = dealt(("a", "zz", "b"), k)
+    one = lambda *more: F.concat(F.lit('{"old": "'), old, F.lit('", "new": "c"'), *[F.lit(m) for m in more], F.lit("}"))
+    several = F.concat(F.lit('{"edits": ['), one(), F.lit(', {"old": "c", "new": "dd"}, {"old": "", "new": "n"}]}'))
+    payload = F.when(i % 4 == 0, F.concat(F.lit('{"content": "w'), k.cast("string"), F.lit('"}'))).when(i % 4 == 1, one()).when(i % 4 == 2, one(', "all": true')).otherwise(several)
+    asked = events(spark, sf_dir).select("event_id", dealt(("write", "edit", "edit", "multi"), i).alias("kind"), F.concat(F.lit("a b a "), k.cast("string")).alias("before"), payload.alias("payload"))
+    return asked.select("event_id", C.apply_edit_udf("kind", "before", "payload").alias("after"))
+
+
+@query(f"""SELECT event_id, sha256('{{"a":[1,"x' || event_id % 3 || '",null],"b":{{"c":true,"d":' || {K} || '}}}}') AS digest FROM events""")
+def stable_hashes(spark, sf_dir):
+    """Digests of values that are written with their keys in another order and with blanks."""
+    i, k = F.col("event_id"), F.col("k").cast("string")
+    text = F.when(i % 2 == 0, F.concat(F.lit('{"b": {"d": '), k, F.lit(', "c": true}, "a": [1, "x'), (i % 3).cast("string"), F.lit('", null]}'))).otherwise(
+        F.concat(F.lit('{ "a":[ 1,"x'), (i % 3).cast("string"), F.lit('",null],\n "b":{"c":true,"d":'), k, F.lit("} }"))
+    )
+    return events(spark, sf_dir).select("event_id", text.alias("text")).select("event_id", C.stable_hash_udf("text").alias("digest"))
+
+
+@query(f"""SELECT event_id, CAST(7 * ({K} % 3) AS INTEGER) AS first, CAST(7 * ({K} % 3) + 6 + event_id % 3 AS INTEGER) AS last FROM events""")
+def changed_ranges(spark, sf_dir):
+    """Byte ranges of one line that has another text, with letters of two bytes."""
+    i, k = F.col("event_id"), F.col("k")
+    line = lambda j: F.when(k % 3 == j, F.concat(F.lit("né "), F.lpad(F.lit(""), (i % 3).cast("int"), "x"), F.lit("1\n"))).otherwise(F.lit(f"line {j}\n"))
+    made = events(spark, sf_dir).select("event_id", F.lit("line 0\nline 1\nline 2\n").alias("before"), F.concat(*[line(j) for j in range(3)]).alias("after"))
+    told = made.select("event_id", C.changed_bytes_udf("before", "after").alias("r"))
+    return told.select("event_id", F.inline(F.transform("r", lambda r: F.struct(r[0].alias("first"), r[1].alias("last")))))
+
+
+_FLAGS = ", ".join(f"CAST(event_id % 5 = {j} OR {K} % 7 = {j} AS INTEGER)" for j in range(5))
+_RAW = "list_transform(range(1, 6), lambda j: CASE WHEN f[j] = 1 THEN 1.0 WHEN coalesce(f[j - 1], 0) = 1 AND j > 1 OR coalesce(f[j + 1], 0) = 1 THEN 0.25 ELSE 0.0 END)"
+
+
+@query(f"""SELECT event_id, {", ".join(f"round(CAST(raw[{j + 1}] AS DOUBLE) / list_sum(raw), 6) AS w{j}" for j in range(5))} FROM (SELECT event_id, {_RAW} AS raw FROM (SELECT event_id, [{_FLAGS}] AS f FROM events))""")
+def neighbour_weights(spark, sf_dir):
+    """Weights of five chunks, of which one or two have changed."""
+    i, k = F.col("event_id"), F.col("k")
+    made = events(spark, sf_dir).select("event_id", F.array(*[(i % 5 == j) | (k % 7 == j) for j in range(5)]).alias("changed"))
+    told = made.select("event_id", C.chunk_weights_udf("changed").alias("w"))
+    return told.select("event_id", *[F.round(F.col("w")[j], 6).alias(f"w{j}") for j in range(5)])
+
+
+@query(f"""SELECT event_id, CAST(ceil(n / 64.0) AS BIGINT) + CAST(m > 0 AS BIGINT) AS chunks, CAST(m > 0 AS BIGINT) AS scopes, CAST(6 * n + CASE WHEN m > 0 THEN 9 + 10 * m ELSE 0 END AS BIGINT) AS bytes
+          FROM (SELECT event_id, {K} * 2 AS n, event_id % 3 AS m FROM events) WHERE n + m > 0""")
+def source_chunks(spark, sf_dir):
+    """Plain lines in windows, and a function on its own; chunks cover the text."""
+    i, k = F.col("event_id"), F.col("k")
+    body = F.when(i % 3 > 0, F.concat(F.lit("def f():\n"), F.expr("repeat('    x = 1\n', CAST(event_id % 3 AS INT))"))).otherwise("")
+    made = events(spark, sf_dir).select("event_id", F.concat(F.expr("repeat('y = 2\n', CAST(k * 2 AS INT))"), body).alias("source"))
+    cut = made.lateralJoin(C.ChunksOf(F.col("source").outer()))
+    return cut.groupBy("event_id").agg(F.count(F.lit(1)).alias("chunks"), F.count(F.when(F.col("kind") == "scope", 1)).alias("scopes"), F.sum(F.col("end") - F.col("first")).alias("bytes"))
