@@ -159,6 +159,26 @@ def arm_summary(rows: DataFrame, arm: str, value: str) -> DataFrame:
     )
 
 
+#: Floors of two raters' agreement, on what they say and on how much
+JACCARD_FLOOR, PEARSON_FLOOR = 0.6, 0.7
+
+
+def rater_agreement(rows: DataFrame, jaccard: str, count_a: str, count_b: str) -> DataFrame:
+    """One row: n documents, their mean, upper median, least and greatest
+    Jaccard (0 without any), Pearson of how much the raters say (null below two
+    documents or where one says the same everywhere), and whether both floors are met."""
+    from ledgerline.plans.scratch import cut
+
+    kept = cut(rows.where(F.col(jaccard).isNotNull()).select(F.lit(0).alias("one"), F.col(jaccard).alias("j"), F.col(count_a).cast("double").alias("a"), F.col(count_b).cast("double").alias("b")))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    varies = (F.min("a") < F.max("a")) & (F.min("b") < F.max("b"))
+    one = kept.agg(F.count(F.lit(1)).alias("n"), zero(F.avg("j")).alias("mean_jaccard"), zero(F.min("j")).alias("least"), zero(F.max("j")).alias("most"), F.when(varies, F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))).alias("pearson"))
+    middle = arm_summary(kept, "one", "j").select(F.col("upper_median").alias("median_jaccard"))
+    both = one.join(middle, how="left").withColumn("median_jaccard", zero(F.col("median_jaccard")))  # a row each
+    alike, counted = F.col("mean_jaccard") >= JACCARD_FLOOR, F.coalesce(F.col("pearson") >= PEARSON_FLOOR, F.lit(False))
+    return both.withColumns({"jaccard_pass": alike, "pearson_pass": counted, "overall_pass": alike & counted})
+
+
 def exclusive_quartiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles at places p (n + 1), interpolated; groups of 4 rows at least, null values left out."""
     seen = _with_size(cumulative(rows.select(by, F.col(value).cast("double").alias("__v")), [by], "__v"), by)

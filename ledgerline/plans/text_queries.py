@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ledgerline.operators import experiments as E
 from ledgerline.operators import texts as X
 from ledgerline.plans.collect import collection
 
@@ -62,6 +63,20 @@ def shared_tokens(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.size(X.shared(a, b)).alias("n_shared"), F.round(X.jaccard(a, b), 6).alias("jaccard"))
 
 
+@query("""SELECT n, round(mean_jaccard, 6) AS mean_jaccard, round(median_jaccard, 6) AS median_jaccard, round(least, 6) AS least, round(most, 6) AS most, round(pearson, 6) AS pearson, mean_jaccard >= 0.6 AS jaccard_pass, pearson >= 0.7 AS pearson_pass,
+                 mean_jaccard >= 0.6 AND pearson >= 0.7 AS overall_pass
+          FROM (SELECT count(*) AS n, avg(j) AS mean_jaccard, list_sort(list(j))[1 + count(*) // 2] AS median_jaccard, min(j) AS least, max(j) AS most, corr(na, nb) AS pearson
+                FROM (SELECT len(a) AS na, len(b) AS nb, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END AS j
+                      FROM (SELECT regexp_extract_all(lower(text), '[a-z0-9_]+') AS a, regexp_extract_all(lower(after_text), '[a-z0-9_]+') AS b FROM turns WHERE after_text IS NOT NULL)))""", SEEN)
+def rater_agreement(spark, sf_dir):
+    """A turn and the next one stand in for what two raters say of a document."""
+    a, b = X.tokens(F.col("text")), X.tokens(F.col("after_text"))
+    count = lambda c: F.size(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+"), F.lit(0)))
+    said = turns(spark, sf_dir).select(X.jaccard(a, b).alias("j"), count(F.col("text")).alias("na"), count(F.col("after_text")).alias("nb"))
+    got = E.rater_agreement(said, "j", "na", "nb")
+    return got.select("n", *[F.round(c, 6).alias(c) for c in ("mean_jaccard", "median_jaccard", "least", "most", "pearson")], "jaccard_pass", "pearson_pass", "overall_pass")
+
+
 LEAKS = (" key sk-abcdefghijkl_mn here", " Bearer abc.def-ghi", " password = hunter2!", " ghp_abcdefghij0123456789xyz", " token=abc", "")
 PATHS = ("conf/.env", "a/.env.local", "keys/id.pem", "src/tokenizer.py", "src/app.py", "x/server.key", "lib/environment.py")
 

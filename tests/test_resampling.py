@@ -58,3 +58,14 @@ def test_paired_report(spark):
     assert 0 < cost.p_wilcoxon < 0.2 and cost.p_holm == pytest.approx(min(1.0, 2 * cost.p_wilcoxon))  # two metrics are tested
     assert (got["done"].n, got["done"].ci_lo, got["done"].ci_hi, got["done"].p_wilcoxon, got["done"].p_holm) == (40, 0.0, 0.0, 1.0, 1.0)
     assert (got["gone"].n, got["gone"].mean_delta, got["gone"].ci_lo, got["gone"].p_wilcoxon, got["gone"].p_holm) == (0, None, None, None, None)
+
+
+def test_rater_agreement(spark):
+    rows = spark.createDataFrame([(0.2, 1, 2), (0.9, 4, 5), (0.7, 2, 4), (0.8, 3, 3), (None, 9, 0)], "j double, a long, b long")
+    got = E.rater_agreement(rows, "j", "a", "b").first()
+    assert (got.n, got.median_jaccard, got.least, got.most) == (4, 0.8, 0.2, 0.9) and got.mean_jaccard == pytest.approx(0.65) and got.pearson == pytest.approx(np.corrcoef([1, 4, 2, 3], [2, 5, 4, 3])[0, 1])
+    assert got.jaccard_pass and got.pearson_pass and got.overall_pass
+    same = E.rater_agreement(rows.where("a = 4 or a = 2").selectExpr("j", "a", "1 AS b"), "j", "a", "b").first()
+    assert same.pearson is None and same.jaccard_pass and not same.pearson_pass and not same.overall_pass
+    none = E.rater_agreement(rows.limit(0), "j", "a", "b").first()
+    assert (none.n, none.mean_jaccard, none.median_jaccard, none.least, none.pearson, none.overall_pass) == (0, 0.0, 0.0, 0.0, None, False)
