@@ -31,3 +31,19 @@ def test_streams_are_dealt_before_they_are_parsed(spark, events_dir):
     got = Q.logic_token_streams(spark, events_dir)
     assert "REPARTITION_BY_NUM" in plan_of(got)
     assert got.count() == 600
+
+
+@pytest.mark.parametrize("name", ["edit_risk", "code_metrics"])
+def test_rows_are_dealt_before_texts_are_made(spark, events_dir, name):
+    plan = plan_of(Q.QUERIES[name](spark, events_dir))
+    assert plan.index("def f0(x)") < plan.index("REPARTITION_BY_NUM") and "def f0(x)" not in plan[plan.index("REPARTITION_BY_NUM") :]  # what is printed first comes last
+
+
+def test_metrics_of_equal_texts_are_taken_once(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(C, "parse", lambda text, was=C.parse: parsed.append(text) or was(text))
+    text = "def taken_once(x):\n    return [y for y in taken_once(x)]\n"
+    import pandas as pd
+
+    got = C.metrics_udf.func(pd.Series([text, text, None, text]))
+    assert list(got["branches"]) == [1, 1, 0, 1] and list(got["edges"]) == [1, 1, 0, 1] and parsed.count(text) == 1
