@@ -33,6 +33,15 @@ def test_streams_are_dealt_before_they_are_parsed(spark, events_dir):
     assert got.count() == 600
 
 
+def test_chunks_are_cut_in_batches(spark, events_dir, monkeypatch):
+    plan = plan_of(Q.source_chunks(spark, events_dir))
+    assert "PythonUDTF" not in plan and "ArrowEvalPython" in plan
+    parsed = []
+    monkeypatch.setattr(C, "parse", lambda text, was=C.parse: parsed.append(text) or was(text))
+    text = "y = 3\n" * 70 + "def f():\n    return 1\n"
+    assert [C.once(C.chunks, t) for t in (text, text)] == [[(0, 384, "lines"), (384, 420, "lines"), (420, 442, "scope")]] * 2 and parsed.count(text) == 1
+
+
 @pytest.mark.parametrize("name", ["edit_risk", "code_metrics"])
 def test_rows_are_dealt_before_texts_are_made(spark, events_dir, name):
     plan = plan_of(Q.QUERIES[name](spark, events_dir))
