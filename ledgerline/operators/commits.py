@@ -1,7 +1,8 @@
 """Which commits lie between two heads of a commit graph, for many heads at once.
 
 Commits are cut into chains: each follows its first parent, and of several that
-follow the same one the oldest goes on with its chain. What a head reaches on a
+follow the same one the newest goes on with its chain (where branches are merged,
+that is the main line, which most ranges run along). What a head reaches on a
 chain is everything up to some place, so that a set of commits is a row per
 chain. Heads are walked chain by chain, not commit by commit: a round crosses
 from all reached chains to the next ones, and a history without branches takes
@@ -30,7 +31,7 @@ def _chains(commits: DataFrame, first: DataFrame, cut) -> DataFrame:
     jump twice as far each round."""
     key = ["project", "sha"]
     order = F.struct("ts", "sha")
-    goes_on = first.join(commits.select("project", "sha", "ts"), key).groupBy("project", "parent").agg(F.min_by("sha", order).alias("sha"))
+    goes_on = first.join(commits.select("project", "sha", "ts"), key).groupBy("project", "parent").agg(F.max_by("sha", order).alias("sha"))
     links = goes_on.select("project", "sha", F.col("parent").alias("far"))
     started = commits.select("project", "sha", "ts").join(links, key, "left")
     now = cut(started.select("project", "sha", "ts", F.coalesce("far", "sha").alias("far"), F.col("far").isNotNull().cast("long").alias("place"), F.col("far").isNull().alias("done")))

@@ -56,3 +56,12 @@ def test_metrics_of_equal_texts_are_taken_once(monkeypatch):
 
     got = C.metrics_udf.func(pd.Series([text, text, None, text]))
     assert list(got["branches"]) == [1, 1, 0, 1] and list(got["edges"]) == [1, 1, 0, 1] and parsed.count(text) == 1
+
+
+def test_merged_branches_hang_off_one_chain(spark):
+    """The main line stays one chain where branches of it are older than its next commit."""
+    from ledgerline.operators import commits as O
+
+    rows = [("p", f"m{k:02}", [f"m{k - 1:02}", f"b{k - 1:02}"] if k else [], 10 * k) for k in range(8)] + [("p", f"b{k:02}", [f"m{k:02}"], 10 * k + 5) for k in range(8)]
+    nodes, _ = O.label_commits(spark.createDataFrame(rows, "project string, sha string, parents array<string>, ts long"))
+    assert {r.chain for r in nodes.where("sha like 'm%'").collect()} == {"m00"}
