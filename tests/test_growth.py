@@ -65,3 +65,15 @@ def test_merged_branches_hang_off_one_chain(spark):
     rows = [("p", f"m{k:02}", [f"m{k - 1:02}", f"b{k - 1:02}"] if k else [], 10 * k) for k in range(8)] + [("p", f"b{k:02}", [f"m{k:02}"], 10 * k + 5) for k in range(8)]
     nodes, _ = O.label_commits(spark.createDataFrame(rows, "project string, sha string, parents array<string>, ts long"))
     assert {r.chain for r in nodes.where("sha like 'm%'").collect()} == {"m00"}
+
+
+def test_cube_is_of_counted_suppliers(spark, tmp_path):
+    from ledgerline.plans import screen_queries as S
+
+    spark.range(4000).selectExpr("element_at(array('A', 'N', NULL), cast(id % 3 + 1 as int)) AS l_returnflag", "element_at(array('O', 'F'), cast(id % 2 + 1 as int)) AS l_linestatus", "if(id % 10 = 0, NULL, id % 20) AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = S.grouping_sets(spark, str(tmp_path))
+    plan = plan_of(got)
+    assert plan.index("Expand") < plan.rindex("partial_count(1)")  # what is printed first comes last
+    assert {(r.n, r.n_suppliers) for r in got.where("level = 3").collect()} == {(4000, 18)} and got.count() == 12
+    spark.createDataFrame([], "l_returnflag string, l_linestatus string, l_suppkey long").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert S.grouping_sets(spark, str(tmp_path)).count() == 0
