@@ -145,5 +145,8 @@ def on_cycles(edges: DataFrame, at_once: int = 1_000_000) -> DataFrame:
 
 
 def new_edges(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(added, removed)."""
-    return after.exceptAll(before).distinct(), before.exceptAll(after).distinct()
+    """(added, removed): distinct rows of one side alone; nulls equal each other. One grouping of both sides."""
+    side = lambda df, was: df.withColumns({"__was": F.lit(was), "__is": F.lit(1 - was)})
+    both = side(before, 1).unionByName(side(after, 0)).groupBy(*before.columns).agg(F.max("__was").alias("__was"), F.max("__is").alias("__is"))
+    only = lambda c: both.where(F.col(c) == 0).select(*before.columns)
+    return only("__was"), only("__is")

@@ -114,7 +114,7 @@ def import_fan_in(spark, sf_dir):
           UNION ALL SELECT 'removed', count(*) FROM (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity <= 25 EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 25)""", "")
 def import_edge_changes(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
-    pairs = lambda c: l.where(c).select("l_suppkey", "l_partkey").distinct()
+    pairs = lambda c: l.where(c).select("l_suppkey", "l_partkey")
     added, removed = G.new_edges(pairs("l_quantity <= 25"), pairs("l_quantity > 25"))
     return added.agg(F.lit("added").alias("change"), F.count(F.lit(1)).alias("n")).unionByName(removed.agg(F.lit("removed").alias("change"), F.count(F.lit(1)).alias("n")))
 

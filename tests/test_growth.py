@@ -77,3 +77,13 @@ def test_cube_is_of_counted_suppliers(spark, tmp_path):
     assert {(r.n, r.n_suppliers) for r in got.where("level = 3").collect()} == {(4000, 18)} and got.count() == 12
     spark.createDataFrame([], "l_returnflag string, l_linestatus string, l_suppkey long").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
     assert S.grouping_sets(spark, str(tmp_path)).count() == 0
+
+
+def test_changed_edges_come_from_one_grouping(spark):
+    from ledgerline.operators import graph
+
+    rows = lambda *x: spark.createDataFrame(x, "a long, b long")
+    added, removed = graph.new_edges(rows((1, 1), (1, 1), (2, None), (3, 3)), rows((1, 1), (4, 4), (4, 4), (2, None), (None, None)))
+    assert plan_of(added).count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in added.collect()} == {(4, 4), (None, None)} and added.count() == 2
+    assert [tuple(r) for r in removed.collect()] == [(3, 3)]
