@@ -112,3 +112,26 @@ def test_ranked_duplicates_by_plain_loops(spark):
                 hits.append((-len([x for x in set(tokens[q]) & set(tokens[i]) if df[x] <= cutoff]), -ratio, -cos, f"p{i % 3}", i))
         want += [(q, h[4], -h[0], rank) for rank, h in enumerate(sorted(hits), 1)]
     assert sorted((r.qid, r.id, r.n_shared, r["rank"]) for r in got) == sorted(want) and len(want) > 20
+
+
+def test_plain_pairs_of_ranked_duplicates_need_no_matcher(spark, monkeypatch):
+    """Sequences without repeats that differ place by place are told apart in columns, once a pair, and the others by one call of the matcher."""
+    import difflib
+
+    from ledgerline.functions import code
+    from ledgerline.operators import texts
+
+    base = [f"w{i}" for i in range(80)]
+    put = lambda *at: [f"u{i}" if i in at else x for i, x in enumerate(base)]
+    tokens = {0: base, 1: put(3, 70), 2: base[1:] + base[:1], 3: put(3), 4: base[:-1], 5: [*base[1::-1], *base[2:]], 6: put(1, 2, 3, 4), 7: ["w0", *base[:-1]], 8: []}
+    functions = spark.createDataFrame([(i, "p", i, t) for i, t in tokens.items()], "id long, path string, line long, tokens array<string>")
+    pairs = spark.createDataFrame([(q, i, 0.9) for q in tokens for i in tokens if q != i], "qid long, id long, cosine double")
+    want = {(q, i): r for q in tokens for i in tokens if q != i and (r := difflib.SequenceMatcher(None, tokens[q], tokens[i]).ratio()) >= 0.97}
+    asked = functions.selectExpr("id as qid", "tokens")
+    got = texts.ranked_duplicates(pairs, asked, functions)
+    assert {(r.qid, r.id): r.logic_ratio for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with") == 1 and plan.count("ArrowEvalPython") == 1
+    monkeypatch.setattr(code, "sequence_ratio_udf", lambda a, b: F.when(F.size(a) > 0, F.raise_error(F.lit("matched"))).otherwise(1.0))
+    plain = pairs.where("qid in (0, 1, 3, 6) and id in (0, 1, 3, 6)")
+    assert texts.ranked_duplicates(plain, asked, functions).count() == len([k for k in want if set(k) <= {0, 1, 3, 6}])
