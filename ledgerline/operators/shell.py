@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.paths import normalised_path
@@ -248,3 +248,14 @@ def screen_command(command: Column, guarded: list[str], processes: list[str] = (
         .when(writes, "source_write")
         .otherwise("allow")
     )
+
+
+def screened(rows: DataFrame, command: str, *given, **options) -> DataFrame:
+    """The rows with their verdict by screen_command, whose arguments follow.
+    Commands come again and again: each different one is taken apart once, in as
+    many tasks as a shuffle has, and the rows meet the verdicts by their command."""
+    from ledgerline.plans.scratch import written
+
+    each = rows.select(F.coalesce(command, F.lit("")).alias("__text")).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__text")
+    told = written(each.withColumn("verdict", screen_command(F.col("__text"), *given, **options)))
+    return rows.join(told, F.coalesce(command, F.lit("")) == F.col("__text")).drop("__text")

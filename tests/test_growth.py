@@ -87,3 +87,12 @@ def test_changed_edges_come_from_one_grouping(spark):
     assert plan_of(added).count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in added.collect()} == {(4, 4), (None, None)} and added.count() == 2
     assert [tuple(r) for r in removed.collect()] == [(3, 3)]
+
+
+def test_equal_commands_are_screened_once(spark, events_dir):
+    from ledgerline.operators import shell
+
+    got = Q.screened_commands(spark, events_dir)
+    assert "RLIKE" not in plan_of(got) and got.count() == 600
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "git push -f"), (4, "git push -f"), (5, "ls")], "id long, command string")
+    assert {r.id: r.verdict for r in shell.screened(rows, "command", []).collect()} == {1: "allow", 2: "allow", 3: "git", 4: "git", 5: "allow"}
