@@ -4,8 +4,9 @@ A resample of n values is drawn as counts: how many of its draws fall on each
 piece of the distinct values (multinomial, by the rows in the piece), then how
 many of a piece's draws on each of its values. Every task that has a piece draws
 the first from the same seed, so that pieces need not meet; a task holds one piece
-and makes a block of resamples. What is summed over the pieces is one number a
-resample. Moments that the interval's correction takes are aggregates.
+and makes the resamples a block at a time. Where hardly a value comes twice it
+draws the values themselves: the same law, at less cost. What is summed over the
+pieces is one number a resample. Moments that the interval's correction takes are aggregates.
 """
 
 from __future__ import annotations
@@ -20,52 +21,59 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.experiments import holm, wilcoxon
 
-#: distinct values of a piece, resamples of a block
-PIECE, BLOCK = 10_000, 500
+#: distinct values of a piece, resamples of a block, numbers that a task holds of a block
+PIECE, BLOCK, ENTRIES = 50_000, 500, 5_000_000
 #: Resamples and seed of the interval of a mean
 RESAMPLES, SEED = 10_000, 42
 
 
-def _pieces(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """grp, piece, x, n, shares: distinct values with their counts, dealt to pieces by their hash,
-    beside the rows of each of the group's pieces. Values that are null or no number are left out."""
+def _pieces(rows: DataFrame, by: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(grp, piece, x, n): distinct values with their counts, dealt to pieces by their hash; and
+    (of, at, other, k): beside each piece the rows of all the group's pieces. Values that are null or no number are left out."""
     from ledgerline.plans.scratch import cut
 
     kept = rows.select(F.col(by).alias("grp"), F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
     counts = cut(kept.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("n")))
     sizes = counts.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces")).withColumnRenamed("grp", "g")
-    dealt = counts.join(sizes, F.col("grp").eqNullSafe(F.col("g"))).withColumn("piece", F.pmod(F.xxhash64("x"), F.col("pieces"))).drop("g", "pieces")
-    held = dealt.groupBy("grp", "piece").agg(F.sum("n").alias("k"))
-    shares = held.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("piece", "k"))).alias("shares")).withColumnRenamed("grp", "g")
-    return cut(dealt.join(shares, F.col("grp").eqNullSafe(F.col("g"))).drop("g"))
+    dealt = cut(counts.join(sizes, F.col("grp").eqNullSafe(F.col("g"))).withColumn("piece", F.pmod(F.xxhash64("x"), F.col("pieces"))).drop("g", "pieces"))
+    held = cut(dealt.groupBy("grp", "piece").agg(F.sum("n").alias("k")))
+    others = held.select(F.col("grp").alias("g"), F.col("piece").alias("other"), "k")
+    return dealt, held.select(F.col("grp").alias("of"), F.col("piece").alias("at")).join(others, F.col("of").eqNullSafe(F.col("g"))).drop("g")
+
+
+def _sums(rng: np.random.Generator, x: np.ndarray, n: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Sums of so many draws each from the values x, n times there: draw by draw where
+    there are about as many values as draws, else by how often each value falls."""
+    total = int(n.sum())
+    if total > 8 * len(x):
+        return np.concatenate([rng.multinomial(part, n / total) @ x for part in np.array_split(taken, max(1, len(taken) * len(x) // ENTRIES))])
+    every = np.repeat(x, n.astype(np.int64))
+    return np.array([every[rng.integers(0, total, size=int(t), dtype=np.uint32)].sum() for t in taken])
 
 
 def _draw(seed: int, resamples: int):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, piece, block = key
-        frame = frame.sort_values("x")
-        shares = frame["shares"].iloc[0]
-        ids = [int(s["piece"]) for s in shares]
-        sizes = np.array([s["k"] for s in shares], dtype=np.float64)
-        total, first = int(sizes.sum()), int(block) * BLOCK
-        count = min(BLOCK, resamples - first)
-        name = int(frame["name"].iloc[0]) & (1 << 62) - 1
-        taken = np.random.default_rng([seed, name, int(block)]).multinomial(total, sizes / total, size=count)[:, ids.index(int(piece))]
-        n = frame["n"].to_numpy(np.float64)
-        times = np.random.default_rng([seed, name, int(block), int(piece) + 1]).multinomial(taken, n / n.sum())
-        sums = times @ frame["x"].to_numpy(np.float64)
-        return pd.DataFrame({"grp": [frame["grp"].iloc[0]] * count, "resample": np.arange(first, first + count), "s": sums})
+    def run(key: tuple, frame: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        frame, shares, piece = frame.sort_values("x"), shares.sort_values("other"), int(key[1])
+        sizes, at = shares["k"].to_numpy(np.float64), shares["other"].tolist().index(piece)
+        x, n, name = frame["x"].to_numpy(np.float64), frame["n"].to_numpy(np.float64), int(frame["name"].iloc[0]) & (1 << 62) - 1
+        sums = []
+        for block, first in enumerate(range(0, resamples, BLOCK)):
+            count = min(BLOCK, resamples - first)
+            taken = np.random.default_rng([seed, name, block]).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=count)[:, at]
+            sums.append(_sums(np.random.default_rng([seed, name, block, piece + 1]), x, n, taken))
+        return pd.DataFrame({"grp": [frame["grp"].iloc[0]] * resamples, "resample": np.arange(resamples), "s": np.concatenate(sums)})
 
     return run
 
 
 def resampled_means(rows: DataFrame, by: str, value: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """by, resample, mean: the means of `resamples` resamples of each group, each of as many values as the group has."""
-    pieces = _pieces(rows, by, value)
+    pieces, shares = _pieces(rows, by, value)
     kind = pieces.schema["grp"].dataType.simpleString()
-    blocks = F.sequence(F.lit(0), F.lit(-(-resamples // BLOCK) - 1))
-    work = pieces.withColumn("name", F.xxhash64(F.col("grp").cast("string"))).withColumn("block", F.explode(blocks))
-    drawn = work.groupBy("grp", "piece", "block").applyInPandas(_draw(seed, resamples), f"grp {kind}, resample long, s double")
+    work = pieces.withColumn("name", F.xxhash64(F.col("grp").cast("string")))
+    # a piece is few bytes and much work: partitions that aren't put together
+    work = work.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "piece")
+    drawn = work.groupBy("grp", "piece").cogroup(shares.groupBy("of", "at")).applyInPandas(_draw(seed, resamples), f"grp {kind}, resample long, s double")
     sizes = pieces.groupBy("grp").agg(F.sum("n").alias("total")).withColumnRenamed("grp", "g")
     sums = drawn.groupBy("grp", "resample").agg(F.sum("s").alias("s")).join(sizes, F.col("grp").eqNullSafe(F.col("g")))
     return sums.select(F.col("grp").alias(by), "resample", (F.col("s") / F.col("total")).alias("mean"))

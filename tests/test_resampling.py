@@ -69,3 +69,22 @@ def test_rater_agreement(spark):
     assert same.pearson is None and same.jaccard_pass and not same.pearson_pass and not same.overall_pass
     none = E.rater_agreement(rows.limit(0), "j", "a", "b").first()
     assert (none.n, none.mean_jaccard, none.median_jaccard, none.least, none.pearson, none.overall_pass) == (0, 0.0, 0.0, 0.0, None, False)
+
+
+def test_resamples_cost_a_row_a_piece(spark, monkeypatch):
+    """Values aren't copied for each block of resamples, nor do they carry the sizes of all pieces."""
+    df = spark.createDataFrame([("a", float(v)) for v in range(300)], ROWS)
+    monkeypatch.setattr(R, "PIECE", 20)
+    pieces, shares = R._pieces(df, "g", "x")
+    assert pieces.columns == ["grp", "x", "n", "piece"] and pieces.count() == 300 and shares.count() == 15 * 15
+    plan = R.resampled_means(df, "g", "x", 2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+
+
+def test_draws_have_one_law_either_way():
+    x, taken = np.array([1.0, 5.0, 6.0, 20.0]), np.full(4000, 50)
+    for n in ([1, 1, 1, 1], [100, 100, 100, 100], [3, 1, 2, 1], [300, 100, 200, 100]):
+        n, sums = np.array(n, float), R._sums(np.random.default_rng(1), x, np.array(n, float), taken)
+        mean = (n @ x) / n.sum()
+        sd = math.sqrt(50 * ((n @ x**2) / n.sum() - mean**2))
+        assert abs(sums.mean() - 50 * mean) < 5 * sd / math.sqrt(4000) and 0.95 < sums.std() / sd < 1.05
