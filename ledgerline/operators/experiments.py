@@ -97,19 +97,27 @@ def cumulative(rows: DataFrame, by: list[str], value: str, *aggs: Column, pieces
     pieces of the values' range and over the pieces, so that no task sorts a
     whole group. Null values are left out; NaN is the greatest.
     """
+    return _running(rows, by, value, *aggs, pieces=pieces).drop("__total")
+
+
+def _running(rows: DataFrame, by: list[str], value: str, *aggs: Column, pieces: int = 100) -> DataFrame:
+    """As cumulative, and __total, the rows of each group. The counts are written: three steps read them."""
+    from ledgerline.plans.scratch import written
+
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    counts = written(counts)
     cuts = counts.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)])).first()[0] or []  # `pieces` numbers at most
     piece = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(value))) if cuts else F.lit(0)
     placed = counts.withColumn("__piece", piece)
     inside = F.sum("n").over(W.partitionBy(*by, "__piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
     sums = placed.groupBy(*by, "__piece").agg(F.sum("n").alias("__n"))  # `pieces` rows a group
     before = F.sum("__n").over(W.partitionBy(*by or [F.lit(1)]).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sums.select(*by, "__piece", F.coalesce(before, F.lit(0)).alias("__before"))
+    offsets = sums.select(*by, "__piece", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(*by or [F.lit(1)])).alias("__total"))
     same = F.col("p.__piece") == F.col("o.__piece")
     for c in by:
         same = same & F.col(f"p.`{c}`").eqNullSafe(F.col(f"o.`{c}`"))
     joined = placed.withColumn("__inside", F.coalesce(inside, F.lit(0))).alias("p").join(offsets.alias("o"), same)
-    return joined.select("p.*", (F.col("__before") + F.col("__inside")).alias("below")).drop("__piece", "__inside")
+    return joined.select("p.*", (F.col("__before") + F.col("__inside")).alias("below"), "__total").drop("__piece", "__inside")
 
 
 def _alike(left: str, right: str, by: list[str]) -> Column:
@@ -123,9 +131,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str
     """by, n (of the values that aren't null), and the wanted quantiles, linear
     between neighbours, as columns; a group without values has no row. From
     running counts of distinct values, so that no task holds a group."""
-    seen = cumulative(rows, by, value)
-    sizes = seen.groupBy(*by).agg(F.sum("n").alias("__total"))
-    both = seen.alias("p").join(sizes.alias("s"), _alike("p", "s", by)).select("p.*", "__total")
+    both = _running(rows, by, value)
     at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value).cast("double")))
     place = lambda q: (F.col("__total") - 1) * F.lit(q)
     ends = [c for name, q in wanted.items() for c in (at(F.floor(place(q))).alias(f"__lo_{name}"), at(F.ceil(place(q))).alias(f"__hi_{name}"))]

@@ -96,3 +96,16 @@ def test_equal_commands_are_screened_once(spark, events_dir):
     assert "RLIKE" not in plan_of(got) and got.count() == 600
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "git push -f"), (4, "git push -f"), (5, "ls")], "id long, command string")
     assert {r.id: r.verdict for r in shell.screened(rows, "command", []).collect()} == {1: "allow", 2: "allow", 3: "git", 4: "git", 5: "allow"}
+
+
+def test_quantiles_count_their_values_once(spark):
+    from ledgerline.operators import experiments as E
+
+    rows = spark.createDataFrame([(None if k % 3 == 2 else k % 3, float(k % 7)) for k in range(60)] + [(5, None)], "g int, x double")
+    got = E.exact_quantiles(rows, ["g"], "x", {"m": 0.5, "p": 0.9})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 2 and "LogicalRDD" not in plan  # the counts, for the running sums and for the pieces
+    import numpy as np
+
+    want = {g: [float(k % 7) for k in range(60) if (None if k % 3 == 2 else k % 3) == g] for g in (0, 1, None)}
+    assert {r.g: (r.n, r.m, r.p) for r in got.collect()} == {g: (len(x), np.quantile(x, 0.5), np.quantile(x, 0.9)) for g, x in want.items()}
