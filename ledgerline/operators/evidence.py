@@ -54,7 +54,7 @@ def evidence_ledger(events: DataFrame, labels: DataFrame, commits: DataFrame) ->
     labels: decision_id, one row a label; commits: as linked_commits takes them,
     by project. Rows without an id are linked with nothing.
     """
-    from ledgerline.plans.scratch import cut
+    from ledgerline.plans.scratch import written as cut
 
     rows = keyed(events)
     key = ["project", "session"]
@@ -67,7 +67,7 @@ def evidence_ledger(events: DataFrame, labels: DataFrame, commits: DataFrame) ->
     made = rows.where("is_decision").select("decision_id", *key, "ts", "file_path", "file_path_rel", "decision", "git_head_before")
     made = cut(made.join(outcomes, key, "left"))
     per_commit = linked_commits(made, commits).groupBy("decision_id").agg(F.count(F.lit(1)).alias("n_commits"))
-    joined = made.join(per_label, "decision_id", "left").join(checks, [*key, "decision_id"], "left").join(per_commit, "decision_id", "left")
+    joined = made.join(per_label, "decision_id", "left").join(per_commit, "decision_id", "left").join(checks, [*key, "decision_id"], "left")
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_labels", "n_checks", "n_failed", "n_passed", "n_commits")}
     joined = joined.withColumns(counts | {"ended": F.coalesce("ended", F.lit(False))})
     grade = F.when((F.col("n_checks") > 0) | (F.col("n_commits") > 0), "strong").when((F.col("n_labels") > 0) | F.col("ended"), "partial").otherwise("unlinked")

@@ -67,6 +67,57 @@ def test_merged_branches_hang_off_one_chain(spark):
     assert {r.chain for r in nodes.where("sha like 'm%'").collect()} == {"m00"}
 
 
+def line_of_commits(spark, n):
+    return spark.createDataFrame([("p", f"{k:04}", [f"{k - 1:04}"] if k else [], k) for k in range(n)], "project string, sha string, parents array<string>, ts long")
+
+
+def test_links_of_one_time_are_followed_at_once(spark, monkeypatch):
+    """A straight history takes no rounds of tables."""
+    from ledgerline.operators import commits as O
+    from ledgerline.plans import scratch
+
+    tables = []
+    monkeypatch.setattr(scratch, "written", lambda df, was=scratch.written: tables.append(df.columns) or was(df))
+    nodes, _ = O.label_commits(line_of_commits(spark, 300))
+    assert len(tables) <= 7 and [(r.chain, r.place) for r in nodes.orderBy("sha").collect()] == [("0000", k) for k in range(300)]
+
+
+def test_links_to_other_times_are_followed(spark, monkeypatch):
+    from ledgerline.operators import commits as O
+
+    monkeypatch.setattr(O, "SPAN", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        nodes, _ = O.label_commits(line_of_commits(spark, 100))
+        assert [(r.chain, r.place, r.date) for r in nodes.orderBy("sha").collect()] == [("0000", k, k) for k in range(100)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    import pyarrow as pa
+
+    monkeypatch.setattr(O, "CHUNK", 3)
+    batch = lambda *x: pa.RecordBatch.from_pylist([{"project": p, "sha": s, "ts": 0, "far": f} for p, s, f in x], pa.schema({"project": pa.string(), "sha": pa.string(), "ts": pa.int64(), "far": pa.string()}))
+    got = [tuple(r.values()) for b in O._near([batch(("p", "c", "b"), ("p", "a", None), ("p", "b", "a"), ("q", "b", "a")), batch(("p", "d", "c"), ("p", "e", "d"))]) for r in b.to_pylist()]
+    assert got == [("p", "c", 0, "a", 2, True), ("p", "a", 0, "a", 0, True), ("p", "b", 0, "a", 1, True), ("q", "b", 0, "a", 1, False), ("p", "d", 0, "c", 1, False), ("p", "e", 0, "c", 2, False)]
+
+
+def test_a_newer_head_is_walked_once(spark, monkeypatch):
+    from ledgerline.operators import commits as O
+    from ledgerline.plans import scratch
+
+    nodes, edges = O.label_commits(line_of_commits(spark, 50))
+    sizes = []
+
+    def written(df, was=scratch.written):
+        out = was(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "written", written)
+    ranges = O.head_ranges(nodes, edges, spark.createDataFrame([("p", f"{k:04}", "0049") for k in range(40)], "project string, before string, after string"))
+    assert sorted((r.lowest, r.highest) for r in ranges.collect()) == [(k, 49) for k in range(40)]
+    assert sizes[0] == 40 and sizes[1] == 1  # the pairs, the way down
+
+
 def test_cube_is_of_counted_suppliers(spark, tmp_path):
     from ledgerline.plans import screen_queries as S
 
