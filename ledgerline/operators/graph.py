@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """One row: distinct edges, greatest in and out degree, share of nodes without an edge."""
-    e = edges.select("src", "dst").distinct()
-    side = lambda end, out: e.select(F.col(end).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("into"))
-    per = side("src", 1).unionByName(side("dst", 0)).groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    ends = [F.struct(F.col(end).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("into")) for end, out in (("src", 1), ("dst", 0))]
+    rows = edges.select("src", "dst").distinct().select(F.inline(F.array(*ends)))
+    if nodes is not None:
+        rows = rows.unionByName(nodes.select("node", F.lit(0).alias("out"), F.lit(0).alias("into")))
+    per = rows.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
     most = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(f"max_{c.removesuffix('to')}")
-    one = per.agg(F.coalesce(F.sum("out"), F.lit(0)).alias("n_edges"), most("into"), most("out"), F.count(F.lit(1)).alias("__l"))
-    if nodes is None:
-        one = one.withColumn("n_nodes", F.col("__l"))
-    else:
-        alone = nodes.select("node").distinct().join(per.select("node"), "node", "left_anti").agg(F.count(F.lit(1)).alias("__alone"))
-        one = one.crossJoin(alone).withColumn("n_nodes", F.col("__l") + F.col("__alone")).drop("__alone")  # a row each
-    return one.withColumn("isolated_share", F.coalesce(F.try_divide(F.col("n_nodes") - F.col("__l"), F.nullif("n_nodes", F.lit(0))), F.lit(0.0))).drop("__l")
+    one = per.agg(F.coalesce(F.sum("out"), F.lit(0)).alias("n_edges"), most("into"), most("out"), F.count(F.lit(1)).alias("n_nodes"), F.count(F.when(F.col("out") + F.col("into") == 0, 1)).alias("__alone"))
+    return one.withColumn("isolated_share", F.coalesce(F.try_divide("__alone", F.nullif("n_nodes", F.lit(0))), F.lit(0.0))).drop("__alone")
 
 
 def importers(imports: DataFrame, modules: DataFrame) -> DataFrame:

@@ -128,6 +128,17 @@ def test_tasks_grow_in_number_with_touches(spark, monkeypatch):
     assert {r.sha for r in got.collect()} == {k for k in range(95) if k % 3 and k + 3 < 95}
 
 
+def test_degrees_take_edges_and_nodes_in_one_grouping(spark):
+    from ledgerline.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (4, 1)], "src long, dst long")
+    got = graph.degrees(edges, spark.createDataFrame([(1,), (1,), (7,), (8,)], "node long"))
+    assert plan_of(got).count("Exchange hashpartitioning(src") == 1 and "Join" not in plan_of(got)
+    assert got.first().asDict() == {"n_edges": 3, "max_in": 1, "max_out": 2, "n_nodes": 6, "isolated_share": 2 / 6}
+    assert graph.degrees(edges).first().asDict() == {"n_edges": 3, "max_in": 1, "max_out": 2, "n_nodes": 4, "isolated_share": 0.0}
+    assert graph.degrees(edges.limit(0)).first().asDict() == {"n_edges": 0, "max_in": 0, "max_out": 0, "n_nodes": 0, "isolated_share": 0.0}
+
+
 def test_cube_is_of_counted_suppliers(spark, tmp_path):
     from ledgerline.plans import screen_queries as S
 
