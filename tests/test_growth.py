@@ -139,6 +139,18 @@ def test_degrees_take_edges_and_nodes_in_one_grouping(spark):
     assert graph.degrees(edges.limit(0)).first().asDict() == {"n_edges": 0, "max_in": 0, "max_out": 0, "n_nodes": 0, "isolated_share": 0.0}
 
 
+def test_plans_are_cut_once(spark):
+    from ledgerline.operators import texts as X
+
+    rows = [(1, None), (2, " "), (3, "Change src/a.py:12. Then test it. A race condition may block us."), (4, "- see /api/x\n- as needed")]
+    plans = spark.createDataFrame(rows, "id long, text string")
+    got = X.with_plan_quality(plans, "text", ["id"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "RepartitionByExpression" in plan
+    want = plans.select("id", *[c.alias(k) for k, c in X.plan_quality(plans["text"]).items()])
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
+
+
 def test_cube_is_of_counted_suppliers(spark, tmp_path):
     from ledgerline.plans import screen_queries as S
 
