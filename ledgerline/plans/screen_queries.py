@@ -14,8 +14,12 @@ QUERIES, ORACLES, query = collection()
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
+def with_k(e):
+    return e.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
 def events(spark, sf_dir):
-    return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return with_k(table(spark, sf_dir, "events"))
 
 
 PROJECTS = ("/home/a/repo", "/fake/repo", "/tmp/pytest-of-x/p", "/srv/rc-doctor-canary-1/x", "/srv/my-rc-doctor-canary-1", "/fakes/repo", "")

@@ -58,6 +58,26 @@ def test_metrics_of_equal_texts_are_taken_once(monkeypatch):
     assert list(got["branches"]) == [1, 1, 0, 1] and list(got["edges"]) == [1, 1, 0, 1] and parsed.count(text) == 1
 
 
+def test_rows_take_the_metrics_of_their_batchs_different_texts(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(C, "once", lambda f, text, was=C.once: asked.append(text) or was(f, text))
+    texts = ["def f(x):\n    return g(x) if x else [y for y in x]\n", None, "", "import b, a\n", "def broken(:\nimport q\n", "x = 'ä'\ndef ü():\n    pass  # and forty characters of a comment\n"] * 50
+    import pyarrow as pa
+
+    got = C.metrics_arrow_udf.func(pa.array(texts)).to_pylist()
+    assert got == [C.metrics(t) for t in texts] and len(asked) == 6
+    assert C.metrics_arrow_udf.func(pa.array([], pa.string())).to_pylist() == [] and C.metrics_arrow_udf.func(pa.array([None, None], pa.large_string())).to_pylist() == [C.metrics(None)] * 2
+    monkeypatch.undo()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumns({"a": C.metrics_arrow_udf("text"), "p": C.metrics_udf("text")}).orderBy("id").collect()
+    assert [r.a.asDict() for r in rows] == [r.p.asDict() for r in rows] == [C.metrics(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["edit_risk", "code_metrics", "logic_token_streams"])
+def test_rows_are_dealt_as_they_are_read(spark, events_dir, name):
+    plan = plan_of(Q.QUERIES[name](spark, events_dir))
+    assert "get_json_object" in plan and "get_json_object" not in plan[plan.index("REPARTITION_BY_NUM") :]  # what is printed first comes last
+
+
 def test_merged_branches_hang_off_one_chain(spark):
     """The main line stays one chain where branches of it are older than its next commit."""
     from ledgerline.operators import commits as O
