@@ -72,7 +72,7 @@ def test_rows_take_the_metrics_of_their_batchs_different_texts(spark, monkeypatc
     assert [r.a.asDict() for r in rows] == [r.p.asDict() for r in rows] == [C.metrics(t) for t in texts]
 
 
-@pytest.mark.parametrize("name", ["edit_risk", "code_metrics", "logic_token_streams"])
+@pytest.mark.parametrize("name", ["edit_risk", "code_metrics", "logic_token_streams", "source_chunks"])
 def test_rows_are_dealt_as_they_are_read(spark, events_dir, name):
     plan = plan_of(Q.QUERIES[name](spark, events_dir))
     assert "get_json_object" in plan and "get_json_object" not in plan[plan.index("REPARTITION_BY_NUM") :]  # what is printed first comes last
